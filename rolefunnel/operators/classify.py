@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefunnel.functions.text import WORD, tokens
+from rolefunnel.operators.barrier import add_once
 from rolefunnel.operators.phrases import any_match, matched, phrase_hits, quoted_list
 from rolefunnel.operators.rules import Rules
 
@@ -71,7 +72,7 @@ def with_hits(df: DataFrame, rules: Rules, axes: tuple[str, ...] = tuple(HIT_COL
     words = {axis: f"_words{axis}" for axis in axes}
     df = df.withColumns({words[a]: tokens(texts[a][0]) for a in axes})
     hits = {a: phrase_hits(F.col(words[a]), texts[a][1], rules.negation) for a in axes}
-    return df.withColumns(hits).drop(*words.values())
+    return add_once(df, hits).drop(*words.values())
 
 
 def eligibility(hits: Column, rules: Rules) -> Column:
@@ -106,14 +107,13 @@ def relevance(title_hits: Column, body_hits: Column, rules: Rules) -> Column:
 
 def classify(df: DataFrame, rules: Rules, keep_hits: bool = False) -> DataFrame:
     """Add eligibility_bucket, eligibility_reason and is_relevant to postings."""
-    df = with_hits(df, rules)
-    df = df.withColumn("_verdict", eligibility(F.col(ELIGIBILITY_HITS), rules))
+    verdict = eligibility(F.col(ELIGIBILITY_HITS), rules)
+    df = add_once(
+        with_hits(df, rules),
+        {"_verdict": verdict, "is_relevant": relevance(F.col(TITLE_HITS), F.col(RELEVANCE_HITS), rules)},
+    )
     df = df.withColumns(
-        {
-            "eligibility_bucket": F.col("_verdict.bucket"),
-            "eligibility_reason": F.col("_verdict.reason"),
-            "is_relevant": relevance(F.col(TITLE_HITS), F.col(RELEVANCE_HITS), rules),
-        }
+        {"eligibility_bucket": F.col("_verdict.bucket"), "eligibility_reason": F.col("_verdict.reason")}
     ).drop("_verdict")
     return df if keep_hits else df.drop(*HIT_COLUMNS)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolefunnel.functions.labels import bucket_confidence
 from rolefunnel.functions.text import clamp
+from rolefunnel.operators.barrier import spread_once
 from rolefunnel.operators.classify import HIT_COLUMNS
 from rolefunnel.operators.rules import Rules
 from rolefunnel.operators.scoring import (
@@ -14,7 +15,6 @@ from rolefunnel.operators.scoring import (
     heuristic_result,
     rankable,
     resolve_contract,
-    spread_result,
     trivial_result,
 )
 from rolefunnel.schema import CONTRACT_TYPES, SENIORITY_FITS, allowed
@@ -127,9 +127,7 @@ def select_score(
         .when(F.col("_response").isNotNull(), external)
         .otherwise(heuristic_result(rules, as_of))
     )
-    return spread_result(df.withColumn("_result", result), "_result").drop(
-        "_cached", "_response", *HIT_COLUMNS
-    )
+    return spread_once(df, result, SCORE_FIELDS).drop("_cached", "_response", *HIT_COLUMNS)
 
 
 def forced_rescore(keys: DataFrame, stored: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,8 +147,8 @@ def forced_rescore(keys: DataFrame, stored: DataFrame, responses: DataFrame) ->
     )
     checked = found.withColumn("error", error)
     result = external_result(F.col("_response"), F.col("eligibility_bucket"), F.col("contract_type_guess"))
-    good = checked.filter(F.col("error").isNull()).withColumn("_result", result)
-    rows = spread_result(good, "_result").drop("_known", "_response", "error")
+    good = checked.filter(F.col("error").isNull())
+    rows = spread_once(good, result, SCORE_FIELDS).drop("_known", "_response", "error")
     return rows, checked.filter(F.col("error").isNotNull()).select("dedup_key", "error")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolefunnel.functions.dates import age_days
 from rolefunnel.functions.labels import bucket_confidence
 from rolefunnel.functions.text import clamp
+from rolefunnel.operators.barrier import spread_once
 from rolefunnel.operators.classify import HIT_COLUMNS, RELEVANCE_HITS, TITLE_HITS
 from rolefunnel.operators.phrases import any_match, matched, quoted_list
 from rolefunnel.operators.rules import Rules
@@ -164,15 +165,10 @@ def heuristic_result(rules: Rules, as_of: Column) -> Column:
     )
 
 
-def spread_result(df: DataFrame, result: str) -> DataFrame:
-    """Write the members of a score struct over the posting's score columns."""
-    return df.withColumns({name: F.col(f"{result}.{name}") for name in SCORE_FIELDS}).drop(result)
-
-
 def score(df: DataFrame, rules: Rules, as_of: Column) -> DataFrame:
     """Score classified postings (with hit columns) by formula alone."""
     bucket, relevant = F.col("eligibility_bucket"), F.col("is_relevant")
     result = F.when(rankable(bucket, relevant), heuristic_result(rules, as_of)).otherwise(
         trivial_result(bucket, F.col("eligibility_reason"), relevant)
     )
-    return spread_result(df.withColumn("_result", result), "_result").drop(*HIT_COLUMNS)
+    return spread_once(df, result, SCORE_FIELDS).drop(*HIT_COLUMNS)

@@ -65,10 +65,19 @@ def allowed(column: Column, values: list[str]) -> Column:
 
 
 def arrival_order(source_rank: int | Column, page: Column, position: Column) -> Column:
-    """Pack (source, page, position) in one BIGINT, so order needs no global sort."""
+    """Pack (source, page, position, child) in one BIGINT, so order needs no global sort.
+
+    6 bits source, 30 bits page, 21 bits position, 6 bits for the children a row
+    may be expanded into (``child_order``).
+    """
     rank = F.lit(source_rank) if isinstance(source_rank, int) else source_rank
     return (
-        F.shiftleft(rank.cast("bigint"), 52)
-        + F.shiftleft(page.cast("bigint"), 22)
-        + position.cast("bigint")
+        F.shiftleft(rank.cast("bigint"), 57)
+        + F.shiftleft(page.cast("bigint"), 27)
+        + F.shiftleft(position.cast("bigint"), 6)
     )
+
+
+def child_order(parent: Column, child: Column) -> Column:
+    """Order of the ``child``-th row (below 64) expanded from ``parent``."""
+    return parent + F.coalesce(child, F.lit(0)).cast("bigint")
