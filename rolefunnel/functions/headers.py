@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolefunnel.functions.text import SPACE, blank_to_null, split_lines, strip
+from rolefunnel.functions.text import SPACE, blank_to_null, let, split_lines, strip
 from rolefunnel.functions.urls import extract_url, is_application_link, recover_prefix
 
 # Patterns and limits results depend on.
@@ -46,17 +46,20 @@ def strip_role_marker(line: Column, pattern: str = ROLE_MARKER_PATTERN) -> Colum
 
 def parse_header(line: Column, placeholder: str = ROLE_NOT_STATED) -> Column:
     """struct(company, title) of a ``Company | Role | ...`` line."""
-    segments = F.filter(F.transform(F.split(line, r"\|"), strip), lambda s: s != "")
     snippet = F.coalesce(blank_to_null(F.left(strip(line), F.lit(80))), F.lit(EMPTY_HEADER))
-    roles = F.filter(
-        F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1))), lambda s: ~is_non_role_segment(s)
-    )
-    several = F.size(segments) >= 2
-    role = F.coalesce(F.left(F.get(roles, F.lit(0)), F.lit(120)), F.lit(placeholder))
-    return F.struct(
-        F.when(several, F.left(F.get(segments, F.lit(0)), F.lit(120))).otherwise(snippet).alias("company"),
-        F.when(several, role).otherwise(snippet).alias("title"),
-    )
+
+    def name(segments: Column) -> Column:
+        rest = F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1)))
+        roles = F.filter(rest, lambda s: ~is_non_role_segment(s))
+        role = F.coalesce(F.left(F.get(roles, F.lit(0)), F.lit(120)), F.lit(placeholder))
+        company = F.left(F.get(segments, F.lit(0)), F.lit(120))
+        several = F.size(segments) >= 2
+        return F.struct(
+            F.when(several, company).otherwise(snippet).alias("company"),
+            F.when(several, role).otherwise(snippet).alias("title"),
+        )
+
+    return let(F.filter(F.transform(F.split(line, r"\|"), strip), lambda s: s != ""), name)
 
 
 def _before_separator(text: Column) -> Column:
@@ -95,13 +98,22 @@ def is_bullet(line: Column) -> Column:
 
 def bullet_run(lines: Column, heading: str = ROLES_HEADING_PATTERN) -> Column:
     """Texts of the bullets right below the first heading; blank lines do not end the run."""
-    at = F.array_position(F.transform(lines, lambda s: s.rlike(heading)), True)
-    after = F.slice(lines, (at + 1).cast("int"), F.size(lines) + 1)
-    stops = F.transform(after, lambda s: ~is_bullet(s) & (strip(s) != ""))
-    stop = F.array_position(stops, True).cast("int")
-    run = F.when(stop > 0, F.slice(after, 1, stop - 1)).otherwise(after)
-    bullets = F.transform(F.filter(run, is_bullet), lambda s: strip(bullet_text(s)))
-    return F.when(at > 0, bullets).otherwise(F.array().cast("array<string>"))
+
+    def run_after(after: Column) -> Column:
+        ends = F.transform(after, lambda s: ~is_bullet(s) & (strip(s) != ""))
+        end = F.array_position(ends, True).cast("int")
+        run = F.when(end > 0, F.slice(after, 1, end - 1)).otherwise(after)
+        return F.transform(F.filter(run, is_bullet), lambda s: strip(bullet_text(s)))
+
+    def find(ls: Column) -> Column:
+        headings = F.transform(ls, lambda s: s.rlike(heading))
+        at = F.array_position(headings, True).cast("int")
+        none = F.array().cast("array<string>")
+        return F.when(
+            F.array_contains(headings, True), let(F.slice(ls, at + 1, F.size(ls) + 1), run_after)
+        ).otherwise(none)
+
+    return let(lines, find)
 
 
 def bulleted_title(body: Column, heading: str = ROLES_HEADING_PATTERN) -> Column:
@@ -117,21 +129,29 @@ def bulleted_title(body: Column, heading: str = ROLES_HEADING_PATTERN) -> Column
         title = F.left(F.concat(F.lit("Multiple roles: "), shown, more), F.lit(MAX_TITLE_CHARS))
         return F.when(F.size(n) >= 2, title)
 
-    return F.get(F.transform(F.array(names), render), F.lit(0))
+    return let(names, render)
 
 
 def bullet_spans(lines: Column) -> Column:
-    """array<struct(name_text, span)>: each bullet with the lines up to the next one."""
-    starts = F.array_compact(F.transform(lines, lambda s, i: F.when(is_bullet(s), i + 1)))
+    """array<struct(text, span)>: each bullet with the lines up to the next one."""
 
-    def span(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1), F.size(lines) + 1)
-        return F.struct(
-            bullet_text(F.get(lines, start - 1)).alias("text"),
-            F.array_join(F.slice(lines, start, end - start), "\n").alias("span"),
-        )
+    def spans(p: Column) -> Column:
+        ls = p["lines"]
+
+        def span(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(p["starts"], k + 1), F.size(ls) + 1)
+            return F.struct(
+                bullet_text(F.get(ls, start - 1)).alias("text"),
+                F.array_join(F.slice(ls, start, end - start), "\n").alias("span"),
+            )
+
+        return F.transform(p["starts"], span)
+
+    def with_starts(ls: Column) -> Column:
+        starts = F.array_compact(F.transform(ls, lambda s, i: F.when(is_bullet(s), i + 1)))
+        return let(F.struct(ls.alias("lines"), starts.alias("starts")), spans)
 
-    return F.transform(starts, span)
+    return let(lines, with_starts)
 
 
 def role_links(body: Column, hrefs: Column, limit: int = MAX_ROLE_LINKS) -> Column:

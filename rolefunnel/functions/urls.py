@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolefunnel.functions.entities import html_unescape
-from rolefunnel.functions.text import SPACE, WORD, blank_to_null, strip
+from rolefunnel.functions.text import SPACE, WORD, blank_to_null, let, strip
 
 # Patterns and word lists results depend on.
 URL_PATTERN = rf"https?://[^{SPACE})>\]]+"
@@ -88,27 +88,33 @@ def best_apply_url(text: Column, hrefs: Column, domains: list[str] = APPLY_DOMAI
     just before it 1, otherwise 0; the first of the best wins.
     """
     text = F.coalesce(text, F.lit(""))
-    urls = F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(0))
-    gaps = F.split(text, URL_PATTERN, -1)
-
-    def total_length(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda acc, s: acc + F.length(s))
-
-    def ranked(raw: Column, i: Column) -> Column:
-        start = total_length(F.slice(gaps, 1, i + 1)) + F.when(i > 0, total_length(F.slice(urls, 1, i))).otherwise(0)
-        begin = F.greatest(F.lit(0), start - APPLY_CUE_WINDOW)
-        before = F.substr(text, begin + 1, start - begin)
-        url = recover_prefix(F.rtrim(raw, F.lit(TRAILING_PUNCTUATION)), hrefs)
-        known_host = F.exists(F.lit(domains), lambda d: F.contains(F.lower(url), d))
-        score = (
-            F.when(known_host, 3)
-            .when(url.rlike(APPLY_PATH_PATTERN), 2)
-            .when(before.rlike(APPLY_CUE_PATTERN), 1)
-            .otherwise(0)
-        )
-        return F.struct((-score).alias("s"), i.alias("i"), url.alias("url"))
-
-    return F.array_min(F.transform(urls, ranked))["url"]
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(0)).alias("urls"),
+        F.split(text, URL_PATTERN, -1).alias("gaps"),
+    )
+
+    def total_length(pieces: Column) -> Column:
+        return F.aggregate(pieces, F.lit(0), lambda acc, s: acc + F.length(s))
+
+    def choose(p: Column) -> Column:
+        def ranked(raw: Column, i: Column) -> Column:
+            links = F.when(i > 0, total_length(F.slice(p["urls"], 1, i))).otherwise(0)
+            start = total_length(F.slice(p["gaps"], 1, i + 1)) + links
+            begin = F.greatest(F.lit(0), start - APPLY_CUE_WINDOW)
+            before = F.substr(text, begin + 1, start - begin)
+            url = recover_prefix(F.rtrim(raw, F.lit(TRAILING_PUNCTUATION)), hrefs)
+            known_host = F.exists(F.lit(domains), lambda d: F.contains(F.lower(url), d))
+            score = (
+                F.when(known_host, 3)
+                .when(url.rlike(APPLY_PATH_PATTERN), 2)
+                .when(before.rlike(APPLY_CUE_PATTERN), 1)
+                .otherwise(0)
+            )
+            return F.struct((-score).alias("s"), i.alias("i"), url.alias("url"))
+
+        return F.array_min(F.transform(p["urls"], ranked))["url"]
+
+    return F.when(F.contains(text, F.lit("://")), let(parts, choose))
 
 
 def application_channel(has_url: Column, email: Column, email_first: bool = False) -> Column:

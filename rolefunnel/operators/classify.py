@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolefunnel.functions.text import WORD, tokens
+from rolefunnel.functions.text import WORD, let, tokens
 from rolefunnel.operators.barrier import add_once
 from rolefunnel.operators.phrases import any_match, matched, phrase_hits, quoted_list
 from rolefunnel.operators.rules import Rules
@@ -26,17 +26,19 @@ def drop_disclosures(text: Column, words: tuple[str, str, str]) -> Column:
     pattern = (
         rf"{start}(?>.*?{edge}(?:{subject})(?![{WORD}]))(?>.*?{edge}(?:{action})).*?{edge}(?:{person})"
     )
-    pieces = F.split(text, r"\.", -1)
-    last = F.size(pieces) - 1
 
-    def keep(piece: Column, i: Column) -> Column:
-        return (
-            F.when(i == last, piece)
-            .when(piece.rlike(pattern), F.lit(" "))
-            .otherwise(F.concat(piece, F.lit(".")))
-        )
+    def sentences(pieces: Column) -> Column:
+        def keep(piece: Column, i: Column) -> Column:
+            return (
+                F.when(i == F.size(pieces) - 1, piece)
+                .when(piece.rlike(pattern), F.lit(" "))
+                .otherwise(F.concat(piece, F.lit(".")))
+            )
 
-    return F.when(text.rlike(rf"(?iu)(?:{subject})"), F.array_join(F.transform(pieces, keep), "")).otherwise(text)
+        return F.array_join(F.transform(pieces, keep), "")
+
+    mentioned = text.rlike(rf"(?iu)(?:{subject})")
+    return F.when(mentioned, let(F.split(text, r"\.", -1), sentences)).otherwise(text)
 
 
 def eligibility_text(title: Column, description: Column, location: Column) -> Column:

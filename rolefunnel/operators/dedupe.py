@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from rolefunnel.functions.text import normalize_text, tokens
+from rolefunnel.functions.text import let, tokens
 from rolefunnel.functions.urls import normalize_url
 from rolefunnel.session import cut_lineage
 
@@ -97,7 +97,7 @@ def merge_survivors(df: DataFrame, members: DataFrame) -> DataFrame:
     tags = (
         members.select("cluster", F.explode("tags").alias("tag"))
         .groupBy("cluster")
-        .agg(F.array_sort(F.collect_set("tag")).alias("_union"))
+        .agg(F.sort_array(F.collect_set("tag")).alias("_union"))
     )
     winners = (
         summary.join(tags, "cluster", "left")
@@ -151,12 +151,14 @@ def numbered_bigrams(key: Column) -> Column:
     grams = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substr(key, i, F.lit(2))
     )
-    ordered = F.array_sort(grams)
-    numbered = F.transform(
-        ordered,
-        lambda g, i: F.concat(g, F.lit("\x00"), (i - F.array_position(ordered, g) + 2).cast("string")),
-    )
-    return F.when(F.length(key) >= 2, numbered).otherwise(F.array(key))
+
+    def number(ordered: Column) -> Column:
+        return F.transform(
+            ordered,
+            lambda g, i: F.concat(g, F.lit("\x00"), (i - F.array_position(ordered, g) + 2).cast("string")),
+        )
+
+    return F.when(F.length(key) >= 2, let(F.sort_array(grams), number)).otherwise(F.array(key))
 
 
 def _min_shared(length_sum: Column, threshold: float) -> Column:
@@ -192,7 +194,7 @@ def candidate_pairs(nodes: DataFrame, threshold: float = FUZZY_THRESHOLD) -> Dat
     rarest_first = (
         occurrences.join(frequency, "gram")
         .groupBy("node")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
     )
     # A partner has at least ratio_floor * len characters, hence this many shared bigrams.
     smallest_sum = F.col("len") + F.ceil(F.col("len") * ratio_floor - F.lit(1e-9))

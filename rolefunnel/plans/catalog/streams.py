@@ -1 +1,58 @@
-"""Queries."""
+"""Streaming twins: events as a file stream, the result read back from the sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rolefunnel.functions.dates import utc_timestamp
+from rolefunnel.operators.store import SnapshotTable, merge_postings
+from rolefunnel.plans.catalog.base import query, table
+from rolefunnel.session import prepare, scratch_path
+from rolefunnel.streaming.incremental import append_stream, suppress_repeats, upsert_stream
+
+
+def _event_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return (
+        prepare(spark)
+        .readStream.schema(schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(d)
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    )
+
+
+@query(
+    "stream_upsert",
+    """SELECT 'user ' || user_id AS dedup_key, arg_max(event_type, event_id) AS title, 'new' AS status,
+       epoch_us(TIMESTAMP '2024-02-01') AS first_seen FROM events GROUP BY user_id""",
+)
+def _(spark, d):
+    rows = _event_stream(spark, d).select(
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("dedup_key"),
+        F.col("event_type").alias("title"),
+        F.lit("stream").alias("source"),
+        F.col("event_id").alias("ord"),
+    )
+    store = SnapshotTable.postings(spark, scratch_path(spark, "stream-store"))
+    now = utc_timestamp("2024-02-01T00:00:00Z")
+    job = upsert_stream(
+        rows, store, scratch_path(spark, "stream-state"), lambda old, new: merge_postings(old, new, now)
+    )
+    job.awaitTermination()
+    return store.read().select(
+        "dedup_key", "title", "status", F.unix_micros("first_seen_at").alias("first_seen")
+    )
+
+
+@query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, d):
+    """The horizon spans the whole table, so this is first sight overall."""
+    rows = suppress_repeats(
+        _event_stream(spark, d).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "3650 days"
+    )
+    out = scratch_path(spark, "stream-out")
+    append_stream(rows, out, scratch_path(spark, "stream-state")).awaitTermination()
+    return spark.read.schema("user_id bigint, event_type string, ts timestamp").parquet(out).select(
+        "user_id", "event_type"
+    )

@@ -21,6 +21,7 @@ from rolefunnel.functions.labels import (
 )
 from rolefunnel.functions.text import blank_to_null, join_present, present, strip, strip_html, stripped_or_null
 from rolefunnel.functions.urls import application_channel, extract_email
+from rolefunnel.operators.barrier import add_once
 from rolefunnel.schema import CONTENT_DDL, arrival_order, conform
 from rolefunnel.sources.landing import first_by, json_items, readable_pages, xml_items
 
@@ -185,7 +186,7 @@ def himalayas(
 def jobicy(landed: DataFrame, rank: int = 5) -> DataFrame:
     """Single page; names arrive HTML-escaped; the link is never rewritten."""
     items = json_items(landed, JOBICY_ITEM, "jobs")
-    rows = items.withColumns({"name": html_unescape(_text("jobTitle")), "link": _text("url")}).filter(
+    rows = add_once(items, {"name": html_unescape(_text("jobTitle")), "link": _text("url")}).filter(
         (F.col("name") != "") & (F.col("link") != "")
     )
     industries = F.transform(_known("jobIndustry"), html_unescape)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefunnel.operators.windows import first_wins
@@ -21,6 +21,13 @@ def read_landed(spark: SparkSession, path: str, page_pattern: str = r"(\d+)\D*$"
     )
 
 
+def _explode_items(landed: DataFrame, items: Column) -> DataFrame:
+    # The parse goes straight into the generator: as a column of its own it would
+    # be repeated in the not-empty filter Spark derives for generators.
+    context = [c for c in landed.columns if c != "payload"]
+    return landed.select(*context, F.posexplode(items).alias("pos", "_item")).select("*", "_item.*").drop("_item")
+
+
 def json_items(landed: DataFrame, ddl: str, member: str | None) -> DataFrame:
     """One row per item: (page, pos, and the fields of ``ddl``).
 
@@ -32,10 +39,7 @@ def json_items(landed: DataFrame, ddl: str, member: str | None) -> DataFrame:
     parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE"})
     items = parsed if member is None else parsed[member]
     shaped = F.startswith(F.ltrim("payload"), F.lit("[" if member is None else "{"))
-    rows = landed.select(*[c for c in landed.columns if c != "payload"], F.when(shaped, items).alias("_items"))
-    return rows.select(
-        *[c for c in rows.columns if c != "_items"], F.posexplode("_items").alias("pos", "_item")
-    ).select("*", "_item.*").drop("_item", "_items")
+    return _explode_items(landed, F.when(shaped, items))
 
 
 def xml_items(landed: DataFrame, ddl: str, row_tag: str, members: str) -> DataFrame:
@@ -46,10 +50,7 @@ def xml_items(landed: DataFrame, ddl: str, row_tag: str, members: str) -> DataFr
     parsed = F.from_xml("payload", schema, {"rowTag": row_tag, "mode": "PERMISSIVE"})
     for name in members.split("."):
         parsed = parsed[name]
-    rows = landed.select(*[c for c in landed.columns if c != "payload"], parsed.alias("_items"))
-    return rows.select(
-        *[c for c in rows.columns if c != "_items"], F.posexplode("_items").alias("pos", "_item")
-    ).select("*", "_item.*").drop("_item", "_items")
+    return _explode_items(landed, parsed)
 
 
 def readable_pages(items: DataFrame, page_size: int | None, first_page: int, max_pages: int | None) -> DataFrame:

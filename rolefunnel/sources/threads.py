@@ -99,9 +99,10 @@ def latest_thread(threads: DataFrame, kind: ThreadKind) -> DataFrame:
 
 def top_level_comments(threads: DataFrame) -> DataFrame:
     """(thread, pos, id, text, created_at, deleted, dead), replies left out."""
-    return threads.select(
-        F.col("id").alias("thread"), F.posexplode("children").alias("pos", "c")
-    ).select("thread", "pos", "c.*")
+    children = F.filter("children", lambda c: c.isNotNull())
+    return threads.select(F.col("id").alias("thread"), F.posexplode(children).alias("pos", "c")).select(
+        "thread", "pos", "c.*"
+    )
 
 
 def live_comments(comments: DataFrame) -> DataFrame:
