@@ -117,7 +117,7 @@ def select_score(
     )
     cached = F.col("_cached")
     if content_hash:
-        cached = F.when(F.col("_cached_hash") <=> F.col(content_hash), cached)
+        cached = F.when(F.col("_cached_hash").eqNullSafe(F.col(content_hash)), cached)
         df = df.withColumn("_cached", cached).drop("_cached_hash")
         cached = F.col("_cached")
     external = external_result(F.col("_response"), bucket, F.col("contract_type_guess"))

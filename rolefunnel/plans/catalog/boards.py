@@ -1 +1,571 @@
-"""Queries."""
+"""Boards: detection, landed payloads of six platforms, polling, seeding, expansion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rolefunnel.functions.dates import utc_timestamp
+from rolefunnel.functions.text import strip_html
+from rolefunnel.functions.urls import extract_hrefs
+from rolefunnel.operators import boards as bd
+from rolefunnel.plans.catalog.base import query, sql_strip_html, table
+from rolefunnel.sources import board_payloads as bp
+from rolefunnel.sources import registry as rg
+
+AS_OF = "2024-02-01T00:00:00Z"
+
+# Page hosts as platforms: the site is the platform, its name the slug.
+PATTERNS = [
+    ("blog", r"(?i)^https?://blog\.([^./]+)\.example\.(?:com|org)/"),
+    ("mobile", r"(?i)^https?://m\.([^./]+)\.example\.(com|net)/"),
+    ("web", r"(?i)^https?://www\.([^./]+)\.example\.com/"),
+]
+
+
+def _sql_detect(x: str, field: str) -> str:
+    cases = []
+    for platform, pattern in PATTERNS:
+        slug = f"regexp_extract({x}, '{pattern}', 1)"
+        if platform == "mobile":
+            slug += f" || '.' || regexp_extract({x}, '{pattern}', 2)"
+        cases.append(f"WHEN regexp_matches({x}, '{pattern}') THEN {slug if field == 'slug' else repr(platform)}")
+    return "CASE " + " ".join(cases) + " END"
+
+
+@query(
+    "board_detect",
+    f"SELECT page_id, {_sql_detect('url', 'platform')} AS platform, {_sql_detect('url', 'slug')} AS slug FROM pages",
+)
+def _(spark, d):
+    found = bd.detect_board(F.col("url"), PATTERNS)
+    return table(spark, d, "pages").select("page_id", found.alias("b")).select("page_id", "b.platform", "b.slug")
+
+
+_ROOTS = {
+    0: ("https://jobs.ashbyhq.com/acme-{id}", "ashby", "acme-{id}"),
+    1: ("https://job-boards.greenhouse.io/acme{id}/", "greenhouse", "acme{id}"),
+    2: ("http://jobs.lever.co/a{id}/role-1", None, None),
+    3: ("https://apply.workable.com/a{id}", "workable", "a{id}"),
+    4: ("https://a{id}.workable.com/", "workable", "a{id}"),
+    5: ("https://www.workable.com/", None, None),
+    6: ("https://a{id}.recruitee.com", "recruitee", "a{id}"),
+    7: ("https://a{id}.jobs.personio.com/", "personio", "a{id}.com"),
+    8: ("https://jobs.lever.co/a{id}", "lever", "a{id}"),
+}
+
+
+def _sql_by_kind(i: int) -> str:
+    def text(value):
+        return "NULL" if value is None else "'" + value.replace("{id}", "' || p_partkey || '") + "'"
+
+    return "CASE p_partkey % 9 " + " ".join(f"WHEN {k} THEN {text(v[i])}" for k, v in _ROOTS.items()) + " END"
+
+
+@query("board_roots", f"SELECT p_partkey, {_sql_by_kind(1)} AS platform, {_sql_by_kind(2)} AS slug FROM part")
+def _(spark, d):
+    """The real board patterns over one address per part."""
+    url = F.lit(None).cast("string")
+    for k, (template, _, _) in _ROOTS.items():
+        head, tail = template.split("{id}") if "{id}" in template else (template, None)
+        made = F.lit(head) if tail is None else F.concat(F.lit(head), F.col("p_partkey").cast("string"), F.lit(tail))
+        url = F.when(F.col("p_partkey") % 9 == k, made).otherwise(url)
+    return (
+        table(spark, d, "part")
+        .select("p_partkey", bd.detect_board(url).alias("b"))
+        .select("p_partkey", "b.platform", "b.slug")
+    )
+
+
+_PAGE_LINKS = (r'href="/', r'href="https://www.')
+_SQL_LINKED = "replace(html, 'href=\"/', 'href=\"https://www.')"
+_LINK_PATTERN = r"^https://www\.([a-z]{6,})$"
+
+
+@query(
+    "board_in_page",
+    rf"""WITH h AS (SELECT page_id, url, list_filter(list_transform(regexp_extract_all({_SQL_LINKED}, '(?i)href=["'']([^"'']+)["'']', 1),
+             lambda x: rtrim(x, '.,;:')), lambda x: regexp_matches(x, '{_LINK_PATTERN}')) AS hs FROM pages)
+    SELECT page_id, coalesce({_sql_detect('url', 'platform')}, CASE WHEN len(hs) > 0 THEN 'linked' END) AS platform,
+           coalesce({_sql_detect('url', 'slug')}, regexp_extract(hs[1], '{_LINK_PATTERN}', 1)) AS slug FROM h""",
+)
+def _(spark, d):
+    html = F.replace("html", F.lit('href="/'), F.lit('href="https://www.'))
+    board = bd.board_in_page(F.col("url"), extract_hrefs(html), [*PATTERNS, ("linked", _LINK_PATTERN)])
+    return table(spark, d, "pages").select("page_id", board.alias("b")).select("page_id", "b.platform", "b.slug")
+
+
+@query(
+    "meta_snippet",
+    """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE lang || ' & more' END AS snippet
+       FROM (SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages)""",
+)
+def _(spark, d):
+    meta = F.when(F.col("page_id") % 5 == 0, '<meta name="description" content="  ">').otherwise(
+        F.concat(
+            F.lit("<META name='description' content='"),
+            F.regexp_extract("html", '<html lang="([a-z]+)"', 1),
+            F.lit(" &amp; more '>"),
+        )
+    )
+    html = F.concat(meta, F.col("html"))
+    return table(spark, d, "pages").select("page_id", bd.page_snippet(html).alias("snippet"))
+
+
+# --- platform payloads: a brand is a board, its parts are the roles ---------------------------
+
+_SQL_ROLE = "row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)"
+
+
+def _payloads(spark, d, platform, item, wrap, condition=None, root=None):
+    """One payload per brand; a brand has few hundred parts, so an item list stays small."""
+    rows = table(spark, d, "part")
+    if condition is not None:
+        rows = rows.filter(condition)
+    packed = rows.groupBy("p_brand").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("k"), item.alias("i")))), lambda x: x["i"]
+        ).alias("items")
+    )
+    if root:
+        body = F.concat(F.lit(f"<{root}>"), F.array_join("items", ""), F.lit(f"</{root}>"))
+    elif wrap:
+        body = F.concat(F.lit(f'{{"name":" ACME ","{wrap}":'), F.to_json("items"), F.lit("}"))
+    else:
+        body = F.to_json("items")
+    return packed.select(
+        F.lit(platform).alias("platform"),
+        F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".com")).alias("board_slug"),
+        body.alias("payload"),
+        F.col("p_brand").alias("company"),
+        F.concat(F.lit("c:"), "p_brand").alias("comment_id"),
+        utc_timestamp(AS_OF).alias("fallback_date"),
+        F.lit("Found in a thread").alias("original_description"),
+        F.lit("hn_whoishiring").alias("source"),
+        F.lit(0).cast("bigint").alias("ord"),
+    )
+
+
+def _view(rows):
+    return rows.select(
+        "source_id", "title", "company", "description", "url", F.unix_micros("posted_date").alias("posted"),
+        F.array_join("tags", ",").alias("tags"), F.col("location_text").alias("place"),
+        F.col("contract_type_guess").alias("contract"),
+    )
+
+
+
+def _id():
+    return F.col("p_partkey").cast("string")
+
+
+def _iso_date():
+    return F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("p_partkey") * 3600), "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+_SQL_POSTED = "epoch_us(TIMESTAMP '2024-01-01') + p_partkey * 3600000000"
+_SQL_FALLBACK = "epoch_us(TIMESTAMP '2024-02-01')"
+_SQL_SLUG = "lower(replace(p_brand, '#', '')) || '.com'"
+
+
+@query(
+    "board_ashby",
+    f"""SELECT 'c:' || p_brand || ':ashby:' || p_partkey AS source_id, p_name AS title, p_brand AS company,
+      CASE WHEN p_partkey % 2 = 0 THEN 'plain' ELSE 'html' END AS description, 'https://a.example/' || p_partkey AS url,
+      CASE WHEN p_partkey % 3 = 0 THEN {_SQL_FALLBACK} ELSE {_SQL_POSTED} END AS posted, p_type AS tags, 'Oslo' AS place, 'unclear' AS contract
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part WHERE p_partkey % 7 <> 0) WHERE rn <= 40 AND p_partkey % 11 <> 0""",
+)
+def _(spark, d):
+    key = F.col("p_partkey")
+    item = F.struct(
+        key.alias("id"),
+        F.when(key % 11 != 0, F.concat("p_name", F.lit(" "))).alias("title"),
+        F.lit("").alias("department"),
+        F.col("p_type").alias("team"),
+        F.lit("Oslo").alias("location"),
+        F.when(key % 3 != 0, _iso_date()).alias("publishedAt"),
+        F.lit("").alias("jobUrl"),
+        F.concat(F.lit("https://a.example/"), _id()).alias("applyUrl"),
+        F.when(key % 2 == 0, "plain").alias("descriptionPlain"),
+        F.lit("<b>html</b>").alias("descriptionHtml"),
+        F.when(key % 7 == 0, False).when(key % 7 == 1, True).alias("isListed"),
+    )
+    return _view(bp.ashby(_payloads(spark, d, "ashby", item, "jobs")))
+
+
+@query(
+    "board_greenhouse",
+    f"""SELECT 'c:' || p_brand || ':greenhouse:' || p_partkey AS source_id, p_name AS title, p_brand AS company, p_type || ' & more' AS description,
+      'https://g.example/' || p_partkey AS url, CASE p_partkey % 3 WHEN 0 THEN {_SQL_POSTED} WHEN 1 THEN {_SQL_POSTED} + 3600000000 ELSE {_SQL_FALLBACK} END AS posted,
+      'dep' AS tags, CASE WHEN p_partkey % 2 = 0 THEN 'Rome' END AS place, 'unclear' AS contract
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE rn <= 40""",
+)
+def _(spark, d):
+    key = F.col("p_partkey")
+    item = F.struct(
+        key.alias("id"),
+        F.concat(F.lit(" "), "p_name").alias("title"),
+        F.concat(F.lit("https://g.example/"), _id()).alias("absolute_url"),
+        F.when(key % 2 == 0, F.struct(F.lit("Rome").alias("name"))).alias("location"),
+        F.when(key % 3 == 0, _iso_date()).alias("first_published"),
+        F.when(key % 3 == 1, F.replace(_iso_date(), F.lit("Z"), F.lit("-01:00"))).alias("updated_at"),
+        F.concat("p_type", F.lit(" &amp;amp; more")).alias("content"),
+        F.array(F.struct(F.lit("dep").alias("name")), F.struct(F.lit(None).cast("string").alias("name"))).alias("departments"),
+    )
+    rows = bp.greenhouse(_payloads(spark, d, "greenhouse", item, "jobs"))
+    return _view(rows).withColumn("description", F.replace("description", F.lit("&amp;"), F.lit("&")))
+
+
+@query(
+    "board_lever",
+    f"""SELECT 'c:' || p_brand || ':lever:' || p_partkey AS source_id, p_name AS title, p_brand AS company,
+      CASE WHEN p_partkey % 2 = 0 THEN 'intro' || chr(10) || chr(10) ELSE '' END || 'What' || chr(10) || p_type || chr(10) || chr(10) || 'body' AS description,
+      'https://l.example/' || p_partkey AS url, {_SQL_POSTED} AS posted, 'team,dep' AS tags,
+      CASE WHEN p_partkey % 3 = 0 THEN 'Paris, remote' ELSE 'remote' END AS place,
+      CASE WHEN p_partkey % 5 = 0 THEN 'freelance' ELSE 'employment' END AS contract
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE rn <= 40""",
+)
+def _(spark, d):
+    key = F.col("p_partkey")
+    item = F.struct(
+        key.alias("id"),
+        F.col("p_name").alias("text"),
+        F.struct(
+            F.when(key % 5 == 0, "Contract").otherwise("Full-time").alias("commitment"),
+            F.lit("dep").alias("department"),
+            F.when(key % 3 == 0, " Paris").alias("location"),
+            F.lit("team").alias("team"),
+        ).alias("categories"),
+        ((F.lit(1704067200) + key * 3600) * 1000).alias("createdAt"),
+        F.when(key % 2 == 0, "intro").alias("descriptionPlain"),
+        F.lit(" ").alias("additionalPlain"),
+        F.array(
+            F.struct(F.lit("What ").alias("text"), F.concat(F.lit("<li>"), "p_type", F.lit("</li>")).alias("content")),
+            F.struct(F.lit("").alias("text"), F.lit("<p>body</p>").alias("content")),
+            F.struct(F.lit("Empty").alias("text"), F.lit("<br>").alias("content")),
+        ).alias("lists"),
+        F.lit("remote").alias("workplaceType"),
+        F.concat(F.lit("https://l.example/"), _id()).alias("hostedUrl"),
+    )
+    bare = _payloads(spark, d, "lever", item, None)
+    wrapped = _payloads(spark, d, "lever", item, "jobs")
+    return _view(bp.lever(bare.unionByName(wrapped)))
+
+
+@query(
+    "board_workable",
+    f"""SELECT 'c:' || p_brand || ':workable:S' || p_partkey AS source_id, p_name AS title, 'ACME' AS company,
+      'Found in a thread' || chr(10) || chr(10) || '---' || chr(10) || 'Role: ' || p_name
+        || CASE WHEN page_id IS NOT NULL AND page_id % 3 <> 0 THEN chr(10) || 'snippet of ' || page_id ELSE '' END AS description,
+      'https://w.example/' || p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN {_SQL_FALLBACK} ELSE epoch_us(TIMESTAMP '2024-01-05') END AS posted,
+      p_type AS tags, 'Lyon, FR' AS place, 'employment' AS contract
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) LEFT JOIN pages ON page_id = p_partkey WHERE rn <= 40""",
+)
+def _(spark, d):
+    key = F.col("p_partkey")
+    item = F.struct(
+        F.col("p_name").alias("title"),
+        F.concat(F.lit("S"), _id()).alias("shortcode"),
+        F.lit("Full-time").alias("employment_type"),
+        F.col("p_type").alias("department"),
+        F.concat(F.lit("https://w.example/"), _id()).alias("url"),
+        F.lit("").alias("published_on"),
+        F.when(key % 2 != 0, "2024-01-05").alias("created_at"),
+        F.lit("FR").alias("country"),
+        F.lit("Lyon").alias("city"),
+        F.lit("").alias("state"),
+    )
+    text = F.concat(F.lit("snippet of "), F.col("page_id").cast("string"))
+    meta = F.concat(F.lit('<meta name="description" content="'), F.when(F.col("page_id") % 3 == 0, "").otherwise(text), F.lit('">'))
+    pages = table(spark, d, "pages").select(
+        F.concat(F.lit("https://w.example/"), F.col("page_id").cast("string")).alias("url"),
+        F.concat(meta, "html").alias("html"),
+    )
+    return _view(bp.workable(_payloads(spark, d, "workable", item, "jobs"), pages=pages))
+
+
+@query(
+    "board_recruitee",
+    f"""SELECT 'c:' || p_brand || ':recruitee:' || p_partkey AS source_id, p_name AS title, p_brand AS company, 'need' AS description,
+      'https://r.example/' || p_partkey || '/apply' AS url, {_SQL_POSTED} AS posted, 'dep,' || p_type AS tags,
+      CASE p_partkey % 4 WHEN 0 THEN 'Bonn, Remote' WHEN 1 THEN 'Bonn, Hybrid' WHEN 2 THEN 'Bonn, On-site' ELSE 'Bonn' END AS place,
+      'freelance' AS contract FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE rn <= 40""",
+)
+def _(spark, d):
+    key = F.col("p_partkey")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + key * 3600), "yyyy-MM-dd HH:mm:ss")
+    item = F.struct(
+        key.alias("id"),
+        F.col("p_name").alias("title"),
+        F.lit("<p></p>").alias("description"),
+        F.lit("<p>need</p>").alias("requirements"),
+        F.lit("dep").alias("department"),
+        F.array(F.lit(""), F.col("p_type")).alias("tags"),
+        F.array(F.struct(F.lit("Bonn").alias("name")), F.struct(F.lit("").alias("name"))).alias("locations"),
+        (key % 4 == 0).alias("remote"),
+        (key % 4 <= 1).alias("hybrid"),
+        (key % 4 <= 2).alias("on_site"),
+        F.lit("fixed_term").alias("employment_type_code"),
+        F.concat(stamp, F.lit(" UTC")).alias("published_at"),
+        F.concat(F.lit("https://r.example/"), _id()).alias("careers_url"),
+        F.concat(F.lit("https://r.example/"), _id(), F.lit("/apply")).alias("careers_apply_url"),
+    )
+    return _view(bp.recruitee(_payloads(spark, d, "recruitee", item, "offers")))
+
+
+@query(
+    "board_personio",
+    f"""SELECT 'c:' || p_brand || ':personio:' || p_partkey AS source_id, p_name AS title, p_brand AS company,
+      'Tasks' || chr(10) || p_type || chr(10) || chr(10) || 'free' AS description,
+      'https://' || lower(replace(p_brand, '#', '')) || '.jobs.personio.com/job/' || p_partkey AS url, {_SQL_POSTED} AS posted,
+      'dep,' || p_type AS tags, CASE WHEN p_partkey % 2 = 0 THEN 'Ulm' END AS place, 'employment' AS contract
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE rn <= 40 AND p_partkey % 6 <> 5""",
+)
+def _(spark, d):
+    key = F.col("p_partkey")
+
+    def tag(name, value):
+        return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+
+    def section(name, value):
+        return tag("jobDescription", F.concat(tag("name", F.lit(name)), tag("value", value)))
+
+    item = tag(
+        "position",
+        F.concat(
+            F.when(key % 6 != 5, tag("id", _id())).otherwise(""),
+            F.when(key % 2 == 0, tag("office", F.lit("Ulm"))).otherwise(""),
+            tag("department", F.lit("dep")),
+            tag("name", F.col("p_name")),
+            tag("employmentType", F.lit("permanent")),
+            tag("occupationCategory", F.col("p_type")),
+            tag("createdAt", _iso_date()),
+            tag(
+                "jobDescriptions",
+                F.concat(
+                    section("Tasks", F.concat(F.lit("&lt;p&gt;"), "p_type", F.lit("&lt;/p&gt;"))),
+                    section("Void", F.lit("")),
+                    section("", F.lit("free")),
+                ),
+            ),
+        ),
+    )
+    return _view(bp.personio(_payloads(spark, d, "personio", item, None, root="workzag-jobs")))
+
+
+# --- registry -----------------------------------------------------------------------------
+
+
+def _registry(spark, d):
+    """Boards: one per brand, some switched off, plus one without a payload."""
+    brands = table(spark, d, "part").select("p_brand").distinct()
+    slug = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".com"))
+    number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    known = brands.select(
+        F.lit("greenhouse").alias("platform"),
+        slug.alias("board_slug"),
+        F.when(number % 2 == 0, F.col("p_brand")).alias("company"),
+        (number % 5 != 0).alias("enabled"),
+    )
+    silent = table(spark, d, "nation").select(
+        F.lit("lever").alias("platform"), F.lower("n_name").alias("board_slug"), F.lit(None).cast("string").alias("company"),
+        F.lit(True).alias("enabled"),
+    )
+    return known.unionByName(silent)
+
+
+def _board_landing(spark, d):
+    item = F.struct(
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("title"),
+        F.concat(F.lit("https://g.example/"), _id()).alias("absolute_url"),
+    )
+    return _payloads(spark, d, "greenhouse", item, "jobs").select("platform", "board_slug", "payload")
+
+
+_SQL_REGISTRY = f"""r AS (SELECT *, {_SQL_ROLE} AS rn, {_SQL_SLUG} AS slug, regexp_extract(p_brand, '(\\d+)', 1)::INT AS num FROM part),
+  live AS (SELECT * FROM r WHERE rn <= 40 AND num % 5 <> 0)"""
+
+
+@query(
+    "board_poll",
+    f"""WITH {_SQL_REGISTRY} SELECT 'registry:greenhouse:' || slug || ':greenhouse:' || p_partkey AS source_id, p_name AS title,
+      CASE WHEN num % 2 = 0 THEN p_brand ELSE slug END AS company, 'ats_board_registry' AS source, {_SQL_FALLBACK} AS posted FROM live""",
+)
+def _(spark, d):
+    rows = rg.poll_registry(_registry(spark, d), _board_landing(spark, d), utc_timestamp(AS_OF))
+    return rows.select("source_id", "title", "company", "source", F.unix_micros("posted_date").alias("posted"))
+
+
+@query(
+    "poll_counts",
+    f"""WITH {_SQL_REGISTRY} SELECT 'greenhouse' AS platform, slug AS board_slug, count(*) AS n FROM live GROUP BY slug
+      UNION ALL SELECT 'lever', lower(n_name), 0 FROM nation""",
+)
+def _(spark, d):
+    boards = _registry(spark, d)
+    rows = rg.poll_registry(boards, _board_landing(spark, d), utc_timestamp(AS_OF))
+    return bd.poll_counts(boards.filter("enabled"), rows)
+
+
+# --- lists, cadence, seeding ----------------------------------------------------------------
+
+_SQL_NORMAL = r"regexp_extract_all(body, 'https?://[^\s)>\]]+', 0)"
+
+
+def _link_lists(spark, d):
+    """A link list per page: Markdown with the page's address twice and one more."""
+    return table(spark, d, "pages").select(
+        F.concat(F.lit("list-"), F.col("page_id").cast("string")).alias("source_name"),
+        F.concat(
+            F.lit("- [a]("), "url", F.lit(") and "), "url", F.lit(".\n- see [b](https://jobs.lever.co/co"),
+            (F.col("page_id") % 50).cast("string"), F.lit("),"),
+        ).alias("text"),
+    )
+
+
+@query(
+    "link_scan",
+    """SELECT 'list-' || page_id AS source_name, 0 AS ord, url FROM pages
+       UNION ALL SELECT 'list-' || page_id, 1, 'https://jobs.lever.co/co' || page_id % 50 FROM pages""",
+)
+def _(spark, d):
+    return rg.candidate_links(_link_lists(spark, d))
+
+
+@query(
+    "frontmatter_scan",
+    """SELECT 'src/companies/' || page_id || '.md' AS path, url FROM pages
+       WHERE page_id % 2 = 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0""",
+)
+def _(spark, d):
+    key = F.col("page_id")
+    path = F.concat(
+        F.when(key % 2 == 0, "src/companies/").otherwise("docs/"), key.cast("string"),
+        F.when(key % 3 == 0, ".txt").otherwise(".md"),
+    )
+    block = F.concat(
+        F.lit("---\ntitle: x\n"),
+        F.when(key % 7 == 0, F.lit("careers_url: ''\n")).when(key % 4 == 0, F.concat(F.lit('careers_url: "'), "url", F.lit('"\n')))
+        .otherwise(F.concat(F.lit("careers_url: "), "url", F.lit("\n"))),
+        F.lit("---\nbody careers_url: no\n"),
+    )
+    files = table(spark, d, "pages").select(
+        path.alias("path"),
+        F.lit("blob").alias("type"),
+        F.when(key % 5 == 0, "no block\ncareers_url: x\n").otherwise(block).alias("content"),
+    )
+    return rg.frontmatter_links(files, "src/companies/", "careers_url")
+
+
+@query(
+    "cadence_gate",
+    """WITH u AS (SELECT DISTINCT 'user ' || user_id AS source_name, user_id FROM events),
+       s AS (SELECT user_id, max(ts) AS last FROM events WHERE event_id % 50 = 0 GROUP BY 1)
+       SELECT source_name FROM u LEFT JOIN s USING (user_id) WHERE last IS NULL OR TIMESTAMP '2024-01-31' - last >= INTERVAL 3 DAY""",
+)
+def _(spark, d):
+    name = F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("source_name")
+    events = table(spark, d, "events")
+    scans = (
+        events.filter(F.col("event_id") % 50 == 0)
+        .groupBy(name)
+        .agg(F.max(F.col("ts").cast("timestamp")).alias("last_scanned_at"))
+    )
+    return bd.due_sources(events.select(name).distinct(), scans, utc_timestamp("2024-01-31"), 3)
+
+
+def _landed_pages(spark, d):
+    """Pages as fetched: every second one was redirected to a board, others may link to one."""
+    key = F.col("page_id")
+    final = F.when(key % 2 == 0, F.concat(F.lit("https://jobs.ashbyhq.com/co"), (key % 10).cast("string"))).otherwise(F.col("url"))
+    link = F.when(key % 3 == 0, '<a href="https://jobs.lever.co/first">x</a>').otherwise("")
+    return table(spark, d, "pages").select("url", final.alias("final_url"), F.concat("html", link).alias("html"))
+
+
+_SQL_SEEDS = """
+  links AS (SELECT page_id, url, 0 AS ord, CASE WHEN page_id % 2 = 0 THEN 'ashby' WHEN page_id % 3 = 0 THEN 'lever' END AS platform,
+              CASE WHEN page_id % 2 = 0 THEN 'co' || page_id % 10 WHEN page_id % 3 = 0 THEN 'first' END AS board_slug FROM pages
+            UNION ALL SELECT page_id, 'https://jobs.lever.co/co' || page_id % 50, 1, 'lever', 'co' || page_id % 50 FROM pages)"""
+
+
+@query(
+    "seed_boards",
+    f"""WITH {_SQL_SEEDS} SELECT platform, board_slug, 'github:list-' || page_id AS discovered_via, url AS discovered_url
+        FROM links WHERE platform IS NOT NULL""",
+)
+def _(spark, d):
+    links = rg.candidate_links(_link_lists(spark, d))
+    return bd.seed_boards(links, _landed_pages(spark, d)).select(
+        "platform", "board_slug", "discovered_via", "discovered_url"
+    )
+
+
+@query(
+    "discovery_anti_join",
+    f"""WITH {_SQL_SEEDS} SELECT DISTINCT platform, board_slug FROM links WHERE platform IS NOT NULL
+        AND NOT (platform = 'lever' AND board_slug IN (SELECT 'co' || n_nationkey FROM nation))""",
+)
+def _(spark, d):
+    links = rg.candidate_links(_link_lists(spark, d))
+    found = bd.seed_boards(links, _landed_pages(spark, d)).select("platform", "board_slug").distinct()
+    polled = table(spark, d, "nation").select(
+        F.lit("lever").alias("platform"), F.concat(F.lit("co"), F.col("n_nationkey").cast("string")).alias("board_slug")
+    )
+    return bd.not_polled_yet(found, polled)
+
+
+def _commented(spark, d):
+    """A posting per page that links to the page's address."""
+    return table(spark, d, "pages").select(
+        F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"),
+        F.lit("Co").alias("company"),
+        strip_html(F.col("html")).alias("description"),
+        F.when(F.col("page_id") % 11 == 0, rg.PERMALINK).otherwise(F.col("url")).alias("url"),
+        F.lit("hn_whoishiring").alias("source"),
+        utc_timestamp(AS_OF).alias("posted_date"),
+        F.array().cast("array<string>").alias("tags"),
+        F.lit("url").alias("application_channel"),
+        F.col("page_id").cast("string").alias("source_id"),
+        F.lit("unclear").alias("contract_type_guess"),
+        F.shiftleft("page_id", 6).alias("ord"),
+        F.array().cast("array<string>").alias("hrefs"),
+    )
+
+
+def _thread_payloads(spark):
+    """Two boards deliver: ashby/co2 three roles, lever/first two; the rest is silent."""
+    rows = [
+        ("ashby", "co2", '{"jobs":[{"id":1,"title":"A","jobUrl":"https://a/1"},{"id":2,"title":"B","jobUrl":"https://a/2"},{"id":3,"title":"C","jobUrl":"https://a/3"}]}'),
+        ("lever", "first", '[{"id":"x","text":"L","hostedUrl":"https://l/x"},{"id":"y","text":"M","hostedUrl":"https://l/y"}]'),
+        ("ashby", "co4", "broken"),
+    ]
+    return spark.createDataFrame(rows, "platform string, board_slug string, payload string")
+
+
+_SQL_EXPAND = """
+  b AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 2 = 0 AND page_id % 10 = 2 THEN 'ashby'
+                             WHEN page_id % 2 = 1 AND page_id % 3 = 0 THEN 'lever' END AS live FROM pages)"""
+
+
+@query(
+    "expand_boards",
+    f"""WITH {_SQL_EXPAND}
+    SELECT page_id || ':ashby:' || i AS source_id, chr(64 + i::INT) AS title, 'https://a/' || i AS url FROM b, range(1, 4) r(i) WHERE live = 'ashby'
+    UNION ALL SELECT page_id || ':lever:' || i, CASE i WHEN 'x' THEN 'L' ELSE 'M' END, 'https://l/' || i FROM b, (VALUES ('x'), ('y')) v(i) WHERE live = 'lever'
+    UNION ALL SELECT page_id::VARCHAR, 'page ' || page_id, CASE WHEN page_id % 11 = 0 THEN 'https://news.ycombinator.com/item?id=' ELSE url END
+      FROM b JOIN pages USING (page_id) WHERE live IS NULL""",
+)
+def _(spark, d):
+    rows, _ = rg.expand_boards(_commented(spark, d), _landed_pages(spark, d), _thread_payloads(spark))
+    return rows.select("source_id", "title", "url")
+
+
+@query(
+    "expand_boards_found",
+    """SELECT CASE WHEN page_id % 2 = 0 THEN 'ashby' ELSE 'lever' END AS platform,
+       CASE WHEN page_id % 2 = 0 THEN 'co' || page_id % 10 ELSE 'first' END AS board_slug, url AS discovered_url
+       FROM pages WHERE page_id % 11 <> 0 AND (page_id % 2 = 0 OR page_id % 3 = 0)""",
+)
+def _(spark, d):
+    _, found = rg.expand_boards(_commented(spark, d), _landed_pages(spark, d), _thread_payloads(spark))
+    return found.select("platform", "board_slug", "discovered_url")
