@@ -189,7 +189,7 @@ def _(spark, d):
         F.lit("<b>html</b>").alias("descriptionHtml"),
         F.when(key % 7 == 0, False).when(key % 7 == 1, True).alias("isListed"),
     )
-    return _view(bp.ashby(_payloads(spark, d, "ashby", item, "jobs")))
+    return _view(bp.board_postings(_payloads(spark, d, "ashby", item, "jobs")))
 
 
 @query(
@@ -211,7 +211,7 @@ def _(spark, d):
         F.concat("p_type", F.lit(" &amp;amp; more")).alias("content"),
         F.array(F.struct(F.lit("dep").alias("name")), F.struct(F.lit(None).cast("string").alias("name"))).alias("departments"),
     )
-    rows = bp.greenhouse(_payloads(spark, d, "greenhouse", item, "jobs"))
+    rows = bp.board_postings(_payloads(spark, d, "greenhouse", item, "jobs"))
     return _view(rows).withColumn("description", F.replace("description", F.lit("&amp;"), F.lit("&")))
 
 
@@ -248,7 +248,7 @@ def _(spark, d):
     )
     bare = _payloads(spark, d, "lever", item, None)
     wrapped = _payloads(spark, d, "lever", item, "jobs")
-    return _view(bp.lever(bare.unionByName(wrapped)))
+    return _view(bp.board_postings(bare.unionByName(wrapped)))
 
 
 @query(
@@ -280,7 +280,7 @@ def _(spark, d):
         F.concat(F.lit("https://w.example/"), F.col("page_id").cast("string")).alias("url"),
         F.concat(meta, "html").alias("html"),
     )
-    return _view(bp.workable(_payloads(spark, d, "workable", item, "jobs"), pages=pages))
+    return _view(bp.board_postings(_payloads(spark, d, "workable", item, "jobs"), pages=pages))
 
 
 @query(
@@ -309,7 +309,7 @@ def _(spark, d):
         F.concat(F.lit("https://r.example/"), _id()).alias("careers_url"),
         F.concat(F.lit("https://r.example/"), _id(), F.lit("/apply")).alias("careers_apply_url"),
     )
-    return _view(bp.recruitee(_payloads(spark, d, "recruitee", item, "offers")))
+    return _view(bp.board_postings(_payloads(spark, d, "recruitee", item, "offers")))
 
 
 @query(
@@ -349,7 +349,7 @@ def _(spark, d):
             ),
         ),
     )
-    return _view(bp.personio(_payloads(spark, d, "personio", item, None, root="workzag-jobs")))
+    return _view(bp.board_postings(_payloads(spark, d, "personio", item, None, root="workzag-jobs")))
 
 
 # --- registry -----------------------------------------------------------------------------
@@ -556,8 +556,8 @@ _SQL_EXPAND = """
       FROM b JOIN pages USING (page_id) WHERE live IS NULL""",
 )
 def _(spark, d):
-    rows, _ = rg.expand_boards(_commented(spark, d), _landed_pages(spark, d), _thread_payloads(spark))
-    return rows.select("source_id", "title", "url")
+    linked = rg.link_boards(_commented(spark, d), _landed_pages(spark, d))
+    return rg.expand_boards(linked, _thread_payloads(spark)).select("source_id", "title", "url")
 
 
 @query(
@@ -567,5 +567,5 @@ def _(spark, d):
        FROM pages WHERE page_id % 11 <> 0 AND (page_id % 2 = 0 OR page_id % 3 = 0)""",
 )
 def _(spark, d):
-    _, found = rg.expand_boards(_commented(spark, d), _landed_pages(spark, d), _thread_payloads(spark))
+    found = rg.discovered_boards(rg.link_boards(_commented(spark, d), _landed_pages(spark, d)))
     return found.select("platform", "board_slug", "discovered_url")

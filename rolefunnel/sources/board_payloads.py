@@ -1,13 +1,14 @@
-"""Recruiting-board payloads to posting content, one normaliser per platform.
+"""Recruiting-board payloads to roles: one Column function per platform.
 
-Input rows are landed payloads with their context:
-(platform, board_slug, payload, company, comment_id, fallback_date,
-original_description, source, ord).  Store them partitioned by ``platform``:
-each normaliser then reads its own partition only.
+A payload column becomes an array of role structs, so a row dispatches to its
+platform inside one projection: landed payloads are scanned once, whatever the
+number of platforms, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,6 @@ from rolefunnel.operators.boards import page_snippet
 from rolefunnel.schema import CONTENT_DDL, child_order, conform
 
 MAX_ROLES_PER_BOARD = 40
-CONTEXT = ["platform", "board_slug", "company", "comment_id", "fallback_date", "original_description", "source", "ord"]
 
 ASHBY_ITEM = (
     "id string, title string, department string, team string, location string, publishedAt string, "
@@ -60,22 +60,21 @@ PERSONIO_ITEM = (
 )
 
 
-def _first(*columns: Column) -> Column:
-    return F.coalesce(*[blank_to_null(c) for c in columns])
+ROLE_DDL = (
+    "title string, company string, description string, url string, posted timestamp, tags array<string>, "
+    "location string, role_id string, contract string"
+)
 
 
-def _roles(rows: DataFrame, items: Column, cap: int) -> DataFrame:
-    """Context plus struct ``item`` of the first ``cap`` roles, cut inside the array."""
-    first = F.slice(F.filter(items, lambda i: i.isNotNull()), 1, cap)
-    return rows.select(*CONTEXT, F.posexplode(first).alias("pos", "item"))
+def _first(*columns: Column) -> Column:
+    return F.coalesce(*[blank_to_null(c) for c in columns])
 
 
-def _wrapped(rows: DataFrame, member: str, ddl: str) -> Column:
-    return F.from_json("payload", f"struct<{member}: array<struct<{ddl}>>>", {"mode": "PERMISSIVE"})[member]
+def _wrapped(payload: Column, member: str, ddl: str) -> Column:
+    return F.from_json(payload, f"struct<{member}: array<struct<{ddl}>>>", {"mode": "PERMISSIVE"})[member]
 
 
-def _finish(
-    roles: DataFrame,
+def _role(
     title: Column,
     url: Column,
     description: Column,
@@ -85,182 +84,173 @@ def _finish(
     role_id: Column,
     company: Column | None = None,
     contract: Column | None = None,
-) -> DataFrame:
-    """Content rows; an item without a title or an address is dropped."""
-    marked = roles.withColumns({"_title": blank_to_null(title), "_url": blank_to_null(url)}).filter(
-        F.col("_title").isNotNull() & F.col("_url").isNotNull()
-    )
-    stamp = F.concat(
-        F.col("comment_id"), F.lit(":"), F.col("platform"), F.lit(":"), F.coalesce(role_id, F.lit("None"))
-    )
-    rows = marked.select(
-        "platform",
-        "board_slug",
-        strip(F.col("_title")).alias("title"),
-        (F.col("company") if company is None else company).alias("company"),
+) -> Column:
+    """One role in the common shape; a null company means the board's."""
+    role = F.struct(
+        strip(blank_to_null(title)).alias("title"),
+        (F.lit(None).cast("string") if company is None else company).alias("company"),
         description.alias("description"),
-        F.col("_url").alias("url"),
-        "source",
-        F.coalesce(posted, F.col("fallback_date")).alias("posted_date"),
-        F.lit(None).cast("string").alias("salary_text"),
+        blank_to_null(url).alias("url"),
+        posted.alias("posted"),
         tags.alias("tags"),
-        location.alias("location_text"),
-        F.lit("url").alias("application_channel"),
-        stamp.alias("source_id"),
-        (F.lit("unclear") if contract is None else contract).alias("contract_type_guess"),
-        child_order(F.col("ord"), F.col("pos")).alias("ord"),
+        location.alias("location"),
+        F.coalesce(role_id, F.lit("None")).alias("role_id"),
+        (F.lit("unclear") if contract is None else contract).alias("contract"),
     )
-    return conform(rows, "platform string, board_slug string, " + CONTENT_DDL)
+    return role.cast(f"struct<{ROLE_DDL}>")
 
 
-def ashby(rows: DataFrame, cap: int = MAX_ROLES_PER_BOARD) -> DataFrame:
-    listed = F.filter(_wrapped(rows, "jobs", ASHBY_ITEM), lambda j: F.coalesce(j["isListed"], F.lit(True)))
-    roles, j = _roles(rows, listed, cap), F.col("item")
-    return _finish(
-        roles,
-        j["title"],
-        _first(j["jobUrl"], j["applyUrl"]),
-        F.coalesce(blank_to_null(j["descriptionPlain"]), strip_html(j["descriptionHtml"])),
-        parse_iso(j["publishedAt"]),
-        present(j["department"], j["team"]),
-        j["location"],
-        j["id"],
+def _roles(items: Column, cap: int, shape: Callable[[Column], Column]) -> Column:
+    """First ``cap`` items in the common shape; items without title or address go."""
+    first = F.slice(F.filter(items, lambda i: i.isNotNull()), 1, cap)
+    return F.filter(F.transform(first, shape), lambda r: r["title"].isNotNull() & r["url"].isNotNull())
+
+
+def _names(members: Column) -> Column:
+    return F.filter(
+        F.transform(F.coalesce(members, F.array()), lambda m: m["name"]), lambda n: F.coalesce(n, F.lit("")) != ""
     )
 
 
-def greenhouse(rows: DataFrame, cap: int = MAX_ROLES_PER_BOARD) -> DataFrame:
-    roles, j = _roles(rows, _wrapped(rows, "jobs", GREENHOUSE_ITEM), cap), F.col("item")
-    departments = F.filter(
-        F.transform(F.coalesce(j["departments"], F.array()), lambda d: d["name"]),
-        lambda n: F.coalesce(n, F.lit("")) != "",
+def ashby(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+    listed = F.filter(_wrapped(payload, "jobs", ASHBY_ITEM), lambda j: F.coalesce(j["isListed"], F.lit(True)))
+    return _roles(
+        listed,
+        cap,
+        lambda j: _role(
+            j["title"],
+            _first(j["jobUrl"], j["applyUrl"]),
+            F.coalesce(blank_to_null(j["descriptionPlain"]), strip_html(j["descriptionHtml"])),
+            parse_iso(j["publishedAt"]),
+            present(j["department"], j["team"]),
+            j["location"],
+            j["id"],
+        ),
     )
-    return _finish(
-        roles,
-        j["title"],
-        j["absolute_url"],
-        strip_html(j["content"]),
-        F.coalesce(parse_iso(j["first_published"]), parse_iso(j["updated_at"])),
-        departments,
-        j["location"]["name"],
-        j["id"],
+
+
+def greenhouse(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+    return _roles(
+        _wrapped(payload, "jobs", GREENHOUSE_ITEM),
+        cap,
+        lambda j: _role(
+            j["title"],
+            j["absolute_url"],
+            strip_html(j["content"]),
+            F.coalesce(parse_iso(j["first_published"]), parse_iso(j["updated_at"])),
+            _names(j["departments"]),
+            j["location"]["name"],
+            j["id"],
+        ),
     )
 
 
-def lever(rows: DataFrame, cap: int = MAX_ROLES_PER_BOARD) -> DataFrame:
+def lever(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
     """Bare array, epoch milliseconds, prose in several parts; a wrapped payload has no roles."""
-    bare = F.startswith(F.ltrim("payload"), F.lit("["))
-    items = F.when(bare, F.from_json("payload", f"array<struct<{LEVER_ITEM}>>", {"mode": "PERMISSIVE"}))
-    roles, j = _roles(rows, items, cap), F.col("item")
-    middle = F.transform(
-        F.coalesce(j["lists"], F.array()), lambda s: headed_section(s["text"], strip_html(s["content"]))
-    )
-    sections = F.concat(
-        F.array(F.coalesce(blank_to_null(j["descriptionPlain"]), strip_html(j["description"]))),
-        middle,
-        F.array(F.coalesce(blank_to_null(j["additionalPlain"]), strip_html(j["additional"]))),
-    )
-    categories = j["categories"]
-    place = [strip(F.coalesce(c, F.lit(""))) for c in (categories["location"], j["workplaceType"])]
-    return _finish(
-        roles,
-        j["text"],
-        _first(j["hostedUrl"], j["applyUrl"]),
-        join_sections(sections),
-        parse_epoch(j["createdAt"], milliseconds=True),
-        present(categories["team"], categories["department"]),
-        join_present(place),
-        j["id"],
-        contract=contract_from_label(categories["commitment"]),
-    )
+    bare = F.startswith(F.ltrim(payload), F.lit("["))
+    items = F.when(bare, F.from_json(payload, f"array<struct<{LEVER_ITEM}>>", {"mode": "PERMISSIVE"}))
 
+    def shape(j: Column) -> Column:
+        middle = F.transform(
+            F.coalesce(j["lists"], F.array()), lambda s: headed_section(s["text"], strip_html(s["content"]))
+        )
+        sections = F.concat(
+            F.array(F.coalesce(blank_to_null(j["descriptionPlain"]), strip_html(j["description"]))),
+            middle,
+            F.array(F.coalesce(blank_to_null(j["additionalPlain"]), strip_html(j["additional"]))),
+        )
+        categories = j["categories"]
+        place = [strip(F.coalesce(c, F.lit(""))) for c in (categories["location"], j["workplaceType"])]
+        return _role(
+            j["text"],
+            _first(j["hostedUrl"], j["applyUrl"]),
+            join_sections(sections),
+            parse_epoch(j["createdAt"], milliseconds=True),
+            present(categories["team"], categories["department"]),
+            join_present(place),
+            j["id"],
+            contract=contract_from_label(categories["commitment"]),
+        )
+
+    return _roles(items, cap, shape)
 
-def workable(rows: DataFrame, cap: int = MAX_ROLES_PER_BOARD, pages: DataFrame | None = None) -> DataFrame:
-    """The board's own company name is preferred; ``pages`` (url, html) may add snippets."""
+
+def workable(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+    """The board's own company name is preferred; prose is added by the caller."""
     parsed = F.from_json(
-        "payload", f"struct<name: string, jobs: array<struct<{WORKABLE_ITEM}>>>", {"mode": "PERMISSIVE"}
+        payload, f"struct<name: string, jobs: array<struct<{WORKABLE_ITEM}>>>", {"mode": "PERMISSIVE"}
     )
-    named = rows.withColumn("_parsed", parsed).withColumn(
-        "company", F.coalesce(stripped_or_null(F.col("_parsed.name")), F.col("company"))
-    )
-    roles, j = _roles(named, F.col("_parsed.jobs"), cap), F.col("item")
-    if pages is None:
-        roles = roles.withColumn("snippet", F.lit(None).cast("string"))
-    else:
-        snippets = (
-            pages.groupBy(F.col("url").alias("_page")).agg(F.min(page_snippet(F.col("html"))).alias("snippet"))
-        )
-        roles = roles.withColumn("_page", F.col("item.url")).join(snippets, "_page", "left")
-    role = F.concat_ws("\n", F.concat(F.lit("Role: "), j["title"]), F.col("snippet"))
-    return _finish(
-        roles,
-        j["title"],
-        j["url"],
-        join_sections(F.array(F.col("original_description"), role), "\n\n---\n"),
-        F.coalesce(parse_iso(j["published_on"]), parse_iso(j["created_at"])),
-        present(j["department"]),
-        join_present([j["city"], j["state"], j["country"]]),
-        j["shortcode"],
-        contract=contract_from_label(j["employment_type"]),
+    company = stripped_or_null(parsed["name"])
+    return _roles(
+        parsed["jobs"],
+        cap,
+        lambda j: _role(
+            j["title"],
+            j["url"],
+            F.concat(F.lit("Role: "), j["title"]),
+            F.coalesce(parse_iso(j["published_on"]), parse_iso(j["created_at"])),
+            present(j["department"]),
+            join_present([j["city"], j["state"], j["country"]]),
+            j["shortcode"],
+            company=company,
+            contract=contract_from_label(j["employment_type"]),
+        ),
     )
 
 
-def recruitee(rows: DataFrame, cap: int = MAX_ROLES_PER_BOARD) -> DataFrame:
-    roles, j = _roles(rows, _wrapped(rows, "offers", RECRUITEE_ITEM), cap), F.col("item")
-    named = F.filter(
-        F.transform(F.coalesce(j["locations"], F.array()), lambda p: p["name"]),
-        lambda n: F.coalesce(n, F.lit("")) != "",
-    )
-    mode = (
-        F.when(j["remote"], F.array(F.lit("Remote")))
-        .when(j["hybrid"], F.array(F.lit("Hybrid")))
-        .when(j["on_site"], F.array(F.lit("On-site")))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    tags = F.filter(
-        F.concat(F.array(j["department"]), F.coalesce(j["tags"], F.array().cast("array<string>"))),
-        lambda t: F.coalesce(t, F.lit("")) != "",
-    )
-    return _finish(
-        roles,
-        j["title"],
-        _first(j["careers_apply_url"], j["careers_url"]),
-        join_sections(F.array(strip_html(j["description"]), strip_html(j["requirements"]))),
-        F.coalesce(parse_space_utc(j["published_at"]), parse_space_utc(j["created_at"])),
-        tags,
-        blank_to_null(F.array_join(F.concat(named, mode), ", ")),
-        j["id"],
-        contract=contract_from_label(j["employment_type_code"]),
-    )
+def recruitee(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+    def shape(j: Column) -> Column:
+        mode = (
+            F.when(j["remote"], F.array(F.lit("Remote")))
+            .when(j["hybrid"], F.array(F.lit("Hybrid")))
+            .when(j["on_site"], F.array(F.lit("On-site")))
+            .otherwise(F.array().cast("array<string>"))
+        )
+        tags = F.filter(
+            F.concat(F.array(j["department"]), F.coalesce(j["tags"], F.array().cast("array<string>"))),
+            lambda t: F.coalesce(t, F.lit("")) != "",
+        )
+        return _role(
+            j["title"],
+            _first(j["careers_apply_url"], j["careers_url"]),
+            join_sections(F.array(strip_html(j["description"]), strip_html(j["requirements"]))),
+            F.coalesce(parse_space_utc(j["published_at"]), parse_space_utc(j["created_at"])),
+            tags,
+            blank_to_null(F.array_join(F.concat(_names(j["locations"]), mode), ", ")),
+            j["id"],
+            contract=contract_from_label(j["employment_type_code"]),
+        )
 
+    return _roles(_wrapped(payload, "offers", RECRUITEE_ITEM), cap, shape)
 
-def personio(rows: DataFrame, cap: int = MAX_ROLES_PER_BOARD) -> DataFrame:
+
+def personio(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
     """XML; the slug carries company and top-level domain, the address is built from the id."""
     schema = f"struct<position: array<struct<{PERSONIO_ITEM}>>>"
-    items = F.from_xml("payload", schema, {"rowTag": "workzag-jobs", "mode": "PERMISSIVE"})["position"]
-    valid = rows.filter(F.col("board_slug").rlike(r"^[^.]+\..+$"))
-    roles, j = _roles(valid, items, cap), F.col("item")
-    company, domain = F.substring_index("board_slug", ".", 1), F.regexp_extract("board_slug", r"^[^.]+\.(.+)$", 1)
-    url = F.concat(
-        F.lit("https://"), company, F.lit(".jobs.personio."), domain, F.lit("/job/"), blank_to_null(j["id"])
-    )
-    sections = F.transform(
-        F.coalesce(j["jobDescriptions"]["jobDescription"], F.array()),
-        lambda d: headed_section(d["name"], strip_html(d["value"])),
-    )
-    return _finish(
-        roles,
-        j["name"],
-        url,
-        join_sections(sections),
-        parse_iso(j["createdAt"]),
-        present(j["department"], j["recruitingCategory"], j["occupationCategory"]),
-        blank_to_null(j["office"]),
-        j["id"],
-        contract=contract_from_label(j["employmentType"]),
-    )
+    items = F.from_xml(payload, schema, {"rowTag": "workzag-jobs", "mode": "PERMISSIVE"})["position"]
+    company, domain = F.substring_index(slug, ".", 1), F.regexp_extract(slug, r"^[^.]+\.(.+)$", 1)
+    site = F.concat(F.lit("https://"), company, F.lit(".jobs.personio."), domain, F.lit("/job/"))
 
+    def shape(j: Column) -> Column:
+        sections = F.transform(
+            F.coalesce(j["jobDescriptions"]["jobDescription"], F.array()),
+            lambda d: headed_section(d["name"], strip_html(d["value"])),
+        )
+        return _role(
+            j["name"],
+            F.concat(site, blank_to_null(j["id"])),
+            join_sections(sections),
+            parse_iso(j["createdAt"]),
+            present(j["department"], j["recruitingCategory"], j["occupationCategory"]),
+            blank_to_null(j["office"]),
+            j["id"],
+            contract=contract_from_label(j["employmentType"]),
+        )
 
-PLATFORMS = {
+    return F.when(slug.rlike(r"^[^.]+\..+$"), _roles(items, cap, shape))
+
+
+PLATFORMS: dict[str, Callable[..., Column]] = {
     "ashby": ashby,
     "greenhouse": greenhouse,
     "lever": lever,
@@ -270,13 +260,61 @@ PLATFORMS = {
 }
 
 
+def roles_in_payload(platform: Column, slug: Column, payload: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+    """Roles of any platform; null for an unknown one, none for a broken payload."""
+    roles = F.lit(None)
+    for name, parse in PLATFORMS.items():
+        roles = F.when(platform == name, parse(payload, slug, cap)).otherwise(roles)
+    return roles
+
+
+def with_snippets(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Extend the prose of Workable roles by the snippet of their landed page (url, html)."""
+    if pages is None:
+        return rows
+    snippets = pages.groupBy("url").agg(F.min(page_snippet(F.col("html"))).alias("_snippet"))
+    thin = F.when(F.col("platform") == "workable", F.col("url"))
+    text = F.concat_ws("\n", "description", F.col("_snippet"))
+    return (
+        rows.withColumn("_page", thin)
+        .join(snippets.withColumnRenamed("url", "_page"), "_page", "left")
+        .withColumn("description", F.when(F.col("_snippet").isNotNull(), text).otherwise(F.col("description")))
+        .drop("_page", "_snippet")
+    )
+
+
+def with_original(rows: DataFrame) -> DataFrame:
+    """Put the text a Workable board was found in above its thin role lines."""
+    joined = join_sections(F.array("original_description", "description"), "\n\n---\n")
+    return rows.withColumn(
+        "description", F.when(F.col("platform") == "workable", joined).otherwise(F.col("description"))
+    )
+
+
 def board_postings(payloads: DataFrame, cap: int = MAX_ROLES_PER_BOARD, pages: DataFrame | None = None) -> DataFrame:
-    """Postings of all platforms; an unknown platform or a broken payload yields none."""
-    parts = []
-    for platform, normalise in PLATFORMS.items():
-        rows = payloads.filter(F.col("platform") == platform)
-        parts.append(normalise(rows, cap, pages) if platform == "workable" else normalise(rows, cap))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    """Content rows (with platform, board_slug) of landed board payloads.
+
+    Input: platform, board_slug, payload, company, comment_id, fallback_date,
+    original_description, source, ord.
+    """
+    roles = roles_in_payload(F.col("platform"), F.col("board_slug"), F.col("payload"), cap)
+    context = [c for c in payloads.columns if c != "payload"]
+    rows = payloads.select(*context, F.posexplode(roles).alias("_pos", "_role")).select(
+        "platform",
+        "board_slug",
+        "_role.title",
+        F.coalesce("_role.company", "company").alias("company"),
+        "_role.description",
+        "original_description",
+        "_role.url",
+        "source",
+        F.coalesce("_role.posted", "fallback_date").alias("posted_date"),
+        "_role.tags",
+        F.col("_role.location").alias("location_text"),
+        F.lit("url").alias("application_channel"),
+        F.concat_ws(":", "comment_id", "platform", "_role.role_id").alias("source_id"),
+        F.col("_role.contract").alias("contract_type_guess"),
+        child_order(F.col("ord"), F.col("_pos")).alias("ord"),
+    )
+    rows = with_original(with_snippets(rows, pages))
+    return conform(rows, "platform string, board_slug string, " + CONTENT_DDL)

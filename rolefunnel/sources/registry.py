@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from rolefunnel.functions.text import SPACE, stripped_or_null
 from rolefunnel.functions.urls import URL_PATTERN
+from rolefunnel.operators.barrier import add_once
 from rolefunnel.operators.boards import resolve_boards
 from rolefunnel.operators.windows import first_wins
-from rolefunnel.schema import CONTENT_DDL, arrival_order, conform
+from rolefunnel.schema import CONTENT_DDL, arrival_order, child_order, conform
 from rolefunnel.sources import feeds
-from rolefunnel.sources.board_payloads import board_postings
+from rolefunnel.sources.board_payloads import board_postings, roles_in_payload, with_original, with_snippets
 from rolefunnel.sources.threads import FREELANCE, HIRING, PERMALINK, expand_role_links, thread_postings
 
 REGISTRY_SOURCE = "ats_board_registry"
@@ -63,17 +64,9 @@ def poll_registry(
     return board_postings(rows, pages=pages)
 
 
-def expand_boards(postings: DataFrame, pages: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace a posting that links to a whole board by the board's roles.
-
-    ``postings`` come from ``comment_postings`` (with ``hrefs``).  Returns (content
-    rows, discovered boards).  A posting whose board delivers nothing is kept,
-    and is then tried for bulleted role links.
-    """
-    own = postings.withColumn("_lookup", F.when(~F.startswith("url", F.lit(PERMALINK)), F.col("url")))
-    linked = resolve_boards(own, pages, "_lookup").drop("_lookup")
-    with_board = linked.filter(F.col("board").isNotNull())
-    discovered = with_board.select(
+def discovered_boards(linked: DataFrame) -> DataFrame:
+    """Boards the postings of ``resolve_boards`` link to, for the board table."""
+    return linked.filter(F.col("board").isNotNull()).select(
         F.col("board.platform").alias("platform"),
         F.col("board.slug").alias("board_slug"),
         "company",
@@ -81,21 +74,55 @@ def expand_boards(postings: DataFrame, pages: DataFrame, payloads: DataFrame) ->
         F.col("url").alias("discovered_url"),
         "ord",
     )
-    context = with_board.select(
-        F.col("board.platform").alias("platform"),
-        F.col("board.slug").alias("board_slug"),
-        "company",
-        F.col("source_id").alias("comment_id"),
-        F.col("posted_date").alias("fallback_date"),
-        F.col("description").alias("original_description"),
+
+
+def link_boards(postings: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add ``board`` to thread postings; a permalink is no link to resolve."""
+    own = postings.withColumn("_lookup", F.when(~F.startswith("url", F.lit(PERMALINK)), F.col("url")))
+    return resolve_boards(own, pages, "_lookup").drop("_lookup")
+
+
+def expand_boards(linked: DataFrame, payloads: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Replace a posting that links to a whole board by the board's roles.
+
+    ``linked`` comes from ``link_boards``; ``payloads`` is (platform, board_slug,
+    payload), one row per board.  A posting whose board delivers nothing is split
+    into its bulleted role links, and failing that kept as it is.
+    """
+    boards = payloads.select("platform", "board_slug", "payload")
+    rows = linked.withColumns(
+        {"platform": F.col("board.platform"), "board_slug": F.col("board.slug")}
+    ).join(boards, ["platform", "board_slug"], "left")
+    roles = roles_in_payload(F.col("platform"), F.col("board_slug"), F.col("payload"))
+    rows = add_once(rows, {"_roles": roles}).drop("payload")
+    some = F.when(F.size("_roles") > 0, F.col("_roles"))
+    rows = rows.select(*[c for c in rows.columns if c != "_roles"], F.posexplode_outer(some).alias("_pos", "_role"))
+    found = F.col("_role").isNotNull()
+
+    def swap(role: Column, own: str) -> Column:
+        return F.when(found, role).otherwise(F.col(own)).alias(own)
+
+    expanded = rows.select(
+        "platform",
+        swap(F.col("_role.title"), "title"),
+        F.coalesce("_role.company", "company").alias("company"),
+        swap(F.col("_role.description"), "description"),
+        F.when(found, F.col("description")).alias("original_description"),
+        swap(F.col("_role.url"), "url"),
         # Roles found through a comment are labelled as the hiring thread's.
-        F.lit("hn_whoishiring").alias("source"),
-        "ord",
+        swap(F.lit("hn_whoishiring"), "source"),
+        F.coalesce("_role.posted", "posted_date").alias("posted_date"),
+        swap(F.col("_role.tags"), "tags"),
+        F.col("_role.location").alias("location_text"),
+        swap(F.lit("url"), "application_channel"),
+        swap(F.concat_ws(":", "source_id", "platform", "_role.role_id"), "source_id"),
+        swap(F.col("_role.contract"), "contract_type_guess"),
+        child_order(F.col("ord"), F.col("_pos")).alias("ord"),
+        "hrefs",
+        found.alias("_found"),
     )
-    roles = board_postings(context.join(payloads, ["platform", "board_slug"]))
-    parents = roles.select(F.col("ord").bitwiseAND(F.lit(~63)).alias("ord")).distinct()
-    kept = linked.drop("board").join(parents, "ord", "left_anti")
-    return conform(roles, CONTENT_DDL).unionByName(conform(expand_role_links(kept), CONTENT_DDL)), discovered
+    prose = with_original(with_snippets(expanded.withColumn("platform", F.when(F.col("_found"), F.col("platform"))), pages))
+    return conform(expand_role_links(prose, ~F.col("_found")), CONTENT_DDL)
 
 
 def candidate_links(documents: DataFrame, key: str = "source_name", text: str = "text") -> DataFrame:

@@ -146,11 +146,16 @@ def comment_postings(comments: DataFrame, kind: ThreadKind, rank: int) -> DataFr
     )
 
 
-def expand_role_links(postings: DataFrame) -> DataFrame:
-    """One row per bulleted role with its own link; rows without such bullets unchanged."""
+def expand_role_links(postings: DataFrame, where: Column | None = None) -> DataFrame:
+    """One row per bulleted role with its own link; rows without such bullets unchanged.
+
+    ``where`` restricts the expansion to some rows.
+    """
     links = role_links(F.col("description"), F.col("hrefs"))
+    if where is not None:
+        links = F.when(where, links)
     several = F.when(F.size("_links") >= MIN_ROLE_LINKS, F.col("_links"))
-    rows = postings.withColumn("_links", links).select(
+    rows = add_once(postings, {"_links": links}).select(
         *postings.columns, F.posexplode_outer(several).alias("_i", "_link")
     )
     child = F.col("_link").isNotNull()
