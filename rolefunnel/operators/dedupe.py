@@ -1,8 +1,8 @@
 """Duplicate removal: exact by canonical URL, then fuzzy by company and title.
 
 Fuzzy stage.  Rows are reduced to distinct (source class, company key, full key)
-nodes; candidate pairs come from a prefix-filtered bigram join that cannot
-miss a pair at the threshold; an Arrow UDF computes the exact ratio for the
+nodes; candidate pairs come from an equi-join on key segments that cannot miss
+a pair at the threshold; an Arrow UDF computes the exact ratio for the
 candidates; leaders are then picked in arrival order, which is what a
 sequential first-match scan does.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from rolefunnel.functions.text import let, tokens
+from rolefunnel.functions.text import tokens
 from rolefunnel.functions.urls import normalize_url
 from rolefunnel.session import cut_lineage
 
@@ -142,98 +142,79 @@ def fuzzy_nodes(slim: DataFrame) -> DataFrame:
     )
 
 
-def numbered_bigrams(key: Column) -> Column:
-    """Character bigrams with occurrence numbers, i.e. a multiset as a set.
+def _segments(key: Column, length: Column, unmatched_share: float) -> Column:
+    """array<struct(part, pos)>: ``key`` cut evenly into one part more than it may lose.
 
-    The k-th occurrence of a bigram is ``bigram + k``; sorting first puts equal
-    bigrams side by side, so one pass numbers them.
+    A partner at most as long leaves at most ``unmatched_share * 2 * length``
+    characters unmatched on both sides together.  Each of them spoils at most one
+    part, so some part lies whole inside a matched run of the partner.
     """
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substr(key, i, F.lit(2))
-    )
+    count = F.floor(length * 2.0 * unmatched_share + F.lit(1e-9)) + 1
 
-    def number(ordered: Column) -> Column:
-        return F.transform(
-            ordered,
-            lambda g, i: F.concat(g, F.lit("\x00"), (i - F.array_position(ordered, g) + 2).cast("string")),
-        )
+    def cut(i: Column) -> Column:
+        start = F.floor(i * length / count).cast("int")
+        end = F.floor((i + 1) * length / count).cast("int")
+        return F.struct(F.substr(key, start + 1, end - start).alias("part"), start.alias("pos"))
 
-    return F.when(F.length(key) >= 2, let(F.sort_array(grams), number)).otherwise(F.array(key))
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), cut)
 
 
-def _min_shared(length_sum: Column, threshold: float) -> Column:
-    """Bigrams two keys of this total length must share to reach the threshold.
-
-    M matched characters give ratio 2M/S.  Any two matched runs have an unmatched
-    character between them, so there are at most S - 2M + 1 runs and at least
-    3M - S - 1 bigrams inside them.
-    """
-    return F.ceil((1.5 * threshold - 1.0) * length_sum - 1.0 - F.lit(1e-9))
+def _probes(key: Column, length: Column, unmatched_share: float) -> Column:
+    """array<struct(part, pos)>: every piece of ``key`` as long as a part of a longer partner."""
+    share = 2.0 * unmatched_share
+    shortest = F.greatest(F.lit(1), F.floor(F.lit(1.0) / (F.lit(share) + F.lit(1.0) / length)).cast("int"))
+    sizes = F.filter(F.sequence(shortest, F.lit(math.ceil(1.0 / share))), lambda q: q <= length)
 
+    def pieces(q: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), length - q),
+            lambda p: F.struct(F.substr(key, p + 1, q).alias("part"), p.alias("pos")),
+        )
 
-def _length_band(length: Column, ratio_floor: float) -> Column:
-    """Geometric bands: lengths within the floor of each other are at most one apart."""
-    return F.floor(F.log(length) / F.lit(-math.log(ratio_floor)) + F.lit(1e-9))
+    return F.flatten(F.transform(sizes, pieces))
 
 
 def candidate_pairs(nodes: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Pairs (a later, b earlier) that may reach ``threshold``: complete, not exact.
 
-    Lossless filters only: length ratio, shared-bigram bound and the same-source
-    guard.  The bound becomes an equi-join on the rarest bigrams of each key,
-    split further by length band so that a frequent bigram does not bring
-    together keys that can never match.  A pair is produced once, at the first
-    bigram both prefixes share, and is checked inside the join task.
+    Lossless filters only.  The longer key is cut into parts of which one must
+    recur unchanged in the shorter, close to its own position: an equi-join on
+    that part, carrying ids and numbers only.  Length ratio, shift, same-source
+    guard and a bounded edit distance thin the pairs before the exact ratio.
     """
-    if threshold < 0.85:
-        raise ValueError("the shared-bigram bound is only complete from 0.85 upwards")
-    ratio_floor = threshold / (2.0 - threshold)
-    keyed = nodes.withColumns({"grams": numbered_bigrams(F.col("full_key")), "len": F.length("full_key")})
-    occurrences = keyed.select("node", F.explode("grams").alias("gram"))
-    frequency = occurrences.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest_first = (
-        occurrences.join(frequency, "gram")
-        .groupBy("node")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
-    )
-    # A partner has at least ratio_floor * len characters, hence this many shared bigrams.
-    smallest_sum = F.col("len") + F.ceil(F.col("len") * ratio_floor - F.lit(1e-9))
-    need = F.greatest(_min_shared(smallest_sum, threshold), F.lit(1))
-    prefix = F.slice("ordered", F.lit(1), F.greatest(F.size("ordered") - need + 1, F.lit(1)).cast("int"))
-    posted = (
-        keyed.drop("grams")
-        .join(rarest_first, "node")
-        .select(
-            "node", "src", "company_key", "full_key", "len", F.transform(prefix, lambda x: x["gram"]).alias("prefix")
-        )
-        .withColumn("band", _length_band(F.col("len"), ratio_floor))
-    )
-    posted = cut_lineage(posted)
-    later = posted.select(
-        *[F.col(c).alias(f"a_{c}") for c in posted.columns if c != "band"],
-        F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
-    ).withColumn("gram", F.explode("a_prefix"))
-    earlier = posted.select(
-        *[F.col(c).alias(f"b_{c}") for c in posted.columns if c != "band"], "band"
-    ).withColumn("gram", F.explode("b_prefix"))
-    shorter, longer = F.least("a_len", "b_len"), F.greatest("a_len", "b_len")
-    met = later.join(earlier, ["gram", "band"]).filter(
-        (F.col("a_node") > F.col("b_node"))
-        & (shorter >= longer * ratio_floor - F.lit(1e-9))
-        & ~F.coalesce(F.col("a_src") == F.col("b_src"), F.lit(False))
-        & (F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("gram"))
-    )
-    shared = F.size(
-        F.array_intersect(numbered_bigrams(F.col("a_full_key")), numbered_bigrams(F.col("b_full_key")))
-    )
-    return met.filter(shared >= _min_shared(F.col("a_len") + F.col("b_len"), threshold)).select(
-        F.col("a_node").alias("a"),
-        F.col("b_node").alias("b"),
-        "a_company_key",
-        "b_company_key",
-        "a_full_key",
-        "b_full_key",
+    if not 0.5 < threshold < 1.0:
+        raise ValueError("the segment join needs a threshold between one half and one")
+    ratio_floor, share = threshold / (2.0 - threshold), 1.0 - threshold
+    keyed = nodes.withColumn("len", F.length("full_key"))
+    longer = keyed.select(
+        F.col("node").alias("l_node"), F.col("src").alias("l_src"), F.col("len").alias("l_len"),
+        F.inline(_segments(F.col("full_key"), F.col("len"), share)),
+    ).withColumnRenamed("pos", "l_pos")
+    shorter = keyed.select(
+        F.col("node").alias("s_node"), F.col("src").alias("s_src"), F.col("len").alias("s_len"),
+        F.inline(_probes(F.col("full_key"), F.col("len"), share)),
+    ).withColumnRenamed("pos", "s_pos")
+    matched = F.ceil((F.col("l_len") + F.col("s_len")) * (threshold / 2.0) - F.lit(1e-9))
+    shift = F.col("s_pos") - F.col("l_pos")
+    met = longer.join(shorter, "part").filter(
+        ((F.col("l_len") > F.col("s_len")) | ((F.col("l_len") == F.col("s_len")) & (F.col("l_node") > F.col("s_node"))))
+        & (F.col("s_len") >= F.col("l_len") * ratio_floor - F.lit(1e-9))
+        & shift.between(matched - F.col("l_len"), F.col("s_len") - matched)
+        & ~F.coalesce(F.col("l_src") == F.col("s_src"), F.lit(False))
     )
+    pairs = met.select(
+        F.greatest("l_node", "s_node").alias("a"), F.least("l_node", "s_node").alias("b")
+    ).distinct()
+    keys = keyed.select("node", "company_key", "full_key", "len")
+
+    def side(name: str) -> DataFrame:
+        return keys.select(*[F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in keys.columns])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # Unmatched characters bound the edit distance, which the JVM decides quickly.
+    allowed = F.floor((F.col("a_len") + F.col("b_len")) * share + F.lit(1e-9)).cast("int")
+    distance = F.call_function("levenshtein", F.col("a_full_key"), F.col("b_full_key"), allowed)
+    return both.filter(distance >= 0).drop("a_len", "b_len")
 
 
 def _similarity_udf():
