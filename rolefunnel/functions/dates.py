@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolefunnel.functions.constants import const_array, const_map
 from rolefunnel.functions.text import strip
 
 _ISO = (
@@ -43,7 +44,7 @@ def parse_iso(c: Column) -> Column:
 def parse_rfc822(c: Column) -> Column:
     """Mail/RSS date such as ``Wed, 22 Jul 2026 07:02:04 +0000``; no zone means UTC."""
     c = strip(c)
-    month = F.array_position(F.lit(_MONTHS), F.lower(F.regexp_extract(c, _RFC822, 2)))
+    month = F.array_position(const_array(_MONTHS), F.lower(F.regexp_extract(c, _RFC822, 2)))
     year = F.regexp_extract(c, _RFC822, 3)
     full_year = F.when(F.length(year) == 4, year).otherwise(
         F.concat(F.when(year >= "69", "19").otherwise("20"), year)
@@ -56,7 +57,7 @@ def parse_rfc822(c: Column) -> Column:
         F.lpad(F.regexp_extract(c, _RFC822, 1), 2, "0"),
     )
     zone = F.regexp_extract(c, _RFC822, 5)
-    named = F.create_map(*[F.lit(x) for pair in _ZONES.items() for x in pair])
+    named = const_map(_ZONES)
     offset = F.when(
         zone.rlike(r"^[+-]\d{4}$"), F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")
     ).otherwise(F.coalesce(F.element_at(named, F.upper(zone)), F.lit("+00:00")))
@@ -81,10 +82,9 @@ def parse_space_utc(c: Column) -> Column:
 
 
 def age_days(posted: Column, as_of: Column) -> Column:
-    """Days from ``posted`` to ``as_of`` with fraction, never negative."""
-    return F.greatest(
-        F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(posted)) / F.lit(86400e6)
-    )
+    """Days from ``posted`` to ``as_of`` with fraction, never negative; null without a date."""
+    days = (F.unix_micros(as_of) - F.unix_micros(posted)) / F.lit(86400e6)
+    return F.when(days < 0, 0.0).otherwise(days)
 
 
 def utc_timestamp(literal: str) -> Column:

@@ -8,18 +8,12 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PAIR, _ENTRY = "\x02", "\x01"
+from rolefunnel.functions.constants import const_array, const_map
 
 # References that make up nearly all of real markup; looked up before the full table.
 _COMMON = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "#39;", "#x27;", "#x2F;", "#x2f;", "apos;"]
 
 
-def _literal_map(entries: dict[str, str]) -> Column:
-    """A constant map; one literal, folded by the optimizer before execution."""
-    text = _ENTRY.join(f"{k}{_PAIR}{v}" for k, v in entries.items())
-    return F.str_to_map(F.lit(text), F.lit(_ENTRY), F.lit(_PAIR))
-
-
 def _utf32(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
@@ -47,7 +41,7 @@ def _numeric(ref: Column) -> Column:
         )
         return (
             F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("�"))
-            .when(n.between(0x80, 0x9F), F.element_at(_literal_map(c1), n.cast("string")))
+            .when(n.between(0x80, 0x9F), F.element_at(const_map(c1), n.cast("string")))
             .when(noncharacter, F.lit(""))
             .otherwise(_utf32(n))
         )
@@ -57,14 +51,14 @@ def _numeric(ref: Column) -> Column:
 
 def _named(ref: Column) -> Column:
     legacy = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
-    prefix = F.filter(F.lit(legacy), lambda name: F.startswith(ref, name))
+    prefix = F.filter(const_array(legacy), lambda name: F.startswith(ref, name))
 
     def with_prefix(name: Column) -> Column:
         tail = F.substr(ref, F.length(name) + 1)
-        return F.concat(F.element_at(_literal_map({k: html5[k] for k in legacy}), name), tail)
+        return F.concat(F.element_at(const_map({k: html5[k] for k in legacy}), name), tail)
 
     return F.coalesce(
-        F.element_at(_literal_map(html5), ref),
+        F.element_at(const_map(html5), ref),
         F.get(F.transform(F.slice(prefix, 1, 1), with_prefix), 0),
         F.concat(F.lit("&"), ref),
     )
@@ -77,7 +71,7 @@ def _decode_piece(piece: Column) -> Column:
     def decode(ref: Column) -> Column:
         rest = F.substr(piece, F.length(ref) + 1)
         common = F.element_at(
-            _literal_map({k: html.unescape(f"&{k}") for k in _COMMON}), ref
+            const_map({k: html.unescape(f"&{k}") for k in _COMMON}), ref
         )
         value = (
             F.when(ref == "", F.lit("&"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolefunnel.functions.constants import const_array
 from rolefunnel.functions.text import blank_to_null, normalize_text, strip
 
 # Label words, in the order they are tried.
@@ -39,7 +40,7 @@ BUCKET_CONFIDENCE = {"eligible": 100, "needs_review": 60, "excluded": 0}
 
 
 def _mentions(text: Column, words: list[str]) -> Column:
-    return F.exists(F.lit(words), lambda w: F.contains(text, w))
+    return F.exists(const_array(words), lambda w: F.contains(text, w))
 
 
 def contract_from_label(

@@ -106,4 +106,4 @@ def let(value: Column, body) -> Column:
 
 
 def clamp(c: Column, low: int = 0, high: int = 100) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return F.when(c < low, low).when(c > high, high).otherwise(c)

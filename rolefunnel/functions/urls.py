@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolefunnel.functions.constants import const_array
 from rolefunnel.functions.entities import html_unescape
 from rolefunnel.functions.text import SPACE, WORD, blank_to_null, let, strip
 
@@ -103,7 +104,7 @@ def best_apply_url(text: Column, hrefs: Column, domains: list[str] = APPLY_DOMAI
             begin = F.greatest(F.lit(0), start - APPLY_CUE_WINDOW)
             before = F.substr(text, begin + 1, start - begin)
             url = recover_prefix(F.rtrim(raw, F.lit(TRAILING_PUNCTUATION)), hrefs)
-            known_host = F.exists(F.lit(domains), lambda d: F.contains(F.lower(url), d))
+            known_host = F.exists(const_array(domains), lambda d: F.contains(F.lower(url), d))
             score = (
                 F.when(known_host, 3)
                 .when(url.rlike(APPLY_PATH_PATTERN), 2)
@@ -129,6 +130,6 @@ def is_application_link(url: Column, domains: list[str] = NON_APPLICATION_DOMAIN
     """False for links on (sub-domains of) the given profile hosts."""
     host = url_host(url)
     social = F.exists(
-        F.lit(domains), lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d))
+        const_array(domains), lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d))
     )
     return ~social

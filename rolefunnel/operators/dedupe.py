@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from rolefunnel.functions.constants import const_map
 from rolefunnel.functions.text import tokens
 from rolefunnel.functions.urls import normalize_url
 from rolefunnel.session import cut_lineage
@@ -44,7 +45,7 @@ def company_key(company: Column) -> Column:
 
 def fuzzy_key(company: Column, title: Column) -> Column:
     """Company key and title with usual abbreviations spelled out."""
-    full = F.create_map(*[F.lit(x) for pair in TITLE_ABBREVIATIONS.items() for x in pair])
+    full = const_map(TITLE_ABBREVIATIONS)
     words = F.transform(tokens(title), lambda t: F.coalesce(F.element_at(full, t), t))
     return F.array_join(F.concat(F.array(company_key(company)), words), " ")
 

@@ -13,6 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolefunnel.functions.constants import const_array
 from rolefunnel.operators.rules import Negation, norm_phrase
 
 
@@ -30,7 +31,7 @@ def phrase_hits(words: Column, phrases: Iterable[str], negation: Negation = Nega
         parts = phrase.split()
         openers.setdefault(len(parts), set()).add(parts[0])
     any_opener = sorted(set().union(*openers.values()))
-    negators = F.lit(list(negation.words))
+    negators = const_array(negation.words)
 
     def negated(i: Column) -> Column:
         before = F.slice(words, F.greatest(i - negation.window, F.lit(0)) + 1, F.least(F.lit(negation.window), i))
@@ -58,8 +59,8 @@ def matched(hits: Column, phrases: Sequence[str]) -> Column:
     pairs = [(n, p) for n, p in pairs if n]
     if not pairs:
         return F.array().cast("array<string>")
-    spelled = F.lit([p for _, p in pairs])
-    norms = F.lit([n for n, _ in pairs])
+    spelled = const_array(p for _, p in pairs)
+    norms = const_array(n for n, _ in pairs)
     fired = F.transform(norms, lambda n, i: F.when(F.array_contains(hits, n), F.get(spelled, i)))
     return F.array_compact(fired)
 
@@ -69,7 +70,7 @@ def any_match(hits: Column, phrases: Sequence[str]) -> Column:
     norms = sorted({n for n in map(norm_phrase, phrases) if n})
     if not norms:
         return F.lit(False)
-    return F.arrays_overlap(hits, F.lit(norms))
+    return F.arrays_overlap(hits, const_array(norms))
 
 
 def quoted_list(phrases: Column) -> Column:
