@@ -46,19 +46,16 @@ def normalize_url(c: Column, keep_query_hosts: list[str] | None = None) -> Colum
     ``keep_query_hosts`` names hosts whose query string is part of the identity.
     """
     raw = strip(F.coalesce(c, F.lit("")))
-    split = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
-    host = F.regexp_replace(F.lower(F.regexp_extract(raw, split, 1)), r"^www\.", "")
-    path = F.rtrim(F.regexp_extract(raw, split, 2), F.lit("/"))
-    rooted = F.when((path == "") | F.startswith(path, F.lit("/")), path).otherwise(
-        F.concat(F.lit("/"), path)
-    )
-    query = (
-        F.when(host.isin(keep_query_hosts), F.regexp_extract(raw, split, 3)).otherwise("")
-        if keep_query_hosts
-        else F.lit("")
-    )
-    given = c.isNotNull() & (c != "")
-    return F.when(given, F.concat(F.lit("https://"), host, rooted, query)).otherwise("")
+    scheme, rest = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?", r"(\?[^#]*)?"
+    host = F.regexp_replace(F.lower(F.regexp_extract(raw, scheme + r"//([^/?#]*)", 1)), r"^www\.", "")
+    # The path without its end slashes; a relative one gets a slash in front.
+    path = F.regexp_extract(raw, scheme + r"(?://[^/?#]*)?([^?#]*?)/*(?:[?#]|$)", 1)
+    rooted = F.regexp_replace(path, r"^(?=[^/])", "/")
+    parts = [F.lit("https://"), host, rooted]
+    if keep_query_hosts:
+        query = F.regexp_extract(raw, scheme + r"(?://[^/?#]*)?[^?#]*" + rest, 1)
+        parts.append(F.when(host.isin(keep_query_hosts), query).otherwise(""))
+    return F.when(c.isNotNull() & (c != ""), F.concat(*parts)).otherwise("")
 
 
 def extract_email(c: Column) -> Column:

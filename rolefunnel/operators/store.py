@@ -13,7 +13,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.operators.windows import latest
 from rolefunnel.schema import BOARD_DDL, POSTING_DDL, SCAN_DDL, STATUSES, allowed, conform, ddl_fields
 
 # Columns a merge never overwrites on a known key.
@@ -44,10 +43,29 @@ def merge_keyed(
     return joined.select(*columns)
 
 
+def last_arrivals(incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """The row with the greatest ``ord`` of each key.
+
+    Only ids are aggregated and only keys that repeat come back: wide rows are
+    not sorted ahead of the shuffle the merge needs anyway.
+    """
+    repeated = (
+        incoming.groupBy(*keys)
+        .agg(F.max("ord").alias("_last"), F.count("*").alias("_n"))
+        .filter(F.col("_n") > 1)
+        .drop("_n")
+    )
+    return (
+        incoming.join(repeated, keys, "left")
+        .filter(F.col("_last").isNull() | (F.col("ord") == F.col("_last")))
+        .drop("_last")
+    )
+
+
 def merge_postings(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
     """Upsert by ``dedup_key``; the last arrival wins among equal incoming keys."""
     if "ord" in incoming.columns:
-        incoming = latest(incoming, ["dedup_key"], [F.col("ord").desc()])
+        incoming = last_arrivals(incoming, ["dedup_key"])
     seen = F.col("first_seen_at") if "first_seen_at" in incoming.columns else F.lit(None).cast("timestamp")
     status = F.col("status") if "status" in incoming.columns else F.lit(None).cast("string")
     stamped = incoming.withColumns(
@@ -89,7 +107,7 @@ def set_status(stored: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFr
 def merge_boards(stored: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """Upsert discovered boards; ``found`` may repeat a board, its last ``ord`` wins."""
     if "ord" in found.columns:
-        found = latest(found, BOARD_KEY, [F.col("ord").desc()])
+        found = last_arrivals(found, BOARD_KEY)
     stamped = found.withColumns({"enabled": F.lit(True), "first_seen_at": now, "last_seen_at": now})
     return merge_keyed(stored, stamped, BOARD_KEY, BOARD_KEPT, BOARD_DDL)
 

@@ -111,17 +111,23 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", bd.page_snippet(html).alias("snippet"))
 
 
-# --- platform payloads: a brand is a board, its parts are the roles ---------------------------
+# --- platform payloads: a brand's parts of one number range are the roles of a board -------------
 
-_SQL_ROLE = "row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)"
+_SQL_ROLE = "row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey)"
+_SQL_BOARD = "lower(replace(p_brand, '#', '')) || '-' || p_partkey // 1000"
+
+
+def _board():
+    name = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    return F.concat(name, F.lit("-"), F.floor(F.col("p_partkey") / 1000).cast("string"))
 
 
 def _payloads(spark, d, platform, item, wrap, condition=None, root=None):
-    """One payload per brand; a brand has few hundred parts, so an item list stays small."""
+    """One payload per board; a board covers a thousand part numbers, so its item list stays small."""
     rows = table(spark, d, "part")
     if condition is not None:
         rows = rows.filter(condition)
-    packed = rows.groupBy("p_brand").agg(
+    packed = rows.groupBy("p_brand", _board().alias("board")).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("k"), item.alias("i")))), lambda x: x["i"]
         ).alias("items")
@@ -134,7 +140,7 @@ def _payloads(spark, d, platform, item, wrap, condition=None, root=None):
         body = F.to_json("items")
     return packed.select(
         F.lit(platform).alias("platform"),
-        F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".com")).alias("board_slug"),
+        F.concat("board", F.lit(".com")).alias("board_slug"),
         body.alias("payload"),
         F.col("p_brand").alias("company"),
         F.concat(F.lit("c:"), "p_brand").alias("comment_id"),
@@ -164,7 +170,7 @@ def _iso_date():
 
 _SQL_POSTED = "epoch_us(TIMESTAMP '2024-01-01') + p_partkey * 3600000000"
 _SQL_FALLBACK = "epoch_us(TIMESTAMP '2024-02-01')"
-_SQL_SLUG = "lower(replace(p_brand, '#', '')) || '.com'"
+_SQL_SLUG = f"{_SQL_BOARD} || '.com'"
 
 
 @query(
@@ -316,7 +322,7 @@ def _(spark, d):
     "board_personio",
     f"""SELECT 'c:' || p_brand || ':personio:' || p_partkey AS source_id, p_name AS title, p_brand AS company,
       'Tasks' || chr(10) || p_type || chr(10) || chr(10) || 'free' AS description,
-      'https://' || lower(replace(p_brand, '#', '')) || '.jobs.personio.com/job/' || p_partkey AS url, {_SQL_POSTED} AS posted,
+      'https://' || {_SQL_BOARD} || '.jobs.personio.com/job/' || p_partkey AS url, {_SQL_POSTED} AS posted,
       'dep,' || p_type AS tags, CASE WHEN p_partkey % 2 = 0 THEN 'Ulm' END AS place, 'employment' AS contract
       FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE rn <= 40 AND p_partkey % 6 <> 5""",
 )
@@ -356,9 +362,9 @@ def _(spark, d):
 
 
 def _registry(spark, d):
-    """Boards: one per brand, some switched off, plus one without a payload."""
-    brands = table(spark, d, "part").select("p_brand").distinct()
-    slug = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".com"))
+    """Boards of the parts, some switched off, plus boards without a payload."""
+    brands = table(spark, d, "part").select("p_brand", F.concat(_board(), F.lit(".com")).alias("slug")).distinct()
+    slug = F.col("slug")
     number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     known = brands.select(
         F.lit("greenhouse").alias("platform"),

@@ -244,7 +244,7 @@ def _(spark, d):
     from rolefunnel.sources.landing import readable_pages
 
     items = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("page"))
-    return readable_pages(items, page_size=3, first_page=0, max_pages=None)
+    return readable_pages(items, F.lit(1), page_size=3, first_page=0, max_pages=None)
 
 
 @query(

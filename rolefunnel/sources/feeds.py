@@ -23,7 +23,7 @@ from rolefunnel.functions.text import blank_to_null, join_present, present, stri
 from rolefunnel.functions.urls import application_channel, extract_email
 from rolefunnel.operators.barrier import add_once
 from rolefunnel.schema import CONTENT_DDL, arrival_order, conform
-from rolefunnel.sources.landing import first_by, json_items, readable_pages, xml_items
+from rolefunnel.sources.landing import first_by, json_item_count, json_items, readable_pages, xml_items
 
 # The page users are sent to when an entry has no page of its own,
 # and the tag pair no single role can carry.
@@ -155,7 +155,8 @@ def himalayas(
     landed: DataFrame, rank: int = 4, page_size: int | None = 20, max_pages: int | None = 15
 ) -> DataFrame:
     """Offset-paged: stops at a short page, first arrival per URL across pages."""
-    items = readable_pages(json_items(landed, HIMALAYAS_ITEM, "jobs"), page_size, 0, max_pages)
+    pages = readable_pages(landed, json_item_count("jobs"), page_size, 0, max_pages)
+    items = json_items(pages, HIMALAYAS_ITEM, "jobs")
     link = strip(_either(F.col("guid"), F.col("applicationLink")))
     rows = items.withColumns({"name": _text("title"), "link": link}).filter(
         (F.col("name") != "") & (F.col("link") != "")
@@ -242,7 +243,8 @@ def weworkremotely(landed: DataFrame, rank: int = 6) -> DataFrame:
 
 def arbeitnow(landed: DataFrame, rank: int = 7, max_pages: int | None = 5) -> DataFrame:
     """Page-numbered from 1, first arrival per slug, remote flag put into words."""
-    items = readable_pages(json_items(landed, ARBEITNOW_ITEM, "data"), None, 1, max_pages)
+    pages = readable_pages(landed, json_item_count("data"), None, 1, max_pages)
+    items = json_items(pages, ARBEITNOW_ITEM, "data")
     rows = items.withColumns({"name": _text("title"), "link": _text("url"), "key": _text("slug")}).filter(
         (F.col("name") != "") & (F.col("link") != "") & (F.col("key") != "")
     )

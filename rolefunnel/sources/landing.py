@@ -53,25 +53,33 @@ def xml_items(landed: DataFrame, ddl: str, row_tag: str, members: str) -> DataFr
     return _explode_items(landed, parsed)
 
 
-def readable_pages(items: DataFrame, page_size: int | None, first_page: int, max_pages: int | None) -> DataFrame:
+def json_item_count(member: str) -> Column:
+    """Number of items of a wrapped payload; null when it does not parse."""
+    return F.json_array_length(F.get_json_object("payload", f"$.{member}"))
+
+
+def readable_pages(
+    pages: DataFrame, size: Column, page_size: int | None, first_page: int, max_pages: int | None
+) -> DataFrame:
     """Drop what a page-by-page reader would not have read.
 
     Reading starts at ``first_page``, stops after ``max_pages`` and after the
-    first page that is missing or, where ``page_size`` is given, shorter than it.
+    first page that is missing, empty or, where ``page_size`` is given, shorter
+    than it.  ``size`` counts the items of a row; a page may span several rows.
     """
-    last = first_page + max_pages if max_pages else None
     in_window = F.col("page") >= first_page
-    if last is not None:
-        in_window = in_window & (F.col("page") < last)
-    items = items.filter(in_window)
-    sizes = items.groupBy("page").agg(F.count("*").alias("n"))
-    full = sizes.filter(F.col("n") >= page_size) if page_size else sizes
-    # Reading ends at the first page that is not full.
-    reached = items.sparkSession.range(first_page, first_page + 1).select(F.col("id").alias("page")).unionByName(
-        full.select((F.col("page") + 1).alias("page"))
-    )
-    stop = reached.join(full.select("page"), "page", "left_anti").agg(F.min("page").alias("_stop"))
-    return items.join(F.broadcast(stop), F.col("page") <= F.col("_stop")).drop("_stop")
+    if max_pages:
+        in_window = in_window & (F.col("page") < first_page + max_pages)
+    pages = pages.filter(in_window)
+    sizes = pages.groupBy("page").agg(F.sum(F.coalesce(size, F.lit(0))).alias("n"))
+    full = sizes.filter(F.col("n") >= (page_size or 1)).select("page")
+    # Reading ends at the first page that is not full: each full page reaches its
+    # follower, and the least page reached but not full is the last one read.
+    start = pages.sparkSession.range(first_page, first_page + 1).select(F.col("id").alias("page"))
+    reached = start.unionByName(full.select((F.col("page") + 1).alias("page")))
+    stop = reached.join(full, "page", "left_anti").agg(F.min("page").alias("_stop"))
+    # One row, hence the broadcast.
+    return pages.join(F.broadcast(stop), F.col("page") <= F.col("_stop")).drop("_stop")
 
 
 def first_by(df: DataFrame, key: str) -> DataFrame:
