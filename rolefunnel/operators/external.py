@@ -17,7 +17,7 @@ from rolefunnel.operators.scoring import (
     resolve_contract,
     trivial_result,
 )
-from rolefunnel.schema import CONTRACT_TYPES, SENIORITY_FITS, allowed
+from rolefunnel.schema import CONTRACT_TYPES, SENIORITY_FITS, allowed, ddl_fields
 
 RESPONSE_DDL = (
     "is_job_posting boolean, score int, skill_match int, contract_type_guess string, "
@@ -51,9 +51,8 @@ def validate_responses(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     parsed = landed.withColumn("r", F.from_json("response", RESPONSE_DDL, {"mode": "PERMISSIVE"}))
     r = F.col("r")
-    fields = [name for name in landed.sparkSession.createDataFrame([], RESPONSE_DDL).columns]
     incomplete = F.lit(False)
-    for name in fields:
+    for name, _ in ddl_fields(RESPONSE_DDL):
         incomplete = incomplete | r[name].isNull()
     vocabulary = allowed(r["contract_type_guess"], CONTRACT_TYPES) & allowed(r["seniority_fit"], SENIORITY_FITS)
     error = (

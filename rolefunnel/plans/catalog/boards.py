@@ -76,7 +76,6 @@ def _(spark, d):
     )
 
 
-_PAGE_LINKS = (r'href="/', r'href="https://www.')
 _SQL_LINKED = "replace(html, 'href=\"/', 'href=\"https://www.')"
 _LINK_PATTERN = r"^https://www\.([a-z]{6,})$"
 
@@ -415,9 +414,6 @@ def _(spark, d):
 
 # --- lists, cadence, seeding ----------------------------------------------------------------
 
-_SQL_NORMAL = r"regexp_extract_all(body, 'https?://[^\s)>\]]+', 0)"
-
-
 def _link_lists(spark, d):
     """A link list per page: Markdown with the page's address twice and one more."""
     return table(spark, d, "pages").select(

@@ -153,7 +153,6 @@ def _(spark, d):
 
 _LABELS = ["Full-Time", "Contract, full-time hours", "parttime fixed term", "", "Werkstudent/in", "to be agreed"]
 _SQL_LABEL = "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_LABELS)) + " END"
-_SQL_ANY = "list_has_any(list_filter({words}, lambda w: contains({x}, w)), {words})"
 
 
 def _sql_contract(x: str, freelance: list[str], employment: list[str]) -> str:

@@ -26,9 +26,6 @@ def _micros(name="posted_date"):
     return F.unix_micros(name).alias("posted")
 
 
-_SQL_BASE_MICROS = "epoch_us(TIMESTAMP '2024-01-01') + p_partkey * 3600000000"
-
-
 @query(
     "src_header_array",
     """SELECT p_partkey::VARCHAR AS source_id, p_name AS title, p_brand AS company, p_type AS description,

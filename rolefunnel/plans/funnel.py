@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolefunnel.operators.boards import poll_counts
 from rolefunnel.operators.classify import classify
 from rolefunnel.operators.dedupe import dedupe
 from rolefunnel.operators.external import select_score
 from rolefunnel.operators.report import bucket_counts, console_table, run_counters, top_n
 from rolefunnel.operators.rules import Settings
 from rolefunnel.operators.scoring import score
-from rolefunnel.operators.store import SnapshotTable, merge_postings
-from rolefunnel.schema import CONTENT_DDL, POSTING_DDL, conform
+from rolefunnel.operators.store import SnapshotTable, merge_boards, merge_postings, record_polls
+from rolefunnel.schema import CONTENT_DDL, conform
 from rolefunnel.session import prepare, scratch_path
+from rolefunnel.sources.registry import (
+    SOURCES,
+    discovered_boards,
+    enabled_sources,
+    expand_boards,
+    link_boards,
+    poll_registry,
+)
+from rolefunnel.sources.threads import FREELANCE, HIRING, newest_postings
+
+THREAD_KINDS = {kind.name: kind for kind in (HIRING, FREELANCE)}
 
 
 @dataclass
@@ -28,6 +41,56 @@ class RunResult:
     top: DataFrame
 
 
+@dataclass
+class Collected:
+    """All content of a run, and what it says about boards."""
+
+    postings: DataFrame
+    discovered: DataFrame | None
+    polls: DataFrame
+
+
+def collect_sources(
+    landed: dict[str, DataFrame],
+    boards: DataFrame,
+    payloads: DataFrame,
+    pages: DataFrame,
+    settings: Settings,
+    as_of: Column,
+) -> Collected:
+    """Registry first, then every enabled source; threads expand the boards they link to.
+
+    ``payloads`` (platform, board_slug, payload) and ``pages`` (url, final_url,
+    html) are what was landed for boards and links.
+    """
+    polled = poll_registry(boards, payloads, as_of, pages)
+    parts, found = [conform(polled, CONTENT_DDL)], []
+    for rank, name in enumerate(enabled_sources(settings.sources), 1):
+        if name not in landed:
+            continue
+        kind = THREAD_KINDS.get(name)
+        if kind is None:
+            parts.append(SOURCES[name](landed[name]))
+        else:
+            linked = link_boards(newest_postings(landed[name], kind, rank), pages)
+            parts.append(expand_boards(linked, payloads, pages))
+            found.append(discovered_boards(linked))
+    return Collected(
+        postings=reduce(DataFrame.unionByName, parts),
+        discovered=reduce(DataFrame.unionByName, found) if found else None,
+        polls=poll_counts(boards.filter(F.col("enabled")), polled),
+    )
+
+
+def update_boards(boards: DataFrame, collected: Collected, now: Column, seeded: DataFrame | None = None) -> DataFrame:
+    """The board table after a run: polls recorded, then discoveries merged."""
+    updated = record_polls(boards, collected.polls, now)
+    for found in (collected.discovered, seeded):
+        if found is not None:
+            updated = merge_boards(updated, found, now)
+    return updated
+
+
 def rank_postings(
     unique: DataFrame,
     settings: Settings,
@@ -75,7 +138,3 @@ def run(
         buckets=bucket_counts(snapshot),
         top=console_table(top_n(snapshot, minimum=settings.min_score_threshold)),
     )
-
-
-def snapshot_view(df: DataFrame) -> DataFrame:
-    return conform(df, POSTING_DDL).orderBy(F.coalesce("score", F.lit(0)).desc(), "dedup_key")

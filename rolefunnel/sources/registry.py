@@ -11,7 +11,6 @@ from rolefunnel.functions.text import SPACE, stripped_or_null
 from rolefunnel.functions.urls import URL_PATTERN
 from rolefunnel.operators.barrier import add_once
 from rolefunnel.operators.boards import resolve_boards
-from rolefunnel.operators.windows import first_wins
 from rolefunnel.schema import CONTENT_DDL, arrival_order, child_order, conform
 from rolefunnel.sources import feeds
 from rolefunnel.sources.board_payloads import board_postings, roles_in_payload, with_original, with_snippets
@@ -175,7 +174,3 @@ def union_sources(landed: dict[str, DataFrame], toggles: dict[str, bool] | None
     for name in names[1:]:
         union = union.unionByName(SOURCES[name](landed[name]), allowMissingColumns=True)
     return union
-
-
-def first_per_url(df: DataFrame, order: Column) -> DataFrame:
-    return first_wins(df, ["url"], order)

@@ -172,8 +172,13 @@ def expand_role_links(postings: DataFrame, where: Column | None = None) -> DataF
     ).drop("_i", "_link")
 
 
+def newest_postings(threads: DataFrame, kind: ThreadKind = HIRING, rank: int = 2) -> DataFrame:
+    """Postings (with ``hrefs``) of the newest matching thread, nothing expanded yet."""
+    # One row, hence the broadcast.
+    newest = threads.join(F.broadcast(latest_thread(threads, kind)), "id", "left_semi")
+    return comment_postings(top_level_comments(newest), kind, rank)
+
+
 def thread_postings(threads: DataFrame, kind: ThreadKind = HIRING, rank: int = 2) -> DataFrame:
     """Content rows of the newest matching thread, bulleted role links expanded."""
-    newest = threads.join(F.broadcast(latest_thread(threads, kind)), "id", "left_semi")
-    found = comment_postings(top_level_comments(newest), kind, rank)
-    return conform(expand_role_links(found), CONTENT_DDL)
+    return conform(expand_role_links(newest_postings(threads, kind, rank)), CONTENT_DDL)

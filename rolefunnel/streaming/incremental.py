@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from rolefunnel.operators.store import SnapshotTable
@@ -51,7 +50,3 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
-
-
-def as_timestamp(column: str) -> Column:
-    return F.col(column).cast("timestamp")

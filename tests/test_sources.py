@@ -5,7 +5,8 @@ import json
 from rolefunnel.functions.dates import utc_timestamp
 from rolefunnel.operators.rules import settings_from
 from rolefunnel.operators.store import SnapshotTable, set_status
-from rolefunnel.plans.funnel import run
+from rolefunnel.plans.funnel import collect_sources, run, update_boards
+from rolefunnel.schema import BOARD_DDL, conform
 from rolefunnel.sources import feeds, threads
 from rolefunnel.sources.board_payloads import board_postings
 from rolefunnel.sources.landing import read_landed
@@ -111,3 +112,34 @@ def test_run_twice(spark, tmp_path):
     assert acme["company"] == "Acme Inc" and acme["tags"] == ["z"]
     assert {r["bucket"]: r["n"] for r in out.buckets.collect()} == {"eligible": 3, "needs_review": 0, "excluded": 0, "irrelevant": 1}
     assert out.top.count() == 3
+
+
+def test_collect_polls_expands_and_records_boards(spark, tmp_path):
+    thread = {"id": "9", "title": "Ask HN: Who is hiring?", "created_at": "2026-08-01", "children": [
+        {"id": 1, "text": "Acme | Many roles<p>https://jobs.lever.co/acme"},
+        {"id": 2, "text": "Globex | Dev<p>https://globex.io/careers"},
+        {"id": 3, "text": "Quiet | Dev<p>https://quiet.recruitee.com"}]}
+    landed = {"hn_whoishiring": threads.threads_from_json(read_landed(spark, land(tmp_path / "t", t_1=thread)))}
+    boards = conform(spark.createDataFrame(
+        [("ashby", "old", "Old Co", True), ("ashby", "off", None, False), ("lever", "mute", None, True)],
+        "platform string, board_slug string, company string, enabled boolean"), BOARD_DDL)
+    payloads = spark.createDataFrame([
+        ("ashby", "old", json.dumps({"jobs": [{"id": 5, "title": "R", "jobUrl": "https://o/5"}]})),
+        ("ashby", "off", json.dumps({"jobs": [{"id": 6, "title": "R", "jobUrl": "https://o/6"}]})),
+        ("lever", "acme", json.dumps([{"id": "x", "text": "L", "hostedUrl": "https://l/x"}, {"id": "y", "text": "M", "hostedUrl": "https://l/y"}])),
+        ("workable", "globex", json.dumps({"name": "Globex AG", "jobs": [{"title": "W", "shortcode": "s", "url": "https://w/s"}]}))],
+        "platform string, board_slug string, payload string")
+    pages = spark.createDataFrame(
+        [("https://globex.io/careers", "https://globex.io/careers", '<a href="https://apply.workable.com/globex/">jobs</a>'),
+         ("https://w/s", "https://w/s", '<meta name="description" content="A &amp; B">')],
+        "url string, final_url string, html string")
+    got = collect_sources(landed, boards, payloads, pages, settings_from({}), utc_timestamp("2026-08-10"))
+    rows = {r["source_id"]: r for r in got.postings.collect()}
+    assert set(rows) == {"registry:ashby:old:ashby:5", "1:lever:x", "1:lever:y", "2:workable:s", "3"}
+    assert rows["2:workable:s"]["company"] == "Globex AG"
+    assert rows["2:workable:s"]["description"].endswith("\n\n---\nRole: W\nA & B")
+    assert len({r["ord"] for r in rows.values()}) == 5
+    table = {(r["platform"], r["board_slug"]): r for r in update_boards(boards, got, utc_timestamp("2026-08-10")).collect()}
+    assert set(table) == {("ashby", "old"), ("ashby", "off"), ("lever", "mute"), ("lever", "acme"), ("workable", "globex"), ("recruitee", "quiet")}
+    assert table["ashby", "old"]["last_poll_result_count"] == 1 and table["lever", "mute"]["last_poll_result_count"] == 0
+    assert table["ashby", "off"]["last_polled_at"] is None and table["lever", "acme"]["enabled"]
