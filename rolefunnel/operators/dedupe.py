@@ -121,7 +121,8 @@ def with_dedup_key(df: DataFrame, keep_query_hosts: list[str] | None = None) ->
 
 def exact_dedupe(df: DataFrame, keep_query_hosts: list[str] | None = None) -> DataFrame:
     """One row per canonical URL; rows without a URL stay as they are."""
-    members = _with_root(_slim(df, keep_query_hosts)).select("ord", F.col("root").alias("cluster"), "len", "tags")
+    slim = cut_lineage(_slim(df, keep_query_hosts))
+    members = _with_root(slim).select("ord", F.col("root").alias("cluster"), "len", "tags")
     return merge_survivors(with_dedup_key(df, keep_query_hosts), members)
 
 

@@ -72,7 +72,7 @@ def _(spark, d):
     members = docs.select(
         "ord", F.sha2(normalize_text(F.col("text")), 256).alias("cluster"), F.length("text").alias("len"), "tags"
     )
-    merged = dd.merge_survivors(docs.select("ord", "doc_id", "n_chars", "text", "tags"), members)
+    merged = dd.merge_survivors(docs.select("ord", "doc_id", "n_chars", "text", "tags"), dd.cut_lineage(members))
     return merged.select(
         "ord", "doc_id", F.length("text").cast("bigint").alias("chars"), F.array_join("tags", ",").alias("tags")
     )
@@ -127,9 +127,37 @@ def _documents_for_fuzzy(spark, d):
     )
 
 
-@query("fuzzy_pairs")
+# The ratio in SQL: the longest common block of a window (earliest first), then the
+# windows to its left and right.  The edit distance bound keeps the pairs few.
+# Company keys are two-letter codes here: a ratio of one half is one shared letter.
+_SQL_FUZZY_PAIRS = f"""
+WITH RECURSIVE k AS (SELECT doc_id, lang AS c, array_to_string(list_transform(string_split({sql_norm('left(split_part(text, chr(10), 1), 80)')}, ' '),
+         lambda x: CASE x WHEN 'sr' THEN 'senior' WHEN 'jr' THEN 'junior' ELSE x END), ' ') AS t FROM documents),
+nodes AS (SELECT c, CASE WHEN t = '' THEN c ELSE c || ' ' || t END AS key, min(doc_id) AS node FROM k GROUP BY ALL),
+cand AS (SELECT a.node AS a, b.node AS b, a.key AS ka, b.key AS kb FROM nodes a JOIN nodes b ON a.node > b.node
+   AND least(length(a.key), length(b.key)) >= greatest(length(a.key), length(b.key)) * 0.785
+   AND (contains(b.c, a.c[1]) OR contains(b.c, a.c[2]))
+   AND levenshtein(a.key, b.key) <= (length(a.key) + length(b.key)) * 0.1200001),
+runs AS (SELECT a, b, i, j, len(list_filter(range(1, 90), lambda n: i + n - 1 <= length(ka) AND j + n - 1 <= length(kb)
+             AND substr(ka, i, n) = substr(kb, j, n))) AS n
+   FROM cand, unnest(range(1, length(ka) + 1)) AS x(i), unnest(range(1, length(kb) + 1)) AS y(j) WHERE ka[i] = kb[j]),
+w(a, b, alo, ahi, blo, bhi, m) AS (
+   SELECT a, b, 1::BIGINT, length(ka) + 1, 1::BIGINT, length(kb) + 1, 0::BIGINT FROM cand
+   UNION ALL
+   SELECT s.a, s.b, CASE side WHEN 0 THEN alo ELSE p.i + p.n END, CASE side WHEN 0 THEN p.i ELSE ahi END,
+          CASE side WHEN 0 THEN blo ELSE p.j + p.n END, CASE side WHEN 0 THEN p.j ELSE bhi END, CASE side WHEN 0 THEN p.n ELSE 0 END
+   FROM (SELECT w.a, w.b, alo, ahi, blo, bhi, max(row(least(n, ahi - i, bhi - j), -i, -j)) AS best
+         FROM w JOIN runs r ON r.a = w.a AND r.b = w.b AND i >= alo AND i < ahi AND j >= blo AND j < bhi
+         GROUP BY w.a, w.b, alo, ahi, blo, bhi) s,
+        LATERAL (SELECT best[1] AS n, -best[2] AS i, -best[3] AS j) p, (VALUES (0), (1)) v(side)),
+total AS (SELECT a, b, sum(m) AS m FROM w GROUP BY a, b)
+SELECT a, b, round(2.0::DOUBLE * m / (length(ka) + length(kb)), 6) AS similarity
+FROM total JOIN cand USING (a, b) WHERE 2.0::DOUBLE * m / (length(ka) + length(kb)) >= 0.88"""
+
+
+@query("fuzzy_pairs", _SQL_FUZZY_PAIRS)
 def _(spark, d):
-    """Pairs of distinct (company, title) keys at or above the threshold; no SQL for the ratio."""
+    """Pairs of distinct (company, title) keys at or above the threshold."""
     nodes = dd.cut_lineage(dd.fuzzy_nodes(dd._slim(_documents_for_fuzzy(spark, d))))
     return dd.fuzzy_pairs(nodes).select("a", "b", F.round("similarity", 6).alias("similarity"))
 

@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``.  Only where that setting
     is absent (local tests) a throw-away folder is made, once per session.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="rolefunnel-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
@@ -38,5 +38,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so that it survives lost executors."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    folder = shared_dir(spark)
+    if folder not in (spark.sparkContext.getCheckpointDir() or ""):
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -112,3 +112,12 @@ def test_exact_dedupe_keeps_rows_without_url(spark):
     got = d.exact_dedupe(spark.createDataFrame(rows, DDL)).orderBy("ord").collect()
     assert [(r["ord"], r["description"], r["tags"]) for r in got] == [
         (0, "aaa", ["a", "b", "z"]), (2, "", ["q", "p"]), (3, "", [])]
+
+
+def test_a_third_of_all_rows_is_one_posting(spark):
+    rows = [(i, "Data Engineer", "Acme", "d" * (i % 9), f"https://x.io/{i % 2000}", "remoteok", None, [f"t{i % 3}"])
+            for i in range(3000)]
+    rows += [(i, f"{chr(97 + i % 26) * 8} {i}", f"{chr(97 + i % 23) * 9}{i}", "d", "", "remoteok", str(i), []) for i in range(3000, 3100)]
+    got = {r["ord"]: r for r in d.dedupe(spark.createDataFrame(rows, DDL)).filter("company = 'Acme'").collect()}
+    assert set(got) == {0}
+    assert got[0]["description"] == "d" * 8 and got[0]["tags"] == ["t0", "t1", "t2"]
