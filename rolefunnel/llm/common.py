@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rolefunnel.session import scratch_path
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _A_Z = slice(ord("A"), ord("Z") + 1)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -40,8 +40,10 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for later slices of this worker."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.cumprod(np.concatenate([[1], np.full(max(n, SLICE_BYTES) - 1, base, np.uint64)]), dtype=np.uint64)
-        if n <= 2 * SLICE_BYTES:
+        have = np.full(max(n, 2 * SLICE_BYTES), base, np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        if len(have) <= 8 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.llm import quality
+from rolefunnel.llm import quality, toxicity
 from rolefunnel.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by a rule ensemble learned outside fold 0 of 5."""
     scores = quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), fold_of("id", 5) != 0)
     return _classified(scores, 5, 0)
+
+
+@register("op6_toxicity_kneser_ney")
+def op6_toxicity_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by two bigram models learned outside fold 2 of 4."""
+    scores = toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), fold_of("id", 4) != 2)
+    return _classified(scores, 4, 2)
