@@ -1,12 +1,14 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models.
 
 One model is counted on toxic, one on ordinary labelled texts.  Each
-interpolates its discounted bigrams with its own continuation counts, and those
-with continuation counts of both classes together, so that a rare expression
-falls back on the same probability in both.  A text is judged by the difference
-of log-likelihoods per word: over the whole text, and over its worst run of
-``window`` words (insults hide in long texts).  A logistic curve fitted on
-labelled texts left out of the counts turns that into a score.
+interpolates its discounted bigrams with the continuation counts of words, those
+with the continuation counts of word stems (leading bytes, for inflected forms)
+and the last with continuation counts of both classes together, so that a rare
+expression falls back on the same probability in both.  A text is judged by the
+difference of log-likelihoods per word: over the whole text, over its worst run
+of ``window`` words (insults hide in long texts), and by what its words exceed
+``EXCESS`` by.  A logistic curve fitted on labelled texts left out of the counts
+turns that into a score.
 
 The counts come from about ``most`` texts per class at most (a documented bound
 on the model, which is sent to all tasks); every text is scored, in whole.
@@ -30,60 +32,78 @@ from pyspark.sql import functions as F
 from rolefunnel.llm.common import LOWER, WORD, PrefixHash, bounded_sample, flat, map_slices, pair_hash, row_of, spans
 
 DISCOUNT = 0.75
+EXCESS = 2.0
+#: Bytes of a word's stems, from long to short.
+STEMS = (5, 4)
 _START = np.uint64(1)
+_KEYS = ["v", "w", *(f"s{k}" for k in STEMS)]
 
 
 def word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hash of every word, of the word before it (a mark at a text's start), its row; rows."""
+    """Hashes of every word and its stems (levels x words), of the word before it (a mark at a text's start), its row; rows."""
     data, off = flat(column)
     data = LOWER[data]
     starts, ends = spans(data, off, WORD)
     rows = row_of(off, starts)
-    words = PrefixHash(data).of(starts, ends)
-    before = np.full(len(words), _START)
-    before[1:] = np.where(rows[1:] == rows[:-1], words[:-1], _START)
-    return words, before, rows, len(off) - 1
+    hashes = PrefixHash(data)
+    levels = np.stack([hashes.of(starts, ends), *(hashes.of(starts, np.minimum(ends, starts + k)) for k in STEMS)])
+    before = np.full(len(starts), _START)
+    before[1:] = np.where(rows[1:] == rows[:-1], levels[0, :-1], _START)
+    return levels, before, rows, len(off) - 1
 
 
 @dataclass
 class ToxicModel:
-    """Arrays in the order of sorted ``words`` and ``pairs``; index 0 is toxic, 1 ordinary."""
+    """Arrays in the order of sorted keys; index 0 is toxic, 1 ordinary."""
 
     words: np.ndarray
     base: np.ndarray  # 2 x words: interpolated unigram probability
     left: np.ndarray  # 2 x words: weight of the unigram level after this word
-    unknown: float
     pairs: np.ndarray
     part: np.ndarray  # 2 x pairs: discounted relative frequency
+    stems: list[tuple[np.ndarray, np.ndarray]]  # per stem level: sorted keys, 2 x keys: probability of an unknown word with it
     curve: np.ndarray = None  # mean, spread, weights of the logistic curve
-    window: int = 6
-
-    def differences(self, column: pa.Array) -> np.ndarray:
-        """Per text: mean log-ratio, log-ratio per word of the worst window, log of the length."""
-        words, before, rows, n = word_pairs(column)
-        if not len(words):
-            return np.zeros((n, 3))
-        w, known = _find(self.words, words)
+    window: int = 3
+
+    def ratios(self, levels: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary) of every word."""
+        base = np.ones((2, len(before)))
+        for hashes, (keys, prob) in reversed(list(zip(levels[1:], self.stems, strict=True))):
+            at, known = _find(keys, hashes)
+            base = np.where(known, prob[:, at], base)
+        w, known = _find(self.words, levels[0])
+        base = np.where(known, self.base[:, w], base)
         v, after = _find(self.words, before)
-        p, found = _find(self.pairs, pair_hash(before, words))
-        base = np.where(known, self.base[:, w], self.unknown)
+        p, found = _find(self.pairs, pair_hash(before, levels[0]))
+        # A word that no text of the sample has: its probability given the stem is shared and cancels out.
         prob = np.where(found, self.part[:, p], 0) + np.where(after, self.left[:, v], 1) * base
-        ratio = np.log(prob[0]) - np.log(prob[1])
+        return np.log(prob[0]) - np.log(prob[1])
+
+    def differences(self, column: pa.Array) -> np.ndarray:
+        """Per text: mean log-ratio, log-ratio per word of the worst window, log excess, log length."""
+        levels, before, rows, n = word_pairs(column)
+        if not len(before):
+            return np.zeros((n, len(MEASURES)))
+        ratio = self.ratios(levels, before)
         total = np.concatenate([[0], np.cumsum(ratio)])
         count = np.bincount(rows, minlength=n)
         first = np.cumsum(count) - count
         size = np.minimum(count, self.window)
         mean = (total[first + count] - total[first]) / np.maximum(count, 1)
-        at = np.arange(len(words))
+        at = np.arange(len(before))
         upto = at + size[rows]
         inside = upto <= (first + count)[rows]
         worst = np.full(n, -np.inf)
         np.maximum.at(worst, rows[inside], (total[upto[inside]] - total[at[inside]]) / size[rows[inside]])
-        return np.stack([mean, np.where(count > 0, worst, 0), np.log1p(count)], 1)
+        excess = np.bincount(rows, weights=np.maximum(ratio - EXCESS, 0), minlength=n)
+        return np.stack([mean, np.where(count > 0, worst, 0), np.log1p(excess), np.log1p(count)], 1)
 
     def score(self, differences: np.ndarray) -> np.ndarray:
-        mean, spread, w = self.curve[0], self.curve[1], self.curve[2]
-        return 1 / (1 + np.exp(-np.clip(((differences - mean[:3]) / spread[:3]) @ w[:3] + w[3], -30, 30)))
+        mean, spread, w = self.curve
+        return 1 / (1 + np.exp(-np.clip(((differences - mean[:-1]) / spread[:-1]) @ w[:-1] + w[-1], -30, 30)))
+
+
+MEASURES = ["mean", "worst", "excess", "length"]
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,28 +111,47 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def kneser_ney(before: np.ndarray, word: np.ndarray, counts: np.ndarray) -> ToxicModel:
-    """From distinct pairs and their 2 x n counts by class."""
-    vocabulary = np.unique(np.concatenate([before, word]))
-    v, w = np.searchsorted(vocabulary, before), np.searchsorted(vocabulary, word)
-    size = len(vocabulary)
+def _level(which: np.ndarray, size: int, seen: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """2 x size: discounted continuation counts of each class over the level ``below`` (2 x size, sums to 1)."""
+    out = np.empty((2, size))
+    for c in range(2):
+        count = np.bincount(which, weights=seen[c], minlength=size)
+        total = count.sum()
+        out[c] = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * (count > 0).sum() * below[c]) / total if total else below[c]
+    return out
+
+
+def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> ToxicModel:
+    """From distinct (word before, word, stems) columns and their 2 x n counts by class."""
+    before, word = keys[0], keys[1]
     seen = counts > 0
-    shared = np.bincount(w, weights=seen.any(0), minlength=size)
-    unknown = 1 / (shared.sum() + size + 1)
-    shared = (shared + 1) * unknown
-    base, left, part = np.empty((2, size)), np.ones((2, size)), np.zeros(counts.shape)
+    both = seen.sum(0).astype(float)
+    levels = [np.unique(k, return_inverse=True) for k in reversed(keys[2:])] + [np.unique(np.concatenate([before, word]), return_inverse=True)]
+    levels[-1] = (levels[-1][0], levels[-1][1][len(before) :])
+    shared = [np.bincount(at, weights=both, minlength=len(k)) + 1 for k, at in levels]
+    base = np.stack([shared[0] / shared[0].sum()] * 2)
+    stems = []
+    for i, (k, at) in enumerate(levels):
+        if i:
+            up = np.zeros(len(k), np.int64)
+            up[at] = levels[i - 1][1]
+            given = shared[i] / np.bincount(up, weights=shared[i], minlength=len(levels[i - 1][0]))[up]
+            base = base[:, up] * given
+        base = _level(at, len(k), seen, base)
+        if i < len(levels) - 1:
+            stems.insert(0, (k, base))
+    vocabulary, _ = levels[-1]
+    v = np.searchsorted(vocabulary, before)
+    left, part = np.ones((2, len(vocabulary))), np.zeros(counts.shape)
     for c in range(2):
-        cont = np.bincount(w, weights=seen[c], minlength=size)
-        total, kinds = max(cont.sum(), 1), (cont > 0).sum()
-        base[c] = (np.maximum(cont - DISCOUNT, 0) + (DISCOUNT * kinds if cont.sum() else 1) * shared) / total
-        context = np.bincount(v, weights=counts[c], minlength=size)
-        follow = np.bincount(v, weights=seen[c], minlength=size)
+        context = np.bincount(v, weights=counts[c], minlength=len(vocabulary))
+        follow = np.bincount(v, weights=seen[c], minlength=len(vocabulary))
         some = context > 0
         left[c, some] = DISCOUNT * follow[some] / context[some]
         part[c] = np.maximum(counts[c] - DISCOUNT, 0) / np.maximum(context[v], 1)
-    keys = pair_hash(before, word)
-    order = np.argsort(keys)
-    return ToxicModel(vocabulary, base.astype(np.float32), left.astype(np.float32), float(unknown), keys[order], part[:, order].astype(np.float32))
+    pairs = pair_hash(before, word)
+    order = np.argsort(pairs)
+    return ToxicModel(vocabulary, base, left, pairs[order], part[:, order].astype(np.float32), stems)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -127,7 +166,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.stack([np.append(mean, 0), np.append(spread, 1), w])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", most: int = 4000, window: int = 6) -> ToxicModel | float:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", most: int = 4000, window: int = 3) -> ToxicModel | float:
     """The model, or the smoothed share of label 1 where the labels hold one class only; ``docs`` has id and text."""
     truth = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max(label).alias("y"))
     truth = truth if train is None else truth.where(train)
@@ -139,25 +178,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, label:
     texts = docs.join(F.broadcast(chosen), "id").select("id", "y", "text", (F.pmod(F.xxhash64(F.lit("curve"), "id"), F.lit(4)) == 0).alias("curve"))
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        words, before, rows, _ = word_pairs(part.column("text"))
+        levels, before, rows, _ = word_pairs(part.column("text"))
         y = part.column("y").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-        both = np.stack([before, words], 1)
-        keys = pair_hash(before, words)
-        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        n = len(first)
-        tallies = [np.bincount(at[y == c], minlength=n) for c in (1, 0)]
-        return pa.RecordBatch.from_arrays([pa.array(both[first, k].view(np.int64)) for k in (0, 1)] + [pa.array(t) for t in tallies], ["v", "w", "toxic", "ordinary"])
-
-    pairs = map_slices(texts.where("not curve"), count, "v bigint, w bigint, toxic bigint, ordinary bigint")
-    table = pairs.groupBy("v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("v", "w").toArrow()
-    v, w = (table.column(k).to_numpy().view(np.uint64) for k in ("v", "w"))
-    counts = np.stack([table.column(k).to_numpy().astype(np.float64) for k in ("toxic", "ordinary")])
-    if not len(v):
+        _, first, at = np.unique(pair_hash(before, levels[0]), return_index=True, return_inverse=True)
+        tallies = [np.bincount(at[y == c], minlength=len(first)) for c in (1, 0)]
+        columns = [before[first], *levels[:, first]]
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(t) for t in tallies], [*_KEYS, "toxic", "ordinary"])
+
+    pairs = map_slices(texts.where("not curve"), count, ", ".join(f"{c} bigint" for c in [*_KEYS, "toxic", "ordinary"]))
+    table = pairs.groupBy(*_KEYS).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("v", "w").toArrow()
+    if not table.num_rows:
         return (sizes[1] + 1) / (sum(sizes.values()) + 2)
-    model = kneser_ney(v, w, counts)
+    model = kneser_ney(
+        np.stack([table.column(k).to_numpy().view(np.uint64) for k in _KEYS]), np.stack([table.column(k).to_numpy().astype(np.float64) for k in ("toxic", "ordinary")])
+    )
     model.window = window
     held = _apply(texts.where("curve"), model, "y int", lambda m, d: d).toPandas()
-    x, y = held[["mean", "worst", "length"]].to_numpy(), held["y"].to_numpy()
+    x, y = held[MEASURES].to_numpy(), held["y"].to_numpy()
     drawn = np.bincount(y, minlength=2)
     model.curve = _logistic(x, y, (np.array([sizes[0], sizes[1]]) / np.maximum(drawn, 1))[y] * len(y) / sum(sizes.values()))
     return model
@@ -167,7 +204,7 @@ def _apply(docs: DataFrame, model: ToxicModel, keep: str, finish) -> DataFrame:
     """``finish`` of the differences of every text beside the column ``keep``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     name = keep.split()[0]
-    columns = ["mean", "worst", "length"] if finish(None, None) is None else ["score"]
+    columns = MEASURES if finish(None, None) is None else ["score"]
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         found = finish(sent.value, sent.value.differences(part.column("text")))
@@ -176,7 +213,7 @@ def _apply(docs: DataFrame, model: ToxicModel, keep: str, finish) -> DataFrame:
     return map_slices(docs.select(name, "text"), work, f"{keep}, " + ", ".join(f"{c} double" for c in columns))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 4000, window: int = 6) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 4000, window: int = 3) -> DataFrame:
     """(id, score) of every document; labels are learned from rows where ``train`` holds, a column over ``id``."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     model = fit(slim, labels, train, label, most, window)
