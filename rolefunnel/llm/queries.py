@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.llm import quality, toxicity
+from rolefunnel.llm import quality, simhash, toxicity
 from rolefunnel.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,10 @@ def op6_toxicity_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document by two bigram models learned outside fold 2 of 4."""
     scores = toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), fold_of("id", 4) != 2)
     return _classified(scores, 4, 2)
+
+
+@register("op5_simhash_popcount")
+def op5_simhash_popcount(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
