@@ -166,7 +166,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.stack([np.append(mean, 0), np.append(spread, 1), w])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", most: int = 4000, window: int = 3) -> ToxicModel | float:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", most: int = 2000, window: int = 3) -> ToxicModel | float:
     """The model, or the smoothed share of label 1 where the labels hold one class only; ``docs`` has id and text."""
     truth = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max(label).alias("y"))
     truth = truth if train is None else truth.where(train)
@@ -183,14 +183,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, label:
         _, first, at = np.unique(pair_hash(before, levels[0]), return_index=True, return_inverse=True)
         tallies = [np.bincount(at[y == c], minlength=len(first)) for c in (1, 0)]
         columns = [before[first], *levels[:, first]]
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(t) for t in tallies], [*_KEYS, "toxic", "ordinary"])
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(t.astype(np.int32)) for t in tallies], [*_KEYS, "toxic", "ordinary"])
 
-    pairs = map_slices(texts.where("not curve"), count, ", ".join(f"{c} bigint" for c in [*_KEYS, "toxic", "ordinary"]))
-    table = pairs.groupBy(*_KEYS).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("v", "w").toArrow()
+    pairs = map_slices(texts.where("not curve"), count, ", ".join(f"{c} bigint" for c in _KEYS) + ", toxic int, ordinary int")
+    table = pairs.groupBy(*_KEYS).agg(*(F.sum(c).cast("int").alias(c) for c in ("toxic", "ordinary"))).toArrow()
     if not table.num_rows:
         return (sizes[1] + 1) / (sum(sizes.values()) + 2)
     model = kneser_ney(
-        np.stack([table.column(k).to_numpy().view(np.uint64) for k in _KEYS]), np.stack([table.column(k).to_numpy().astype(np.float64) for k in ("toxic", "ordinary")])
+        np.stack([table.column(k).to_numpy().view(np.uint64) for k in _KEYS]), np.stack([table.column(k).to_numpy() for k in ("toxic", "ordinary")])
     )
     model.window = window
     held = _apply(texts.where("curve"), model, "y int", lambda m, d: d).toPandas()
@@ -213,7 +213,7 @@ def _apply(docs: DataFrame, model: ToxicModel, keep: str, finish) -> DataFrame:
     return map_slices(docs.select(name, "text"), work, f"{keep}, " + ", ".join(f"{c} double" for c in columns))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 4000, window: int = 3) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 2000, window: int = 3) -> DataFrame:
     """(id, score) of every document; labels are learned from rows where ``train`` holds, a column over ``id``."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     model = fit(slim, labels, train, label, most, window)
