@@ -5,10 +5,10 @@ point whose Manhattan distance to another point never exceeds the Hamming
 distance of the fingerprints.  Two points within distance 2 have a lattice point
 within 1 of both, so every fingerprint is entered at its own grid cell and at
 the neighbouring ones, and only fingerprints that meet another in a cell are
-verified.  Verification is exact and does not form pairs: two fingerprints
-differ in at most 2 bits exactly when some 64-bit value differs from each in at
-most 1 bit, so the candidates meet in those values and each is linked to the
-smallest fingerprint there.  A thousand fingerprints close together thus make a
+verified.  Two in a cell are compared.  Where more meet, verification is as exact
+but forms no pairs: two fingerprints differ in at most 2 bits exactly when some
+64-bit value differs from each in at most 1 bit, so they meet in those values and
+each is linked to the smallest fingerprint there.  A thousand fingerprints close together thus make a
 thousand links, not half a million.  Links are closed into components in rounds
 of joins and written tables.
 
@@ -112,11 +112,13 @@ def _around(fp: Column) -> Column:
 def links(fps: DataFrame, segments: int = 16) -> DataFrame:
     """Distinct (a, b), a < b, that connect all fingerprints (column ``fp``, distinct) at 2 or fewer differing bits."""
     entered = fps.select("fp", popcounts(F.col("fp"), segments).alias("own")).select("fp", F.explode(cells(F.col("own"), segments)).alias("cell"))
-    shared = entered.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("cell")
-    candidates = stored(entered.join(shared, "cell", "left_semi").select("fp").distinct(), "simhash-candidates")
+    shared = stored(entered.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "simhash-cells")
+    # Most cells hold two, and those are compared at once.
+    pairs = shared.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
+    candidates = stored(entered.join(shared.where("n > 2"), "cell", "left_semi").select("fp").distinct(), "simhash-candidates")
     met = candidates.select("fp", F.explode(_around(F.col("fp"))).alias("value"))
     least = met.groupBy("value").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("value", "a")
-    return met.join(least, "value").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    return met.join(least, "value").where("a < fp").select("a", F.col("fp").alias("b")).union(pairs).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
