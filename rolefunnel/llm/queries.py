@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.llm import decontaminate, pieces, quality, simhash, toxicity
+from rolefunnel.llm import decontaminate, packing, pieces, quality, simhash, toxicity
 from rolefunnel.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op8_pieces_viterbi(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document, and the checksum of what they decode to."""
     found = pieces.encode_and_decode(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "ids", F.size("ids").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op1_packed_ids")
+def op1_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as rows of 2,048 token ids."""
+    return packing.pack(table(spark, folder, "documents"))
