@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.llm import decontaminate, packing, pieces, quality, simhash, toxicity
+from rolefunnel.llm import decontaminate, language, packing, pieces, quality, simhash, toxicity
 from rolefunnel.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,10 @@ def op8_pieces_viterbi(spark: SparkSession, folder: str) -> DataFrame:
 def op1_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as rows of 2,048 token ids."""
     return packing.pack(table(spark, folder, "documents"))
+
+
+@register("op7_language_crf")
+def op7_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by a random field learned outside fold 1 of 3."""
+    found = language.document_languages(table(spark, folder, "documents"), fold_of("id", 3) != 1)
+    return found.select(F.col("id").alias("doc_id"), (fold_of("id", 3) == 1).alias("held_out"), "lang_pred", "score")
