@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.llm import decontaminate, language, packing, pieces, quality, simhash, toxicity
+from rolefunnel.llm import decontaminate, language, packing, pieces, quality, simhash, spotsigs, toxicity
 from rolefunnel.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,42 @@ def op7_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document by a random field learned outside fold 1 of 3."""
     found = language.document_languages(table(spark, folder, "documents"), fold_of("id", 3) != 1)
     return found.select(F.col("id").alias("doc_id"), (fold_of("id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _spotsigs_sql() -> str:
+    stops = ", ".join(f"'{a}'" for a in spotsigs.ANCHORS)
+
+    def sigs(name: str, text: str) -> str:
+        words = rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+        return f"""
+{name}_w AS (SELECT doc_id, {words} AS w FROM t),
+{name}_c AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(stops, w[i])) AS c FROM {name}_w, s),
+{name}_k AS (SELECT doc_id, list_transform(range(1, len(c) + 1), lambda k:
+    CASE WHEN c[k] > 1 AND list_contains(stops, w[c[k] - 1]) THEN left(md5(w[c[k] - 1] || '_' || w[c[k]] || coalesce(' ' || w[c[k + 1]], '')), 8) END) AS a,
+    list_transform(range(1, len(c) + 1), lambda k: left(md5(w[c[k]] || coalesce(' ' || w[c[k + 1]], '')), 8)) AS b FROM {name}_c, s),
+{name} AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(list_filter(a, lambda x: x IS NOT NULL)) > 0 THEN list_filter(a, lambda x: x IS NOT NULL) ELSE b END)) AS g FROM {name}_k)"""
+
+    like = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+    return f"""
+WITH s AS (SELECT [{stops}] AS stops),
+d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+n AS (SELECT doc_id, x, coalesce(lead(x) OVER (ORDER BY doc_id DESC), first_value(x) OVER (ORDER BY doc_id DESC)) AS y FROM d),
+t AS (SELECT doc_id, x, y, left(x, length(x) - length(x) // 3) || left(y, length(x) // 3) AS e FROM n),{sigs("own", "x")},{sigs("changed", "e")},{sigs("following", "y")}
+SELECT t.doc_id, CAST(length(x) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256, array_to_string(own.g, '') AS fingerprint, array_to_string(changed.g, '') AS edited_fingerprint,
+       {like("own.g", "changed.g")} AS near_edited, {like("own.g", "following.g")} AS near_next
+FROM t JOIN own USING (doc_id) JOIN changed USING (doc_id) JOIN following USING (doc_id)"""
+
+
+@register("op9_spotsigs", _spotsigs_sql())
+def op9_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    found = spotsigs.fingerprints(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("own")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("changed")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        spotsigs.likeness(F.col("own"), F.col("following")).alias("near_next"),
+    )
