@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.llm import backoff, decontaminate, language, packing, pieces, quality, simhash, spotsigs, toxicity
+from rolefunnel.llm import backoff, decontaminate, language, packing, pieces, quality, repeats, simhash, spotsigs, toxicity
 from rolefunnel.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,10 @@ def op3_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
     """Mean log score per word of every document against the bigrams of all documents."""
     found = backoff.backoff_scores(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", F.round(F.col("total") / F.greatest("n_words", F.lit(1)), 6).alias("score"))
+
+
+@register("op10_run_length_repeats")
+def op10_run_length_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What removing earlier strings of 100 bytes leaves of every document."""
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
