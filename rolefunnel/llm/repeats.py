@@ -30,7 +30,7 @@ out.  Other columns of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefunnel.llm.common import PrefixHash, flat, map_batches, pair_hash, row_of, slices, stored
+from rolefunnel.llm.common import PrefixHash, flat, map_batches, pair_hash, per_row, row_of, slices, stored
 
 LENGTH = 100
 SEED = 40
@@ -310,31 +310,57 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, mo
     return stored(settled.unionByName(_settled(few, length, index_bytes)).unionByName(_by_window(many, length)), "repeat-windows")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, most_contexts: int = 64, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept): the bytes that stay, of every document with an id."""
-    slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    windows = repeated_windows(slim, length, seed, most_contexts, index_bytes)
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    seed: int = SEED,
+    most_contexts: int = 64,
+    index_bytes: int = INDEX_BYTES,
+    whole_characters: bool = False,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """(id, carried, n_bytes, n_removed, n_spans, kept): what stays of every document with an id.
+
+    ``kept`` is binary.  With ``whole_characters`` a character goes only if all its
+    bytes do, so that ``kept`` is valid UTF-8; the counts are of what goes then.
+    ``carried`` is a struct of the columns ``carry``.
+    """
+    slim = docs.select(
+        F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(docs[c] for c in carry), F.lit(True).alias("here")).alias("carried")
+    ).where("id is not null")
+    windows = repeated_windows(slim.select("id", "text"), length, seed, most_contexts, index_bytes)
     runs = windows.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, lists = batch.columns
-            lists = pc.fill_null(lists, []) if lists.null_count else lists
-            kept, removed, spans, sizes = [], [], [], []
-            for k in range(batch.num_rows):
-                data = np.frombuffer(texts[k].as_buffer(), np.uint8) if len(texts[k].as_py()) else np.zeros(0, np.uint8)
-                begin, end = lists.offsets[k].as_py(), lists.offsets[k + 1].as_py()
+            for part in slices(batch, "text"):
+                data, off = flat(part.column("text"))
+                lists = part.column("runs")
+                many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                cells = pc.list_flatten(lists)
+                row = np.repeat(np.arange(part.num_rows), many)
                 step = np.zeros(len(data) + 1, np.int32)
-                if end > begin:
-                    low, high = (lists.values.field(f).to_numpy(zero_copy_only=False)[begin:end] for f in (0, 1))
-                    np.add.at(step, low, 1)
-                    np.add.at(step, high + length, -1)
+                if len(row):
+                    np.add.at(step, off[row] + cells.field("low").to_numpy(zero_copy_only=False), 1)
+                    np.add.at(step, off[row] + cells.field("high").to_numpy(zero_copy_only=False) + length, -1)
                 gone = np.cumsum(step[:-1]) > 0
-                kept.append(data[~gone].tobytes())
-                removed.append(int(gone.sum()))
-                spans.append(len(_runs(gone)[0]))
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    joined = slim.join(runs, slim["id"] == runs["doc"], "left").select("id", "text", "runs")
-    return map_batches(joined, cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+                if whole_characters and len(data):
+                    begins = np.flatnonzero((data & 0xC0) != 0x80)
+                    gone = np.repeat(np.logical_and.reduceat(gone, begins), np.diff(np.append(begins, len(data))))
+                at = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1]]) if len(gone) else gone)
+                heads = np.unique(off[:-1][np.diff(off) > 0])
+                heads = heads[(heads > 0)]
+                at = np.union1d(at, heads[gone[heads] & gone[heads - 1]])
+                removed, spans = per_row(gone, off), np.bincount(row_of(off, at), minlength=part.num_rows)
+                left = data[~gone].tobytes()
+                to = off - np.concatenate([[0], np.cumsum(removed)])
+                kept = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(left)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("carried"), pa.array(np.diff(off)), pa.array(removed), pa.array(spans.astype(np.int64)), kept],
+                    ["id", "carried", "n_bytes", "n_removed", "n_spans", "kept"],
+                )
+
+    joined = slim.join(runs, slim["id"] == runs["doc"], "left").select("id", "text", "carried", "runs")
+    return map_batches(joined, cut, f"id bigint, carried {slim.schema['carried'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
