@@ -204,11 +204,11 @@ def mark_contexts(group: np.ndarray, bodies: list[bytes], length: int = LENGTH)
     sizes = np.array([len(b) for b in bodies])
     marks = [np.zeros(s - length + 1, bool) for s in sizes]
     alive = np.arange(len(bodies))
-    while True:
+    while len(alive):
         first = np.concatenate([[True], group[alive][1:] != group[alive][:-1]])
         follow = alive[~first]
         if not len(follow):
-            return marks
+            break
         # Only a context with others behind it is worth indexing.
         lead = alive[first & np.append(~first[1:], False)]
         index = RunIndex(np.concatenate([np.append(np.frombuffer(bodies[i], np.uint8).astype(np.int64) + 1, 0) for i in lead]))
@@ -222,7 +222,9 @@ def mark_contexts(group: np.ndarray, bodies: list[bytes], length: int = LENGTH)
             marks[i] |= found[r, width - sizes[i] : width - length + 1]
             if not marks[i].all():
                 left.append(i)
+        # A context whose windows are all repeats adds nothing to the index of its seed.
         alive = np.array(left, np.int64)
+    return marks
 
 
 def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
