@@ -35,11 +35,10 @@ from rolefunnel.llm.common import map_batches, slices
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this public vocabulary cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 200_000
+#: Characters that are tokenised at a time.
 STRETCH = 1 << 20
 
-# Between a mark and " x" the pattern above always cuts, so such parts are tokenised one by one.
-_PART = re.compile(r"\s*\S+(?:(?! \S)\s+\S+)*(?:\s+\Z)?|\s+")
+# Between a mark and " x" the pattern above always cuts, so a long text may be cut there first.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -51,32 +50,13 @@ class Tokenizer:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.size = max(ranks.values()) + 1
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.kept: dict[str, list[int]] = {}
-
-    def part(self, text: str) -> list[int]:
-        ids = self.kept.get(text)
-        if ids is None:
-            ids = self.encoding.encode_ordinary(text)
-            if len(text) <= 64:
-                if len(self.kept) >= KEPT_WORDS:
-                    self.kept.clear()
-                self.kept[text] = ids
-        return ids
 
     def encode(self, text: str) -> np.ndarray:
         out, low = [], 0
         while low < len(text):
             cut = _CUT.search(text, low + STRETCH) if len(text) - low > STRETCH else None
             high = cut.start() if cut else len(text)
-            place: dict[str, int] = {}
-            parts = _PART.findall(text[low:high])
-            at = np.fromiter((place.setdefault(p, len(place)) for p in parts), np.int64, len(parts))
-            found = [self.part(p) for p in place]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))
-            first, many = (np.cumsum(sizes) - sizes)[at], sizes[at]
-            to = np.cumsum(many)
-            out.append(ids[np.repeat(first - (to - many), many) + np.arange(to[-1])])
+            out.append(np.array(self.encoding.encode_ordinary(text[low:high]), np.uint32))
             low = high
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
