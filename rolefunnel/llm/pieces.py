@@ -9,8 +9,9 @@ boundary, everything before it is settled and its ids are committed.  A text of
 any length takes memory for what is not settled, never for a whole lattice.
 
 Where no piece of the vocabulary goes on over the start of a word, each word's
-start is such a boundary.  The search then restarts there, and a worker keeps the
-ids of words it has met: the ids are the same as those of one search.
+start is such a boundary, and so is each place between two characters that stand
+side by side in no piece.  The search then restarts there, and a worker keeps the
+ids of words and parts it has met: the ids are the same as those of one search.
 
 A character that no piece holds becomes its UTF-8 bytes.  A literal U+2581, which
 stands for a space inside pieces, is spelled in bytes too, so that decoding
@@ -21,9 +22,11 @@ never trained; its path is a parameter.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: What a character without a piece costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 #: Characters that are taken at a time from a long text.
 STRETCH = 1 << 20
 
@@ -51,10 +54,18 @@ class Vocabulary:
         self.pieces = {p: v for p, v in pieces.items() if p}
         self.byte_ids = byte_ids
         self.longest = max(map(len, self.pieces), default=1)
-        self.known: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p) + 1)}
-        self.known |= self.pieces  # None: the start of a piece only
+        # character -> [characters behind it, id, score of the piece that ends here, if one does]
+        self.trie: dict[str, list] = {}
+        for p, (i, score) in self.pieces.items():
+            node = self.trie
+            for c in p:
+                entry = node.setdefault(c, [{}, -1, None])
+                node = entry[0]
+            entry[1:] = [i, score]
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.words_split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
+        #: Neighbouring characters inside some piece; between two others every path has a boundary.
+        self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.kept: dict[str, list[int]] = {}
         table = [b""] * size
         for p, (i, _) in self.pieces.items():
@@ -76,7 +87,7 @@ class Vocabulary:
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Runs of ids as they are settled; ``text`` has its spaces replaced already."""
-        known, longest = self.known, self.longest
+        longest = self.longest
         n, settled = len(text), 0
         best: dict[int, float] = {0: 0.0}
         back: dict[int, tuple[int, int]] = {}  # boundary -> (boundary before, id or -1 for bytes)
@@ -91,16 +102,16 @@ class Vocabulary:
                 yield self._between(text, back, settled, common)
                 back = {k: v for k, v in back.items() if k > common}
                 settled = common
-            single = False
-            for end in range(i + 1, min(n, i + longest) + 1):
-                found = known.get(text[i:end], False)
-                if found is False:
+            node, single = self.trie, text[i] in self.pieces
+            for end in range(i + 1, n + 1):
+                entry = node.get(text[end - 1])
+                if entry is None:
                     break
-                if found is not None:
-                    single |= end == i + 1
-                    score = here + found[1]
+                node, piece, worth = entry
+                if worth is not None:
+                    score = here + worth
                     if end not in best or score > best[end]:
-                        best[end], back[end] = score, (i, found[0])
+                        best[end], back[end] = score, (i, piece)
                         reach = max(reach, end)
             if not single:
                 score = here + self.unknown
@@ -132,25 +143,31 @@ class Vocabulary:
 
     def _short(self, text: str) -> list[int]:
         """The same search over a text that fits a window or two: nothing needs to be committed early."""
-        known, n = self.known, len(text)
-        best: list[float | None] = [None] * (n + 1)
-        back: list = [None] * (n + 1)
+        n = len(text)
+        best, start, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            here = best[i]
-            for end in range(i + 1, n + 1):
-                found = known.get(text[i:end], False)
-                if found is False:
+            here, node, single = best[i], self.trie, False
+            for end in range(i, n):
+                entry = node.get(text[end])
+                if entry is None:
                     break
-                if found is not None:
-                    score = here + found[1]
-                    if best[end] is None or score > best[end]:
-                        best[end], back[end] = score, (i, found[0])
-            if text[i] not in self.pieces:
-                score = here + self.unknown
-                if best[i + 1] is None or score > best[i + 1]:
-                    best[i + 1], back[i + 1] = score, (i, -1)
-        return self._between(text, back, 0, n)
+                node, found, worth = entry
+                if worth is not None:
+                    single |= end == i
+                    score = here + worth
+                    if score > best[end + 1]:
+                        best[end + 1], start[end + 1], piece[end + 1] = score, i, found
+            if not single and here + self.unknown > best[i + 1]:
+                best[i + 1], start[i + 1], piece[i + 1] = here + self.unknown, i, -1
+        out = []
+        while n:
+            if piece[n] >= 0:
+                out.append(piece[n])
+            else:
+                out += [self.byte_ids[b] for b in reversed(text[start[n] : n].encode())]
+            n = start[n]
+        return out[::-1]
 
     def search(self, text: str) -> list[int]:
         if len(text) <= 2 * self.longest:
@@ -162,11 +179,24 @@ class Vocabulary:
         if ids is None:
             if len(self.kept) >= KEPT_WORDS:
                 self.kept.clear()
-            ids = self.search(word)
+            joined = self.joined
+            cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined]
+            if cuts:
+                ids = [i for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True) for i in self._part(word[a:b])]
+            else:
+                ids = self.search(word)
             if len(word) <= 64:
                 self.kept[word] = ids
         return ids
 
+    def _part(self, part: str) -> list[int]:
+        ids = self.kept.get(part)
+        if ids is None:
+            ids = self.search(part)
+            if len(part) <= 64:
+                self.kept[part] = ids
+        return ids
+
     def units(self, text: str) -> Iterator[list[str]]:
         """Parts of a text that can be searched one by one: words, by the stretch; "" is a literal U+2581."""
         for k, part in enumerate(text.split(SPACE) if text else []):
@@ -211,23 +241,35 @@ def vocabulary(path: str) -> Vocabulary:
 def encode_column(column: pa.Array, model: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts side by side, and the offsets of the texts."""
     voc = vocabulary(model)
-    values, counts = [], []
+    values, ends, total, held = [], [], 0, []
+
+    def settle() -> None:
+        """The ids of the words held, each distinct word looked up once."""
+        nonlocal total
+        place: dict[str, int] = {w: k for k, w in enumerate(dict.fromkeys(held))}
+        at = np.fromiter(map(place.__getitem__, held), np.int64, len(held))
+        found = [voc.unit(w) for w in place]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        first, many = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        to = np.cumsum(many)
+        values.append(ids[np.repeat(first - (to - many), many) + np.arange(to[-1])])
+        # Where each text that ended among these words ends in the ids.
+        for k in range(len(ends)):
+            if ends[k] < 0:
+                ends[k] = total + (int(to[-ends[k] - 2]) if ends[k] < -1 else 0)
+        total += int(to[-1])
+        held.clear()
+
     for text in column.to_pylist():
-        total = 0
         for unit in voc.units(text or ""):
-            place: dict[str, int] = {}
-            at = np.fromiter((place.setdefault(w, len(place)) for w in unit), np.int64, len(unit))
-            found = [voc.unit(w) for w in place]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum()))
-            first = np.cumsum(sizes) - sizes
-            many = sizes[at]
-            to = np.cumsum(many)
-            if len(at):
-                values.append(ids[np.repeat(first[at] - (to - many), many) + np.arange(to[-1])])
-                total += int(to[-1])
-        counts.append(total)
-    return np.concatenate([np.zeros(0, np.int32), *values]), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+            held += unit
+            if len(held) >= STRETCH:
+                settle()
+        ends.append(-len(held) - 1 if held else total)
+    if held:
+        settle()
+    return np.concatenate([np.zeros(0, np.int32), *values]), np.array([0, *ends], np.int64)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
