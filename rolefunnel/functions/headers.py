@@ -22,7 +22,7 @@ ROLE_NOT_STATED = "Role not stated in header — see description"
 EMPTY_HEADER = "HN Who's Hiring post"
 MAX_NAME_CHARS, MAX_NAME_WORDS = 80, 12
 MAX_TITLE_ROLES, MAX_TITLE_CHARS = 5, 200
-MIN_ROLE_LINKS, MAX_ROLE_LINKS = 2, 20
+MIN_ROLE_LINKS = 2
 
 
 def is_non_role_segment(segment: Column) -> Column:
@@ -154,7 +154,7 @@ def bullet_spans(lines: Column) -> Column:
     return let(lines, with_starts)
 
 
-def role_links(body: Column, hrefs: Column, limit: int = MAX_ROLE_LINKS) -> Column:
+def role_links(body: Column, hrefs: Column, limit: int | None = None) -> Column:
     """array<struct(name, url)> of bullets that carry a role name and their own link."""
 
     def pair(b: Column) -> Column:
@@ -165,4 +165,4 @@ def role_links(body: Column, hrefs: Column, limit: int = MAX_ROLE_LINKS) -> Colu
     good = F.filter(
         pairs, lambda p: p["name"].isNotNull() & p["url"].isNotNull() & is_application_link(p["url"])
     )
-    return F.slice(good, 1, limit)
+    return good if limit is None else F.slice(good, 1, limit)

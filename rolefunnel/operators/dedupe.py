@@ -78,7 +78,10 @@ def _with_root(slim: DataFrame) -> DataFrame:
         .filter(F.col("n") > 1)
         .select("norm_url", "first")
     )
-    return slim.join(repeated, "norm_url", "left").withColumn("root", F.coalesce("first", "ord")).drop("first")
+    # Rows without a URL have nothing to join and would all meet on one null key.
+    some, none = slim.filter(F.col("norm_url").isNotNull()), slim.filter(F.col("norm_url").isNull())
+    rooted = some.join(repeated, "norm_url", "left").withColumn("root", F.coalesce("first", "ord")).drop("first")
+    return rooted.unionByName(none.withColumn("root", F.col("ord")))
 
 
 def merge_survivors(df: DataFrame, members: DataFrame) -> DataFrame:
@@ -295,70 +298,117 @@ def fuzzy_pairs(
     )
 
 
-def elect_leaders(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, leader) for every node with an earlier neighbour that leads.
+def similar_nodes(
+    nodes: DataFrame, threshold: float = FUZZY_THRESHOLD, company_floor: float = MIN_COMPANY_SIMILARITY
+) -> DataFrame:
+    """(x, y): a row of node x is similar to an earlier row of node y; the ratio is not quite symmetric."""
+    candidates = candidate_pairs(nodes, threshold)
+    sides = ["company_key", "full_key"]
+    turned = candidates.select(
+        F.col("b").alias("a"), F.col("a").alias("b"),
+        *[F.col(f"b_{c}").alias(f"a_{c}") for c in sides], *[F.col(f"a_{c}").alias(f"b_{c}") for c in sides],
+    )
+    return (
+        candidates.select(turned.columns).union(turned)
+        .filter(similarity_ratio("a_company_key", "b_company_key") >= company_floor)
+        .filter(similarity_ratio("a_full_key", "b_full_key") >= threshold)
+        .select(F.col("a").alias("x"), F.col("b").alias("y"))
+    )
+
+
+def _least(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, first leading and first open unit of its rows)."""
+    return rows.groupBy(key).agg(
+        F.min(F.when(F.col("state") == "leads", F.col("unit"))).alias(f"{name}_leads"),
+        F.min(F.when(F.col("state") == "open", F.col("unit"))).alias(f"{name}_open"),
+    )
+
+
+def _least_near(edges: DataFrame, by_node: DataFrame) -> DataFrame:
+    """(node_key, first leading and first open unit among similar nodes)."""
+    met = edges.join(by_node.withColumnRenamed("node_key", "y"), "y")
+    return met.groupBy(F.col("x").alias("node_key")).agg(
+        F.min("node_leads").alias("near_leads"), F.min("node_open").alias("near_open")
+    )
+
 
-    A node leads when none of its earlier neighbours does, and follows the
-    earliest that does: the outcome of one scan in arrival order, reached in
-    rounds that each settle all nodes whose earlier neighbours are settled (or
-    one of whose earlier neighbours leads).
+def elect_leaders(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """``units`` with ``state`` leads or follows: the outcome of one scan in arrival order.
+
+    A unit (unit, url_key, node_key, guarded) follows when an earlier leading unit
+    has its URL, its node (unless guarded) or a similar node; else it leads.  Every
+    round settles the units none of whose earlier partners is open, or one of which
+    leads.  Partners are never paired: URLs, nodes and their neighbours give the
+    least place of a leading and of an open unit, which is all a unit has to know.
     """
-    edges = cut_lineage(pairs.select("a", "b"))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    has_earlier = edges.select(F.col("a").alias("node"), F.lit("open").alias("state")).distinct()
-    state = cut_lineage(
-        nodes.join(has_earlier, "node", "left").withColumn("state", F.coalesce("state", F.lit("leads")))
+    def several(key: str, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(key)
+
+    near = edges.select(F.col("x").alias("node_key")).union(edges.select("y")).distinct()
+    contested = (
+        units.join(several("url_key", units), "url_key", "left_semi").select("unit")
+        .union(units.join(several("node_key", units.filter(~F.col("guarded"))).union(near).distinct(), "node_key", "left_semi").select("unit"))
+        .distinct()
     )
-    for _ in range(max_rounds):
-        undecided = state.filter(F.col("state") == "open")
-        if undecided.isEmpty():
-            break
+    state = cut_lineage(units.join(contested, "unit", "left_semi").withColumn("state", F.lit("open")))
+    settled = units.join(contested, "unit", "left_anti").withColumn("state", F.lit("leads"))
+    while not state.filter(F.col("state") == "open").isEmpty():
+        by_url, by_node = _least(state, "url_key", "url"), _least(state, "node_key", "node")
         view = (
-            edges.join(undecided.select(F.col("node").alias("a")), "a", "left_semi")
-            .join(state.select(F.col("node").alias("b"), "state"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(
-                F.bool_or(F.col("state") == "leads").alias("led"),
-                F.bool_or(F.col("state") == "open").alias("waits"),
-            )
+            state.filter(F.col("state") == "open")
+            .join(by_url, "url_key").join(by_node, "node_key").join(_least_near(edges, by_node), "node_key", "left")
         )
-        now = F.when(F.col("led"), "follows").when(~F.col("waits"), "leads").otherwise(F.col("state"))
-        state = cut_lineage(state.join(view, "node", "left").select("node", now.alias("state")))
-    else:
-        raise RuntimeError(f"leader election did not settle in {max_rounds} rounds")
-    leads = state.filter(F.col("state") == "leads").select(F.col("node").alias("b"))
-    follows = state.filter(F.col("state") == "follows").select(F.col("node").alias("a"))
-    return (
-        edges.join(leads, "b", "left_semi")
-        .join(follows, "a", "left_semi")
-        .groupBy(F.col("a").alias("node"))
-        .agg(F.min("b").alias("leader"))
-    )
 
+        def first(which: str) -> Column:
+            own = F.when(~F.col("guarded"), F.col(f"node_{which}"))
+            return F.least(F.col(f"url_{which}"), own, F.col(f"near_{which}"))
 
-def _fuzzy_clusters(rooted: DataFrame, threshold: float, company_floor: float) -> DataFrame:
-    """(root, leader) for every exact group that belongs to another row's cluster."""
-    firsts = rooted.filter(F.col("ord") == F.col("root"))
-    nodes = cut_lineage(fuzzy_nodes(firsts))
-    followers = elect_leaders(fuzzy_pairs(nodes, threshold, company_floor))
-    decided = nodes.join(followers, "node", "left").select(
-        F.col("src").alias("n_src"),
-        F.col("company_key").alias("n_company_key"),
-        F.col("full_key").alias("n_full_key"),
-        # A leading node stands for all equal rows, except that rows with their
-        # own role id from one source never merge with each other.
-        F.coalesce("leader", F.when(F.col("src").isNull(), F.col("node"))).alias("leader"),
-    )
-    same = (
-        firsts["src"].eqNullSafe(F.col("n_src"))
-        & (firsts["company_key"] == F.col("n_company_key"))
-        & (firsts["full_key"] == F.col("n_full_key"))
+        now = (
+            F.when(first("leads") < F.col("unit"), "follows")
+            .when(first("open") < F.col("unit"), "open")
+            .otherwise("leads")
+        )
+        decided = view.select("unit", "url_key", "node_key", "guarded", F.coalesce(now, F.lit("leads")).alias("state"))
+        state = cut_lineage(decided.unionByName(state.filter(F.col("state") != "open")))
+    return settled.unionByName(state)
+
+
+def _clusters(slim: DataFrame, threshold: float, company_floor: float) -> DataFrame:
+    """(ord, cluster, len, tags): the leading row that every row belongs to.
+
+    A row with the URL of an earlier leading row belongs to it, any other to the
+    earliest similar leading row.  Only leading rows stand for their URL: one that
+    was merged by similarity does not hand its URL on.
+    """
+    nodes = cut_lineage(fuzzy_nodes(slim))
+    edges = cut_lineage(similar_nodes(nodes, threshold, company_floor))
+    same = ["src", "company_key", "full_key"]
+    # No key is null: a row without URL or node gets one of its own.
+    own = F.concat(F.lit("#"), F.col("ord").cast("string"))
+    plain = slim.filter((F.col("company_key") == "") | (F.col("full_key") == "") | F.col("company_key").isNull() | F.col("full_key").isNull())
+    named = slim.join(
+        nodes.select(*[F.col(c).alias(f"_{c}") for c in same], "node"),
+        F.col("src").eqNullSafe(F.col("_src")) & (F.col("company_key") == F.col("_company_key")) & (F.col("full_key") == F.col("_full_key")),
+    ).drop(*[f"_{c}" for c in same])
+    rows = cut_lineage(
+        named.unionByName(plain.withColumn("node", F.lit(None).cast("bigint"))).select(
+            "ord", "len", "tags",
+            F.coalesce("norm_url", own).alias("url_key"),
+            F.coalesce("node", -1 - F.col("ord")).alias("node_key"),
+            F.col("src").isNotNull().alias("guarded"),
+            # Rows with one URL and node, or one node and no URL, share one fate but for the first.
+            F.when(F.col("norm_url").isNotNull(), F.col("norm_url")).when(F.col("src").isNotNull() | F.col("node").isNull(), own).otherwise(F.lit("")).alias("_unit"),
+        )
     )
-    return (
-        firsts.join(decided.filter(F.col("leader").isNotNull()), same)
-        .select("root", "leader")
-        .filter(F.col("root") != F.col("leader"))
+    units = rows.groupBy("node_key", "_unit").agg(F.min("ord").alias("unit"), F.min_by("url_key", "ord").alias("url_key"), F.first("guarded").alias("guarded"))
+    state = cut_lineage(elect_leaders(cut_lineage(units.drop("_unit")), edges))
+    by_url, by_node = _least(state, "url_key", "url"), _least(state, "node_key", "node")
+    found = rows.join(by_url, "url_key", "left").join(by_node, "node_key", "left").join(_least_near(edges, by_node), "node_key", "left")
+    similar = F.least(F.when(~F.col("guarded"), F.col("node_leads")), F.col("near_leads"))
+    cluster = F.coalesce(
+        F.when(F.col("url_leads") <= F.col("ord"), F.col("url_leads")), F.when(similar < F.col("ord"), similar), F.col("ord")
     )
+    return found.select("ord", cluster.alias("cluster"), "len", "tags")
 
 
 def dedupe(
@@ -372,9 +422,5 @@ def dedupe(
     ``df`` needs a unique ``ord``.  Clustering runs on slim columns written once
     to the shared folder; the wide rows are shuffled once, by ``ord``.
     """
-    rooted = cut_lineage(_with_root(cut_lineage(_slim(df, keep_query_hosts))))
-    clusters = _fuzzy_clusters(rooted, threshold, company_floor)
-    members = rooted.join(clusters, "root", "left").select(
-        "ord", F.coalesce("leader", "root").alias("cluster"), "len", "tags"
-    )
-    return merge_survivors(with_dedup_key(df, keep_query_hosts), members)
+    members = _clusters(cut_lineage(_slim(df, keep_query_hosts)), threshold, company_floor)
+    return merge_survivors(with_dedup_key(df, keep_query_hosts), cut_lineage(members))

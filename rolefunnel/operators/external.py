@@ -26,15 +26,15 @@ RESPONSE_DDL = (
 SPAM_FLAG = "AI flagged this listing as not a genuine job posting (possible spam)"
 
 
-def build_requests(postings: DataFrame, profile: dict, instructions: str, max_chars: int = 4000) -> DataFrame:
-    """(dedup_key, request): one JSON request per posting, for any batch scorer."""
+def build_requests(postings: DataFrame, profile: dict, instructions: str, max_chars: int | None = None) -> DataFrame:
+    """(dedup_key, request): one JSON request per posting, for any batch scorer; ``max_chars`` shortens descriptions."""
     job = F.struct(
         "title",
         "company",
         "tags",
         "salary_text",
         "location_text",
-        F.left("description", F.lit(max_chars)).alias("description"),
+        (F.col("description") if max_chars is None else F.left("description", F.lit(max_chars))).alias("description"),
     )
     candidate = F.struct(*[F.lit(v).alias(k) for k, v in profile.items()])
     body = F.struct(
@@ -96,6 +96,12 @@ def cached_results(stored: DataFrame, hash_column: str | None = None) -> DataFra
     )
 
 
+def one_response(responses: DataFrame) -> DataFrame:
+    """(dedup_key, _response): one response per key; of a repeated one the newest ``received_at``, else the greatest."""
+    newest = F.struct(F.col("received_at"), F.col("r")) if "received_at" in responses.columns else F.struct("r")
+    return responses.groupBy("dedup_key").agg(F.max(newest)["r"].alias("_response"))
+
+
 def select_score(
     classified: DataFrame,
     rules: Rules,
@@ -112,7 +118,7 @@ def select_score(
     """
     bucket, relevant = F.col("eligibility_bucket"), F.col("is_relevant")
     df = classified.join(cached_results(stored, content_hash), "dedup_key", "left").join(
-        responses.select("dedup_key", F.col("r").alias("_response")), "dedup_key", "left"
+        one_response(responses), "dedup_key", "left"
     )
     cached = F.col("_cached")
     if content_hash:
@@ -137,7 +143,7 @@ def forced_rescore(keys: DataFrame, stored: DataFrame, responses: DataFrame) ->
     """
     asked = keys.select("dedup_key").distinct()
     found = asked.join(stored.withColumn("_known", F.lit(True)), "dedup_key", "left").join(
-        responses.select("dedup_key", F.col("r").alias("_response")), "dedup_key", "left"
+        one_response(responses), "dedup_key", "left"
     )
     error = (
         F.when(F.col("_known").isNull(), "unknown key")

@@ -44,7 +44,7 @@ def merge_keyed(
 
 
 def last_arrivals(incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """The row with the greatest ``ord`` of each key.
+    """The row with the greatest ``ord`` of each key; one of them where several share it.
 
     Only ids are aggregated and only keys that repeat come back: wide rows are
     not sorted ahead of the shuffle the merge needs anyway.
@@ -55,11 +55,9 @@ def last_arrivals(incoming: DataFrame, keys: list[str]) -> DataFrame:
         .filter(F.col("_n") > 1)
         .drop("_n")
     )
-    return (
-        incoming.join(repeated, keys, "left")
-        .filter(F.col("_last").isNull() | (F.col("ord") == F.col("_last")))
-        .drop("_last")
-    )
+    marked = incoming.join(repeated, keys, "left")
+    last = marked.filter(F.col("ord") == F.col("_last")).dropDuplicates(keys)
+    return marked.filter(F.col("_last").isNull()).unionByName(last).drop("_last")
 
 
 def merge_postings(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
@@ -170,11 +168,16 @@ def ordered(df: DataFrame, order_by: str) -> DataFrame:
     return df.orderBy(*terms)
 
 
+class StoreConflict(RuntimeError):
+    """Another writer has published since the snapshot was read."""
+
+
 class SnapshotTable:
     """Parquet snapshots below ``path`` with an atomic pointer to the current one."""
 
     def __init__(self, spark: SparkSession, path: str, ddl: str):
         self.spark, self.path, self.ddl = spark, path.rstrip("/"), ddl
+        self._seen: int | None = None  # how many snapshots there were when it was last read
 
     @classmethod
     def postings(cls, spark: SparkSession, path: str) -> SnapshotTable:
@@ -202,22 +205,53 @@ class SnapshotTable:
         names = sorted(s.getPath().getName() for s in fs.listStatus(root))
         return names[-1].split("~", 1)[1] if names else None
 
+    def _published(self) -> int:
+        jvm, fs = self._fs()
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        return len(fs.listStatus(root)) if fs.exists(root) else 0
+
     def read(self) -> DataFrame:
+        self._seen = self._published()
         current = self.version()
         if current is None:
             return self.spark.createDataFrame([], self.ddl)
         return self.spark.read.schema(self.ddl).parquet(f"{self.path}/{current}")
 
     def write(self, df: DataFrame, label: str | None = None) -> None:
-        """Write a new snapshot, then publish it by creating one pointer file."""
+        """Write a new snapshot, then publish it by creating one pointer file.
+
+        The place behind the snapshot that was last read is claimed by creating a
+        file that must not exist yet, so of two writers who merged into the same
+        snapshot the second fails with ``StoreConflict`` and can read and merge again.
+        """
         name = f"snapshot-{label or uuid.uuid4().hex}"
         conform(df, self.ddl).write.mode("overwrite").parquet(f"{self.path}/{name}")
         jvm, fs = self._fs()
         pointers = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
         fs.mkdirs(pointers)
-        sequence = len(fs.listStatus(pointers))
+        sequence = self._published() if self._seen is None else self._seen
+        self._claim(sequence, name)
         fs.create(jvm.org.apache.hadoop.fs.Path(pointers, f"{sequence:012d}~{name}")).close()
 
+        self._seen = sequence + 1
+
+    def _claim(self, sequence: int, name: str) -> None:
+        jvm, fs = self._fs()
+        claim = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{sequence:012d}")
+        try:
+            out = fs.create(claim, False)
+        except Exception as error:
+            if not fs.exists(claim):
+                raise
+            source = fs.open(claim)
+            owner = jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+            source.close()
+            if owner != name:  # a replay of the same batch may go on
+                raise StoreConflict(f"{self.path}: version {sequence} belongs to {owner}") from error
+            return
+        out.write(bytearray(name, "utf-8"))
+        out.close()
+
     def published(self, label: str) -> bool:
         """True when the snapshot of this label is already current or older."""
         jvm, fs = self._fs()

@@ -30,18 +30,9 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return add
 
 
-# Tables whose rows are costly to process; their key spreads them where the files are few.
-_HEAVY = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table; text tables in fewer splits than cores are spread by key."""
-    df = prepare(spark).read.parquet(f"{folder}/{name}.parquet")
-    key = _HEAVY.get(name)
-    cores = spark.sparkContext.defaultParallelism
-    if key and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    """A driver table; how it is split is for the session to say (spark.sql.files.maxPartitionBytes)."""
+    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def title_of(text: str = "text"):

@@ -177,7 +177,7 @@ _SQL_SLUG = f"{_SQL_BOARD} || '.com'"
     f"""SELECT 'c:' || p_brand || ':ashby:' || p_partkey AS source_id, p_name AS title, p_brand AS company,
       CASE WHEN p_partkey % 2 = 0 THEN 'plain' ELSE 'html' END AS description, 'https://a.example/' || p_partkey AS url,
       CASE WHEN p_partkey % 3 = 0 THEN {_SQL_FALLBACK} ELSE {_SQL_POSTED} END AS posted, p_type AS tags, 'Oslo' AS place, 'unclear' AS contract
-      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part WHERE p_partkey % 7 <> 0) WHERE rn <= 40 AND p_partkey % 11 <> 0""",
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part WHERE p_partkey % 7 <> 0) WHERE p_partkey % 11 <> 0""",
 )
 def _(spark, d):
     key = F.col("p_partkey")
@@ -202,7 +202,7 @@ def _(spark, d):
     f"""SELECT 'c:' || p_brand || ':greenhouse:' || p_partkey AS source_id, p_name AS title, p_brand AS company, p_type || ' & more' AS description,
       'https://g.example/' || p_partkey AS url, CASE p_partkey % 3 WHEN 0 THEN {_SQL_POSTED} WHEN 1 THEN {_SQL_POSTED} + 3600000000 ELSE {_SQL_FALLBACK} END AS posted,
       'dep' AS tags, CASE WHEN p_partkey % 2 = 0 THEN 'Rome' END AS place, 'unclear' AS contract
-      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE rn <= 40""",
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part)""",
 )
 def _(spark, d):
     key = F.col("p_partkey")
@@ -227,7 +227,7 @@ def _(spark, d):
       'https://l.example/' || p_partkey AS url, {_SQL_POSTED} AS posted, 'team,dep' AS tags,
       CASE WHEN p_partkey % 3 = 0 THEN 'Paris, remote' ELSE 'remote' END AS place,
       CASE WHEN p_partkey % 5 = 0 THEN 'freelance' ELSE 'employment' END AS contract
-      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE rn <= 40""",
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part)""",
 )
 def _(spark, d):
     key = F.col("p_partkey")
@@ -263,7 +263,7 @@ def _(spark, d):
         || CASE WHEN page_id IS NOT NULL AND page_id % 3 <> 0 THEN chr(10) || 'snippet of ' || page_id ELSE '' END AS description,
       'https://w.example/' || p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN {_SQL_FALLBACK} ELSE epoch_us(TIMESTAMP '2024-01-05') END AS posted,
       p_type AS tags, 'Lyon, FR' AS place, 'employment' AS contract
-      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) LEFT JOIN pages ON page_id = p_partkey WHERE rn <= 40""",
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) LEFT JOIN pages ON page_id = p_partkey""",
 )
 def _(spark, d):
     key = F.col("p_partkey")
@@ -293,7 +293,7 @@ def _(spark, d):
     f"""SELECT 'c:' || p_brand || ':recruitee:' || p_partkey AS source_id, p_name AS title, p_brand AS company, 'need' AS description,
       'https://r.example/' || p_partkey || '/apply' AS url, {_SQL_POSTED} AS posted, 'dep,' || p_type AS tags,
       CASE p_partkey % 4 WHEN 0 THEN 'Bonn, Remote' WHEN 1 THEN 'Bonn, Hybrid' WHEN 2 THEN 'Bonn, On-site' ELSE 'Bonn' END AS place,
-      'freelance' AS contract FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE rn <= 40""",
+      'freelance' AS contract FROM (SELECT *, {_SQL_ROLE} AS rn FROM part)""",
 )
 def _(spark, d):
     key = F.col("p_partkey")
@@ -323,7 +323,7 @@ def _(spark, d):
       'Tasks' || chr(10) || p_type || chr(10) || chr(10) || 'free' AS description,
       'https://' || {_SQL_BOARD} || '.jobs.personio.com/job/' || p_partkey AS url, {_SQL_POSTED} AS posted,
       'dep,' || p_type AS tags, CASE WHEN p_partkey % 2 = 0 THEN 'Ulm' END AS place, 'employment' AS contract
-      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE rn <= 40 AND p_partkey % 6 <> 5""",
+      FROM (SELECT *, {_SQL_ROLE} AS rn FROM part) WHERE p_partkey % 6 <> 5""",
 )
 def _(spark, d):
     key = F.col("p_partkey")
@@ -388,7 +388,7 @@ def _board_landing(spark, d):
 
 
 _SQL_REGISTRY = f"""r AS (SELECT *, {_SQL_ROLE} AS rn, {_SQL_SLUG} AS slug, regexp_extract(p_brand, '(\\d+)', 1)::INT AS num FROM part),
-  live AS (SELECT * FROM r WHERE rn <= 40 AND num % 5 <> 0)"""
+  live AS (SELECT * FROM r WHERE num % 5 <> 0)"""
 
 
 @query(

@@ -137,13 +137,13 @@ def _(spark, d):
 
 @query(
     "request_build",
-    f"""SELECT doc_id, {SQL_TITLE} AS title, source AS company, left(text, 400) AS description, 'engineer' AS role,
+    f"""SELECT doc_id, {SQL_TITLE} AS title, source AS company, text AS description, 'engineer' AS role,
         'Score it.' AS instructions, 2 AS tags, true AS has_salary_field FROM documents""",
 )
 def _(spark, d):
     """Requests are JSON; they are read back field by field."""
     docs = with_dedup_key(documents_as_postings(spark, d)).withColumn("salary_text", F.lit(None).cast("string"))
-    requests = ex.build_requests(docs, {"role_targets": ["engineer"]}, "Score it.", max_chars=400)
+    requests = ex.build_requests(docs, {"role_targets": ["engineer"]}, "Score it.")
     back = requests.join(docs.select("dedup_key", "doc_id"), "dedup_key").withColumn(
         "q",
         F.from_json(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rolefunnel.operators.boards import poll_counts
 from rolefunnel.operators.classify import classify
 from rolefunnel.operators.dedupe import dedupe
-from rolefunnel.operators.external import select_score
+from rolefunnel.operators.external import RESPONSE_DDL, select_score
 from rolefunnel.operators.report import bucket_counts, console_table, run_counters, top_n
 from rolefunnel.operators.rules import Settings
 from rolefunnel.operators.scoring import score
@@ -19,6 +19,7 @@ from rolefunnel.operators.store import SnapshotTable, merge_boards, merge_postin
 from rolefunnel.schema import CONTENT_DDL, conform
 from rolefunnel.session import prepare, scratch_path
 from rolefunnel.sources.registry import (
+    RANKS,
     SOURCES,
     discovered_boards,
     enabled_sources,
@@ -65,14 +66,14 @@ def collect_sources(
     """
     polled = poll_registry(boards, payloads, as_of, pages)
     parts, found = [conform(polled, CONTENT_DDL)], []
-    for rank, name in enumerate(enabled_sources(settings.sources), 1):
+    for name in enabled_sources(settings.sources):
         if name not in landed:
             continue
         kind = THREAD_KINDS.get(name)
         if kind is None:
             parts.append(SOURCES[name](landed[name]))
         else:
-            linked = link_boards(newest_postings(landed[name], kind, rank), pages)
+            linked = link_boards(newest_postings(landed[name], kind, RANKS[name]), pages)
             parts.append(expand_boards(linked, payloads, pages))
             found.append(discovered_boards(linked))
     return Collected(
@@ -100,7 +101,9 @@ def rank_postings(
 ) -> DataFrame:
     """Classify and score de-duplicated postings."""
     classified = classify(unique, settings.rules, keep_hits=True)
-    if settings.ranking_mode == "ai" and stored is not None and responses is not None:
+    if settings.ranking_mode == "ai" and stored is not None:
+        if responses is None:  # nothing new: cached results still count
+            responses = classified.sparkSession.createDataFrame([], f"dedup_key string, r struct<{RESPONSE_DDL}>")
         return select_score(classified, settings.rules, as_of, stored, responses)
     return score(classified, settings.rules, as_of)
 

@@ -67,17 +67,25 @@ def allowed(column: Column, values: list[str]) -> Column:
 def arrival_order(source_rank: int | Column, page: Column, position: Column) -> Column:
     """Pack (source, page, position, child) in one BIGINT, so order needs no global sort.
 
-    6 bits source, 30 bits page, 21 bits position, 6 bits for the children a row
-    may be expanded into (``child_order``).
+    The bits of each part are in ``ORDER_BITS``.  A part that needs more is an
+    error: two rows must never get one place.
     """
     rank = F.lit(source_rank) if isinstance(source_rank, int) else source_rank
-    return (
-        F.shiftleft(rank.cast("bigint"), 57)
-        + F.shiftleft(page.cast("bigint"), 27)
-        + F.shiftleft(position.cast("bigint"), 6)
-    )
+    packed = F.lit(0).cast("bigint")
+    for name, value in zip(ORDER_BITS, (rank, page, position), strict=False):
+        packed = F.shiftleft(packed, ORDER_BITS[name]) + _in_range(value.cast("bigint"), name)
+    return F.shiftleft(packed, ORDER_BITS["child"])
 
 
 def child_order(parent: Column, child: Column) -> Column:
-    """Order of the ``child``-th row (below 64) expanded from ``parent``."""
-    return parent + F.coalesce(child, F.lit(0)).cast("bigint")
+    """Order of the ``child``-th row expanded from ``parent``."""
+    return parent + _in_range(F.coalesce(child, F.lit(0)).cast("bigint"), "child")
+
+
+# Sources; payload files of a source; items of a file; rows an item is expanded into.
+ORDER_BITS = {"source": 4, "page": 21, "position": 20, "child": 18}
+
+
+def _in_range(value: Column, part: str) -> Column:
+    held = (value >= 0) & (value < 1 << ORDER_BITS[part])
+    return F.when(held | value.isNull(), value).otherwise(F.raise_error(F.lit(f"{part} of an arrival order is out of range")).cast("bigint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, used to cut lineage and for stream state.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that setting
-    is absent (local tests) a throw-away folder is made, once per session.
+    is absent and the master is local a throw-away folder is made, once per
+    session; a cluster without the setting is an error.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="rolefunnel-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     return configured.rstrip("/")

@@ -27,7 +27,6 @@ from rolefunnel.functions.text import (
 from rolefunnel.operators.boards import page_snippet
 from rolefunnel.schema import CONTENT_DDL, child_order, conform
 
-MAX_ROLES_PER_BOARD = 40
 
 ASHBY_ITEM = (
     "id string, title string, department string, team string, location string, publishedAt string, "
@@ -100,9 +99,11 @@ def _role(
     return role.cast(f"struct<{ROLE_DDL}>")
 
 
-def _roles(items: Column, cap: int, shape: Callable[[Column], Column]) -> Column:
-    """First ``cap`` items in the common shape; items without title or address go."""
-    first = F.slice(F.filter(items, lambda i: i.isNotNull()), 1, cap)
+def _roles(items: Column, cap: int | None, shape: Callable[[Column], Column]) -> Column:
+    """All items, or the first ``cap``, in the common shape; items without title or address go."""
+    first = F.filter(items, lambda i: i.isNotNull())
+    if cap is not None:
+        first = F.slice(first, 1, cap)
     return F.filter(F.transform(first, shape), lambda r: r["title"].isNotNull() & r["url"].isNotNull())
 
 
@@ -112,7 +113,7 @@ def _names(members: Column) -> Column:
     )
 
 
-def ashby(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+def ashby(payload: Column, slug: Column, cap: int | None = None) -> Column:
     listed = F.filter(_wrapped(payload, "jobs", ASHBY_ITEM), lambda j: F.coalesce(j["isListed"], F.lit(True)))
     return _roles(
         listed,
@@ -129,7 +130,7 @@ def ashby(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Colu
     )
 
 
-def greenhouse(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+def greenhouse(payload: Column, slug: Column, cap: int | None = None) -> Column:
     return _roles(
         _wrapped(payload, "jobs", GREENHOUSE_ITEM),
         cap,
@@ -145,7 +146,7 @@ def greenhouse(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) ->
     )
 
 
-def lever(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+def lever(payload: Column, slug: Column, cap: int | None = None) -> Column:
     """Bare array, epoch milliseconds, prose in several parts; a wrapped payload has no roles."""
     bare = F.startswith(F.ltrim(payload), F.lit("["))
     items = F.when(bare, F.from_json(payload, f"array<struct<{LEVER_ITEM}>>", {"mode": "PERMISSIVE"}))
@@ -175,7 +176,7 @@ def lever(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Colu
     return _roles(items, cap, shape)
 
 
-def workable(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+def workable(payload: Column, slug: Column, cap: int | None = None) -> Column:
     """The board's own company name is preferred; prose is added by the caller."""
     parsed = F.from_json(
         payload, f"struct<name: string, jobs: array<struct<{WORKABLE_ITEM}>>>", {"mode": "PERMISSIVE"}
@@ -198,7 +199,7 @@ def workable(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> C
     )
 
 
-def recruitee(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+def recruitee(payload: Column, slug: Column, cap: int | None = None) -> Column:
     def shape(j: Column) -> Column:
         mode = (
             F.when(j["remote"], F.array(F.lit("Remote")))
@@ -224,7 +225,7 @@ def recruitee(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) ->
     return _roles(_wrapped(payload, "offers", RECRUITEE_ITEM), cap, shape)
 
 
-def personio(payload: Column, slug: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+def personio(payload: Column, slug: Column, cap: int | None = None) -> Column:
     """XML; the slug carries company and top-level domain, the address is built from the id."""
     schema = f"struct<position: array<struct<{PERSONIO_ITEM}>>>"
     items = F.from_xml(payload, schema, {"rowTag": "workzag-jobs", "mode": "PERMISSIVE"})["position"]
@@ -260,7 +261,7 @@ PLATFORMS: dict[str, Callable[..., Column]] = {
 }
 
 
-def roles_in_payload(platform: Column, slug: Column, payload: Column, cap: int = MAX_ROLES_PER_BOARD) -> Column:
+def roles_in_payload(platform: Column, slug: Column, payload: Column, cap: int | None = None) -> Column:
     """Roles of any platform; null for an unknown one, none for a broken payload."""
     roles = F.lit(None)
     for name, parse in PLATFORMS.items():
@@ -272,15 +273,16 @@ def with_snippets(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
     """Extend the prose of Workable roles by the snippet of their landed page (url, html)."""
     if pages is None:
         return rows
-    snippets = pages.groupBy("url").agg(F.min(page_snippet(F.col("html"))).alias("_snippet"))
-    thin = F.when(F.col("platform") == "workable", F.col("url"))
+    is_thin = F.coalesce(F.col("platform") == "workable", F.lit(False)) & F.col("url").isNotNull()
+    # Only roles with a page to look up take part in the join, and only their pages are searched.
+    thin, rest = rows.filter(is_thin), rows.filter(~is_thin)
+    wanted = thin.select("url").distinct()
+    snippets = pages.join(wanted, "url", "left_semi").groupBy("url").agg(F.min(page_snippet(F.col("html"))).alias("_snippet"))
     text = F.concat_ws("\n", "description", F.col("_snippet"))
-    return (
-        rows.withColumn("_page", thin)
-        .join(snippets.withColumnRenamed("url", "_page"), "_page", "left")
-        .withColumn("description", F.when(F.col("_snippet").isNotNull(), text).otherwise(F.col("description")))
-        .drop("_page", "_snippet")
+    found = thin.join(snippets, "url", "left").withColumn(
+        "description", F.when(F.col("_snippet").isNotNull(), text).otherwise(F.col("description"))
     )
+    return found.select(*rows.columns).unionByName(rest)
 
 
 def with_original(rows: DataFrame) -> DataFrame:
@@ -291,7 +293,7 @@ def with_original(rows: DataFrame) -> DataFrame:
     )
 
 
-def board_postings(payloads: DataFrame, cap: int = MAX_ROLES_PER_BOARD, pages: DataFrame | None = None) -> DataFrame:
+def board_postings(payloads: DataFrame, cap: int | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Content rows (with platform, board_slug) of landed board payloads.
 
     Input: platform, board_slug, payload, company, comment_id, fallback_date,

@@ -152,10 +152,14 @@ def remotive(landed: DataFrame, rank: int = 1) -> DataFrame:
 
 
 def himalayas(
-    landed: DataFrame, rank: int = 4, page_size: int | None = 20, max_pages: int | None = 15
+    landed: DataFrame, rank: int = 4, page_size: int | None = None, max_pages: int | None = None
 ) -> DataFrame:
-    """Offset-paged: stops at a short page, first arrival per URL across pages."""
-    pages = readable_pages(landed, json_item_count("jobs"), page_size, 0, max_pages)
+    """Offset-paged, first arrival per URL across all landed pages.
+
+    With ``page_size`` or ``max_pages`` only what a reader with that limit had read.
+    """
+    limited = page_size is not None or max_pages is not None
+    pages = readable_pages(landed, json_item_count("jobs"), page_size, 0, max_pages) if limited else landed
     items = json_items(pages, HIMALAYAS_ITEM, "jobs")
     link = strip(_either(F.col("guid"), F.col("applicationLink")))
     rows = items.withColumns({"name": _text("title"), "link": link}).filter(
@@ -241,9 +245,9 @@ def weworkremotely(landed: DataFrame, rank: int = 6) -> DataFrame:
     )
 
 
-def arbeitnow(landed: DataFrame, rank: int = 7, max_pages: int | None = 5) -> DataFrame:
+def arbeitnow(landed: DataFrame, rank: int = 7, max_pages: int | None = None) -> DataFrame:
     """Page-numbered from 1, first arrival per slug, remote flag put into words."""
-    pages = readable_pages(landed, json_item_count("data"), None, 1, max_pages)
+    pages = landed if max_pages is None else readable_pages(landed, json_item_count("data"), None, 1, max_pages)
     items = json_items(pages, ARBEITNOW_ITEM, "data")
     rows = items.withColumns({"name": _text("title"), "link": _text("url"), "key": _text("slug")}).filter(
         (F.col("name") != "") & (F.col("link") != "") & (F.col("key") != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolefunnel.operators.windows import first_wins
@@ -11,14 +11,16 @@ from rolefunnel.operators.windows import first_wins
 def read_landed(spark: SparkSession, path: str, page_pattern: str = r"(\d+)\D*$") -> DataFrame:
     """(page, path, payload) of a folder of payload files.
 
-    ``page`` is the number ``page_pattern`` finds in the file name, 0 without one.
+    Pages count the files from 0, ordered by the number that ``page_pattern`` finds
+    in the file name (0 without one) and then by path: no two files share a page,
+    and a long number (a date, say) makes no long page.
     """
     number = F.regexp_extract(F.regexp_extract("path", r"([^/]*)$", 1), page_pattern, 1)
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
-        .withColumn("page", F.coalesce(F.nullif(number, F.lit("")), F.lit("0")).cast("bigint"))
-    )
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+    # One row per file and no payload: small enough to be counted in one task.
+    order = Window.orderBy(F.coalesce(F.nullif(number, F.lit("")), F.lit("0")).cast("decimal(38,0)"), "path")
+    pages = files.select("path").withColumn("page", (F.row_number().over(order) - 1).cast("bigint"))
+    return files.join(pages, "path")
 
 
 def _explode_items(landed: DataFrame, items: Column) -> DataFrame:

@@ -11,39 +11,47 @@ from rolefunnel.functions.text import SPACE, stripped_or_null
 from rolefunnel.functions.urls import URL_PATTERN
 from rolefunnel.operators.barrier import add_once
 from rolefunnel.operators.boards import resolve_boards
-from rolefunnel.schema import CONTENT_DDL, arrival_order, child_order, conform
+from rolefunnel.schema import CONTENT_DDL, ORDER_BITS, arrival_order, child_order, conform
 from rolefunnel.sources import feeds
 from rolefunnel.sources.board_payloads import board_postings, roles_in_payload, with_original, with_snippets
 from rolefunnel.sources.threads import FREELANCE, HIRING, PERMALINK, expand_role_links, thread_postings
 
 REGISTRY_SOURCE = "ats_board_registry"
 
+# The place of each source in the arrival order, the same whatever is switched on; the registry has 0.
+RANKS = {
+    name: rank
+    for rank, name in enumerate(
+        ["remoteok", "remotive", "hn_whoishiring", "hn_freelancer", "himalayas", "jobicy", "weworkremotely", "arbeitnow"], 1
+    )
+}
+
 # Source name -> DataFrame function, in processing order; the registry goes first.
 SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "remoteok": lambda landed: feeds.remoteok(landed, 1),
-    "remotive": lambda landed: feeds.remotive(landed, 2),
-    "hn_whoishiring": lambda threads: thread_postings(threads, HIRING, 3),
-    "hn_freelancer": lambda threads: thread_postings(threads, FREELANCE, 4),
-    "himalayas": lambda landed: feeds.himalayas(landed, 5),
-    "jobicy": lambda landed: feeds.jobicy(landed, 6),
-    "weworkremotely": lambda landed: feeds.weworkremotely(landed, 7),
-    "arbeitnow": lambda landed: feeds.arbeitnow(landed, 8),
+    "remoteok": lambda landed: feeds.remoteok(landed, RANKS["remoteok"]),
+    "remotive": lambda landed: feeds.remotive(landed, RANKS["remotive"]),
+    "hn_whoishiring": lambda threads: thread_postings(threads, HIRING, RANKS["hn_whoishiring"]),
+    "hn_freelancer": lambda threads: thread_postings(threads, FREELANCE, RANKS["hn_freelancer"]),
+    "himalayas": lambda landed: feeds.himalayas(landed, RANKS["himalayas"]),
+    "jobicy": lambda landed: feeds.jobicy(landed, RANKS["jobicy"]),
+    "weworkremotely": lambda landed: feeds.weworkremotely(landed, RANKS["weworkremotely"]),
+    "arbeitnow": lambda landed: feeds.arbeitnow(landed, RANKS["arbeitnow"]),
 }
 
 
 def poll_registry(
-    boards: DataFrame, payloads: DataFrame, as_of: Column, pages: DataFrame | None = None
+    boards: DataFrame, payloads: DataFrame, as_of: Column, pages: DataFrame | None = None, cap: int | None = None
 ) -> DataFrame:
     """Postings (with platform, board_slug) of every enabled board that has a landed payload.
 
     ``payloads`` is (platform, board_slug, payload), one row per board.  A board
     without a payload, or with a broken one, contributes nothing and disturbs no
-    other board.
+    other board.  ``cap`` keeps the first roles of each board; by default all stay.
     """
     key = ["platform", "board_slug"]
     # Boards have no arrival order: hash buckets plus a number inside the bucket
     # give each a unique place without sorting all of them in one task.
-    bucket = F.pmod(F.xxhash64(*key), F.lit(1 << 30))
+    bucket = F.pmod(F.xxhash64(*key), F.lit(1 << ORDER_BITS["page"]))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*key))
     enabled = (
         boards.filter(F.col("enabled"))
@@ -60,7 +68,7 @@ def poll_registry(
         F.lit(REGISTRY_SOURCE).alias("source"),
         arrival_order(0, F.col("_bucket"), F.col("_place")).alias("ord"),
     )
-    return board_postings(rows, pages=pages)
+    return board_postings(rows, cap, pages)
 
 
 def discovered_boards(linked: DataFrame) -> DataFrame:
@@ -81,18 +89,22 @@ def link_boards(postings: DataFrame, pages: DataFrame) -> DataFrame:
     return resolve_boards(own, pages, "_lookup").drop("_lookup")
 
 
-def expand_boards(linked: DataFrame, payloads: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def expand_boards(linked: DataFrame, payloads: DataFrame, pages: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Replace a posting that links to a whole board by the board's roles.
 
     ``linked`` comes from ``link_boards``; ``payloads`` is (platform, board_slug,
     payload), one row per board.  A posting whose board delivers nothing is split
-    into its bulleted role links, and failing that kept as it is.
+    into its bulleted role links, and failing that kept as it is.  ``cap`` keeps
+    the first roles of each board; by default all stay.
     """
     boards = payloads.select("platform", "board_slug", "payload")
-    rows = linked.withColumns(
-        {"platform": F.col("board.platform"), "board_slug": F.col("board.slug")}
-    ).join(boards, ["platform", "board_slug"], "left")
-    roles = roles_in_payload(F.col("platform"), F.col("board_slug"), F.col("payload"))
+    keyed = linked.withColumns({"platform": F.col("board.platform"), "board_slug": F.col("board.slug")})
+    # Most postings link to no board: they have nothing to join, and would all meet on one null key.
+    linked_to = F.col("platform").isNotNull() & F.col("board_slug").isNotNull()
+    rows = keyed.filter(linked_to).join(boards, ["platform", "board_slug"], "left").unionByName(
+        keyed.filter(~linked_to), allowMissingColumns=True
+    )
+    roles = roles_in_payload(F.col("platform"), F.col("board_slug"), F.col("payload"), cap)
     rows = add_once(rows, {"_roles": roles}).drop("payload")
     some = F.when(F.size("_roles") > 0, F.col("_roles"))
     rows = rows.select(*[c for c in rows.columns if c != "_roles"], F.posexplode_outer(some).alias("_pos", "_role"))

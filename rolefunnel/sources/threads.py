@@ -60,9 +60,9 @@ def title_includes(*wanted: str, without: tuple[str, ...] = ()) -> Callable[[Col
     return test
 
 
-def not_self_profile(text: Column) -> Column:
-    """Hiring, not someone presenting themselves (judged by the opening)."""
-    return ~F.left(text, F.lit(600)).rlike(SELF_PROFILE_PATTERN)
+def not_self_profile(text: Column, opening: int | None = None) -> Column:
+    """Hiring, not someone presenting themselves; judged by the first ``opening`` characters, or all."""
+    return ~(text if opening is None else F.left(text, F.lit(opening))).rlike(SELF_PROFILE_PATTERN)
 
 
 def leads_with_marker(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,12 +20,14 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Merge every micro-batch into the snapshot table.
 
-    The snapshot of a batch carries the batch number: a batch replayed after a
-    failure is recognised and merged once.
+    The snapshot of a batch carries the stream (its checkpoint folder) and the
+    batch number: a batch replayed after a failure is recognised and merged once,
+    and a stream with a new checkpoint starts its own count.
     """
+    stream_id = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        label = f"batch-{batch_id:012d}"
+        label = f"batch-{stream_id}-{batch_id:012d}"
         if not table.published(label):
             table.write(merge(table.read(), prepare(batch)), label)
 

@@ -62,12 +62,12 @@ def sequential(rows):
         if hit is None:
             kept.append(dict(c=c, k=k, source=source, own_id=own_id, ords=[o], rows=[r]))
             hit = len(kept) - 1
+            if u:
+                # Only a kept row stands for its URL.
+                by_url[u] = hit
         else:
             kept[hit]["ords"].append(o)
             kept[hit]["rows"].append(r)
-        if u:
-            # An exact group follows its first row wherever that row went.
-            by_url.setdefault(u, hit)
     out = {}
     for kr in kept:
         best = max(kr["rows"], key=lambda r: (len(r[3]), -r[0]))
@@ -121,3 +121,12 @@ def test_a_third_of_all_rows_is_one_posting(spark):
     got = {r["ord"]: r for r in d.dedupe(spark.createDataFrame(rows, DDL)).filter("company = 'Acme'").collect()}
     assert set(got) == {0}
     assert got[0]["description"] == "d" * 8 and got[0]["tags"] == ["t0", "t1", "t2"]
+
+
+def test_a_merged_row_does_not_hand_its_url_on(spark):
+    rows = [(0, "Senior Data Engineer", "Acme", "", "https://x.io/a", "s", None, []),
+            (1, "Senior Data Engineers", "Acme", "", "https://x.io/b", "s", None, []),
+            (2, "Warehouse Cook", "Zeta", "", "https://x.io/b", "s", None, []),
+            (3, "Gardener", "Zeta Parks", "", "https://x.io/b", "s", None, [])]
+    got = {r["ord"]: r["title"] for r in d.dedupe(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == {0: "Senior Data Engineer", 2: "Warehouse Cook"}

@@ -2,11 +2,14 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from rolefunnel.functions.dates import utc_timestamp
 from rolefunnel.operators.rules import settings_from
 from rolefunnel.operators.store import SnapshotTable, set_status
 from rolefunnel.plans.funnel import collect_sources, run, update_boards
-from rolefunnel.schema import BOARD_DDL, conform
+from rolefunnel.schema import BOARD_DDL, arrival_order, conform
 from rolefunnel.sources import feeds, threads
 from rolefunnel.sources.board_payloads import board_postings
 from rolefunnel.sources.landing import read_landed
@@ -143,3 +146,29 @@ def test_collect_polls_expands_and_records_boards(spark, tmp_path):
     assert set(table) == {("ashby", "old"), ("ashby", "off"), ("lever", "mute"), ("lever", "acme"), ("workable", "globex"), ("recruitee", "quiet")}
     assert table["ashby", "old"]["last_poll_result_count"] == 1 and table["lever", "mute"]["last_poll_result_count"] == 0
     assert table["ashby", "off"]["last_polled_at"] is None and table["lever", "acme"]["enabled"]
+
+
+def test_all_landed_pages_are_read(spark, tmp_path):
+    pages = {f"page_{n}": {"jobs": [{"title": f"T{n}", "guid": f"https://h/{n}"}] if n != 3 else []} for n in range(20)}
+    path = land(tmp_path / "all", **pages)
+    assert feeds.himalayas(read_landed(spark, path)).count() == 19
+    dated = land(tmp_path / "dated", jobs_20260731235959={"jobs": [{"title": "A", "guid": "https://h/a"}]},
+                 other_20260731235959={"jobs": [{"title": "B", "guid": "https://h/b"}]})
+    rows = feeds.himalayas(read_landed(spark, dated)).collect()
+    assert len({r["ord"] for r in rows}) == 2
+
+
+def test_board_of_a_hundred_roles(spark):
+    roles = [{"id": n, "title": f"R{n}", "absolute_url": f"https://g/{n}"} for n in range(100)]
+    df = spark.createDataFrame([("greenhouse", "a", json.dumps({"jobs": roles}), "Co", "c", None, None, "s", 0)],
+                               "platform string, board_slug string, payload string, company string, comment_id string, fallback_date timestamp, "
+                               "original_description string, source string, ord bigint")
+    rows = board_postings(df).collect()
+    assert len(rows) == len({r["ord"] for r in rows}) == 100
+    assert board_postings(df, cap=40).count() == 40
+
+
+def test_order_out_of_range_is_an_error(spark):
+    df = spark.range(1).select(arrival_order(1, F.lit(1 << 40), F.lit(0)).alias("o"))
+    with pytest.raises(Exception, match="out of range"):
+        df.collect()

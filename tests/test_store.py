@@ -45,3 +45,20 @@ def test_order_by_is_an_allow_list(spark):
     for bad in ("score; drop", "nope", "score desc nulls", ""):
         with pytest.raises(ValueError):
             st.ordered(df, bad)
+
+
+def test_second_of_two_writers_fails(spark, tmp_path):
+    one, two = (st.SnapshotTable.scans(spark, str(tmp_path / "w")) for _ in range(2))
+    rows = spark.createDataFrame([("x",)], "source_name string")
+    one.read()
+    two.read()
+    one.write(rows)
+    with pytest.raises(st.StoreConflict):
+        two.write(rows.union(rows))
+    two.write(two.read().union(spark.createDataFrame([("y", None)], "source_name string, last_scanned_at timestamp")))
+    assert one.read().count() == 2
+
+
+def test_one_row_for_a_repeated_arrival(spark):
+    rows = incoming(spark, ("a", "one", 1, 3), ("a", "two", 2, 3), ("b", "b", 1, 1))
+    assert sorted(r["dedup_key"] for r in st.last_arrivals(rows, ["dedup_key"]).collect()) == ["a", "b"]
