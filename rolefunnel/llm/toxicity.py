@@ -10,8 +10,10 @@ of ``window`` words (insults hide in long texts), and by what its words exceed
 ``EXCESS`` by.  A logistic curve fitted on labelled texts left out of the counts
 turns that into a score.
 
-The counts come from about ``most`` texts per class at most (a documented bound
-on the model, which is sent to all tasks); every text is scored, in whole.
+The counts come from about ``most`` toxic texts and ``ORDINARY`` times as many
+ordinary ones at most (a documented bound on the model, which is sent to all
+tasks); every text is scored, in whole.  They are summed by Spark; pairs seen once
+count for the lower levels but have no entry of their own.
 
 Cases: a text without words (null, empty, marks only) has difference 0 and gets
 the score that the curve has there.  Labels other than 0, 1 or null are ignored;
@@ -29,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolefunnel.llm.common import LOWER, WORD, PrefixHash, bounded_sample, flat, map_slices, pair_hash, row_of, spans
+from rolefunnel.llm.common import LOWER, WORD, PrefixHash, bounded_sample, flat, map_slices, pair_hash, row_of, spans, stored
 
 DISCOUNT = 0.75
-EXCESS = 2.0
+EXCESS = 3.0
+#: Ordinary texts in the sample for each toxic one.
+ORDINARY = 4
 #: Bytes of a word's stems, from long to short.
 STEMS = (5, 4)
 _START = np.uint64(1)
@@ -58,7 +62,8 @@ class ToxicModel:
 
     words: np.ndarray
     base: np.ndarray  # 2 x words: interpolated unigram probability
-    left: np.ndarray  # 2 x words: weight of the unigram level after this word
+    contexts: np.ndarray
+    left: np.ndarray  # 2 x contexts: weight of the unigram level after this word
     pairs: np.ndarray
     part: np.ndarray  # 2 x pairs: discounted relative frequency
     stems: list[tuple[np.ndarray, np.ndarray]]  # per stem level: sorted keys, 2 x keys: probability of an unknown word with it
@@ -73,7 +78,7 @@ class ToxicModel:
             base = np.where(known, prob[:, at], base)
         w, known = _find(self.words, levels[0])
         base = np.where(known, self.base[:, w], base)
-        v, after = _find(self.words, before)
+        v, after = _find(self.contexts, before)
         p, found = _find(self.pairs, pair_hash(before, levels[0]))
         # A word that no text of the sample has: its probability given the stem is shared and cancels out.
         prob = np.where(found, self.part[:, p], 0) + np.where(after, self.left[:, v], 1) * base
@@ -121,13 +126,18 @@ def _level(which: np.ndarray, size: int, seen: np.ndarray, below: np.ndarray) ->
     return out
 
 
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> ToxicModel:
-    """From distinct (word before, word, stems) columns and their 2 x n counts by class."""
-    before, word = keys[0], keys[1]
-    seen = counts > 0
+def kneser_ney(words: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> ToxicModel:
+    """From keys and 2 x n counts by class of words, contexts and pairs.
+
+    Words have rows of their hash and their stems, and count the distinct words
+    before them; contexts count their followers; pairs (word before, word) may be
+    some of all pairs, the rest being left to the lower level.
+    """
+    keys, seen = words
+    order = np.argsort(keys[0])
+    keys, seen = keys[:, order], seen[:, order]
     both = seen.sum(0).astype(float)
-    levels = [np.unique(k, return_inverse=True) for k in reversed(keys[2:])] + [np.unique(np.concatenate([before, word]), return_inverse=True)]
-    levels[-1] = (levels[-1][0], levels[-1][1][len(before) :])
+    levels = [np.unique(k, return_inverse=True) for k in reversed(keys[1:])] + [(keys[0], np.arange(keys.shape[1]))]
     shared = [np.bincount(at, weights=both, minlength=len(k)) + 1 for k, at in levels]
     base = np.stack([shared[0] / shared[0].sum()] * 2)
     stems = []
@@ -140,18 +150,14 @@ def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> ToxicModel:
         base = _level(at, len(k), seen, base)
         if i < len(levels) - 1:
             stems.insert(0, (k, base))
-    vocabulary, _ = levels[-1]
-    v = np.searchsorted(vocabulary, before)
-    left, part = np.ones((2, len(vocabulary))), np.zeros(counts.shape)
-    for c in range(2):
-        context = np.bincount(v, weights=counts[c], minlength=len(vocabulary))
-        follow = np.bincount(v, weights=seen[c], minlength=len(vocabulary))
-        some = context > 0
-        left[c, some] = DISCOUNT * follow[some] / context[some]
-        part[c] = np.maximum(counts[c] - DISCOUNT, 0) / np.maximum(context[v], 1)
-    pairs = pair_hash(before, word)
-    order = np.argsort(pairs)
-    return ToxicModel(vocabulary, base, left, pairs[order], part[:, order].astype(np.float32), stems)
+    by_context = np.argsort(contexts[0])
+    context, total = contexts[0][by_context], np.maximum(contexts[1][:, by_context], 1)
+    v = np.searchsorted(context, pairs[0][0])
+    part = np.maximum(pairs[1] - DISCOUNT, 0) / total[:, v]
+    left = np.stack([1 - np.bincount(v, weights=part[c], minlength=len(context)) for c in range(2)])
+    ids = pair_hash(*pairs[0])
+    by_pair = np.argsort(ids)
+    return ToxicModel(keys[0], base, context, left, ids[by_pair], part[:, by_pair].astype(np.float32), stems)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -166,6 +172,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.stack([np.append(mean, 0), np.append(spread, 1), w])
 
 
+def _arrays(frame: DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts by class of a table that the bounded sample keeps small."""
+    table = frame.select(*keys, "toxic", "ordinary").toArrow()
+    return np.stack([table.column(k).to_numpy().view(np.uint64) for k in keys]), np.stack([table.column(c).to_numpy() for c in ("toxic", "ordinary")])
+
+
+def _single(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys[0], counts
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", most: int = 2000, window: int = 3) -> ToxicModel | float:
     """The model, or the smoothed share of label 1 where the labels hold one class only; ``docs`` has id and text."""
     truth = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max(label).alias("y"))
@@ -173,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, label:
     sizes = dict(truth.groupBy("y").count().collect())
     if not (sizes.get(0) and sizes.get(1)):
         return (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
-    chosen = bounded_sample(truth.where("y = 1"), "id", most).union(bounded_sample(truth.where("y = 0"), "id", most))
+    chosen = bounded_sample(truth.where("y = 1"), "id", most).union(bounded_sample(truth.where("y = 0"), "id", ORDINARY * most))
     # The sample is bounded by ``most``, so it may be sent to all tasks.
     texts = docs.join(F.broadcast(chosen), "id").select("id", "y", "text", (F.pmod(F.xxhash64(F.lit("curve"), "id"), F.lit(4)) == 0).alias("curve"))
 
@@ -186,11 +202,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, label:
         return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(t.astype(np.int32)) for t in tallies], [*_KEYS, "toxic", "ordinary"])
 
     pairs = map_slices(texts.where("not curve"), count, ", ".join(f"{c} bigint" for c in _KEYS) + ", toxic int, ordinary int")
-    table = pairs.groupBy(*_KEYS).agg(*(F.sum(c).cast("int").alias(c) for c in ("toxic", "ordinary"))).toArrow()
-    if not table.num_rows:
+    pairs = stored(pairs.groupBy("v", "w").agg(*(F.first(k).alias(k) for k in _KEYS[2:]), *(F.sum(c).cast("int").alias(c) for c in ("toxic", "ordinary"))), "toxicity-pairs")
+    if pairs.isEmpty():
         return (sizes[1] + 1) / (sum(sizes.values()) + 2)
+    kinds = [F.sum((F.col(c) > 0).cast("int")).alias(c) for c in ("toxic", "ordinary")]
+    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
     model = kneser_ney(
-        np.stack([table.column(k).to_numpy().view(np.uint64) for k in _KEYS]), np.stack([table.column(k).to_numpy() for k in ("toxic", "ordinary")])
+        _arrays(pairs.groupBy("w").agg(*(F.first(k).alias(k) for k in _KEYS[2:]), *kinds), _KEYS[1:]),
+        _single(*_arrays(pairs.groupBy("v").agg(*sums), ["v"])),
+        _arrays(pairs.where("toxic + ordinary > 1"), ["v", "w"]),
     )
     model.window = window
     held = _apply(texts.where("curve"), model, "y int", lambda m, d: d).toPandas()

@@ -283,15 +283,18 @@ def test_kneser_ney_sums_to_one():
     keys, at = np.unique(np.stack([before, words, stems, stems // np.uint64(2)]), axis=1, return_inverse=True)
     y = rng.integers(0, 2, 500)
     counts = np.stack([np.bincount(at.ravel()[y == c], minlength=keys.shape[1]) for c in (0, 1)])
-    model = toxicity.kneser_ney(keys, counts)
-    assert np.allclose(model.base.sum(1), 1)
-    for v in np.unique(before)[:5]:
-        place = np.searchsorted(model.words, v)
-        total = model.left[:, place] * 1.0
-        for w in np.unique(words):
-            p, found = toxicity._find(model.pairs, toxicity.pair_hash(np.array([v]), np.array([w])))
-            total = total + np.where(found, model.part[:, p], 0).ravel()
-        assert np.allclose(total, 1, atol=1e-5)
+    per = lambda row, values: np.stack([[x[keys[row] == k].sum() for k in np.unique(keys[row])] for x in values])
+    kinds, where = np.unique(keys[1], return_index=True)
+    for least in (1, 2):
+        some = counts.sum(0) >= least
+        model = toxicity.kneser_ney((keys[1:, where], per(1, counts > 0)), (np.unique(keys[0]), per(0, counts)), (keys[:2, some], counts[:, some]))
+        assert np.allclose(model.base.sum(1), 1)
+        for v in np.unique(before):
+            total = model.left[:, np.searchsorted(model.contexts, v)] * 1.0
+            for w in kinds:
+                p, found = toxicity._find(model.pairs, toxicity.pair_hash(np.array([v]), np.array([w])))
+                total = total + np.where(found, model.part[:, p], 0).ravel()
+            assert np.allclose(total, 1, atol=1e-5)
 
 
 def test_toxicity_scores(spark, empty):
