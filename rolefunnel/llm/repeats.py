@@ -43,7 +43,7 @@ from rolefunnel.llm.common import PrefixHash, flat, map_batches, pair_hash, per_
 LENGTH = 100
 SEED = 40
 #: Bytes of context that are indexed together (whole seeds; more if one seed has more).
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 21
 #: A long document is searched for seeds in stretches of this many windows.
 STRETCH = 1 << 20
 
@@ -127,14 +127,14 @@ class RunIndex:
         self.text = np.concatenate([text, np.zeros(256, text.dtype)]).astype(np.int64)
         # Ranks of substrings of 1, 2, 4, ... 64 codes: the order of suffixes, and common prefixes of any two.
         rank = self.text[: n + 128].copy()
-        self.ranks = [rank]
+        self.ranks = [rank.astype(np.int32)]
         width = 1
         while width < 64:
             joined = rank[: n + 128 - width] * (int(rank.max()) + 1) + rank[width : n + 128]
             values, rank_ = np.unique(joined, return_inverse=True)
             rank = np.concatenate([rank_, np.zeros(width, np.int64)])
             width *= 2
-            self.ranks.append(rank)
+            self.ranks.append(rank.astype(np.int32))
         rank64 = rank[: n + 64]
         order = np.argsort(rank64[:n] * (int(rank64.max()) + 1) + rank64[64 : n + 64], kind="stable")
         before = np.where(order > 0, self.text[order - 1], 0)
@@ -262,22 +262,31 @@ def _settled(contexts: DataFrame, length: int, index_bytes: int) -> DataFrame:
 
 
 def _by_window(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc, low, high) of repeated windows, each window by itself."""
+    """(doc, low, high) of repeated windows, each window by itself; one row per window and batch is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for _, doc, low, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(body, np.uint8)
                 at = np.arange(len(data) - length + 1)
-                one, two = PrefixHash(data).of(at, at + length), PrefixHash(255 - data).of(at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(low + at)], ["one", "two", "doc", "low"])
+                found.append((PrefixHash(data).of(at, at + length), PrefixHash(255 - data).of(at, at + length), np.full(len(at), doc), low + at))
+            if not found:
+                continue
+            one, two, doc, low = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((low, doc, two, one))
+            one, two, doc, low = one[order], two[order], doc[order], low[order]
+            done = np.concatenate([[False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])])
+            # A window that its batch has had is settled; it gets a key of its own.
+            two = np.where(done, pair_hash(doc.astype(np.uint64), low.astype(np.uint64)), two)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(low), pa.array(done)], ["one", "two", "doc", "low", "done"])
 
-    windows = map_batches(contexts, run, "one bigint, two bigint, doc bigint, low bigint")
-    least = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "low")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return windows.join(least, ["one", "two"]).where(F.struct("doc", "low") > F.col("least")).select("doc", "low", F.col("low").alias("high"))
+    windows = map_batches(contexts, run, "one bigint, two bigint, doc bigint, low bigint, done boolean")
+    least = F.min(F.struct("doc", "low")).over(Window.partitionBy("one", "two"))
+    return windows.withColumn("least", least).where(F.col("done") | (F.struct("doc", "low") > F.col("least"))).select("doc", "low", F.col("low").alias("high"))
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, most_contexts: int = 64, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, most_contexts: int = 16, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc, low, high): runs of windows, by their first bytes, that also start earlier; ``docs`` has id and text."""
     by_context = Window.partitionBy("h", "c").orderBy("doc", "place")
     by_seed = Window.partitionBy("h")
@@ -318,7 +327,7 @@ def remove_repeats(
     text_col: str = "text",
     length: int = LENGTH,
     seed: int = SEED,
-    most_contexts: int = 64,
+    most_contexts: int = 16,
     index_bytes: int = INDEX_BYTES,
     whole_characters: bool = False,
     carry: Sequence[str] = (),
