@@ -9,8 +9,8 @@ from rolefunnel.functions.constants import const_array, const_map
 from rolefunnel.functions.text import strip
 
 _ISO = (
-    r"^(\d{4}-\d{2}-\d{2})"
-    r"(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(Z|[+-]\d{2}:?\d{2})?)?$"
+    r"^(\d{4}-\d{2}-\d{2}|\d{8})"
+    r"(?:[T ](\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{4}|\d{6}(?:[.,]\d+)?)(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
 # Month abbreviations and the zone names of RFC 822.
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -32,17 +32,26 @@ def _utc(date: Column, time: Column, offset: Column) -> Column:
 
 
 def parse_iso(c: Column) -> Column:
-    """ISO-8601 date or date-time; without an offset it is taken as UTC."""
-    raw_offset = F.regexp_extract(c, _ISO, 3)
-    offset = F.when(raw_offset.isin("", "Z"), "+00:00").otherwise(
-        F.regexp_replace(raw_offset, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
+    """ISO-8601 date or date-time, extended or compact; without an offset it is taken as UTC.
+
+    The hour may stand alone, and of a long fraction six digits count.
+    """
+    c = strip(c)
+    date = F.regexp_replace(F.regexp_extract(c, _ISO, 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    time = F.regexp_extract(c, _ISO, 2)
+    for short, full in (
+        (r"^(\d{2})(\d{2})(\d{2})", "$1:$2:$3"), (r"^(\d{2})(\d{2})$", "$1:$2"), (r"^(\d{2})$", "$1:00"), (",", "."), (r"(\.\d{6})\d+$", "$1"),
+    ):
+        time = F.regexp_replace(time, short, full)
+    zone = F.regexp_extract(c, _ISO, 3)
+    offset = F.when(zone.isin("", "Z"), "+00:00").otherwise(
+        F.regexp_replace(F.regexp_replace(zone, r"^([+-]\d{2})$", "$1:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2")
     )
-    parsed = _utc(F.regexp_extract(c, _ISO, 1), F.regexp_extract(c, _ISO, 2), offset)
-    return F.when(c.rlike(_ISO), parsed)
+    return F.when(c.rlike(_ISO), _utc(date, time, offset))
 
 
 def parse_rfc822(c: Column) -> Column:
-    """Mail/RSS date such as ``Wed, 22 Jul 2026 07:02:04 +0000``; no zone means UTC."""
+    """Mail/RSS date such as ``Sun, 09 Mar 2025 05:06:07 +0000``; no zone means UTC."""
     c = strip(c)
     month = F.array_position(const_array(_MONTHS), F.lower(F.regexp_extract(c, _RFC822, 2)))
     year = F.regexp_extract(c, _RFC822, 3)
@@ -74,7 +83,7 @@ def parse_epoch(c: Column, milliseconds: bool = False) -> Column:
 
 
 def parse_space_utc(c: Column) -> Column:
-    """``2026-07-31 22:26:40 UTC`` and the ISO forms."""
+    """``2025-03-09 05:06:07 UTC`` and the ISO forms."""
     c = strip(c)
     bare = strip(F.regexp_replace(c, r" UTC$", ""))
     marked = F.concat(F.replace(bare, F.lit(" "), F.lit("T")), F.lit("+00:00"))

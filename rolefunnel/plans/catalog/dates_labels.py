@@ -151,7 +151,7 @@ def _(spark, d):
     return places.select("s_suppkey", lb.location_allow_list(listed).alias("place"))
 
 
-_LABELS = ["Full-Time", "Contract, full-time hours", "parttime fixed term", "", "Werkstudent/in", "to be agreed"]
+_LABELS = ["Full-Time", "B2B contract (six months)", "fixed term, parttime", "", "Werkstudent/in", "ask us"]
 _SQL_LABEL = "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_LABELS)) + " END"
 
 

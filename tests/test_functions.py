@@ -1,6 +1,7 @@
 """Column functions against the standard library and by example."""
 
 import html
+from datetime import datetime
 from email.utils import parsedate_to_datetime
 
 from hypothesis import HealthCheck, given, settings
@@ -61,13 +62,17 @@ def test_apply_link_prefers_known_host_then_path_then_cue(spark):
 
 
 def test_dates(spark):
-    iso = ["2026-07-22T07:02:04Z", "2026-07-22", "2026-07-22 07:02:04.5+02:00", "July", "2026-07", None, ""]
+    micros = lambda text: int(datetime.fromisoformat(text).timestamp() * 1_000_000)
+    iso = ["2025-03-09T05:06:07Z", "2025-03-09", "2025-03-09 05:06:07.5+02:00", "March", "2025-03", None, ""]
     got = apply(spark, iso, lambda c: F.unix_micros(dates.parse_iso(c)))
-    assert got == [1784703724000000, 1784678400000000, 1784696524500000, None, None, None, None]
-    mail = ["Wed, 22 Jul 2026 07:02:04 +0000", "22 Jul 2026 07:02 -0130", "Wed, 2 Jul 99 7:02:04 GMT"]
+    assert got == [micros(iso[0]), micros("2025-03-09T00:00:00+00:00"), micros(iso[2]), None, None, None, None]
+    short = ["20250309", "2025-03-09T05Z", "2025-03-09T05:06:07.1234567Z", "20250309T050607+0130", "2025-03-09T05:06-03"]
+    want = [micros(v if "T" in v else v + "T00:00:00+00:00") for v in short]
+    assert apply(spark, short, lambda c: F.unix_micros(dates.parse_iso(c))) == want
+    mail = ["Sun, 09 Mar 2025 05:06:07 +0000", "9 Mar 2025 05:06 -0130", "Tue, 9 Mar 99 5:06:07 GMT"]
     want = [int(parsedate_to_datetime(v).timestamp()) for v in mail]
-    assert apply(spark, mail + ["2026-07-22T07:02:04Z"], lambda c: F.unix_seconds(dates.parse_rfc822(c))) == want + [None]
-    assert apply(spark, ["1784703724", "x", "1e30"], lambda c: F.unix_seconds(dates.parse_epoch(c))) == [1784703724, None, None]
+    assert apply(spark, mail + ["2025-03-09T05:06:07Z"], lambda c: F.unix_seconds(dates.parse_rfc822(c))) == want + [None]
+    assert apply(spark, ["1741496767", "x", "1e30"], lambda c: F.unix_seconds(dates.parse_epoch(c))) == [1741496767, None, None]
 
 
 def test_salary_and_location(spark):
@@ -81,7 +86,7 @@ def test_salary_and_location(spark):
 
 
 def test_contract_labels(spark):
-    values = ["Contract, full-time hours", "FULL_TIME", "Freiberuflich", "", None, "Other"]
+    values = ["B2B contract (six months)", "FULL_TIME", "Freiberuflich", "", None, "Other"]
     assert apply(spark, values, labels.contract_from_label) == [
         "freelance", "employment", "freelance", "unclear", "unclear", "unclear"]
 

@@ -48,7 +48,7 @@ def test_broken_payload_loses_nothing_else(spark, tmp_path):
 
 def test_rss(spark, tmp_path):
     xml = ("<rss><channel><item><title>Acme: Dev: x</title><region></region><country>DE</country><guid>https://w/1</guid>"
-           "<pubDate>Wed, 22 Jul 2026 07:02:04 +0000</pubDate><type>Contract</type></item>"
+           "<pubDate>Sun, 09 Mar 2025 05:06:07 +0000</pubDate><type>Contract</type></item>"
            "<item><title>Solo</title><guid>https://w/2</guid></item></channel></rss>")
     path = land(tmp_path / "w", feed_0=xml, feed_1=xml.replace("Solo", "Later"), feed_2="<rss><chan")
     rows = feeds.weworkremotely(read_landed(spark, path)).orderBy("url").collect()
