@@ -34,12 +34,17 @@ def json_items(landed: DataFrame, ddl: str, member: str | None) -> DataFrame:
     """One row per item: (page, pos, and the fields of ``ddl``).
 
     ``member`` names the array inside a wrapped object; None means the payload
-    is a bare array.  A payload of another shape yields no rows.
+    is a bare array.  A payload of another shape yields no rows; an item that is no
+    object has null fields and disturbs no other item.
     """
-    item = f"array<struct<{ddl}>>"
-    schema = item if member is None else f"struct<{member}: {item}>"
-    parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE"})
-    items = parsed if member is None else parsed[member]
+    def parse(item: str) -> Column:
+        schema = f"array<{item}>" if member is None else f"struct<{member}: array<{item}>>"
+        parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE"})
+        return parsed if member is None else parsed[member]
+
+    # One scalar among the objects makes the whole array unreadable as structs: then item by item.
+    item = f"struct<{ddl}>"
+    items = F.coalesce(parse(item), F.transform(parse("string"), lambda i: F.from_json(i, item, {"mode": "PERMISSIVE"})))
     shaped = F.startswith(F.ltrim("payload"), F.lit("[" if member is None else "{"))
     return _explode_items(landed, F.when(shaped, items))
 

@@ -172,3 +172,11 @@ def test_order_out_of_range_is_an_error(spark):
     df = spark.range(1).select(arrival_order(1, F.lit(1 << 40), F.lit(0)).alias("o"))
     with pytest.raises(Exception, match="out of range"):
         df.collect()
+
+
+def test_scalar_items_disturb_no_other(spark, tmp_path):
+    item = {"id": 1, "slug": "s", "position": "P", "company": "C", "url": "https://r/1", "tags": ["a"]}
+    bare = land(tmp_path / "bare", f_0=[{"legal": 1}, 7, item, "text", None, [1]])
+    assert [r["source_id"] for r in feeds.remoteok(read_landed(spark, bare)).collect()] == ["1"]
+    wrapped = land(tmp_path / "wrapped", f_0={"jobs": [3, {"title": "T", "guid": "https://h/1"}]})
+    assert [r["title"] for r in feeds.himalayas(read_landed(spark, wrapped)).collect()] == ["T"]
