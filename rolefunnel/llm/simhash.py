@@ -16,6 +16,13 @@ Cases: a text with no words (null, empty, white space) has fingerprint 0 and is
 linked like any other; fewer words than a shingle are one shingle.  Equal texts
 share a fingerprint and meet as one row.  Repeated ids give repeated rows.
 Other columns of the input are not read.
+
+Bits reach only the closest copies: a pair whose sets of five-word shingles have
+Jaccard similarity 0.8 differs in ten bits on average.  ``similar`` therefore links
+by the sets themselves, without loss.  A pair at ``similarity`` shares one of the
+first n - ceil(similarity * n) + 1 shingles of both sets in any fixed order; common
+shingles come last in it.  Nodes that meet in such a shingle are compared with the
+smallest one there first, then all that are not yet in one component.
 """
 
 from __future__ import annotations
@@ -23,17 +30,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefunnel.llm.common import LOWER, VISIBLE, flat, map_slices, row_of, spans, stored
+from rolefunnel.llm.common import LOWER, VISIBLE, PrefixHash, bounded_sample, flat, map_slices, mix, row_of, spans, stored
 
 BITS = 64
 _CHUNK = 1 << 15
+#: Documents and shingles that settle which shingles count as common: only the order depends on them, no result.
+SAMPLE_DOCS = 10_000
+COMMON = 500_000
 
 
-def fingerprints_of(column: pa.Array, words: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of every text over shingles of ``words`` words, as unsigned 64-bit integers."""
+def _shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The words of all texts with one space between them, start and end of every shingle there, its row; rows."""
     data, off = flat(column)
     n = len(off) - 1
     starts, ends = spans(data, off, VISIBLE)
@@ -46,16 +56,21 @@ def fingerprints_of(column: pa.Array, words: int = 3, seed: int = 42) -> np.ndar
     shift = np.repeat(starts - first, size)
     at = np.arange(len(shift)) + np.repeat(np.arange(len(size)), size)
     body[at] = LOWER[data[at + shift]]
-    text = body.tobytes()
     count = np.bincount(rows, minlength=n)
     before = np.cumsum(count) - count
     opens = np.arange(len(rows))
     closes = np.minimum(opens + words, (before + count)[rows]) - 1
     keep = (closes - opens == words - 1) | ((opens == before[rows]) & (count[rows] < words))
     opens, closes = opens[keep], closes[keep]
+    return body, first[opens], (to - 1)[closes], rows[opens], n
+
+
+def fingerprints_of(column: pa.Array, words: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of every text over shingles of ``words`` words, as unsigned 64-bit integers."""
+    body, starts, ends, owner, n = _shingles(column, words)
+    text = body.tobytes()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[a:b], seed) for a, b in zip(first[opens].tolist(), (to - 1)[closes].tolist(), strict=True)), np.uint64, len(opens))
-    owner = rows[opens]
+    hashes = np.fromiter((digest(text[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
     total = np.zeros((n, BITS), np.int64)
     for low in range(0, len(hashes), _CHUNK):
         part, who = hashes[low : low + _CHUNK], owner[low : low + _CHUNK]
@@ -155,3 +170,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = roots.join(best, "root").select("fp", "component")
     every = groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
     return found.join(every, "fp").select("id", "fp", "component")
+
+
+def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of all texts, ascending within each; their rows; size and 64-bit hash of each set."""
+    body, starts, ends, owner, n = _shingles(column, words)
+    hashes = PrefixHash(body).of(starts, ends)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    size = np.bincount(owner, minlength=n)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), out=total[1:])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    node = mix(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64))
+    return hashes, owner, size, node.view(np.int64)
+
+
+def _common(slim: DataFrame, words: int) -> np.ndarray:
+    """Shingles that recur in a sample of documents, the rarest first."""
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        keys, n = np.unique(shingle_sets(part.column("text"), words)[0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    sample = bounded_sample(slim, "id", SAMPLE_DOCS)
+    found = map_slices(sample, work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
+    top = found.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    return top.column("key").to_numpy().view(np.uint64)[::-1].copy()
+
+
+def prefixes(slim: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, node, size): each set by the first shingles of which two sets at ``similarity`` share one."""
+    ranked = _common(slim, words)
+    by_hash = np.argsort(ranked)
+    sent = slim.sparkSession.sparkContext.broadcast((ranked[by_hash], by_hash))
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        common, rank = sent.value
+        hashes, owner, size, node = shingle_sets(part.column("text"), words)
+        place = np.zeros(len(hashes), np.int64)  # common shingles after all others, by rank
+        if len(common):
+            at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+            place = np.where(common[at] == hashes, rank[at] + 1, 0)
+        order = np.lexsort((hashes, place, owner))
+        hashes, owner = hashes[order], owner[order]
+        within = np.arange(len(hashes)) - (np.cumsum(size) - size)[owner]
+        length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+        keep = within < length[owner]
+        rows = np.unique(np.stack([hashes[keep].view(np.int64), node[owner[keep]], size[owner[keep]]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["key", "node", "size"])
+
+    return map_slices(slim, work, "key bigint, node bigint, size bigint")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of every document; sets of shingles with at least this Jaccard similarity are linked.
+
+    Equal sets, also empty ones, are one node, named by a 64-bit hash.
+    """
+    slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+
+    def name(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(shingle_sets(part.column(1), words)[3])], ["id", "node"])
+
+    found = stored(map_slices(slim, name, "id bigint, node bigint"), "similar-nodes")
+    whole = Window.partitionBy("key")
+    rows = prefixes(slim, words, similarity).withColumn("lead", F.min("node").over(whole)).withColumn("last", F.max("node").over(whole))
+    met = stored(rows.where("lead < last").select("key", "node", "size", "lead").distinct(), "similar-met")
+
+    def lists(part: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, _, size, node = shingle_sets(part.column("text"), words)
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["node", "set"])
+
+    names = met.select("node").distinct()
+    sets = stored(map_slices(slim, lists, "node bigint, set array<bigint>").join(names, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+        right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - F.lit(1e-9)).select("a", "b")
+
+    fits = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - F.lit(1e-9)
+    leads = met.where("node = lead").select("key", F.col("size").alias("m"))
+    stars = met.join(leads, "key").where("lead < node").withColumnRenamed("size", "n").where(fits).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    edges = stored(verified(stars), "similar-stars")
+    named = components(edges)
+    # Whatever is still apart where it meets: every pair.
+    apart = met.join(named, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    apart = apart.withColumn("one", F.min("root").over(whole)).withColumn("other", F.max("root").over(whole)).where("one < other")
+    apart = stored(apart.select("key", "node", "size", "root"), "similar-apart")
+    left = apart.select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("ra"))
+    right = apart.select("key", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("rb"))
+    pairs = left.join(right, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    edges = edges.unionByName(verified(pairs.join(stars, ["a", "b"], "left_anti")))
+    groups = stored(found.groupBy("node").agg(F.min("id").alias("first")), "similar-groups")
+    roots = components(edges).join(groups, "node")
+    best = roots.groupBy("root").agg(F.min("first").alias("component"))
+    linked = roots.join(best, "root").select("node", "component")
+    every = groups.join(linked, "node", "left").select("node", F.coalesce("component", "first").alias("component"))
+    return found.join(every, "node").select("id", "component")

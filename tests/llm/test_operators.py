@@ -248,6 +248,39 @@ def test_near_duplicates(docs, empty, texts):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def brute_shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+
+@pytest.mark.parametrize("common", [simhash.COMMON, 0])
+def test_similar_against_brute_force(spark, docs, empty, texts, monkeypatch, common):
+    """Edited copies down to Jaccard 0.7 of five-word shingles: linked from 0.8 on, all of them and no others."""
+    monkeypatch.setattr(simhash, "COMMON", common or 1)
+    rng = random.Random(11)
+    rows = dict(texts)
+    for k in range(12):
+        # Words of their own, and one passage that all have.
+        words = [f"w{k}x{rng.randrange(900)}" for _ in range(rng.choice([7, 40, 100, 300]))] + [f"same{i}" for i in range(12)]
+        rows[1000 + 20 * k] = " ".join(words)
+        for j in range(1, 9):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), min(len(words), 1 + j * len(words) // 300)):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            rows[1000 + 20 * k + j] = " ".join(copy[: len(copy) - (j % 3)])
+    sets = {i: brute_shingles(t) for i, t in rows.items()}
+    like = lambda a, b: sets[a] == sets[b] or (len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]))
+    want = closure(list(rows), like)
+    table = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string").repartition(3)
+    assert {r.id: r.component for r in simhash.similar(table).collect()} == want
+    assert sum(want[i] != i for i in rows) > 40
+    assert simhash.similar(empty).count() == 0
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()}
+    assert kept == set(want.values())
+
+
 @pytest.mark.parametrize("segments", [8, 16])
 def test_links_of_clouds_and_chains(spark, segments):
     rng = random.Random(2)
