@@ -11,10 +11,12 @@ key and summed.  Very frequent bigrams would be hot keys of that join, and there
 are few of them: the commonest ``hot`` ones are looked up where the documents are
 read, so only the others are shuffled.
 
-The vocabulary is the ``vocabulary`` commonest words (all with a count at or above
-the least count that keeps it within that size); other words count as one unknown
-word.  It and the hot bigrams are the only data sent to all tasks, 16 bytes an
-entry, bounded by these two parameters.
+Every word has its own count.  The ``common`` commonest words (all with a count at or
+above the least count that keeps them within that number) are numbered and sent to
+all tasks, like the hot bigrams: 16 bytes an entry, bounded by these two parameters.
+Other words, and bigrams with one, are keyed by hashes; their counts stay in tables
+and reach the documents by the same join.  With ``vocabulary`` set, and only then,
+words beyond the commonest count as one unknown word.
 
 Cases: a null text, or one without words, has 0 words and a score of 0.  Repeated
 rows count, and are scored, as often as they occur; rows with the same id are
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolefunnel.llm.common import LOWER, WORD, PrefixHash, flat, map_batches, row_of, slices, spans, stored
+from rolefunnel.llm.common import LOWER, WORD, PrefixHash, flat, map_batches, pair_hash, row_of, slices, spans, stored
 
 _START = np.uint64(1)
 #: Bits of a word's number inside a bigram's key.
 _BITS = 31
+#: The two upper bits of a key: 00 two numbered words, 01 a document's own row, 10 a bigram with another word, 11 such a word.
+_OWN, _PAIR, _WORD = np.int64(1 << 62), np.uint64(1 << 63), np.uint64(3 << 62)
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -64,6 +68,10 @@ def _counted(docs: DataFrame, keys_of, schema: str = "key bigint, n bigint") ->
     return map_batches(docs, run, schema).groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(2) | _WORD).view(np.int64)
+
+
 @dataclass
 class Lexicon:
     """The vocabulary: sorted word hashes, the number of each (by falling count), counts by number."""
@@ -72,9 +80,10 @@ class Lexicon:
     numbers: np.ndarray
     counts: np.ndarray  # by number; then the unknown word, then the start of a text
     total: int
+    open: bool  # words without a number keep counts of their own
 
-    def pairs(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Key of every word and the word before it, the word's number, its row; rows."""
+    def pairs(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+        """Key of every word and the word before it, the word's number, its row; rows; names of both words: number or key."""
         hashes, rows, n = _words(column)
         unique, at = np.unique(hashes, return_inverse=True)
         unknown = len(self.hashes)
@@ -85,24 +94,35 @@ class Lexicon:
             numbers = np.zeros(len(hashes), np.int64)
         before = np.full(len(numbers), unknown + 1)
         before[1:] = np.where(rows[1:] == rows[:-1], numbers[:-1], unknown + 1)
-        return before << _BITS | numbers, numbers, rows, n
+        keys, name, name_before = before << _BITS | numbers, numbers, before
+        if self.open:
+            name = np.where(numbers == unknown, word_keys(hashes), numbers)
+            name_before = before.copy()
+            name_before[1:] = np.where(rows[1:] == rows[:-1], name[:-1], before[1:])
+            other = (numbers == unknown) | (before == unknown)
+            left, right = name_before[other].view(np.uint64), name[other].view(np.uint64)
+            keys[other] = (pair_hash(left, right) >> np.uint64(2) | _PAIR).view(np.int64)
+        return keys, numbers, rows, n, name_before, name
 
     def single(self, alpha: float) -> np.ndarray:
-        """log(alpha * c(w) / N) by number."""
-        return np.log(alpha * np.maximum(self.counts, 1) / max(self.total, 1))
+        """log(alpha * c(w) / N) by number; 0 for words that are joined."""
+        out = np.log(alpha * np.maximum(self.counts, 1) / max(self.total, 1))
+        if self.open:
+            out[len(self.hashes)] = 0.0
+        return out
 
     def gains(self, keys: np.ndarray, counts: np.ndarray, alpha: float) -> np.ndarray:
         return np.log(counts / self.counts[keys >> _BITS]) - self.single(alpha)[keys & ((1 << _BITS) - 1)]
 
 
-def lexicon(docs: DataFrame, vocabulary: int) -> Lexicon:
-    """Count all words and keep the commonest; ``docs`` has text."""
+def lexicon(docs: DataFrame, most: int, open: bool) -> tuple[Lexicon, DataFrame]:
+    """Count all words and number the commonest; ``docs`` has text.  Also (key, n) of the other words."""
     words = stored(_counted(docs, lambda c: _words(c)[0]), "backoff-words")
     # Words per count: the least count that keeps the vocabulary within its size.
     by_count = words.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
     least, size = 1 << 62, 0
     for row in by_count:
-        if size + row["words"] > vocabulary:
+        if size + row["words"] > most:
             break
         least, size = row["n"], size + row["words"]
     all_words = words.agg(F.sum("n")).first()[0] or 0
@@ -113,12 +133,47 @@ def lexicon(docs: DataFrame, vocabulary: int) -> Lexicon:
     numbers[by_rank] = np.arange(len(hashes))
     order = np.argsort(hashes)
     texts = docs.where(F.lower("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")).count()
-    return Lexicon(hashes[order], numbers[order], np.concatenate([counts[by_rank], [all_words - counts.sum(), texts]]).astype(np.float64), int(all_words))
+    found = Lexicon(hashes[order], numbers[order], np.concatenate([counts[by_rank], [all_words - counts.sum(), texts]]).astype(np.float64), int(all_words), open)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(word_keys(batch.column("key").to_numpy().view(np.uint64))), batch.column("n")], ["key", "n"])
+
+    return found, map_batches(words.where(F.col("n") < least), named, "key bigint, n bigint")
+
+
+def other_bigrams(docs: DataFrame, sent, others: DataFrame, min_count: int, alpha: float) -> DataFrame:
+    """(key, n, gain) of every bigram with a word that has no number, as in ``bigram_table``; ``others`` counts those words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value.counts
+        for batch in batches:
+            for part in slices(batch, "text"):
+                keys, _, _, _, v, w = sent.value.pairs(part.column("text"))
+                at = np.flatnonzero(keys < 0)
+                unique, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+                v, w = v[at][first], w[at][first]
+                # A numbered word brings its count, and a name that no table has.
+                count = [np.where(x >= 0, counts[np.maximum(x, 0)], 0).astype(np.int64) for x in (v, w)]
+                name = [np.where(x >= 0, unique, x) for x in (v, w)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unique, n, *name, *count)], ["key", "n", "v", "w", "cv", "cw"])
+
+    rows = map_batches(docs, run, "key bigint, n bigint, v bigint, w bigint, cv bigint, cw bigint")
+    counted = rows.groupBy("key").agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("v", "w", "cv", "cw")]).where(F.col("n") >= min_count)
+    for name in ("v", "w"):
+        counted = counted.join(others.select(F.col("key").alias(name), F.col("n").alias(f"n{name}")), name, "left")
+    v, w = F.coalesce("nv", "cv"), F.coalesce("nw", "cw")
+    return counted.select("key", "n", (F.log(F.col("n") / v) - F.log(F.lit(alpha) * w / F.lit(float(max(sent.value.total, 1))))).alias("gain"))
 
 
 def bigram_table(docs: DataFrame, sent, min_count: int, alpha: float) -> DataFrame:
-    """(key, n, gain) of every bigram seen at least ``min_count`` times; ``sent`` is the broadcast lexicon."""
-    counts = _counted(docs, lambda c: sent.value.pairs(c)[0].view(np.uint64)).where(F.col("n") >= min_count)
+    """(key, n, gain) of every bigram of numbered words seen at least ``min_count`` times; ``sent`` is the broadcast lexicon."""
+
+    def numbered(column: pa.Array) -> np.ndarray:
+        keys = sent.value.pairs(column)[0]
+        return keys[keys >= 0].view(np.uint64)
+
+    counts = _counted(docs, numbered).where(F.col("n") >= min_count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,13 +199,26 @@ def _hot(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def backoff_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, vocabulary: int = 1_000_000, hot: int = 1_000_000
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    alpha: float = 0.4,
+    min_count: int = 2,
+    vocabulary: int | None = None,
+    hot: int = 1_000_000,
+    common: int = 1_000_000,
 ) -> DataFrame:
     """(id, n_words, total): words and summed log scores of every document."""
     context = docs.sparkSession.sparkContext
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sent = context.broadcast(lexicon(slim.select("text"), vocabulary))
-    table = stored(bigram_table(slim.select("text"), sent, min_count, alpha), "backoff-bigrams")
+    found, others = lexicon(slim.select("text"), common if vocabulary is None else vocabulary, vocabulary is None)
+    sent = context.broadcast(found)
+    counts = bigram_table(slim.select("text"), sent, min_count, alpha)
+    if found.open and not others.isEmpty():
+        others = stored(others, "backoff-others")
+        alone = others.select("key", "n", F.log(F.lit(alpha) * F.col("n") / F.lit(float(found.total))).alias("gain"))
+        counts = counts.unionByName(other_bigrams(slim.select("text"), sent, others, min_count, alpha)).unionByName(alone)
+    table = stored(counts, "backoff-bigrams")
     least, hot_keys, hot_gains = _hot(table, hot)
     near = context.broadcast((hot_keys, hot_gains))
 
@@ -159,9 +227,11 @@ def backoff_scores(
         single = words.single(alpha)
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, numbers, rows, n = words.pairs(part.column("text"))
+                keys, numbers, rows, n, _, name = words.pairs(part.column("text"))
                 count = np.bincount(rows, minlength=n)
                 base = np.bincount(rows, weights=single[numbers], minlength=n)
+                other = name < 0  # what these words score alone is in the table as well
+                keys, rows = np.concatenate([keys, name[other]]), np.concatenate([rows, rows[other]])
                 unique, at = np.unique(keys, return_inverse=True)
                 is_hot = np.zeros(len(unique), bool)
                 if len(keys_hot):
@@ -174,7 +244,7 @@ def backoff_scores(
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 owner, which = both // max(len(unique), 1), both % max(len(unique), 1)
                 # A document's own row has a key that no bigram has.
-                own = -1 - np.arange(n)
+                own = _OWN + np.arange(n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([own, unique[which]])), pa.array(np.concatenate([ids, ids[owner]])),
@@ -185,7 +255,7 @@ def backoff_scores(
 
     rows = map_batches(slim.where("id is not null"), run, "key bigint, id bigint, n bigint, base double")
     joined = rows.join(table.where(F.col("n") < least).select("key", "gain"), "key", "left")
-    mine = F.col("key") < 0
+    mine = F.col("key") >= F.lit(int(_OWN))
     return joined.groupBy("id").agg(
         F.sum(F.when(mine, F.col("n")).otherwise(F.lit(0))).alias("n_words"),
         F.sum(F.when(mine, F.col("base")).otherwise(F.col("n") * F.coalesce("gain", F.lit(0.0)))).alias("total"),

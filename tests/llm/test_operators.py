@@ -173,6 +173,25 @@ def test_backoff_by_plain_python(docs, empty, texts):
     assert backoff.backoff_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("common, hot", [(0, 0), (12, 10), (12, 10**6), (10**6, 10)])
+def test_backoff_keeps_all_words(docs, texts, common, hot):
+    """However few words are sent to all tasks, every word scores by its own count."""
+    words = [SQL_WORD.findall(lower(t)) for t in [*texts.values(), texts[2]]]
+    flatten = [w for ws in words for w in ws]
+    uni = {w: flatten.count(w) for w in set(flatten)} | {"": sum(bool(ws) for ws in words)}
+    pairs = [list(zip(["", *ws], ws)) for ws in words]
+    for min_count in (1, 2):
+        two = {}
+        for p in itertools.chain(*pairs):
+            two[p] = two.get(p, 0) + 1
+        score = lambda p: np.log(two[p] / uni[p[0]] if two[p] >= min_count else 0.4 * uni[p[1]] / len(flatten))
+        got = {r.id: (r.n_words, r.total) for r in backoff.backoff_scores(docs, min_count=min_count, hot=hot, common=common).collect()}
+        for doc, ps in zip(texts, pairs):
+            times = 2 if doc == 2 else 1
+            assert got[doc][0] == times * len(ps)
+            assert got[doc][1] == pytest.approx(times * sum(map(score, ps)), rel=1e-9, abs=1e-9)
+
+
 # --- 4 decontamination
 
 
