@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.llm import backoff, decontaminate, language, packing, pieces, quality, repeats, simhash, spotsigs, toxicity
+from rolefunnel.llm import backoff, decontaminate, language, ledger, merkle, packing, pieces, quality, repeats, simhash, spotsigs, toxicity
 from rolefunnel.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,82 @@ def op10_run_length_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What removing earlier strings of 100 bytes leaves of every document."""
     found = repeats.remove_repeats(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _merkle_sql() -> str:
+    mark = lambda x: f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    row = lambda n: "sha256(" + " || ".join(mark(x) for x in ("doc_id", "source", "lang", n, "text")) + ")"
+    # crc32: every byte, then eight shifts of one bit.
+    steps = "list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [ord(d), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"xor(list_reduce(CAST({steps} AS BIGINT[]), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+    climb = lambda t: f"SELECT g, lvl + 1, pos // 2, any_value(n), sha256(string_agg(h, '' ORDER BY pos)) FROM {t} WHERE n > 2 ** lvl GROUP BY g, lvl, pos // 2"
+    return f"""
+WITH RECURSIVE d AS (SELECT *, coalesce('=' || lang, '') AS g, {crc} % 7 = 0 AS tampered FROM documents),
+l AS (SELECT doc_id, g, {row("n_chars")} AS leaf, CASE WHEN tampered THEN {row("n_chars + 1")} ELSE {row("n_chars")} END AS seen FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+t AS (SELECT g, 0 AS lvl, pos, n, leaf AS h FROM p UNION ALL {climb("t")}),
+s AS (SELECT g, h FROM t WHERE n <= 2 ** lvl),
+q AS (SELECT g AS lang, '' AS g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM s),
+u AS (SELECT g, 0 AS lvl, pos, n, h FROM q UNION ALL {climb("u")}),
+lower_steps AS (SELECT doc_id, lvl, t.h, ((p.pos >> t.lvl) & 1) = 1 AS after FROM p JOIN (SELECT unnest(range(0, 64)) AS k) x ON p.n > 2 ** k
+  LEFT JOIN t ON t.g = p.g AND t.lvl = k AND t.pos = xor(p.pos >> k, 1) WHERE t.h IS NOT NULL
+  UNION ALL SELECT doc_id, k, '', false FROM p JOIN (SELECT unnest(range(0, 64)) AS k) x ON p.n > 2 ** k ANTI JOIN t ON t.g = p.g AND t.lvl = k AND t.pos = xor(p.pos >> k, 1)),
+upper_steps AS (SELECT doc_id, 100 + k AS lvl, coalesce(u.h, '') AS h, ((q.pos >> k) & 1) = 1 AS after FROM p JOIN q ON q.lang = p.g JOIN (SELECT unnest(range(0, 64)) AS k) x ON q.n > 2 ** k
+  LEFT JOIN u ON u.lvl = k AND u.pos = xor(q.pos >> k, 1)),
+steps AS (SELECT doc_id, h, after, row_number() OVER (PARTITION BY doc_id ORDER BY lvl) AS k FROM (FROM lower_steps UNION ALL FROM upper_steps)),
+f AS (SELECT doc_id, 0 AS k, seen AS h FROM l UNION ALL
+  SELECT f.doc_id, f.k + 1, sha256(CASE WHEN after THEN s.h || f.h ELSE f.h || s.h END) FROM f JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k + 1),
+e AS (SELECT doc_id, arg_max(h, k) AS folded_root FROM f GROUP BY doc_id),
+proofs AS (SELECT doc_id, sha256(string_agg(h, '' ORDER BY k)) AS proof FROM steps GROUP BY doc_id)
+SELECT p.doc_id, leaf, s.h AS subroot, r.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+FROM p JOIN s ON s.g = p.g JOIN e ON e.doc_id = p.doc_id LEFT JOIN proofs ON proofs.doc_id = p.doc_id, (SELECT h FROM u WHERE n <= 2 ** lvl) r"""
+
+
+@register("op11_merkle_slots", _merkle_sql())
+def op11_merkle_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest of all documents, and whether each, some with a count changed by one, still folds to its root."""
+    docs = table(spark, folder, "documents")
+    tampered = F.when(fold_of("doc_id", 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = merkle.manifest(docs, claimed={"n_chars": tampered}).withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("path")))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+#: The version of the policy that counts now.
+POLICY = "2"
+
+
+def _ledger_sql() -> str:
+    fails = {r.name: r.fails for r in ledger.RULES}
+    bits = " + ".join(f"CASE WHEN {r.fails} THEN {r.value} ELSE 0 END" for r in ledger.RULES)
+    verdict = " OR ".join(f"({fails[n]})" for n in ledger.POLICIES[POLICY])
+    alone = " ".join(f"WHEN failed & {ledger.mask(ledger.POLICIES[POLICY])} = {r.value} THEN '{r.name}'" for r in ledger.RULES)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+x AS (SELECT *, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS ls,
+      list_transform(range(1, len(w) - 6), lambda i: w[i:i + 7]) AS v FROM d),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM (SELECT doc_id, unnest(v) AS g, unnest(range(1, len(v) + 1)) AS i FROM x)),
+again AS (SELECT doc_id, count(DISTINCT j) AS c FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM win WHERE times > 1) GROUP BY doc_id),
+m AS (SELECT x.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda a: length(a))), 0) AS BIGINT) AS word_chars,
+      CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+      CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words FROM x LEFT JOIN again USING (doc_id)),
+b AS (SELECT *, CAST({bits} AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {" OR ".join(f"({fails[n]})" for n in ledger.BASE)} AS base_failed,
+       NOT ({verdict}) AS kept, failed, CASE {alone} END AS decisive_rule, '{POLICY}' AS policy FROM b"""
+
+
+@register("op13_rule_ledger", _ledger_sql())
+def op13_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements and failed rules of every document, and its verdict under the policy that counts now."""
+    names = ledger.POLICIES[POLICY]
+    found = ledger.ledger(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~ledger.kept(ledger.BASE)).alias("base_failed"),
+        ledger.kept(names).alias("kept"),
+        "failed",
+        ledger.decisive(names).alias("decisive_rule"),
+        F.lit(POLICY).alias("policy"),
+    )

@@ -19,6 +19,8 @@ COLUMNS = {
     "op6": ["doc_id", "held_out", "score", "predicted"],
     "op7": ["doc_id", "held_out", "lang_pred", "score"],
     "op9": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op11": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op10": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
 }
 
