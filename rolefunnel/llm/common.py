@@ -32,7 +32,8 @@ VISIBLE = np.ones(256, bool)
 VISIBLE[0x20] = VISIBLE[0x09:0x0E] = False
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: For a second hash that is independent of the first.
+SECOND_BASE = 0xD1342543DE82EF95
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -63,13 +64,13 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class PrefixHash:
-    """Hashes of arbitrary byte ranges of one buffer."""
+    """Hashes of arbitrary byte ranges of one buffer, as polynomials in an odd ``base``."""
 
-    def __init__(self, data: np.ndarray):
-        terms = (data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data))
+    def __init__(self, data: np.ndarray, base: int = _BASE):
+        terms = (data.astype(np.uint64) + np.uint64(1)) * _power(base, len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(terms, out=self.sums[1:])
-        self.inverse = _power(_INVERSE, len(data) + 1)
+        self.inverse = _power(pow(base, -1, 1 << 64), len(data) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.llm import backoff, decontaminate, language, ledger, merkle, packing, pieces, quality, repeats, simhash, spotsigs, toxicity
+from rolefunnel.llm import backoff, collocations, decontaminate, language, ledger, merkle, packing, pieces, quality, repeats, simhash, spotsigs, toxicity
 from rolefunnel.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,8 +219,10 @@ def _ledger_sql() -> str:
     verdict = " OR ".join(f"({fails[n]})" for n in ledger.POLICIES[POLICY])
     alone = " ".join(f"WHEN failed & {ledger.mask(ledger.POLICIES[POLICY])} = {r.value} THEN '{r.name}'" for r in ledger.RULES)
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
-x AS (SELECT *, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS ls,
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+x AS (SELECT *, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS ls,
       list_transform(range(1, len(w) - 6), lambda i: w[i:i + 7]) AS v FROM d),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM (SELECT doc_id, unnest(v) AS g, unnest(range(1, len(v) + 1)) AS i FROM x)),
 again AS (SELECT doc_id, count(DISTINCT j) AS c FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM win WHERE times > 1) GROUP BY doc_id),
@@ -246,3 +248,28 @@ def op13_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
         ledger.decisive(names).alias("decisive_rule"),
         F.lit(POLICY).alias("policy"),
     )
+
+
+@register(
+    "op12_fingerprint_phrases",
+    r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, x.a AS l, y.a AS r, CAST(2000000 * CAST(cuts.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+      FROM cuts JOIN f x ON x.lang = cuts.lang AND x.k = j AND x.phrase = array_to_string(w[1:j], ' ')
+                JOIN f y ON y.lang = cuts.lang AND y.k = cuts.k - j AND y.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_part AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT lang, w, k, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL),
+ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+      FROM best LEFT JOIN inner_part i ON i.lang = best.lang AND i.phrase = best.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+)
+def op12_fingerprint_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The best collocations of each language of all documents."""
+    return collocations.collocations(table(spark, folder, "documents"))
