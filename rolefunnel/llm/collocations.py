@@ -23,23 +23,20 @@ rows.  Other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefunnel.llm.common import LOWER, SECOND_BASE, PrefixHash, flat, map_batches, pair_hash, slices, stored
+from rolefunnel.llm.common import LOWER, SECOND_BASE, Filter, PrefixHash, flat, map_batches, pair_hash, slices, stored
 
 LEAST = 30
 LONGEST = 4
 TOP = 2000
 #: Bytes of text that are hashed at once, and counted fingerprints that a task holds before it hands them on.
-SLICE = 1 << 21
-HELD = 1 << 20
-#: Bits of a filter: 16 MiB on every executor, whatever the corpus.
-FILTER_BITS = 27
+SLICE = 1 << 19
+HELD = 1 << 19
 #: Bits of the second fingerprint; their sum fits 63 bits up to 2 ** 41 occurrences.
 CHECK_BITS = 22
 
@@ -92,31 +89,6 @@ class Words:
         return self.body[self.opens[at] : self.closes[at + n - 1]].tobytes().decode("utf-8", "replace")
 
 
-@dataclass(frozen=True)
-class Filter:
-    """A set of 64-bit integers, two bits for each, in an array of fixed size: no member is ever missing."""
-
-    words: np.ndarray
-
-    @staticmethod
-    def of(values: DataFrame, bits: int = FILTER_BITS) -> Filter:
-        """``values`` has one column of well mixed bigints; bits are united in Spark, so at most 2 ** bits / 64 rows arrive."""
-        v = F.col(values.columns[0])
-        places = values.select(F.explode(F.array(F.shiftrightunsigned(v, 64 - bits), v.bitwiseAND(F.lit((1 << bits) - 1)))).alias("p"))
-        bit = F.expr("shiftleft(1L, cast(p & 63 AS INT))")
-        rows = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        words = np.zeros(1 << (bits - 6), np.uint64)
-        words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-        return Filter(words)
-
-    def has(self, values: np.ndarray) -> np.ndarray:
-        bits = np.uint64(len(self.words).bit_length() - 1 + 6)
-        out = np.ones(len(values), bool)
-        for place in (values >> (np.uint64(64) - bits), values & np.uint64((1 << int(bits)) - 1)):
-            out &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
-
 def _spread(h: Column, bits: int) -> Column:
     """Fingerprints as well mixed 64-bit integers, also short ones."""
     return h if bits == 64 else F.xxhash64(h)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from rolefunnel.session import scratch_path
 
 SLICE_BYTES = 1 << 19
+#: Bits of a filter: 16 MiB on every executor, whatever the corpus.
+FILTER_BITS = 27
 
 _A_Z = slice(ord("A"), ord("Z") + 1)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -175,6 +178,52 @@ def stored(df: DataFrame, label: str, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that are only needed until a result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Remove the tables; whatever is read from them must have been written."""
+        jvm = self.spark._jvm
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.clear()
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A set of 64-bit integers, two bits for each, in an array of fixed size: no member is ever missing."""
+
+    words: np.ndarray
+
+    @staticmethod
+    def of(values: DataFrame, bits: int = FILTER_BITS) -> Filter:
+        """``values`` has one column of well mixed bigints; bits are united in Spark, so at most 2 ** bits / 64 rows arrive."""
+        v = F.col(values.columns[0])
+        places = values.select(F.explode(F.array(F.shiftrightunsigned(v, 64 - bits), v.bitwiseAND(F.lit((1 << bits) - 1)))).alias("p"))
+        bit = F.expr("shiftleft(1L, cast(p & 63 AS INT))")
+        rows = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        return Filter(words)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        bits = np.uint64(len(self.words).bit_length() - 1 + 6)
+        out = np.ones(len(values), bool)
+        for place in (values >> (np.uint64(64) - bits), values & np.uint64((1 << int(bits)) - 1)):
+            out &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
 def fold_of(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefunnel.llm.common import PrefixHash, flat, map_batches, pair_hash, per_row, row_of, slices, stored
+from rolefunnel.llm.common import SECOND_BASE, PrefixHash, flat, map_batches, pair_hash, per_row, row_of, slices, stored
 
 LENGTH = 100
 SEED = 40
@@ -270,7 +270,7 @@ def _by_window(contexts: DataFrame, length: int) -> DataFrame:
             for _, doc, low, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(body, np.uint8)
                 at = np.arange(len(data) - length + 1)
-                found.append((PrefixHash(data).of(at, at + length), PrefixHash(255 - data).of(at, at + length), np.full(len(at), doc), low + at))
+                found.append((PrefixHash(data).of(at, at + length), PrefixHash(data, SECOND_BASE).of(at, at + length), np.full(len(at), doc), low + at))
             if not found:
                 continue
             one, two, doc, low = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -18,28 +18,37 @@ share a fingerprint and meet as one row.  Repeated ids give repeated rows.
 Other columns of the input are not read.
 
 Bits reach only the closest copies: a pair whose sets of five-word shingles have
-Jaccard similarity 0.8 differs in ten bits on average.  ``similar`` therefore links
-by the sets themselves, without loss.  A pair at ``similarity`` shares one of the
-first n - ceil(similarity * n) + 1 shingles of both sets in any fixed order; common
+Jaccard similarity 0.8 differs in ten bits of 64 on average, as far as popcounts of
+unrelated fingerprints may be apart.  ``similar`` therefore embeds the sets
+themselves: the shingles in each of 256 segments of the hash space are counted, and
+the Manhattan distance of the counts is a lower bound of the symmetric difference.
+Candidates come without loss: a pair at ``similarity`` shares one of the first
+n - ceil(similarity * n) + 1 shingles of both sets in any fixed order; common
 shingles come last in it.  Nodes that meet in such a shingle are compared with the
-smallest one there first, then all that are not yet in one component.
+smallest one there first, then all that are not yet in one component.  Pairs that
+the bound leaves are verified on whole sets.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolefunnel.llm.common import LOWER, VISIBLE, PrefixHash, bounded_sample, flat, map_slices, mix, row_of, spans, stored
+from rolefunnel.llm.common import LOWER, VISIBLE, Filter, PrefixHash, Scratch, bounded_sample, flat, map_batches, map_slices, mix, row_of, spans, stored
 
 BITS = 64
 _CHUNK = 1 << 15
 #: Documents and shingles that settle which shingles count as common: only the order depends on them, no result.
 SAMPLE_DOCS = 10_000
 COMMON = 500_000
+#: Segments of the hash space in which the shingles of a set are counted.
+SEGMENTS = 256
 
 
 def _shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -136,13 +145,14 @@ def links(fps: DataFrame, segments: int = 16) -> DataFrame:
     return met.join(least, "value").where("a < fp").select("a", F.col("fp").alias("b")).union(pairs).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star steps: each round links nodes to the
     smallest neighbour, so a chain of n nodes is done in about log n rounds.  A
     round is a pre-aggregated minimum and a join, and ends in a written table.
     """
+    stored = (scratch or Scratch(edges.sparkSession)).stored
     edges = stored(edges.select("a", "b"), "component-edges")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -202,14 +212,24 @@ def _common(slim: DataFrame, words: int) -> np.ndarray:
     return top.column("key").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def prefixes(slim: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, node, size): each set by the first shingles of which two sets at ``similarity`` share one."""
-    ranked = _common(slim, words)
-    by_hash = np.argsort(ranked)
-    sent = slim.sparkSession.sparkContext.broadcast((ranked[by_hash], by_hash))
+def segment_counts(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Shingles of every set in each of ``SEGMENTS`` segments of the hash space, up to 255: n rows of bytes.
+
+    The Manhattan distance of two rows never exceeds the symmetric difference of the sets.
+    """
+    place = owner.astype(np.int64) * SEGMENTS + (hashes >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=n * SEGMENTS), 255).astype(np.uint8).reshape(n, SEGMENTS)
+
+
+def _prefix_rows(slim: DataFrame, ranked, words: int, similarity: float, shared=None) -> DataFrame:
+    """(key, node, size): each set by the first shingles of which two sets at ``similarity`` share one.
+
+    ``ranked`` is broadcast, the common shingles sorted and the rank of each; ``shared``
+    the filter of the keys that are wanted, none for all.
+    """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        common, rank = sent.value
+        common, rank = ranked.value
         hashes, owner, size, node = shingle_sets(part.column("text"), words)
         place = np.zeros(len(hashes), np.int64)  # common shingles after all others, by rank
         if len(common):
@@ -220,57 +240,106 @@ def prefixes(slim: DataFrame, words: int, similarity: float) -> DataFrame:
         within = np.arange(len(hashes)) - (np.cumsum(size) - size)[owner]
         length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
         keep = within < length[owner]
+        if shared is not None:
+            keep[keep] = shared.value.has(hashes[keep])
         rows = np.unique(np.stack([hashes[keep].view(np.int64), node[owner[keep]], size[owner[keep]]]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["key", "node", "size"])
 
     return map_slices(slim, work, "key bigint, node bigint, size bigint")
 
 
+def _fits(similarity: float) -> Column:
+    """Whether sets of ``m`` and ``n`` shingles can be that similar."""
+    return F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - F.lit(1e-9)
+
+
+def _near_enough(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose segment counts do not rule the similarity out."""
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("size").alias(f"n{side}"), F.col("counts").alias(f"c{side}")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, _CHUNK):
+                part = batch.slice(low, _CHUNK)
+                one, two = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for c in ("ca", "cb"))
+                total = part.column("na").to_numpy() + part.column("nb").to_numpy()
+                # Sets of together t shingles at Jaccard s differ in t (1 - s) / (1 + s) of them.
+                held = np.abs(one - two).sum(1) <= total * (1 - similarity) / (1 + similarity) + 1e-6
+                yield part.select(["a", "b"]).filter(pa.array(held))
+
+    return map_batches(pairs.select("a", "b", "na", "nb", "ca", "cb"), run, "a bigint, b bigint")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of every document; sets of shingles with at least this Jaccard similarity are linked.
 
     Equal sets, also empty ones, are one node, named by a 64-bit hash.
     """
+    spark = docs.sparkSession
+    scratch, send = Scratch(spark), spark.sparkContext.broadcast
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def name(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(shingle_sets(part.column(1), words)[3])], ["id", "node"])
-
-    found = stored(map_slices(slim, name, "id bigint, node bigint"), "similar-nodes")
-    whole = Window.partitionBy("key")
-    rows = prefixes(slim, words, similarity).withColumn("lead", F.min("node").over(whole)).withColumn("last", F.max("node").over(whole))
-    met = stored(rows.where("lead < last").select("key", "node", "size", "lead").distinct(), "similar-met")
+        hashes, owner, size, node = shingle_sets(part.column(1), words)
+        counts = segment_counts(hashes, owner, part.num_rows)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary())], ["id", "node", "size", "counts"])
 
-    def lists(part: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, _, size, node = shingle_sets(part.column("text"), words)
-        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["node", "set"])
-
-    names = met.select("node").distinct()
-    sets = stored(map_slices(slim, lists, "node bigint, set array<bigint>").join(names, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+    found = scratch.stored(map_slices(slim, name, "id bigint, node bigint, size bigint, counts binary"), "similar-nodes")
+    groups = scratch.stored(found.groupBy("node").agg(F.min("id").alias("first")), "similar-groups")
+    # One document stands for all with its set, also where ids are null or repeated.
+    ranked = _common(slim, words)
+    by_hash = np.argsort(ranked)
+    order = send((ranked[by_hash], by_hash))
+    met = _prefix_rows(slim, order, words, similarity).groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+    keys = scratch.stored(met.where("lead < last").select("key", "lead"), "similar-keys")
+    shared = send(Filter.of(keys.select("key")))
+    rows = _prefix_rows(slim, order, words, similarity, shared).distinct()
+    met = scratch.stored(rows.join(keys, "key"), "similar-met")
+    sketches = found.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sketches = scratch.stored(sketches.select("node", "size", "counts"), "similar-sketches")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    leads = met.where("node = lead").select("key", F.col("size").alias("m"))
+    stars = met.join(leads, "key").where("lead < node").withColumnRenamed("size", "n").where(_fits(similarity))
+    stars = scratch.stored(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        near = scratch.stored(_near_enough(pairs, sketches, similarity), f"similar-near-{label}")
+        both = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # Sets are made again for one document of each of these nodes.
+        speakers = send(Filter.of(both.join(groups, "node").select(F.xxhash64("first"))))
+
+        def lists(part: pa.RecordBatch) -> pa.RecordBatch:
+            part = part.filter(pa.array(speakers.value.has(part.column("speaker").to_numpy(zero_copy_only=False).view(np.uint64))))
+            hashes, _, size, node = shingle_sets(part.column("text"), words)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["node", "set"])
+
+        texts = slim.select(F.xxhash64("id").alias("speaker"), "text")
+        sets = scratch.stored(map_slices(texts, lists, "node bigint, set array<bigint>").dropDuplicates(["node"]), f"similar-sets-{label}")
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - F.lit(1e-9)).select("a", "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        held = common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)
+        return scratch.stored(near.join(left, "a").join(right, "b").where(held).select("a", "b"), f"similar-edges-{label}")
 
-    fits = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - F.lit(1e-9)
-    leads = met.where("node = lead").select("key", F.col("size").alias("m"))
-    stars = met.join(leads, "key").where("lead < node").withColumnRenamed("size", "n").where(fits).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    edges = stored(verified(stars), "similar-stars")
-    named = components(edges)
-    # Whatever is still apart where it meets: every pair.
+    edges = verified(stars, "stars")
+    named = components(edges, scratch)
+    # What is still apart where it meets, the larger set with the smaller ones of its own and the next lower band of sizes.
     apart = met.join(named, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    apart = apart.withColumn("one", F.min("root").over(whole)).withColumn("other", F.max("root").over(whole)).where("one < other")
-    apart = stored(apart.select("key", "node", "size", "root"), "similar-apart")
-    left = apart.select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("ra"))
-    right = apart.select("key", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("rb"))
-    pairs = left.join(right, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    edges = edges.unionByName(verified(pairs.join(stars, ["a", "b"], "left_anti")))
-    groups = stored(found.groupBy("node").agg(F.min("id").alias("first")), "similar-groups")
-    roots = components(edges).join(groups, "node")
+    mixed = apart.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("key")
+    band = F.floor(F.log("size") / F.lit(-math.log(similarity)) + F.lit(1e-9)) if similarity < 1 else F.col("size")
+    apart = scratch.stored(apart.join(mixed, "key").withColumn("band", band.cast("bigint")), "similar-apart")
+    left = apart.select("key", "band", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("ra"))
+    right = apart.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("rb"))
+    larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") > F.col("b")))
+    pairs = left.join(right, ["key", "band"]).where((F.col("ra") != F.col("rb")) & larger & _fits(similarity))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = verified(pairs.join(stars, ["a", "b"], "left_anti"), "rest")
+    roots = components(edges.unionByName(rest), scratch).join(groups, "node")
     best = roots.groupBy("root").agg(F.min("first").alias("component"))
     linked = roots.join(best, "root").select("node", "component")
     every = groups.join(linked, "node", "left").select("node", F.coalesce("component", "first").alias("component"))
-    return found.join(every, "node").select("id", "component")
+    out = stored(found.select("id", "node").join(every, "node").select("id", "component"), "similar-components")
+    scratch.release()
+    return out

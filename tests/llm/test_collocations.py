@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rolefunnel.llm import collocations
+from rolefunnel.llm import collocations, common
 
 SCHEMA = "text string, lang string, doc_id bigint, phrase string, words int, h string, n int, doc string"
 
@@ -74,7 +74,7 @@ def test_empty(spark):
 def test_filter_holds_every_member(spark):
     values = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
     for bits in (8, 16, 27):
-        found = collocations.Filter.of(spark.createDataFrame([(int(v),) for v in values], "v bigint"), bits)
+        found = common.Filter.of(spark.createDataFrame([(int(v),) for v in values], "v bigint"), bits)
         assert found.has(values.view(np.uint64)).all()
     others = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 5000).view(np.uint64)
     assert found.has(others).mean() < 0.01

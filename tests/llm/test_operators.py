@@ -163,9 +163,9 @@ def test_backoff_by_plain_python(docs, empty, texts):
         two = {}
         for p in itertools.chain(*pairs):
             two[p] = two.get(p, 0) + 1
-        score = lambda p: np.log(two[p] / uni[p[0]] if two[p] >= 2 else 0.4 * uni[p[1]] / len(flatten))
-        for hot in (0, 10, 10**6):
-            got = {r.id: (r.n_words, r.total) for r in backoff.backoff_scores(docs, vocabulary=size, hot=hot).collect()}
+        for hot, rare in ((0, 2), (10, 1), (10**6, 2), (10**6, 1)):
+            score = lambda p: np.log(two[p] / uni[p[0]] if two[p] >= rare else 0.4 * uni[p[1]] / len(flatten))  # noqa: B023, E731
+            got = {r.id: (r.n_words, r.total) for r in backoff.backoff_scores(docs, vocabulary=size, hot=hot, min_count=rare).collect()}
             for doc, ps in zip(texts, pairs):
                 times = 2 if doc == 2 else 1
                 assert got[doc][0] == times * len(ps)
@@ -568,3 +568,51 @@ def test_whole_characters(spark):
     docs = spark.createDataFrame([(1, body), (2, "x" + body), (3, "a" + "日本" * 80), (4, "b" + "日本" * 80)], "doc_id bigint, text string")
     got = {r.id: bytes(r.kept).decode() for r in repeats.remove_repeats(docs, whole_characters=True).collect()}
     assert got[1] != "" and got[2] == "x" and got[4] == "b"
+
+
+# --- what earlier rounds found wanting
+
+
+def test_repeated_long_rows_stay_apart_over_several_blocks(spark):
+    """Rows that fill a segment each, with one id and one text, are rows of their own however many blocks there are."""
+    long = "alpha beta gamma delta " + "filler " * 160_000
+    docs = spark.createDataFrame([(7, long), (7, long), (8, long), (9, "no hit")], "doc_id bigint, text string").repartition(2)
+    items = spark.createDataFrame([(k, p) for k, p in enumerate(["alpha beta", "beta gamma", "gamma delta", "absent words", "filler filler filler"])], "item_id bigint, text string")
+    one, many = (sorted(map(tuple, decontaminate.contamination(docs, items, most=most).collect()), key=str) for most in (1000, 2))
+    assert one == many and len(one) == 4
+    assert [r[0] for r in one] == [7, 7, 8, 9] and one[0][4] == ["0", "1", "2", "4"] and one[3][4] == []
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(2)
+    far = lambda n: " ".join(rng.choice(["kuu", "yö", "tähti", "talvi", "metsä"]) for _ in range(n))
+    near = lambda n: " ".join(rng.choice(["lune", "nuit", "étoile", "hiver", "forêt"]) for _ in range(n))
+    rows = [(k, far(4000), "fi") for k in range(12)] + [(k, near(60), "fr") for k in range(12, 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.id: r.lang_pred for r in language.document_languages(docs, longest=2000).collect()}
+    assert got == {k: lang for k, _, lang in rows}
+
+
+def test_window_hashes_are_independent():
+    data = np.random.default_rng(0).integers(0, 256, 400).astype(np.uint8)
+    at = np.arange(300)
+    one, two = (common.PrefixHash(data, *base).of(at, at + 100) for base in ((), (common.SECOND_BASE,)))
+    assert len(set((one + two).tolist())) == len(set((one ^ two).tolist())) == 300
+    assert np.abs(np.corrcoef(one.astype(float), two.astype(float))[0, 1]) < 0.2
+
+
+def test_segment_counts_bound_the_difference():
+    rng = random.Random(4)
+    texts = [prose(rng, 300)]
+    for _ in range(30):
+        words = texts[-1].split()
+        for _ in range(6):
+            words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    hashes, owner, size, _ = simhash.shingle_sets(pa.array(texts), 5)
+    counts = simhash.segment_counts(hashes, owner, len(texts)).astype(int)
+    sets = [set(hashes[owner == k].tolist()) for k in range(len(texts))]
+    assert counts.sum(1).tolist() == [len(s) for s in sets] == size.tolist()
+    for a in range(len(texts)):
+        for b in range(a):
+            assert np.abs(counts[a] - counts[b]).sum() <= len(sets[a] ^ sets[b])
