@@ -32,7 +32,7 @@ from rolefunnel.llm.common import LOWER, PrefixHash, flat, map_slices, mix, row_
 BUCKETS = 1 << 16
 #: Words of a stretch.
 STRETCH = 32
-#: Training texts are at most this long; texts to label may have any length.
+#: Of a longer training text a stretch of so many characters is learned from; texts to label may have any length.
 LONGEST_SAMPLE = 20_000
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -198,8 +198,12 @@ def fit_texts(texts: list[str], langs: list[str], rounds: int = 40, rate: float
     return model
 
 
-def fit(docs: DataFrame, train: Column | None = None, per_language: int = 300) -> LanguageModel | None:
-    """Learn from about ``per_language`` texts of each language at most; ``docs`` has id, text and lang."""
+def fit(docs: DataFrame, train: Column | None = None, per_language: int = 300, longest: int = LONGEST_SAMPLE) -> LanguageModel | None:
+    """Learn from about ``per_language`` texts of each language at most; ``docs`` has id, text and lang.
+
+    A text of more than ``longest`` characters is learned from by a stretch of that
+    length, which a hash of its id places, so a language of long texts is learned too.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known if train is None else known.where(train)
     sizes = known.groupBy("lang").count().collect()  # a row per language
@@ -208,18 +212,26 @@ def fit(docs: DataFrame, train: Column | None = None, per_language: int = 300) -
     parts = 1 << 30
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(parts * min(1.0, per_language / r["count"]))))])
     chosen = known.where(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(parts)) < share[F.col("lang")])
-    rows = chosen.where(F.length("text") <= LONGEST_SAMPLE).select("id", "text", "lang").toArrow().sort_by("id")
+    room = F.greatest(F.length("text") - longest, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64(F.lit("stretch"), "id"), room).cast("int") + 1
+    rows = chosen.select("id", F.substr("text", start, F.lit(longest)).alias("text"), "lang").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     if not rows.num_rows:
         return None
     return fit_texts(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
 def document_languages(
-    docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300
+    docs: DataFrame,
+    train: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    per_language: int = 300,
+    longest: int = LONGEST_SAMPLE,
 ) -> DataFrame:
     """(id, lang_pred, score) of every document, learned from rows with a language where ``train``, a column over ``id``, holds."""
     all_ = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = fit(all_, train, per_language)
+    model = fit(all_, train, per_language, longest)
     slim = all_.select("id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if model is None:
         return slim.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
