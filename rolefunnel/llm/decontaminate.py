@@ -38,6 +38,8 @@ BLOCK_PHRASES = 200_000
 
 _INDEX = "ids binary, words binary, terms binary, ends binary, places binary"
 _NAMES = ["ids", "words", "terms", "ends", "places"]
+#: Cells of a stored row: those of a segment, then its number, which no other segment has.
+_SEGMENT = len(_NAMES)
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -48,7 +50,10 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW) -> DataFrame:
-    """One row per segment: ids and word counts of its documents, sorted terms, the end of each term's list, the lists."""
+    """One row per segment: ids and word counts of its documents, sorted terms, the end of each term's list, the lists, its number.
+
+    Numbers hold once the index is stored.
+    """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         terms, rows, n = _words(part.column("text"))
@@ -62,7 +67,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], _NAMES)
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return map_slices(slim, work, _INDEX, most=SEGMENT_BYTES)
+    return map_slices(slim, work, _INDEX, most=SEGMENT_BYTES).withColumn("segment", F.monotonically_increasing_id())
 
 
 class Segment:
@@ -168,9 +173,8 @@ def _blocks(phrases: DataFrame, most: int) -> Iterator[tuple[list[bytes], list[l
 _HITS = "doc_id bigint, n_words bigint, row string, begins array<bigint>, ends array<bigint>, items array<string>"
 
 
-def _search(index: DataFrame, phrases: list[bytes], items: list[list[str]]) -> DataFrame:
-    """Per document row: the hit words as runs, and the items with an occurrence; one block of phrases."""
-    sent = index.sparkSession.sparkContext.broadcast((phrases, items))
+def _search(index: DataFrame, sent) -> DataFrame:
+    """Per document row: the hit words as runs, and the items with an occurrence; one block of phrases, broadcast."""
 
     def run(batches):
         phrases, items = sent.value
@@ -180,19 +184,19 @@ def _search(index: DataFrame, phrases: list[bytes], items: list[list[str]]) -> D
         tables = {n: (np.array(at), np.frombuffer(b"".join(phrases[i] for i in at), np.uint64).reshape(-1, n)) for n, at in by_length.items()}
         for batch in batches:
             for cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                segment = Segment(list(cells))
+                segment = Segment(list(cells[:_SEGMENT]))
                 which, start, size = [], [], []
                 for n, (at, terms) in tables.items():
                     w, s = segment.phrases(terms, n)
                     which.append(at[w])
                     start.append(s)
                     size.append(np.full(len(s), n))
-                yield _rows(segment, items, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (which, start, size)))
+                yield _rows(segment, cells[_SEGMENT], items, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (which, start, size)))
 
     return map_batches(index, run, _HITS)
 
 
-def _rows(segment: Segment, items: list[list[str]], which: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+def _rows(segment: Segment, number: int, items: list[list[str]], which: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     n = len(segment.ids)
     doc = segment.document(start)
     step = np.zeros(segment.size + 2, np.int32)
@@ -209,8 +213,8 @@ def _rows(segment: Segment, items: list[list[str]], which: np.ndarray, start: np
     for d, w in pairs.T.tolist():
         found[d].extend(items[w])
     names = [sorted(set(f)) for f in found]
-    # Rows are told apart by id and place in the segment's table, so that blocks can be put together again.
-    rows = [f"{int(i)}-{k}-{segment.terms[:1].tobytes().hex()}-{len(segment.places)}" for k, i in enumerate(segment.ids)]
+    # Rows are told apart by segment and place in it, so that blocks can be put together again.
+    rows = [f"{number}-{k}" for k in range(n)]
     return pa.RecordBatch.from_arrays(
         [pa.array(segment.ids), pa.array(segment.words), pa.array(rows), *(pa.ListArray.from_arrays(cut, pa.array(x - segment.first[at])) for x in (begins, ends)), pa.array(names, pa.list_(pa.string()))],
         ["doc_id", "n_words", "row", "begins", "ends", "items"],
@@ -219,9 +223,14 @@ def _rows(segment: Segment, items: list[list[str]], which: np.ndarray, start: np
 
 def find_phrases(index: DataFrame, phrases: DataFrame, most: int = BLOCK_PHRASES) -> DataFrame:
     """Per document: n_words, hit runs (``begins``, ``ends`` in words) and sorted ``items``, over all blocks."""
-    parts = [_search(index, p, i) for p, i in _blocks(phrases, most)] or [_search(index, [], [])]
-    if len(parts) == 1:
-        return parts[0].drop("row")
+    context, parts = index.sparkSession.sparkContext, []
+    blocks = -(-phrases.count() // most)
+    if blocks <= 1:
+        return _search(index, context.broadcast(next(_blocks(phrases, most), ([], [])))).drop("row")
+    for block in _blocks(phrases, most):  # one block is broadcast at a time, its hits written before the next
+        sent = context.broadcast(block)
+        parts.append(stored(_search(index, sent).where("size(items) > 0") if parts else _search(index, sent), "phrase-hits"))
+        sent.destroy()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
