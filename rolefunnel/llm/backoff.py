@@ -3,11 +3,13 @@
     S(w | v) = c(v w) / c(v)            where c(v w) >= min_count
                alpha * c(w) / N         otherwise
 
-Counts are taken over all documents.  A count table holds every bigram seen at
-least ``min_count`` times, keyed by the numbers of its words and partitioned by a
-hash of that key; with each goes its gain, what the bigram adds to the score of
-the single word.  Documents are exploded to bigrams, joined to the table on the
-key and summed.  Very frequent bigrams would be hot keys of that join, and there
+Counts are taken over all documents, and the documents scored are those that were
+counted.  So a bigram that a document has and the table does not was seen once: with
+``min_count=1``, the default, the table need not hold bigrams of numbered words seen
+once, and a document's row brings the gain of such a bigram along.  The table holds
+the others, keyed by the numbers of their words and partitioned by a hash of that key;
+with each goes its gain, what the bigram adds to the score of the single word.
+Documents are exploded to bigrams, joined to the table on the key and summed.  Very frequent bigrams would be hot keys of that join, and there
 are few of them: the commonest ``hot`` ones are looked up where the documents are
 read, so only the others are shuffled.
 
@@ -111,6 +113,13 @@ class Lexicon:
             out[len(self.hashes)] = 0.0
         return out
 
+    def once(self, keys: np.ndarray, alpha: float) -> np.ndarray:
+        """The gain of bigrams seen once; 0 for those with a word that has no number, which the table holds in any case."""
+        numbered = keys >= 0
+        out = np.zeros(len(keys))
+        out[numbered] = self.gains(keys[numbered], np.ones(int(numbered.sum())), alpha)
+        return out
+
     def gains(self, keys: np.ndarray, counts: np.ndarray, alpha: float) -> np.ndarray:
         return np.log(counts / self.counts[keys >> _BITS]) - self.single(alpha)[keys & ((1 << _BITS) - 1)]
 
@@ -203,17 +212,20 @@ def backoff_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     alpha: float = 0.4,
-    min_count: int = 2,
+    min_count: int = 1,
     vocabulary: int | None = None,
     hot: int = 1_000_000,
     common: int = 1_000_000,
 ) -> DataFrame:
-    """(id, n_words, total): words and summed log scores of every document."""
+    """(id, n_words, total): words and summed log scores of every document.
+
+    With a greater ``min_count`` bigrams seen less often back off to their word.
+    """
     context = docs.sparkSession.sparkContext
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     found, others = lexicon(slim.select("text"), common if vocabulary is None else vocabulary, vocabulary is None)
     sent = context.broadcast(found)
-    counts = bigram_table(slim.select("text"), sent, min_count, alpha)
+    counts = bigram_table(slim.select("text"), sent, max(min_count, 2), alpha)
     if found.open and not others.isEmpty():
         others = stored(others, "backoff-others")
         alone = others.select("key", "n", F.log(F.lit(alpha) * F.col("n") / F.lit(float(found.total))).alias("gain"))
@@ -243,12 +255,13 @@ def backoff_scores(
                 both, many = np.unique(rows[cold] * len(unique) + at[cold], return_counts=True)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 owner, which = both // max(len(unique), 1), both % max(len(unique), 1)
+                alone = words.once(unique, alpha)[which] if min_count <= 1 else np.zeros(len(which))
                 # A document's own row has a key that no bigram has.
                 own = _OWN + np.arange(n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([own, unique[which]])), pa.array(np.concatenate([ids, ids[owner]])),
-                        pa.array(np.concatenate([count, many])), pa.array(np.concatenate([base, np.zeros(len(which))])),
+                        pa.array(np.concatenate([count, many])), pa.array(np.concatenate([base, alone])),
                     ],
                     ["key", "id", "n", "base"],
                 )
@@ -258,5 +271,5 @@ def backoff_scores(
     mine = F.col("key") >= F.lit(int(_OWN))
     return joined.groupBy("id").agg(
         F.sum(F.when(mine, F.col("n")).otherwise(F.lit(0))).alias("n_words"),
-        F.sum(F.when(mine, F.col("base")).otherwise(F.col("n") * F.coalesce("gain", F.lit(0.0)))).alias("total"),
+        F.sum(F.when(mine, F.col("base")).otherwise(F.col("n") * F.coalesce("gain", "base"))).alias("total"),
     )

@@ -150,7 +150,7 @@ def op9_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 t AS (SELECT doc_id, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 one AS (SELECT w, count(*) AS c FROM t GROUP BY w UNION ALL SELECT '', count(*) FROM d WHERE len(w) > 0),
-two AS (SELECT v, w, count(*) AS c FROM t GROUP BY v, w HAVING count(*) >= 2),
+two AS (SELECT v, w, count(*) AS c FROM t GROUP BY v, w),
 s AS (SELECT doc_id, CASE WHEN two.c IS NOT NULL THEN ln(two.c / a.c) ELSE ln(0.4 * b.c / (SELECT count(*) FROM t)) END AS x
       FROM t JOIN one a ON a.w = t.v JOIN one b ON b.w = t.w LEFT JOIN two ON two.v = t.v AND two.w = t.w)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(avg(x), 0.0), 6) AS score
