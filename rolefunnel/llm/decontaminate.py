@@ -10,8 +10,8 @@ A search takes the test phrases in blocks of bounded size.  In each segment it
 orders the terms of a phrase by the length of their lists there, takes the
 offset-adjusted list of the rarest as candidates, and intersects it with the
 offset-adjusted lists of the others, from rare to common; what is left are exact
-occurrences.  ``near`` keeps places where all terms stand within a few words of
-the rarest one instead, in any order.
+occurrences.  ``near_matches`` keeps places where a stretch of some words holds all
+terms instead, in any order.
 
 Terms are 64-bit hashes of words.  Cases: a null or empty text has no words, no
 postings and no phrases; an item with fewer words than a window is one window; of
@@ -116,24 +116,19 @@ class Segment:
         return alive[which], start
 
     def near(self, phrases: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position of its rarest term) where every term stands at most ``within`` words away, in any order."""
+        """(phrase, position) of every term of a phrase from which on ``within`` words of one document hold all its terms, in any order."""
         low, size = self.lists(phrases)
-        alive = np.flatnonzero((size > 0).all(1))
         out = [[], []]
-        for p in alive:
-            order = np.argsort(size[p], kind="stable")
-            lists = [self.places[low[p, k] : low[p, k] + size[p, k]].astype(np.int64) for k in order]
-            at = lists[0]
-            for other in lists[1:]:
-                nearest = np.searchsorted(other, at - within)
-                at = at[(nearest < len(other)) & (other[np.minimum(nearest, len(other) - 1)] <= at + within)]
-            # Positions run on from one document to the next: all terms must stand in the same document.
+        for p in np.flatnonzero((size > 0).all(1)):
+            distinct = np.unique(phrases[p], return_index=True)[1]
+            lists = [self.places[low[p, k] : low[p, k] + size[p, k]].astype(np.int64) for k in distinct[np.argsort(size[p, distinct], kind="stable")]]
+            at = np.unique(np.concatenate(lists))
             doc = self.document(at)
-            for other in lists[1:]:
-                low_end = np.maximum(at - within, self.first[doc])
-                nearest = np.searchsorted(other, low_end)
-                held = (nearest < len(other)) & (other[np.minimum(nearest, len(other) - 1)] <= np.minimum(at + within, self.first[doc] + self.words[doc] - 1))
-                at, doc = at[held], doc[held]
+            last = np.minimum(at + within, self.first[doc] + self.words[doc]) - 1
+            for places in lists:  # the rarest first: it leaves the fewest
+                nearest = np.searchsorted(places, at)
+                held = (nearest < len(places)) & (places[np.minimum(nearest, len(places) - 1)] <= last)
+                at, last = at[held], last[held]
             out[0].append(np.full(len(at), p))
             out[1].append(at)
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
@@ -246,6 +241,51 @@ def find_phrases(index: DataFrame, phrases: DataFrame, most: int = BLOCK_PHRASES
     return merged.select("doc_id", "n_words", joined.alias("runs"), F.array_sort(F.array_distinct("items")).alias("items")).select("doc_id", "n_words", F.col("runs.begins").alias("begins"), F.col("runs.ends").alias("ends"), "items")
 
 
+def near_matches(index: DataFrame, phrases: DataFrame, within: int, most: int = BLOCK_PHRASES) -> DataFrame:
+    """(doc_id, item, places): where some ``within`` words of a document hold all terms of a phrase of the item, in any order.
+
+    ``places`` are the word numbers at which such stretches begin with a term of the
+    phrase, ascending.  A passage with words inserted, left out of place or swapped,
+    which has no exact window, is found here.
+    """
+    context, parts = index.sparkSession.sparkContext, []
+    for block in _blocks(phrases, most):
+        sent = context.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            phrases, items = sent.value
+            by_length: dict[int, list[int]] = {}
+            for i, p in enumerate(phrases):
+                by_length.setdefault(len(p) // 8, []).append(i)
+            for batch in batches:
+                for cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    segment = Segment(list(cells[:_SEGMENT]))
+                    found: dict[tuple[int, str], set[int]] = {}
+                    for n, numbers in by_length.items():
+                        terms = np.frombuffer(b"".join(phrases[i] for i in numbers), np.uint64).reshape(-1, n)
+                        which, at = segment.near(terms, within)
+                        doc = segment.document(at)
+                        for w, d, place in zip(which.tolist(), doc.tolist(), (at - segment.first[doc]).tolist()):
+                            for item in items[numbers[w]]:
+                                found.setdefault((d, item), set()).add(place)
+                    if found:
+                        ids = [int(segment.ids[d]) for d, _ in found]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids), pa.array([item for _, item in found]), pa.array([sorted(p) for p in found.values()], pa.list_(pa.int64())), pa.array([f"{cells[_SEGMENT]}-{d}" for d, _ in found])],
+                            ["doc_id", "item", "places", "row"],
+                        )
+
+        parts.append(stored(map_batches(index, run, "doc_id bigint, item string, places array<bigint>, row string"), "phrase-near"))
+        sent.destroy()
+    if not parts:
+        return index.sparkSession.createDataFrame([], "doc_id bigint, item string, places array<bigint>")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    merged = out.groupBy("doc_id", "item", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    return merged.drop("row")
+
+
 def n_hit() -> Column:
     """Words inside the runs of ``find_phrases``."""
     return F.aggregate(F.zip_with("ends", "begins", lambda e, b: e - b), F.lit(0).cast("bigint"), lambda a, x: a + x)

@@ -232,7 +232,7 @@ def test_proximity():
     cells = [np.array([1, 2, 3]), count.astype(np.int64), terms[order][last], (last + 1).astype(np.int32), place[order].astype(np.int32)]
     segment = decontaminate.Segment([c.tobytes() for c in cells])
     ca = np.array([[terms[2], terms[0]]])
-    for within, docs_hit in ((1, []), (2, [1]), (3, [1, 2])):
+    for within, docs_hit in ((2, []), (3, [1]), (4, [1, 2])):
         _, at = segment.near(ca, within)
         assert [int(segment.ids[d]) for d in segment.document(at)] == docs_hit
     assert part.num_rows == 3
@@ -616,3 +616,111 @@ def test_segment_counts_bound_the_difference():
     for a in range(len(texts)):
         for b in range(a):
             assert np.abs(counts[a] - counts[b]).sum() <= len(sets[a] ^ sets[b])
+
+
+def brute_kneser_ney(pairs, stems=(5, 4), d=0.75):
+    """p(word | before) of each class, level by level from dictionaries; ``pairs`` is one Counter per class."""
+    names = lambda w: [w.encode()[:k] for k in reversed(stems)] + [w.encode()]
+    words = {w for p in pairs for _, w in p}
+    seen = [{w: len({v for v, x in p if x == w}) for w in words} for p in pairs]
+    depth = len(stems) + 1
+    level = [{w: names(w)[i] for w in words} for i in range(depth)]
+    parent = [{} for _ in range(depth)]
+    for w in words:
+        for i in range(1, depth):
+            parent[i][level[i][w]] = level[i - 1][w]
+    kinds = [sorted({level[i][w] for w in words}) for i in range(depth)]
+    counts = [[{k: sum(seen[c][w] for w in words if level[i][w] == k) for k in kinds[i]} for c in range(2)] for i in range(depth)]
+    shared = [{k: counts[i][0][k] + counts[i][1][k] + 1 for k in kinds[i]} for i in range(depth)]
+    total = sum(shared[0].values())
+    prob = [{k: shared[0][k] / total for k in kinds[0]} for _ in range(2)]
+    for i in range(depth):
+        if i:
+            up = {}
+            for k in kinds[i]:
+                up[parent[i][k]] = up.get(parent[i][k], 0) + shared[i][k]
+            prob = [{k: prob[c][parent[i][k]] * shared[i][k] / up[parent[i][k]] for k in kinds[i]} for c in range(2)]
+        new = []
+        for c in range(2):
+            n = sum(counts[i][c].values())
+            kept = sum(v > 0 for v in counts[i][c].values())
+            new.append({k: (max(counts[i][c][k] - d, 0) + d * kept * prob[c][k]) / n for k in kinds[i]})
+        prob = new
+
+    def of(c, v, w):
+        n = sum(m for (a, _), m in pairs[c].items() if a == v)
+        base = prob[c][w.encode()]
+        if not n:
+            return base
+        kinds_after = [m for (a, _), m in pairs[c].items() if a == v]
+        return max(pairs[c].get((v, w), 0) - d, 0) / n + (1 - sum(max(m - d, 0) for m in kinds_after) / n) * base
+
+    return of
+
+
+def test_kneser_ney_by_plain_python():
+    from collections import Counter
+
+    rng = random.Random(12)
+    texts = [prose(rng, 40) for _ in range(12)]
+    pairs = [Counter(), Counter()]
+    for k, text in enumerate(texts):
+        words = SQL_WORD.findall(text)
+        pairs[k % 2].update(zip(["", *words], words))
+    every = sorted(set(pairs[0]) | set(pairs[1]))
+    levels, before, _, _ = toxicity.word_pairs(pa.array(texts))
+    name = {}
+    for text, (a, b) in zip(texts, itertools.pairwise(np.concatenate([[0], np.cumsum([len(SQL_WORD.findall(t)) for t in texts])]))):
+        words = SQL_WORD.findall(text)
+        for v, w, i in zip(["", *words], words, range(a, b)):
+            name[v, w] = (before[i], levels[:, i])
+    n = np.array([[p[e] for e in every] for p in pairs])
+    v, lv = np.array([name[e][0] for e in every]), np.stack([name[e][1] for e in every], 1)
+    word, first, at = np.unique(lv[0], return_index=True, return_inverse=True)
+    context, of = np.unique(v, return_inverse=True)
+    model = toxicity.kneser_ney(
+        (lv[:, first], np.stack([np.bincount(at, weights=(x > 0), minlength=len(word)) for x in n]).astype(np.int64)),
+        (context, np.stack([np.bincount(of, weights=x, minlength=len(context)) for x in n]).astype(np.int64)),
+        (np.stack([v, lv[0]]), n),
+    )
+    want = brute_kneser_ney(pairs)
+    asked = every + [(a, w) for a, _ in every[::7] for _, w in every[::11]]
+    got = model.ratios(np.stack([name[next(e for e in every if e[1] == w)][1] for _, w in asked], 1), np.array([name[next(e for e in every if e[0] == a)][0] for a, _ in asked]))
+    assert np.allclose(got, [np.log(want(0, *e)) - np.log(want(1, *e)) for e in asked], atol=1e-5)
+
+
+def test_toxicity_and_language_of_awkward_rows(spark, docs, texts, empty):
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0), "id", 0.5) for k in texts] * 2, "doc_id bigint, quality int, toxic int, id string, score double")
+    for found in (toxicity.toxicity_scores(docs, labels), language.document_languages(docs)):
+        rows = [tuple(r) for r in found.collect()]
+        assert sorted(r[0] for r in rows) == sorted([*texts, 2]) and all(0 <= r[-1] <= 1 for r in rows)
+        assert len({(*r[:-1], round(r[-1], 9)) for r in rows if r[0] == 2}) == 1  # repeated rows alike
+    assert toxicity.toxicity_scores(docs, labels.where("false")).select("score").distinct().count() == 1
+
+
+def test_near_matches_by_plain_python(spark):
+    rng = random.Random(6)
+    vocabulary = "one two three four five six seven eight".split()
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for k in range(60)] + [(3, "one two three"), (61, None), (62, "two one three")]
+    items = [("a", "one two three four"), ("b", "eight one one"), ("c", "four five six seven eight one two three four five six one"), ("d", ""), ("e", "absent one"), ("a", "six seven")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    phrases = decontaminate.test_phrases(spark.createDataFrame(items, "item_id string, text string"))
+    index = common.stored(decontaminate.build_index(docs), "near-index")
+    for within in (3, 5, 9):
+        want = []
+        for doc, text in rows:
+            words = (text or "").split()
+            found = {}
+            for item, phrase in items:
+                own = phrase.split()
+                for i in range(max(1, len(own) - 9) if own else 0):
+                    terms = set(own[i : i + 10])
+                    for p, w in enumerate(words):
+                        if w in terms and terms <= set(words[p : p + within]):
+                            found.setdefault(item, set()).add(p)
+            want += [(doc, item, sorted(p)) for item, p in found.items()]
+        for most in (1000, 2):
+            got = [(r.doc_id, r.item, r.places) for r in decontaminate.near_matches(index, phrases, within, most).collect()]
+            assert sorted(got) == sorted(want) and want
+    none = decontaminate.test_phrases(spark.createDataFrame([], "item_id string, text string"))
+    assert decontaminate.near_matches(index, none, 5).count() == 0
