@@ -49,6 +49,18 @@ def _numeric(ref: Column) -> Column:
     return F.get(F.transform(F.array(code), decode), 0)
 
 
+_BUCKETS = 64
+
+
+def _in_buckets(entries: dict[str, str], key: Column) -> Column:
+    """Value of ``key``: a map literal is searched entry by entry, so there are many small ones."""
+    parts: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+    for name, value in entries.items():
+        parts[(ord(name[0]) + 7 * len(name)) % _BUCKETS][name] = value
+    bucket = (F.ascii(key) + 7 * F.length(key)) % _BUCKETS
+    return F.element_at(F.get(F.array(*[const_map(p or {"": ""}) for p in parts]), bucket), key)
+
+
 def _named(ref: Column) -> Column:
     legacy = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
     prefix = F.filter(const_array(legacy), lambda name: F.startswith(ref, name))
@@ -58,7 +70,7 @@ def _named(ref: Column) -> Column:
         return F.concat(F.element_at(const_map({k: html5[k] for k in legacy}), name), tail)
 
     return F.coalesce(
-        F.element_at(const_map(html5), ref),
+        _in_buckets(html5, ref),
         F.get(F.transform(F.slice(prefix, 1, 1), with_prefix), 0),
         F.concat(F.lit("&"), ref),
     )

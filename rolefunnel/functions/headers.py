@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +22,35 @@ SELF_PROFILE_PATTERN = rf"(?i)willing to relocate[{SPACE}]*:|r[ée]sum[ée][{SPA
 ROLE_MARKER_PATTERN = rf"(?i)^[{SPACE}]*seeking[{SPACE}]+freelancers?\b[{SPACE}]*[|\-:,]?[{SPACE}]*"
 ROLE_NOT_STATED = "Role not stated in header — see description"
 EMPTY_HEADER = "HN Who's Hiring post"
-MAX_NAME_CHARS, MAX_NAME_WORDS = 80, 12
-MAX_TITLE_ROLES, MAX_TITLE_CHARS = 5, 200
 MIN_ROLE_LINKS = 2
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of a posting's names is kept; None keeps everything.
+
+    ``line_chars``: of a header without parts; ``name_chars``: of company and role in a
+    header; ``role_chars``, ``role_words``: a longer bullet is no role name;
+    ``shown_roles``, ``title_chars``: of a title made of several roles.
+    """
+
+    line_chars: int | None = None
+    name_chars: int | None = None
+    role_chars: int | None = None
+    role_words: int | None = None
+    shown_roles: int | None = None
+    title_chars: int | None = None
+
+
+ALL = Limits()
+# Limits for display.
+SHORT = Limits(line_chars=80, name_chars=120, role_chars=80, role_words=12, shown_roles=5, title_chars=200)
+
+
+def _at_most(c: Column, chars: int | None) -> Column:
+    return c if chars is None else F.left(c, F.lit(chars))
+
+
 def is_non_role_segment(segment: Column) -> Column:
     """Pay, employment type, place or link: not a role title."""
     return (
@@ -44,15 +70,15 @@ def strip_role_marker(line: Column, pattern: str = ROLE_MARKER_PATTERN) -> Colum
     return strip(F.regexp_replace(line, pattern, ""))
 
 
-def parse_header(line: Column, placeholder: str = ROLE_NOT_STATED) -> Column:
+def parse_header(line: Column, placeholder: str = ROLE_NOT_STATED, limits: Limits = ALL) -> Column:
     """struct(company, title) of a ``Company | Role | ...`` line."""
-    snippet = F.coalesce(blank_to_null(F.left(strip(line), F.lit(80))), F.lit(EMPTY_HEADER))
+    snippet = F.coalesce(blank_to_null(_at_most(strip(line), limits.line_chars)), F.lit(EMPTY_HEADER))
 
     def name(segments: Column) -> Column:
         rest = F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1)))
         roles = F.filter(rest, lambda s: ~is_non_role_segment(s))
-        role = F.coalesce(F.left(F.get(roles, F.lit(0)), F.lit(120)), F.lit(placeholder))
-        company = F.left(F.get(segments, F.lit(0)), F.lit(120))
+        role = F.coalesce(_at_most(F.get(roles, F.lit(0)), limits.name_chars), F.lit(placeholder))
+        company = _at_most(F.get(segments, F.lit(0)), limits.name_chars)
         several = F.size(segments) >= 2
         return F.struct(
             F.when(several, company).otherwise(snippet).alias("company"),
@@ -67,21 +93,20 @@ def _before_separator(text: Column) -> Column:
     return F.substring_index(head, "(", 1)
 
 
-def _plausible(name: Column) -> Column:
-    words = F.size(F.split(strip(name), rf"[{SPACE}]+"))
-    return (
-        (name != "")
-        & ~F.endswith(name, F.lit("."))
-        & (F.length(name) <= MAX_NAME_CHARS)
-        & (words <= MAX_NAME_WORDS)
-    )
+def _plausible(name: Column, limits: Limits) -> Column:
+    ok = (name != "") & ~F.endswith(name, F.lit("."))
+    if limits.role_chars is not None:
+        ok = ok & (F.length(name) <= limits.role_chars)
+    if limits.role_words is not None:
+        ok = ok & (F.size(F.split(strip(name), rf"[{SPACE}]+")) <= limits.role_words)
+    return ok
 
 
-def role_name(text: Column, reject_emphasis: bool = True) -> Column:
+def role_name(text: Column, reject_emphasis: bool = True, limits: Limits = ALL) -> Column:
     """Role name at the start of a bullet, or null when it does not read like one."""
     head = strip(_before_separator(text))
     name = F.trim(head, F.lit(" -:"))
-    ok = _plausible(name)
+    ok = _plausible(name, limits)
     if reject_emphasis:
         starred = (F.length(head) >= 2) & F.startswith(head, F.lit("*")) & F.endswith(head, F.lit("*"))
         ok = ok & ~starred
@@ -116,18 +141,19 @@ def bullet_run(lines: Column, heading: str = ROLES_HEADING_PATTERN) -> Column:
     return let(lines, find)
 
 
-def bulleted_title(body: Column, heading: str = ROLES_HEADING_PATTERN) -> Column:
+def bulleted_title(body: Column, heading: str = ROLES_HEADING_PATTERN, limits: Limits = ALL) -> Column:
     """``Multiple roles: a, b (+n more)`` from at least two bulleted names, else null."""
     names = F.array_compact(
-        F.transform(bullet_run(split_lines(body), heading), lambda t: role_name(t, reject_emphasis=False))
+        F.transform(bullet_run(split_lines(body), heading), lambda t: role_name(t, reject_emphasis=False, limits=limits))
     )
 
     def render(n: Column) -> Column:
-        shown = F.array_join(F.slice(n, 1, MAX_TITLE_ROLES), ", ")
-        extra = F.size(n) - MAX_TITLE_ROLES
-        more = F.when(extra > 0, F.concat(F.lit(" (+"), extra.cast("string"), F.lit(" more)"))).otherwise("")
-        title = F.left(F.concat(F.lit("Multiple roles: "), shown, more), F.lit(MAX_TITLE_CHARS))
-        return F.when(F.size(n) >= 2, title)
+        shown, more = n, F.lit("")
+        if limits.shown_roles is not None:
+            shown, extra = F.slice(n, 1, limits.shown_roles), F.size(n) - limits.shown_roles
+            more = F.when(extra > 0, F.concat(F.lit(" (+"), extra.cast("string"), F.lit(" more)"))).otherwise("")
+        title = F.concat(F.lit("Multiple roles: "), F.array_join(shown, ", "), more)
+        return F.when(F.size(n) >= 2, _at_most(title, limits.title_chars))
 
     return let(names, render)
 
@@ -154,12 +180,12 @@ def bullet_spans(lines: Column) -> Column:
     return let(lines, with_starts)
 
 
-def role_links(body: Column, hrefs: Column, limit: int | None = None) -> Column:
+def role_links(body: Column, hrefs: Column, limit: int | None = None, limits: Limits = ALL) -> Column:
     """array<struct(name, url)> of bullets that carry a role name and their own link."""
 
     def pair(b: Column) -> Column:
         url = recover_prefix(extract_url(b["span"]), hrefs)
-        return F.struct(role_name(b["text"]).alias("name"), url.alias("url"))
+        return F.struct(role_name(b["text"], limits=limits).alias("name"), url.alias("url"))
 
     pairs = F.transform(bullet_spans(split_lines(body)), pair)
     good = F.filter(

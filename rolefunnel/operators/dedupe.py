@@ -283,16 +283,21 @@ def _similarity_udf():
 similarity_ratio = _similarity_udf()
 
 
+def _with_close_companies(candidates: DataFrame, company_floor: float) -> DataFrame:
+    """Candidates whose company keys reach ``company_floor``; the ratio of two companies is computed once."""
+    sides = ["a_company_key", "b_company_key"]
+    close = candidates.select(*sides).distinct().filter(similarity_ratio(*sides) >= company_floor)
+    return candidates.join(close, sides)
+
+
 def fuzzy_pairs(
     nodes: DataFrame, threshold: float = FUZZY_THRESHOLD, company_floor: float = MIN_COMPANY_SIMILARITY
 ) -> DataFrame:
     """(a, b, similarity) for node pairs at or above the threshold, a later than b."""
-    candidates = candidate_pairs(nodes, threshold)
-    close = candidates.withColumn(
-        "company_similarity", similarity_ratio("a_company_key", "b_company_key")
-    ).filter(F.col("company_similarity") >= company_floor)
+    candidates = cut_lineage(candidate_pairs(nodes, threshold))
     return (
-        close.withColumn("similarity", similarity_ratio("a_full_key", "b_full_key"))
+        _with_close_companies(candidates, company_floor)
+        .withColumn("similarity", similarity_ratio("a_full_key", "b_full_key"))
         .filter(F.col("similarity") >= threshold)
         .select("a", "b", "similarity")
     )
@@ -308,9 +313,9 @@ def similar_nodes(
         F.col("b").alias("a"), F.col("a").alias("b"),
         *[F.col(f"b_{c}").alias(f"a_{c}") for c in sides], *[F.col(f"a_{c}").alias(f"b_{c}") for c in sides],
     )
+    both = cut_lineage(candidates.select(turned.columns).union(turned))
     return (
-        candidates.select(turned.columns).union(turned)
-        .filter(similarity_ratio("a_company_key", "b_company_key") >= company_floor)
+        _with_close_companies(both, company_floor)
         .filter(similarity_ratio("a_full_key", "b_full_key") >= threshold)
         .select(F.col("a").alias("x"), F.col("b").alias("y"))
     )

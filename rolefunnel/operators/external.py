@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,9 @@ from rolefunnel.operators.scoring import (
     resolve_contract,
     trivial_result,
 )
+from rolefunnel.operators.store import BucketTable
 from rolefunnel.schema import CONTRACT_TYPES, SENIORITY_FITS, allowed, ddl_fields
+from rolefunnel.session import cut_lineage
 
 RESPONSE_DDL = (
     "is_job_posting boolean, score int, skill_match int, contract_type_guess string, "
@@ -43,6 +48,36 @@ def build_requests(postings: DataFrame, profile: dict, instructions: str, max_ch
     return postings.select("dedup_key", F.to_json(body, {"ignoreNullFields": "false"}).alias("request"))
 
 
+Scorer = Callable[[str], str]
+
+
+def score_requests(requests: DataFrame, make_scorer: Callable[[], Scorer] | None = None) -> DataFrame:
+    """(dedup_key, response, error) for every request (dedup_key, request).
+
+    ``make_scorer`` is called once per partition and gives the scorer, a callable from
+    request to response text; a request it fails on becomes a row with the error and no
+    response, which ``validate_responses`` puts into quarantine.  Without a scorer
+    nothing is scored.  Partitions bound how many scorers run at a time.
+    """
+    if make_scorer is None:
+        return requests.select("dedup_key", F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error")).limit(0)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = make_scorer()
+        for frame in frames:
+            responses, errors = [], []
+            for request in frame["request"]:
+                try:
+                    response, error = scorer(request), None
+                except Exception as failure:  # whatever a scorer raises belongs to this request
+                    response, error = None, f"{type(failure).__name__}: {failure}"
+                responses.append(response)
+                errors.append(error)
+            yield pd.DataFrame({"dedup_key": frame["dedup_key"], "response": responses, "error": errors}, dtype="object")
+
+    return requests.select("dedup_key", "request").mapInPandas(run, "dedup_key string, response string, error string")
+
+
 def validate_responses(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split landed (dedup_key, response, ...) into (valid with struct ``r``, quarantined).
 
@@ -60,6 +95,8 @@ def validate_responses(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(r.isNull() | incomplete, "response does not match the schema")
         .when(~vocabulary, "value outside its vocabulary")
     )
+    if "error" in landed.columns:  # the scorer itself has failed
+        error = F.coalesce("error", error)
     checked = parsed.withColumn("error", error)
     return (
         checked.filter(F.col("error").isNull()).drop("error", "response"),
@@ -157,6 +194,23 @@ def forced_rescore(keys: DataFrame, stored: DataFrame, responses: DataFrame) ->
     return rows, checked.filter(F.col("error").isNotNull()).select("dedup_key", "error")
 
 
+def rescore_into(table: BucketTable, keys: DataFrame, responses: DataFrame) -> DataFrame:
+    """Re-score the asked keys and write the scores into their buckets; returns the errors (dedup_key, error).
+
+    Only the scores of rows change; what belongs to the user and the times stay.
+    """
+    rows, errors = forced_rescore(keys, table.read(), responses)
+    errors = cut_lineage(errors)  # read from the buckets as they were
+
+    def with_scores(old: DataFrame, asked: DataFrame) -> DataFrame:
+        new = forced_rescore(asked, old, responses)[0].select("dedup_key", F.struct(*SCORE_FIELDS).alias("_new"))
+        joined = old.join(new, "dedup_key", "left")
+        return joined.withColumns({c: F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")) for c in SCORE_FIELDS}).drop("_new")
+
+    table.merge(rows.select("dedup_key"), with_scores)
+    return errors
+
+
 def usage_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Calls, tokens and cost per (provider, model); an unlisted price leaves cost null."""
     totals = calls.groupBy("provider", "model").agg(

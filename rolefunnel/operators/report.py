@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rolefunnel.functions.text import blank_to_null, truncate
 from rolefunnel.operators.classify import effective_bucket
+from rolefunnel.session import cut_lineage
 
 BUCKET_ORDER = ["eligible", "needs_review", "excluded", "irrelevant"]
 
@@ -32,8 +35,13 @@ def above_threshold(df: DataFrame, minimum: int) -> DataFrame:
 
 
 def by_score(df: DataFrame) -> DataFrame:
-    """All rows, best first; ties by key so the order is total."""
-    return df.orderBy(score_or_zero().desc(), "dedup_key")
+    """All rows, best first; ties by key so the order is total.
+
+    A range sort reads its input twice, to sample the ranges and to sort: the rows
+    are written once before, so that whatever made them runs once.
+    """
+    rows = cut_lineage(df)
+    return rows.orderBy(score_or_zero().desc(), "dedup_key")
 
 
 def top_n(df: DataFrame, n: int = 20, minimum: int = 0) -> DataFrame:
@@ -57,7 +65,8 @@ def audit_table(df: DataFrame) -> DataFrame:
     reasons = F.coalesce(
         blank_to_null(F.array_join("reasons", "; ")), F.col("eligibility_reason"), F.lit("")
     )
-    return by_score(df).select(
+    shown = df.select(
+        "dedup_key",
         score_or_zero().alias("score"),
         bucket_of_row().alias("bucket"),
         "source",
@@ -69,6 +78,7 @@ def audit_table(df: DataFrame) -> DataFrame:
         reasons.alias("reasons"),
         F.coalesce(F.array_join("red_flags", "; "), F.lit("")).alias("red_flags"),
     )
+    return by_score(shown).drop("dedup_key")
 
 
 def faceted(
@@ -101,3 +111,20 @@ def run_counters(fetched: DataFrame, unique: DataFrame) -> DataFrame:
     one, none = F.lit(1), F.lit(0)
     flags = fetched.select(one.alias("f"), none.alias("u")).unionAll(unique.select(none.alias("f"), one.alias("u")))
     return flags.agg(F.sum("f").alias("fetched"), F.sum("u").alias("unique_rows"))
+
+
+def write_counted(df: DataFrame, path: str, sources: Sequence[str] = ()) -> tuple[DataFrame, dict[str, int]]:
+    """Write ``df`` to ``path`` and count it on the way: (the table read back, counts).
+
+    ``rows`` counts all rows, each name of ``sources`` the rows with that ``source``.
+    Counts are observed in the writing tasks themselves, so nothing is read twice.
+    """
+    seen = Observation()
+    each = [F.count_if(F.col("source") == name).alias(name) for name in sources]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *each).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def counters_of(spark, fetched: int, unique: int) -> DataFrame:
+    """The row of ``run_counters`` from counts that were observed."""
+    return spark.createDataFrame([(fetched, unique)], "fetched bigint, unique_rows bigint")

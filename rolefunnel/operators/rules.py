@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,99 +80,79 @@ class KeywordGroup:
     phrases: tuple[str, ...]
 
 
+def _from(section: str, key: str, default: object = ()):
+    """A field that configuration sets: where it is found, and its value where it is not."""
+    return field(default=default, metadata={"section": section, "key": key})
+
+
 @dataclass(frozen=True)
 class Rules:
     """Everything classification and scoring need to know."""
 
-    exclude: tuple[str, ...] = ()
-    hybrid_onsite: tuple[str, ...] = ()
-    remote_indicator: tuple[str, ...] = ()
-    needs_review: tuple[str, ...] = ()
-    positive: tuple[str, ...] = ()
-    relevance: tuple[str, ...] = ()
-    relevance_weak: tuple[str, ...] = ()
-    non_role_title: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = _from("filters", "exclude_phrases")
+    hybrid_onsite: tuple[str, ...] = _from("filters", "hybrid_onsite_phrases")
+    remote_indicator: tuple[str, ...] = _from("filters", "remote_indicator_phrases")
+    needs_review: tuple[str, ...] = _from("filters", "needs_review_phrases")
+    positive: tuple[str, ...] = _from("filters", "positive_phrases")
+    relevance: tuple[str, ...] = _from("filters", "relevance_keywords")
+    relevance_weak: tuple[str, ...] = _from("filters", "relevance_keywords_weak")
+    non_role_title: tuple[str, ...] = _from("filters", "non_role_title_phrases")
     keyword_groups: tuple[KeywordGroup, ...] = ()
-    role_targets: tuple[str, ...] = ()
-    core_skills: tuple[str, ...] = ()
+    role_targets: tuple[str, ...] = _from("profile", "role_targets")
+    core_skills: tuple[str, ...] = _from("profile", "core_skills")
     contract: dict[str, list[str]] = field(default_factory=lambda: CONTRACT_PHRASES)
     negation: Negation = Negation()
     disclosure: tuple[str, str, str] = DISCLOSURE_WORDS
-    title_match_bonus: int = 15
-    positive_signal_bonus_cap: int = 15
-    recency_bonus_max: int = 10
-    near_miss_penalty: int = 10
+    title_match_bonus: int = _from("ranker", "title_match_bonus", 15)
+    positive_signal_bonus_cap: int = _from("ranker", "positive_signal_bonus_cap", 15)
+    recency_bonus_max: int = _from("ranker", "recency_bonus_max", 10)
+    near_miss_penalty: int = _from("ranker", "near_miss_penalty", 10)
 
     @property
     def max_score(self) -> float:
         return 40.0 + self.title_match_bonus + self.positive_signal_bonus_cap + self.recency_bonus_max
 
 
-_LISTS = {
-    "exclude_phrases": "exclude",
-    "hybrid_onsite_phrases": "hybrid_onsite",
-    "remote_indicator_phrases": "remote_indicator",
-    "needs_review_phrases": "needs_review",
-    "positive_phrases": "positive",
-    "relevance_keywords": "relevance",
-    "relevance_keywords_weak": "relevance_weak",
-    "non_role_title_phrases": "non_role_title",
-}
-_NUMBERS = ["title_match_bonus", "positive_signal_bonus_cap", "recency_bonus_max", "near_miss_penalty"]
-
-
 @dataclass(frozen=True)
 class Settings:
     """Rules plus the switches of a run."""
 
     rules: Rules
     sources: dict[str, bool]
-    ranking_mode: str = "heuristic"
-    min_score_threshold: int = 30
-    scan_interval_days: int = 7
+    ranking_mode: str = _from("", "ranking_mode", "heuristic")
+    min_score_threshold: int = _from("", "min_score_threshold", 30)
+    scan_interval_days: int = _from("github_lists", "scan_interval_days", 7)
+
+
+def _configured(kind: type, sections: dict[str, dict]) -> dict[str, object]:
+    """The fields of ``kind`` that the configuration sets, in the types of their defaults."""
+    found = {}
+    for f in fields(kind):
+        value = sections.get(f.metadata.get("section"), {}).get(f.metadata.get("key"))
+        if value is not None:
+            found[f.name] = type(f.default)(value)
+    return found
 
 
 def settings_from(config: dict, profile: dict | None = None) -> Settings:
-    """Build settings from parsed configuration and profile mappings.
-
-    Missing lists are empty, missing numbers take their defaults, an unknown
-    ranking mode is an error.
-    """
-    profile = profile or {}
-    filters, ranker = config.get("filters", {}), config.get("ranker", {})
-    mode = config.get("ranking_mode", "heuristic")
-    if mode not in RANKING_MODES:
-        raise ValueError(f"ranking_mode must be one of {sorted(RANKING_MODES)}, got {mode!r}")
-    groups = tuple(
-        KeywordGroup(name, float(g.get("weight", 1.0)), tuple(g.get("phrases", [])))
-        for name, g in ranker.get("keyword_groups", {}).items()
-    )
-    rules = Rules(
-        **{attr: tuple(filters.get(key, [])) for key, attr in _LISTS.items()},
-        **{key: int(ranker[key]) for key in _NUMBERS if key in ranker},
-        keyword_groups=groups,
-        role_targets=tuple(profile.get("role_targets", [])),
-        core_skills=tuple(profile.get("core_skills", [])),
-    )
-    return Settings(
-        rules=rules,
-        sources=dict(config.get("sources", {})),
-        ranking_mode=mode,
-        min_score_threshold=int(config.get("min_score_threshold", 30)),
-        scan_interval_days=int(config.get("github_lists", {}).get("scan_interval_days", 7)),
-    )
+    """Build settings from parsed configuration and profile mappings; what they leave out has its default."""
+    sections = {"": config, "profile": profile or {}} | {name: config.get(name) or {} for name in ("filters", "ranker", "github_lists")}
+    groups = sections["ranker"].get("keyword_groups", {})
+    weighted = tuple(KeywordGroup(name, float(g.get("weight", 1.0)), tuple(g.get("phrases", ()))) for name, g in groups.items())
+    made = Settings(Rules(**_configured(Rules, sections), keyword_groups=weighted), dict(config.get("sources") or {}), **_configured(Settings, sections))
+    if made.ranking_mode not in RANKING_MODES:
+        raise ValueError(f"no such ranking mode: {made.ranking_mode!r}; there are {', '.join(RANKING_MODES)}")
+    return made
 
 
 def _flat(rules: Rules) -> Iterable[tuple[str, str, str, float, int]]:
-    for key, attr in _LISTS.items():
-        for i, phrase in enumerate(getattr(rules, attr)):
-            yield key, "", phrase, 0.0, i
+    for f in fields(Rules):
+        if isinstance(f.default, tuple) and f.metadata:
+            for i, phrase in enumerate(getattr(rules, f.name)):
+                yield f.metadata["key"], "", phrase, 0.0, i
     for group in rules.keyword_groups:
         for i, phrase in enumerate(group.phrases):
             yield "keyword_groups", group.name, phrase, group.weight, i
-    for name in ("role_targets", "core_skills"):
-        for i, phrase in enumerate(getattr(rules, name)):
-            yield name, "", phrase, 0.0, i
 
 
 def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:

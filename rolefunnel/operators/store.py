@@ -1,19 +1,16 @@
-"""Keyed snapshots: merges that keep what belongs to the user.
-
-A table is a folder of immutable snapshots plus a pointer file naming the
-current one; a merge reads the old snapshot, writes a new one and then moves
-the pointer, so a lost executor or a failed job never damages what is served.
-"""
+"""Keyed merges that keep what belongs to the user, and the bucketed table they are kept in."""
 
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefunnel.schema import BOARD_DDL, POSTING_DDL, SCAN_DDL, STATUSES, allowed, conform, ddl_fields
+from rolefunnel.session import cut_lineage
 
 # Columns a merge never overwrites on a known key.
 POSTING_KEPT = ["status", "first_seen_at"]
@@ -165,97 +162,88 @@ def ordered(df: DataFrame, order_by: str) -> DataFrame:
             raise ValueError(f"unsafe order_by clause: {order_by!r}")
         column = F.col(match.group(1))
         terms.append(column.desc_nulls_last() if match.group(2) == "DESC" else column.asc_nulls_first())
-    return df.orderBy(*terms)
+    return cut_lineage(df).orderBy(*terms)  # written once: a range sort reads its input twice
 
 
-class StoreConflict(RuntimeError):
-    """Another writer has published since the snapshot was read."""
+class BucketTable:
+    """A keyed table as Parquet folders, one for each bucket of a hash of the key.
 
+    A merge reads and rewrites only the buckets its rows fall into, through Spark's
+    own committer (dynamic partition overwrite): the new files are complete before
+    they take the place of the old ones, and other buckets are not touched.  The
+    number of buckets belongs to the table; choose it so that a bucket fits one task.
+    Files carry bloom filters of the key, so that a look-up opens one bucket and reads
+    no row group without the key.
 
-class SnapshotTable:
-    """Parquet snapshots below ``path`` with an atomic pointer to the current one."""
+    One writer at a time; a frame read before a merge must not be read after it.
+    Merging a batch again gives the same rows, so a replayed batch does no harm.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, ddl: str):
-        self.spark, self.path, self.ddl = spark, path.rstrip("/"), ddl
-        self._seen: int | None = None  # how many snapshots there were when it was last read
+    def __init__(self, spark: SparkSession, path: str, ddl: str, keys: list[str], buckets: int = 64):
+        if buckets < 1:
+            raise ValueError("a table needs a bucket")
+        self.spark, self.ddl, self.keys, self.buckets = spark, ddl, keys, buckets
+        self.path = path.rstrip("/")
 
     @classmethod
-    def postings(cls, spark: SparkSession, path: str) -> SnapshotTable:
-        return cls(spark, path, POSTING_DDL)
+    def postings(cls, spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+        return cls(spark, path, POSTING_DDL, ["dedup_key"], buckets)
 
     @classmethod
-    def boards(cls, spark: SparkSession, path: str) -> SnapshotTable:
-        return cls(spark, path, BOARD_DDL)
+    def boards(cls, spark: SparkSession, path: str, buckets: int = 16) -> BucketTable:
+        return cls(spark, path, BOARD_DDL, BOARD_KEY, buckets)
 
     @classmethod
-    def scans(cls, spark: SparkSession, path: str) -> SnapshotTable:
-        return cls(spark, path, SCAN_DDL)
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def version(self) -> str | None:
-        """Name of the current snapshot, the newest committed pointer."""
-        jvm, fs = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        if not fs.exists(root):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root))
-        return names[-1].split("~", 1)[1] if names else None
-
-    def _published(self) -> int:
-        jvm, fs = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        return len(fs.listStatus(root)) if fs.exists(root) else 0
+    def scans(cls, spark: SparkSession, path: str, buckets: int = 1) -> BucketTable:
+        return cls(spark, path, SCAN_DDL, ["source_name"], buckets)
 
-    def read(self) -> DataFrame:
-        self._seen = self._published()
-        current = self.version()
-        if current is None:
-            return self.spark.createDataFrame([], self.ddl)
-        return self.spark.read.schema(self.ddl).parquet(f"{self.path}/{current}")
-
-    def write(self, df: DataFrame, label: str | None = None) -> None:
-        """Write a new snapshot, then publish it by creating one pointer file.
-
-        The place behind the snapshot that was last read is claimed by creating a
-        file that must not exist yet, so of two writers who merged into the same
-        snapshot the second fails with ``StoreConflict`` and can read and merge again.
-        """
-        name = f"snapshot-{label or uuid.uuid4().hex}"
-        conform(df, self.ddl).write.mode("overwrite").parquet(f"{self.path}/{name}")
-        jvm, fs = self._fs()
-        pointers = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        fs.mkdirs(pointers)
-        sequence = self._published() if self._seen is None else self._seen
-        self._claim(sequence, name)
-        fs.create(jvm.org.apache.hadoop.fs.Path(pointers, f"{sequence:012d}~{name}")).close()
-
-        self._seen = sequence + 1
-
-    def _claim(self, sequence: int, name: str) -> None:
-        jvm, fs = self._fs()
-        claim = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{sequence:012d}")
+    def bucket_of(self, *keys: Column | str) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def _folders(self) -> DataFrame:
+        """Rows with their bucket; ``of`` is the number of buckets they were written for."""
+        schema = f"{self.ddl}, of int, bucket int"
         try:
-            out = fs.create(claim, False)
-        except Exception as error:
-            if not fs.exists(claim):
+            rows = self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            source = fs.open(claim)
-            owner = jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
-            source.close()
-            if owner != name:  # a replay of the same batch may go on
-                raise StoreConflict(f"{self.path}: version {sequence} belongs to {owner}") from error
-            return
-        out.write(bytearray(name, "utf-8"))
-        out.close()
-
-    def published(self, label: str) -> bool:
-        """True when the snapshot of this label is already current or older."""
-        jvm, fs = self._fs()
-        pointers = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        if not fs.exists(pointers):
-            return False
-        return any(s.getPath().getName().endswith(f"~snapshot-{label}") for s in fs.listStatus(pointers))
+            return self.spark.createDataFrame([], schema)
+        wrong = f"{self.path} was written with another number of buckets than {self.buckets}"
+        same = F.when(F.col("of") == self.buckets, True).otherwise(F.raise_error(F.lit(wrong)).cast("boolean"))
+        return rows.filter(same)
+
+    def read(self) -> DataFrame:
+        return self._folders().drop("of", "bucket")
+
+    def lookup(self, *key: str) -> DataFrame:
+        """The row of one key: one bucket is listed, its bloom filters and statistics are asked."""
+        rows = self._folders().filter(F.col("bucket") == self.bucket_of(*[F.lit(k) for k in key]))
+        for name, value in zip(self.keys, key, strict=True):
+            rows = rows.filter(F.col(name) == F.lit(value))
+        return rows.drop("of", "bucket")
+
+    def merge(self, rows: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """Replace the buckets of ``rows`` by ``how(stored rows of these buckets, rows)``; returns their numbers.
+
+        ``rows`` is read twice.  ``how`` must keep every stored row that it does not change.
+        """
+        placed = rows.withColumn("_bucket", self.bucket_of(*self.keys))
+        touched = sorted(r[0] for r in placed.select("_bucket").distinct().collect())  # no more than there are buckets
+        if touched:
+            old = self._folders().filter(F.col("bucket").isin(touched)).drop("of", "bucket")
+            self._write(how(old, rows))
+        return touched
+
+    def replace(self, rows: DataFrame) -> None:
+        """Write the buckets that ``rows`` fall into, whole: for a first load."""
+        self._write(rows)
+
+    def _write(self, rows: DataFrame) -> None:
+        bucket = self.bucket_of(*self.keys).alias("bucket")
+        out = conform(rows, self.ddl).select("*", F.lit(self.buckets).alias("of"), bucket)
+        writer = out.repartition("bucket").sortWithinPartitions("bucket", *self.keys).write.partitionBy("of", "bucket").mode("overwrite")
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+        for key in self.keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer.parquet(self.path)

@@ -30,14 +30,24 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return add
 
 
+#: Session setting: number of partitions that tables are dealt out to once read, for files of one row group.
+INPUT_PARTITIONS = "spark.rolefunnel.inputPartitions"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table; how it is split is for the session to say (spark.sql.files.maxPartitionBytes)."""
-    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+    """A driver table; how it is split is for the session to say.
+
+    ``spark.sql.files.maxPartitionBytes`` cuts files between row groups; where they have
+    only one, ``INPUT_PARTITIONS`` deals the rows out.  Unset, files are read as they lie.
+    """
+    rows = prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def title_of(text: str = "text"):
-    """First line, at most 80 characters."""
-    return F.left(F.substring_index(text, "\n", 1), F.lit(80))
+    """The first line."""
+    return F.substring_index(text, "\n", 1)
 
 
 def documents_as_postings(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
@@ -100,7 +110,7 @@ def sql_normalize_url(x: str) -> str:
     return f"'https://' || {host} || {path}"
 
 
-SQL_TITLE = "left(split_part(text, chr(10), 1), 80)"
+SQL_TITLE = "split_part(text, chr(10), 1)"
 SQL_EMAIL = r"nullif(regexp_extract(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', 0), '')"
 
 POSTINGS_SQL = f"""

@@ -8,7 +8,12 @@ from rolefunnel.functions.dates import utc_timestamp
 from rolefunnel.functions.text import strip_html
 from rolefunnel.functions.urls import extract_hrefs
 from rolefunnel.operators import boards as bd
+from rolefunnel.operators.redirects import follow, resolve_redirects
+from rolefunnel.operators.rules import Rules, Settings
 from rolefunnel.plans.catalog.base import query, sql_strip_html, table
+from rolefunnel.plans.funnel import seed_from_lists
+from rolefunnel.schema import BOARD_DDL, conform
+from rolefunnel.session import scratch_path
 from rolefunnel.sources import board_payloads as bp
 from rolefunnel.sources import registry as rg
 
@@ -462,14 +467,14 @@ def _(spark, d):
 @query(
     "cadence_gate",
     """WITH u AS (SELECT DISTINCT 'user ' || user_id AS source_name, user_id FROM events),
-       s AS (SELECT user_id, max(ts) AS last FROM events WHERE event_id % 50 = 0 GROUP BY 1)
+       s AS (SELECT user_id, max(ts) AS last FROM events WHERE event_type = 'error' GROUP BY 1)
        SELECT source_name FROM u LEFT JOIN s USING (user_id) WHERE last IS NULL OR TIMESTAMP '2024-01-31' - last >= INTERVAL 3 DAY""",
 )
 def _(spark, d):
     name = F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("source_name")
     events = table(spark, d, "events")
     scans = (
-        events.filter(F.col("event_id") % 50 == 0)
+        events.filter(F.col("event_type") == "error")  # the event that records a scan
         .groupBy(name)
         .agg(F.max(F.col("ts").cast("timestamp")).alias("last_scanned_at"))
     )
@@ -516,6 +521,110 @@ def _(spark, d):
     return bd.not_polled_yet(found, polled)
 
 
+def _seeding(spark, d):
+    """Link lists of 25 sources, some scanned before, and boards that are known already."""
+    key, nation = F.col("page_id"), F.col("n_nationkey")
+    name = lambda k: F.concat(F.lit("list-"), k.cast("string")).alias("source_name")
+    sources = table(spark, d, "nation").select(name(nation))
+    text = F.concat(F.lit("- [a]("), "url", F.lit(")\n- [b](https://jobs.lever.co/co"), (key % 50).cast("string"), F.lit(")"))
+    path = scratch_path(spark, "link-lists")
+    table(spark, d, "pages").select(name(key % 25), key.alias("part"), text.alias("text")).write.partitionBy("source_name").parquet(path)
+    lists = spark.read.schema("part bigint, text string, source_name string").parquet(path)
+    scanned = table(spark, d, "events").filter(F.col("user_id") % 25 < 15).groupBy((F.col("user_id") % 25).alias("k"))
+    scans = scanned.agg(F.min(F.col("ts").cast("timestamp")).alias("first")).select(
+        name(F.col("k")), F.timestamp_micros(F.unix_micros("first") + F.col("k") * 86_400_000_000).alias("last_scanned_at")
+    )
+    boards = conform(
+        table(spark, d, "nation").select(
+            F.lit("lever").alias("platform"), F.concat(F.lit("co"), nation.cast("string")).alias("board_slug"),
+            F.lit("before").alias("discovered_via"), (nation % 2 == 0).alias("enabled"), utc_timestamp("2024-01-01").alias("first_seen_at"),
+        ),
+        BOARD_DDL,
+    )
+    return seed_from_lists(sources, lists, boards, scans, _landed_pages(spark, d), Settings(Rules(), {}), utc_timestamp("2024-01-12"))
+
+
+_SQL_SEEDING = """
+  scans AS (SELECT 'list-' || k AS source_name, f + to_days(k::INT) AS last FROM (SELECT user_id % 25 AS k, min(ts) AS f FROM events WHERE user_id % 25 < 15 GROUP BY 1)),
+  due AS (SELECT 'list-' || n_nationkey AS source_name FROM nation LEFT JOIN scans ON source_name = 'list-' || n_nationkey
+          WHERE last IS NULL OR TIMESTAMP '2024-01-12' - last >= INTERVAL 7 DAY),
+  links AS (SELECT 'list-' || page_id % 25 AS source_name, page_id, 0 AS ord, url, CASE WHEN page_id % 2 = 0 THEN 'ashby' WHEN page_id % 3 = 0 THEN 'lever' END AS platform,
+              CASE WHEN page_id % 2 = 0 THEN 'co' || page_id % 10 WHEN page_id % 3 = 0 THEN 'first' END AS slug FROM pages
+            UNION ALL SELECT 'list-' || page_id % 25, page_id, 1, 'https://jobs.lever.co/co' || page_id % 50, 'lever', 'co' || page_id % 50 FROM pages),
+  found AS (SELECT platform, slug, 'github:' || source_name AS via, url FROM links JOIN due USING (source_name) WHERE platform IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY platform, slug ORDER BY page_id DESC, ord DESC) = 1)"""
+
+
+@query(
+    "seeding_run",
+    f"""WITH {_SQL_SEEDING}, old AS (SELECT 'lever' AS platform, 'co' || n_nationkey AS slug, n_nationkey % 2 = 0 AS enabled FROM nation)
+    SELECT coalesce(f.platform, o.platform) AS platform, coalesce(f.slug, o.slug) AS board_slug, coalesce(f.via, 'before') AS via, f.url AS discovered_url,
+           coalesce(o.enabled, true) AS enabled, epoch_us(CASE WHEN o.slug IS NULL THEN TIMESTAMP '2024-01-12' ELSE TIMESTAMP '2024-01-01' END) AS first_seen
+    FROM found f FULL JOIN old o ON o.platform = f.platform AND o.slug = f.slug""",
+)
+def _(spark, d):
+    """Cadence gate, scan of the lists that are due, links followed to boards, boards merged."""
+    return _seeding(spark, d).boards.select(
+        "platform", "board_slug", F.col("discovered_via").alias("via"), "discovered_url", "enabled", F.unix_micros("first_seen_at").alias("first_seen")
+    )
+
+
+@query(
+    "seeding_scans",
+    f"""WITH {_SQL_SEEDING} SELECT coalesce(d.source_name, s.source_name) AS source_name,
+        epoch_us(CASE WHEN d.source_name IS NOT NULL THEN TIMESTAMP '2024-01-12' ELSE last END) AS last_scan FROM due d FULL JOIN scans s USING (source_name)""",
+)
+def _(spark, d):
+    return _seeding(spark, d).scans.select("source_name", F.unix_micros("last_scanned_at").alias("last_scan"))
+
+
+def _hops(spark, d):
+    """Redirects among pages: chains of 1 to 20 hops, a page each; every seventh chain closes into a circle."""
+    pages = table(spark, d, "pages")
+    key = F.col("page_id")
+    block, place = F.expr("page_id div 21"), key % 21
+    length = block % 20 + 1
+    address = lambda k: F.concat(F.lit("https://r.example.org/"), k.cast("string"))
+    last = F.when(block % 7 == 6, address(block * 21))
+    target = F.when(place < length, address(key + 1)).when(place == length, last)
+    return pages.select(address(key).alias("url"), target.alias("final_url"))
+
+
+@query(
+    "redirect_chains",
+    """WITH RECURSIVE h AS (SELECT 'https://r.example.org/' || page_id AS url, page_id // 21 AS block, page_id % 21 AS place, page_id FROM pages),
+       hop AS (SELECT url, CASE WHEN place < block % 20 + 1 THEN 'https://r.example.org/' || (page_id + 1)
+                                WHEN place = block % 20 + 1 AND block % 7 = 6 THEN 'https://r.example.org/' || (block * 21) END AS final_url FROM h),
+       real AS (SELECT * FROM hop WHERE final_url IS NOT NULL),
+       walk AS (SELECT url, final_url AS place, 1 AS hops FROM real
+                UNION ALL SELECT walk.url, real.final_url, hops + 1 FROM walk JOIN real ON real.url = walk.place WHERE hops < 40),
+       ends AS (SELECT url, place AS target, hops FROM walk WHERE place NOT IN (SELECT url FROM real))
+       SELECT real.url, target, hops::BIGINT AS hops, target IS NULL AS looped FROM real LEFT JOIN ends USING (url)""",
+)
+def _(spark, d):
+    return resolve_redirects(_hops(spark, d))
+
+
+@query(
+    "seed_through_redirects",
+    """WITH RECURSIVE l AS (SELECT page_id, 'https://short.example/' || page_id AS url FROM pages),
+       hop AS (SELECT 'https://short.example/' || page_id AS url, CASE WHEN page_id % 9 = 0 THEN arg_url ELSE 'https://short.example/' || (page_id - 1) END AS final_url
+               FROM (SELECT page_id, url AS arg_url FROM pages)),
+       walk AS (SELECT url, final_url AS at FROM hop UNION ALL SELECT walk.url, hop.final_url FROM walk JOIN hop ON hop.url = walk.at),
+       p AS (SELECT url, min(CASE WHEN page_id % 2 = 0 THEN 'ashby/co' || page_id % 10 WHEN page_id % 3 = 0 THEN 'lever/first' END) AS board FROM pages GROUP BY url)
+       SELECT split_part(board, '/', 1) AS platform, split_part(board, '/', 2) AS board_slug, walk.url AS discovered_url
+       FROM walk JOIN p ON p.url = walk.at WHERE board IS NOT NULL""",
+)
+def _(spark, d):
+    """Links that reach a landed page over up to nine hops, and the boards behind them."""
+    key = F.col("page_id")
+    short = lambda k: F.concat(F.lit("https://short.example/"), k.cast("string"))
+    pages = table(spark, d, "pages")
+    hops = pages.select(short(key).alias("url"), F.when(key % 9 == 0, F.col("url")).otherwise(short(key - 1)).alias("final_url"))
+    links = pages.select(F.lit("list").alias("source_name"), short(key).alias("url"), key.alias("ord"))
+    return bd.seed_boards(links, follow(_landed_pages(spark, d), hops)).select("platform", "board_slug", "discovered_url")
+
+
 def _commented(spark, d):
     """A posting per page that links to the page's address."""
     return table(spark, d, "pages").select(
@@ -549,6 +658,37 @@ _SQL_EXPAND = """
                              WHEN page_id % 2 = 1 AND page_id % 3 = 0 THEN 'lever' END AS live FROM pages)"""
 
 
+@query(
+    "known_host_skip",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ashby' WHEN 2 THEN 'lever' ELSE NULL END AS platform FROM pages""",
+)
+def _(spark, d):
+    """Links to one role on a board's host are specific already: they stay as they are, whatever their page links to."""
+    key = F.col("page_id")
+    n = key.cast("string")
+    url = (
+        F.when(key % 4 == 0, F.concat(F.lit("https://jobs.lever.co/acme/role-"), n))
+        .when(key % 4 == 1, F.concat(F.lit("https://jobs.ashbyhq.com/co"), n))
+        .when(key % 4 == 2, F.concat(F.lit("https://careers.example.org/"), n))
+        .otherwise(F.concat(F.lit("https://acme.recruitee.com/o/role-"), n))
+    )
+    links = table(spark, d, "pages").select("page_id", url.alias("url"))
+    landed = links.select("url", F.col("url").alias("final_url"), F.lit('<a href="https://jobs.lever.co/linked">jobs</a>').alias("html"))
+    return bd.resolve_boards(links, landed).select("page_id", F.col("board.platform").alias("platform"))
+
+
+@query(
+    "board_in_link_or_page",
+    """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ashby' WHEN page_id % 3 = 0 THEN 'lever' END AS platform, page_id % 5 = 0 AS on_known_host FROM pages""",
+)
+def _(spark, d):
+    """The board that an address or its page reveals, beside whether another address is on a known host."""
+    other = F.when(F.col("page_id") % 5 == 0, F.lit("https://x.jobs.personio.de/job/1")).otherwise(F.lit("https://personio.example/"))
+    board = bd.board_in_page(F.col("final_url"), extract_hrefs(F.col("html")))
+    key = table(spark, d, "pages").select("page_id", "url").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return _landed_pages(spark, d).join(key, "url").select("page_id", board["platform"].alias("platform"), bd.on_known_host(other).alias("on_known_host"))
+
+
 @query(
     "expand_boards",
     f"""WITH {_SQL_EXPAND}

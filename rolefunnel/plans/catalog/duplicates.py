@@ -117,7 +117,7 @@ def _(spark, d):
 def _documents_for_fuzzy(spark, d):
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("ord"),
-        title_of().alias("title"),
+        F.left(title_of(), F.lit(80)).alias("title"),
         F.col("lang").alias("company"),
         F.col("text").alias("description"),
         F.lit("").alias("url"),

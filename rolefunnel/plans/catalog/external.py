@@ -8,8 +8,10 @@ from rolefunnel.functions.dates import utc_timestamp
 from rolefunnel.operators import external as ex
 from rolefunnel.operators.classify import classify
 from rolefunnel.operators.dedupe import with_dedup_key
+from rolefunnel.operators.store import BucketTable
 from rolefunnel.plans.catalog.base import AS_OF, SQL_TITLE, documents_as_postings, query, table
 from rolefunnel.plans.catalog.ranking import RULES, SCORED_SQL
+from rolefunnel.session import scratch_path
 
 _KEY = "'https://example.org/post/' || doc_id"
 
@@ -193,17 +195,88 @@ def _(spark, d):
     return ex.forced_rescore(_asked(spark, d), _stored(spark, d), responses)[1]
 
 
+@query(
+    "rescore_into_store",
+    f"""WITH {_SQL_VALID}, {_SQL_ASKED} SELECT {_KEY} AS dedup_key,
+        CASE WHEN j.x_score IS NOT NULL THEN j.x_score WHEN doc_id % 3 <> 0 THEN doc_id % 100 END AS score,
+        CASE WHEN j.x_score IS NOT NULL OR doc_id % 2 = 0 THEN 'ai' ELSE 'heuristic' END AS ranking_source, 'applied' AS status,
+        epoch_us(TIMESTAMP '2024-01-01') AS last_seen
+        FROM documents d LEFT JOIN (SELECT * FROM judged WHERE error IS NULL) j ON j.dedup_key = {_KEY} WHERE doc_id % 5 = 0""",
+)
+def _(spark, d):
+    """Asked keys scored again inside the stored table; everything else stays as it was."""
+    kept = BucketTable.postings(spark, scratch_path(spark, "rescore"), buckets=8)
+    seen = utc_timestamp("2024-01-01")
+    kept.replace(_stored(spark, d).withColumns({"status": F.lit("applied"), "first_seen_at": seen, "last_seen_at": seen}))
+    ex.rescore_into(kept, _asked(spark, d), ex.validate_responses(_responses(spark, d))[0])
+    return kept.read().select("dedup_key", "score", "ranking_source", "status", F.unix_micros("last_seen_at").alias("last_seen"))
+
+
+def _deterministic_scorer():
+    """A scorer that needs no service: it counts in the request and fails on some."""
+    import json
+
+    def score(request: str) -> str:
+        job = json.loads(request)["job"]
+        size = len(job["description"])
+        if size % 7 == 0:
+            raise ValueError("no answer")
+        if size % 11 == 0:
+            return "{}"
+        return json.dumps(
+            {"is_job_posting": size % 5 != 0, "score": size % 150, "skill_match": 50, "contract_type_guess": "b2b",
+             "seniority_fit": "match", "reasons": [job["company"]], "red_flags": []}
+        )
+
+    return score
+
+
+def _hooked(spark, d):
+    docs = with_dedup_key(documents_as_postings(spark, d)).withColumn("salary_text", F.lit(None).cast("string"))
+    requests = ex.build_requests(docs, {"role_targets": ["engineer"]}, "Score it.")
+    return docs, ex.validate_responses(ex.score_requests(requests, _deterministic_scorer))
+
+
+_SQL_HOOK = "h AS (SELECT doc_id, source, length(text) AS n FROM documents)"
+
+
+@query(
+    "scorer_hook",
+    f"""WITH {_SQL_HOOK} SELECT doc_id, CASE WHEN n % 5 = 0 THEN 0 ELSE least(100, n % 150) END AS score, source AS reason,
+        CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS flags, CASE WHEN doc_id % 7 = 0 THEN 'employment' ELSE 'b2b' END AS contract
+        FROM h WHERE n % 7 <> 0 AND n % 11 <> 0""",
+)
+def _(spark, d):
+    """Requests of all documents through a scorer, its answers as scores."""
+    docs, (valid, _) = _hooked(spark, d)
+    rows = valid.join(docs.select("dedup_key", "doc_id", "contract_type_guess"), "dedup_key")
+    scored = rows.select("doc_id", ex.external_result(F.col("r"), F.lit("eligible"), F.col("contract_type_guess")).alias("s"))
+    return scored.select(
+        "doc_id", "s.score", F.get("s.reasons", F.lit(0)).alias("reason"), F.size("s.red_flags").alias("flags"), F.col("s.contract_type_guess").alias("contract")
+    )
+
+
+@query(
+    "scorer_hook_errors",
+    f"""WITH {_SQL_HOOK} SELECT doc_id, CASE WHEN n % 7 = 0 THEN 'ValueError: no answer' ELSE 'response does not match the schema' END AS error
+        FROM h WHERE n % 7 = 0 OR n % 11 = 0""",
+)
+def _(spark, d):
+    docs, (_, bad) = _hooked(spark, d)
+    return bad.join(docs.select("dedup_key", "doc_id"), "dedup_key").select("doc_id", "error")
+
+
 @query(
     "usage_cost",
     """WITH c AS (SELECT CASE WHEN quality = 1 THEN 'p0' ELSE 'p1' END AS provider, 'm' || doc_id % 3 AS model,
          count(*) AS calls, sum(doc_id * 10)::BIGINT AS input_tokens, sum(doc_id + 5)::BIGINT AS output_tokens FROM labels GROUP BY 1, 2),
        p AS (SELECT 'p' || n_nationkey % 2 AS provider, 'm' || n_nationkey AS model, n_nationkey + 0.5::DOUBLE AS a, n_nationkey * 2.0::DOUBLE AS b
-             FROM nation WHERE n_nationkey < 2)
+             FROM nation)
        SELECT c.*, round(input_tokens / 1e6::DOUBLE * a + output_tokens / 1e6::DOUBLE * b, 9) AS cost
        FROM c LEFT JOIN p USING (provider, model)""",
 )
 def _(spark, d):
-    prices = table(spark, d, "nation").filter(F.col("n_nationkey") < 2).select(
+    prices = table(spark, d, "nation").select(
         F.concat(F.lit("p"), (F.col("n_nationkey") % 2).cast("string")).alias("provider"),
         F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("model"),
         (F.col("n_nationkey") + 0.5).alias("input_per_m"),

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from rolefunnel.plans.catalog.base import query, table
 from rolefunnel.sources import feeds as fd
 from rolefunnel.sources import threads as th
+from rolefunnel.sources.landing import page_report
+from rolefunnel.sources.quarantine import JSON_FEEDS, outcome, split_feed
+from rolefunnel.sources.registry import expand_boards, link_boards, union_sources
 
 
 def _pack(rows, page, order, item, wrap=None, notice=False):
@@ -119,7 +122,7 @@ def _(spark, d):
         guid.alias("guid"),
     )
     landed = _pack(table(spark, d, "events"), F.floor(key / 20), key, item, wrap="jobs")
-    return fd.himalayas(landed, page_size=20, max_pages=None).select(
+    return fd.himalayas(landed).select(
         "url", "title", "company", F.replace("description", F.lit("\n"), F.lit(" ")).alias("description"), _micros(),
         F.col("location_text").alias("place"), F.array_join("tags", ",").alias("tags"),
         F.col("contract_type_guess").alias("contract"),
@@ -225,23 +228,20 @@ def _(spark, d):
         F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("created_at"),
     )
     landed = _pack(table(spark, d, "events"), F.floor(key / 100) + 1, key, item, wrap="data")
-    return fd.arbeitnow(landed, max_pages=None).select(
+    return fd.arbeitnow(landed).select(
         "source_id", "title", _micros(), F.col("location_text").alias("place"), F.col("contract_type_guess").alias("contract")
     )
 
 
 @query(
     "page_window",
-    """WITH s AS (SELECT o_custkey AS page, count(*) AS n FROM orders GROUP BY 1),
-       g AS (SELECT min(r.p) AS stop FROM range(0, 100000) r(p) LEFT JOIN s ON s.page = r.p WHERE coalesce(n, 0) < 3)
-       SELECT o_orderkey, o_custkey AS page FROM orders, g WHERE o_custkey <= stop""",
+    """WITH s AS (SELECT o_custkey AS page, count(*) AS n FROM orders GROUP BY 1)
+       SELECT s.page, s.n, s.n < 10 AS short, b.page IS NULL AND s.page > 0 AS gap FROM s LEFT JOIN s b ON b.page = s.page - 1""",
 )
 def _(spark, d):
-    """Orders as items, customers as pages: reading ends at the first short or missing page."""
-    from rolefunnel.sources.landing import readable_pages
-
-    items = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("page"))
-    return readable_pages(items, F.lit(1), page_size=3, first_page=0, max_pages=None)
+    """Orders as items, customers as pages: which pages are short, and which follow a hole."""
+    items = table(spark, d, "orders").select(F.col("o_custkey").alias("page"))
+    return page_report(items, F.lit(1), page_size=10)
 
 
 @query(
@@ -260,13 +260,86 @@ def _(spark, d):
     )
 
 
+# --- the union of sources -------------------------------------------------------------------------
+
+
+@query(
+    "union_enabled_sources",
+    """SELECT 'remotive' AS source, s_suppkey::VARCHAR AS source_id, s_name AS title, 'https://remotive.example/' || s_suppkey AS url FROM supplier
+    UNION ALL SELECT 'remoteok', p_partkey::VARCHAR, p_name, 'https://remoteok.com/l/' || p_partkey FROM part
+    UNION ALL SELECT 'arbeitnow', slug, title, 'https://a.example/' || slug FROM (SELECT 'c' || c_custkey AS slug, c_name AS title FROM customer)""",
+)
+def _(spark, d):
+    """Suppliers, parts, customers and orders as four feeds, read through the registry; the feed of orders is switched off."""
+    text = lambda c: F.col(c).cast("string")
+    link = lambda base, c: F.concat(F.lit(base), text(c)).alias("url")
+
+    def landed(name, key, *fields, **wrap):
+        return _pack(table(spark, d, name), F.floor(F.col(key) / 50), F.col(key), F.struct(*fields), **wrap)
+
+    feeds = {
+        "remotive": landed("supplier", "s_suppkey", F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("c").alias("company_name"),
+                           link("https://remotive.example/", "s_suppkey"), wrap="jobs"),
+        "remoteok": landed("part", "p_partkey", F.col("p_partkey").alias("id"), F.lit("s").alias("slug"), F.col("p_name").alias("position"), F.lit("c").alias("company"),
+                           link("https://remoteok.com/l/", "p_partkey"), notice=True),
+        "arbeitnow": landed("customer", "c_custkey", F.concat(F.lit("c"), text("c_custkey")).alias("slug"), F.col("c_name").alias("title"), F.lit("c").alias("company_name"),
+                            link("https://a.example/c", "c_custkey"), wrap="data"),
+        "himalayas": landed("orders", "o_orderkey", text("o_orderkey").alias("title"), link("https://h.example/", "o_orderkey").alias("guid"), wrap="jobs"),
+    }
+    return union_sources(feeds, {"himalayas": False}).select("source", "source_id", "title", "url")
+
+
+# --- what cannot be read -----------------------------------------------------------------------
+
+
+def _spoiled(spark, d, feed):
+    """Orders as items of a feed, twenty to a page: some items and some payloads are not what they should be."""
+    _, member, required = JSON_FEEDS[feed]
+    key, page = F.col("o_orderkey"), F.expr("o_orderkey div 20")
+    fields = lambda names: ", ".join(f'"{n}": "v"' for n in names)
+    item = (
+        F.when(key % 11 == 3, "7")
+        .when(key % 11 == 5, f"{{{fields(required[1:])}}}")
+        .when(key % 11 == 7, f'{{{fields(required[1:])}{", " if required[1:] else ""}"{required[0]}": ["x"]}}')
+        .otherwise(f"{{{fields(required)}}}")
+    )
+    rows = table(spark, d, "orders").groupBy(page.alias("page")).agg(F.concat_ws(", ", F.collect_list(item)).alias("items"))
+    body = F.concat(F.lit('[{"legal": "notice"}, '), "items", F.lit("]")) if member is None else F.concat(F.lit(f'{{"{member}": ['), "items", F.lit("]}"))
+    payload = F.when(F.col("page") % 9 == 4, "not json {").when(F.col("page") % 9 == 6, '{"other": []}').when(F.col("page") % 9 == 8, " ").otherwise(body)
+    return rows.select("page", payload.alias("payload"))
+
+
+_SQL_FEEDS = ", ".join(
+    f"('{name}', '{required[0]}', '{'payload is no array' if member is None else f'payload has no array {member}'}')" for name, (_, member, required) in JSON_FEEDS.items()
+)
+
+
+@query(
+    "landed_quarantine",
+    f"""WITH f(feed, field, shape) AS (VALUES {_SQL_FEEDS}),
+    o AS (SELECT o_orderkey // 20 AS page, o_orderkey % 11 AS k FROM orders),
+    p AS (SELECT DISTINCT page, CASE page % 9 WHEN 4 THEN 'payload is no JSON' WHEN 6 THEN 'shape' WHEN 8 THEN 'payload is empty' END AS reason FROM o),
+    i AS (SELECT CASE k WHEN 3 THEN 'item is no object' WHEN 5 THEN 'missing' WHEN 7 THEN 'type' ELSE 'read' END AS reason FROM o WHERE page % 9 NOT IN (4, 6, 8)),
+    r AS (SELECT reason FROM p WHERE reason IS NOT NULL UNION ALL SELECT reason FROM i)
+    SELECT feed, CASE reason WHEN 'shape' THEN shape WHEN 'missing' THEN 'field ' || field || ' is missing' WHEN 'type' THEN 'field ' || field || ' is no string' ELSE reason END AS reason,
+           count(*) AS n FROM r, f GROUP BY 1, 2""",
+)
+def _(spark, d):
+    """Items read and rejected of every JSON feed, by reason."""
+    parts = [outcome(*split_feed(_spoiled(spark, d, feed), feed)).select(F.lit(feed).alias("feed"), "reason", "n") for feed in JSON_FEEDS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # --- threads: a conversation is a thread, its turns are the comments ------------------------
 
 
 def _threads(spark, d, marker=False):
     """Threads with a title by conversation; some comments are gone, some present themselves."""
     turn, conv = F.col("turn"), F.col("conv_id")
-    line = F.substring_index("text", "\n", 1)
+    whole = F.replace("text", F.lit("\n"), F.lit("<p>"))
     lead = F.when(turn % 3 == 0, "SEEKING FREELANCER | ").when(turn % 3 == 1, "Seeking freelancers - ").otherwise("")
     body = F.concat(
         lead if marker else F.lit(""),
@@ -274,7 +347,7 @@ def _threads(spark, d, marker=False):
         F.when(turn % 2 == 0, "Role of the turn").otherwise("$100k"),
         F.lit("<p>"),
         F.when(turn % 4 == 3, "Willing to relocate: yes. ").otherwise(""),
-        line,
+        whole,
         F.when(turn % 3 == 2, F.concat(F.lit(" jobs@co"), conv.cast("string"), F.lit(".example"))).otherwise(""),
         F.when(turn % 4 == 1, F.concat(F.lit("<p>Apply: https://co.example/jobs/"), turn.cast("string"), F.lit("."))).otherwise(""),
     )
@@ -304,7 +377,7 @@ def _sql_thread(marker: bool) -> str:
     SELECT conv_id, cid::VARCHAR AS source_id, 'Co ' || conv_id AS company,
       CASE WHEN turn % 2 = 0 THEN 'Role of the turn' ELSE 'Role not stated in header — see description' END AS title,
       CASE WHEN turn % 4 = 1 THEN 'https://co.example/jobs/' || turn ELSE 'https://news.ycombinator.com/item?id=' || cid END AS url,
-      CASE WHEN turn % 3 = 2 OR regexp_matches(split_part(text, chr(10), 1), '[\\w.+-]+@[\\w-]+\\.[\\w.-]+') THEN 'email' WHEN turn % 4 = 1 THEN 'url' ELSE 'unknown' END AS channel FROM c"""
+      CASE WHEN turn % 3 = 2 OR regexp_matches(text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+') THEN 'email' WHEN turn % 4 = 1 THEN 'url' ELSE 'unknown' END AS channel FROM c"""
 
 
 def _comment_view(spark, d, kind, marker):
@@ -326,6 +399,47 @@ def _(spark, d):
     return _comment_view(spark, d, th.FREELANCE, True)
 
 
+def _flat_thread(spark, d):
+    """(stories, comments): three stories, every turn a comment of one of them or a reply; links to boards and lists of roles."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    key = conv * 16 + turn
+    n = key.cast("string")
+    board = F.concat(F.lit("https://jobs.lever.co/co"), (conv % 5).cast("string"))
+    roles = F.concat(F.lit("- Role A: https://x.example/jobs/a"), n, F.lit("<p>- Role B: https://x.example/jobs/b"), n)
+    body = F.when(turn % 4 == 1, board).when(turn % 4 == 2, roles).otherwise(F.replace("text", F.lit("\n"), F.lit("<p>")))
+    comments = table(spark, d, "conversations").select(
+        key.alias("id"),
+        F.when(turn % 6 == 5, key - 1).otherwise(conv % 3).cast("string").alias("parent"),
+        key.alias("pos"),
+        F.concat(F.lit("Co "), conv.cast("string"), F.lit(" | Dev<p>"), body).alias("text"),
+        F.lit("2024-01-01T00:00:00.000Z").alias("created_at"),
+        (turn % 5 == 4).alias("deleted"),
+        F.lit(None).cast("boolean").alias("dead"),
+    )
+    titles = [("0", "Ask HN: Who is hiring? (May)", "1"), ("1", "Ask HN: Freelancer? Seeking freelancer?", "3"), ("2", "Ask HN: Who is hiring? (June)", "2")]
+    return spark.createDataFrame(titles, "id string, title string, created_at string"), comments
+
+
+@query(
+    "thread_source",
+    """WITH c AS (SELECT *, conv_id * 16 + turn AS id FROM conversations WHERE conv_id % 3 = 2 AND turn % 6 <> 5 AND turn % 5 <> 4)
+    SELECT id || ':lever:' || r AS source_id, 'Role ' || r AS title, 'Co ' || conv_id AS company, 'https://l/' || r AS url FROM c, (VALUES ('x'), ('y')) v(r) WHERE turn % 4 = 1 AND conv_id % 5 = 0
+    UNION ALL SELECT id::VARCHAR, 'Dev', 'Co ' || conv_id, 'https://jobs.lever.co/co' || conv_id % 5 FROM c WHERE turn % 4 = 1 AND conv_id % 5 <> 0
+    UNION ALL SELECT id || ':bullet:' || k, 'Role ' || chr(65 + k), 'Co ' || conv_id, 'https://x.example/jobs/' || chr(97 + k) || id FROM c, (VALUES (0), (1)) v(k) WHERE turn % 4 = 2
+    UNION ALL SELECT id::VARCHAR, 'Dev', 'Co ' || conv_id, 'https://news.ycombinator.com/item?id=' || id FROM c WHERE turn % 4 IN (0, 3)""",
+)
+def _(spark, d):
+    """The newest thread, its links followed to boards, boards and lists of roles expanded; whole turns."""
+    stories, comments = _flat_thread(spark, d)
+    payloads = spark.createDataFrame(
+        [("lever", "co0", '[{"id":"x","text":"Role x","hostedUrl":"https://l/x"},{"id":"y","text":"Role y","hostedUrl":"https://l/y"}]')],
+        "platform string, board_slug string, payload string",
+    )
+    pages = spark.createDataFrame([], "url string, final_url string, html string")
+    linked = link_boards(th.newest_from_rows(stories, comments, th.HIRING, 2), pages)
+    return expand_boards(linked, payloads, pages).select("source_id", "title", "company", "url")
+
+
 @query(
     "latest_thread",
     """SELECT 'hiring' AS kind, max(conv_id) AS id FROM conversations WHERE conv_id % 4 = 0

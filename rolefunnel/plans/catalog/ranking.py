@@ -9,6 +9,7 @@ from rolefunnel.operators import classify as c
 from rolefunnel.operators import phrases as ph
 from rolefunnel.operators import report as rp
 from rolefunnel.operators import scoring as sc
+from rolefunnel.operators.rule_join import phrase_hits_joined
 from rolefunnel.operators.rules import KeywordGroup, Negation, Rules, norm_phrase, rule_table
 from rolefunnel.plans.catalog.base import AS_OF, POSTINGS_SQL, documents_as_postings, query, sql_norm, table
 
@@ -284,52 +285,61 @@ def _sql_said(text: str, hits: str) -> str:
     return f"CASE WHEN {hits} IS NOT NULL THEN '{text}[''' || array_to_string({hits}, ''', ''') || ''']' END"
 
 
-@query(
-    "reasons",
-    SCORED_SQL
-    + f"""SELECT doc_id, CASE WHEN NOT rankable THEN 1 ELSE len(why) END AS n,
-      CASE WHEN NOT rankable THEN '' ELSE array_to_string(list_filter(why, lambda x: NOT starts_with(x, 'posted ')), '; ') END AS reasons,
-      CASE WHEN NOT rankable THEN '' ELSE array_to_string(list_filter([
-        CASE WHEN bucket = 'needs_review' THEN 'needs_review bucket: eligibility ambiguous, score penalized' END,
-        CASE WHEN skill_hits IS NULL THEN 'no core skills from profile found in description' END], lambda x: x IS NOT NULL), '; ') END AS red_flags
-      FROM (SELECT *, list_filter([
+_SQL_WHY = f"""whys AS (SELECT *, CASE WHEN NOT rankable THEN [CASE WHEN bucket = 'excluded' THEN 'not ranked: excluded (' || reason || ')'
+        ELSE 'not ranked: irrelevant to profile' END] ELSE list_filter([
         {_sql_said("keyword group ''articles'' matched (weight 3.0): ", "ga")},
         {_sql_said("keyword group ''joins'' matched (weight 2.0): ", "gj")},
         {_sql_said("keyword group ''others'' matched (weight 1.0): ", "go")},
         {_sql_said("title matches role target(s): ", "target_hits")},
         {_sql_said("positive signals: ", "pos_hits")},
-        CASE WHEN age <= 14 THEN 'posted ' END,
-        {_sql_said("skill match: ", "skill_hits")}], lambda x: x IS NOT NULL) AS why FROM scored)""",
+        CASE WHEN age <= 14 THEN 'posted ' || printf('%.1f', round(age, 1)) || ' days ago' || CASE WHEN age <= 3 THEN ' (recent)' ELSE '' END END,
+        {_sql_said("skill match: ", "skill_hits")}], lambda x: x IS NOT NULL) END AS why,
+      CASE WHEN NOT rankable THEN [] ELSE list_filter([
+        CASE WHEN bucket = 'needs_review' THEN 'needs_review bucket: eligibility ambiguous, score penalized' END,
+        CASE WHEN skill_hits IS NULL THEN 'no core skills from profile found in description' END], lambda x: x IS NOT NULL) END AS flags FROM scored)"""
+
+
+@query(
+    "reasons",
+    SCORED_SQL + f", {_SQL_WHY} SELECT doc_id, len(why) AS n, array_to_string(why, '; ') AS reasons, array_to_string(flags, '; ') AS red_flags FROM whys",
 )
 def _(spark, d):
-    ranked = sc.rankable(F.col("eligibility_bucket"), F.col("is_relevant"))
-    undated = F.filter("reasons", lambda r: ~F.startswith(r, F.lit("posted ")))
     return scored_documents(spark, d).select(
-        "doc_id",
-        F.size("reasons").alias("n"),
-        F.when(ranked, F.array_join(undated, "; ")).otherwise("").alias("reasons"),
-        F.when(ranked, F.array_join("red_flags", "; ")).otherwise("").alias("red_flags"),
+        "doc_id", F.size("reasons").alias("n"), F.array_join("reasons", "; ").alias("reasons"), F.array_join("red_flags", "; ").alias("red_flags")
     )
 
 
+_RULE_LISTS = {
+    "exclude_phrases": RULES.exclude,
+    "hybrid_onsite_phrases": RULES.hybrid_onsite,
+    "remote_indicator_phrases": RULES.remote_indicator,
+    "needs_review_phrases": RULES.needs_review,
+    "positive_phrases": RULES.positive,
+    "relevance_keywords": RULES.relevance,
+    "relevance_keywords_weak": RULES.relevance_weak,
+    "non_role_title_phrases": RULES.non_role_title,
+    "role_targets": RULES.role_targets,
+    "core_skills": RULES.core_skills,
+    **{f"keyword_groups:{g.name}": g.phrases for g in RULES.keyword_groups},
+}
+
+
 @query(
     "rule_tables",
-    f"WITH {sql_rule_values({'exclude_phrases': RULES.exclude, 'role_targets': RULES.role_targets})}, "
-    f"{POSTINGS_SQL}, {sql_hits('h', 'postings', 'doc_id', 'title')} "
-    "SELECT list_name, r.phrase, norm AS phrase_norm, pos AS ord, count(DISTINCT doc_id) AS titles "
-    "FROM rules r LEFT JOIN h ON h.phrase = norm GROUP BY ALL",
+    f"WITH {sql_rule_values(_RULE_LISTS)}, {POSTINGS_SQL}, {sql_hits('h', 'postings', 'doc_id', 'title')} "
+    "SELECT split_part(list_name, ':', 1) AS list_name, split_part(list_name, ':', 2) AS group_name, r.phrase, norm AS phrase_norm, pos AS ord, "
+    "count(DISTINCT doc_id) AS titles FROM rules r LEFT JOIN h ON h.phrase = norm GROUP BY ALL",
 )
 def _(spark, d):
-    """Rules in long form, each with the number of document titles it fires in."""
-    rules = rule_table(spark, RULES).filter(F.col("list_name").isin("exclude_phrases", "role_targets"))
+    """All rules in long form, each with the number of document titles it fires in."""
     from rolefunnel.functions.text import tokens
 
     docs = documents_as_postings(spark, d, ["doc_id", "title"]).select("doc_id", tokens(F.col("title")).alias("w"))
-    phrases = [*RULES.exclude, *RULES.role_targets]
+    phrases = [p for group in _RULE_LISTS.values() for p in group]
     fired = docs.select("doc_id", F.explode(ph.phrase_hits(F.col("w"), phrases, RULES.negation)).alias("phrase_norm"))
     counts = fired.groupBy("phrase_norm").agg(F.count("*").alias("titles"))
-    return rules.join(counts, "phrase_norm", "left").select(
-        "list_name", "phrase", "phrase_norm", "ord", F.coalesce("titles", F.lit(0)).alias("titles")
+    return rule_table(spark, RULES).join(counts, "phrase_norm", "left").select(
+        "list_name", "group_name", "phrase", "phrase_norm", "ord", F.coalesce("titles", F.lit(0)).alias("titles")
     )
 
 
@@ -383,11 +393,12 @@ def _(spark, d):
 @query(
     "audit_report",
     SCORED_SQL
-    + """SELECT score, shown AS bucket, source, title, company, url, contract,
-       strftime(make_timestamp(1706659200000000 - (doc_id % 20) * 17 * 3600000000), '%Y-%m-%d') AS posted FROM scored""",
+    + f""", {_SQL_WHY} SELECT score, shown AS bucket, source, title, company, url, contract,
+       strftime(make_timestamp(1706659200000000 - (doc_id % 20) * 17 * 3600000000), '%Y-%m-%d') AS posted,
+       coalesce(nullif(array_to_string(why, '; '), ''), reason, '') AS reasons, array_to_string(flags, '; ') AS red_flags FROM whys""",
 )
 def _(spark, d):
-    return rp.audit_table(scored_documents(spark, d)).drop("reasons", "red_flags")
+    return rp.audit_table(scored_documents(spark, d))
 
 
 @query(
@@ -399,3 +410,39 @@ def _(spark, d):
 )
 def _(spark, d):
     return rp.console_table(rp.top_n(scored_documents(spark, d), 20, 30))
+
+
+_BIG_NEGATION = Negation(words=("old",), window=2)
+
+
+def _name_runs(spark, d):
+    """Names of one to four parts in a row as phrases: four for every part."""
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("n0"))
+    names = parts
+    for k in range(1, 4):
+        names = names.join(parts.select((F.col("p_partkey") - k).alias("p_partkey"), F.col("n0").alias(f"n{k}")), "p_partkey", "left")
+    runs = F.array(*[F.concat_ws(" ", *[f"n{j}" for j in range(k + 1)]) for k in range(4)])
+    return names.select(F.explode(runs).alias("phrase")).distinct()
+
+
+def _ordered_parts(spark, d):
+    """The names of an order's parts, line by line, as its text."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("names"))
+    return rows.select("l_orderkey", F.array_join(F.transform("names", lambda n: n["p_name"]), " ").alias("text"))
+
+
+@query(
+    "phrase_table_join",
+    """WITH n AS (SELECT a.p_name AS n0, b.p_name AS n1, c.p_name AS n2, e.p_name AS n3 FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1
+         LEFT JOIN part c ON c.p_partkey = a.p_partkey + 2 LEFT JOIN part e ON e.p_partkey = a.p_partkey + 3),
+    r AS (SELECT DISTINCT unnest([concat_ws(' ', n0), concat_ws(' ', n0, n1), concat_ws(' ', n0, n1, n2), concat_ws(' ', n0, n1, n2, n3)]) AS phrase FROM n),
+    t AS (SELECT l_orderkey, string_split(string_agg(p_name, ' ' ORDER BY l_linenumber, l_partkey), ' ') AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    g AS (SELECT DISTINCT l_orderkey, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT l_orderkey, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, (SELECT unnest([2, 4, 6, 8]) AS k) WHERE len(w) >= k)
+          WHERE NOT coalesce(list_contains(w[greatest(i - 2, 1):i - 1], 'old'), false) OR i = 1)
+    SELECT l_orderkey, phrase FROM g JOIN r USING (phrase)""",
+)
+def _(spark, d):
+    """Orders whose line of parts holds one of tens of thousands of phrases, none after the word that negates."""
+    return phrase_hits_joined(_ordered_parts(spark, d), "l_orderkey", F.col("text"), _name_runs(spark, d), _BIG_NEGATION)

@@ -9,6 +9,7 @@ from rolefunnel.operators import report as rp
 from rolefunnel.operators import windows as w
 from rolefunnel.operators.store import lookup
 from rolefunnel.plans.catalog.base import query, sql_norm, table, title_of
+from rolefunnel.session import scratch_path
 from rolefunnel.sources.registry import filter_enabled
 
 
@@ -63,9 +64,9 @@ def _three_sources(spark, d):
 
 
 _SQL_THREE = """
-  SELECT 'documents' AS origin, doc_id AS id, source, left(split_part(text, chr(10), 1), 80) AS title FROM documents
+  SELECT 'documents' AS origin, doc_id AS id, source, split_part(text, chr(10), 1) AS title FROM documents
   UNION ALL SELECT 'pages', page_id, NULL, url FROM pages
-  UNION ALL SELECT 'conversations', conv_id * 1000 + turn, role, left(split_part(text, chr(10), 1), 80) FROM conversations"""
+  UNION ALL SELECT 'conversations', conv_id * 1000 + turn, role, split_part(text, chr(10), 1) FROM conversations"""
 
 
 @query("union_sources", _SQL_THREE)
@@ -99,6 +100,22 @@ def _(spark, d):
     return rp.run_counters(docs, unique)
 
 
+@query(
+    "counters_observed",
+    f"SELECT 'fetched' AS counter, count(*) AS n FROM documents UNION ALL SELECT 'unique', count(DISTINCT {sql_norm('text')}) FROM documents "
+    "UNION ALL SELECT s.source, (SELECT count(*) FROM documents d WHERE d.source = s.source) FROM (SELECT DISTINCT source FROM documents) s",
+)
+def _(spark, d):
+    """The counters of a run, of all rows and by source, taken while its tables are written."""
+    docs = table(spark, d, "documents")
+    names = [r["source"] for r in docs.select("source").distinct().collect()]
+    content, fetched = rp.write_counted(docs, scratch_path(spark, "observed-content"), names)
+    unique = content.select(F.sha2(normalize_text(F.col("text")), 256).alias("h")).distinct()
+    left = rp.write_counted(unique, scratch_path(spark, "observed-unique"))[1]
+    rows = [("fetched", fetched.pop("rows")), ("unique", left["rows"]), *fetched.items()]
+    return spark.createDataFrame(rows, "counter string, n bigint")
+
+
 @query("distinct_urls", "SELECT DISTINCT regexp_extract(url, '^https?://[^/]+') AS site FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select(F.regexp_extract("url", "^https?://[^/]+", 0).alias("site")).distinct()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from rolefunnel.functions.dates import utc_timestamp
-from rolefunnel.operators.store import SnapshotTable, merge_postings
+from rolefunnel.operators.store import BucketTable, merge_postings
 from rolefunnel.plans.catalog.base import query, table
 from rolefunnel.session import prepare, scratch_path
 from rolefunnel.streaming.incremental import append_stream, suppress_repeats, upsert_stream
+from rolefunnel.streaming.survivors import SURVIVOR_DDL, keep_richest, use_rocksdb
 
 
 def _event_stream(spark, d):
@@ -34,7 +37,7 @@ def _(spark, d):
         F.lit("stream").alias("source"),
         F.col("event_id").alias("ord"),
     )
-    store = SnapshotTable.postings(spark, scratch_path(spark, "stream-store"))
+    store = BucketTable.postings(spark, scratch_path(spark, "stream-store"), buckets=8)
     now = utc_timestamp("2024-02-01T00:00:00Z")
     job = upsert_stream(
         rows, store, scratch_path(spark, "stream-state"), lambda old, new: merge_postings(old, new, now)
@@ -56,3 +59,34 @@ def _(spark, d):
     return spark.read.schema("user_id bigint, event_type string, ts timestamp").parquet(out).select(
         "user_id", "event_type"
     )
+
+
+@query(
+    "stream_survivors",
+    """WITH e AS (SELECT user_id % 40 || ' ' || event_type AS key, event_id, length(props || repeat('x', (event_id % 7)::INT)) AS chars, 't' || event_id % 3 AS tag FROM events)
+    SELECT key, arg_max(event_id, (chars, -event_id)) AS ord, min(event_id) AS first_ord, count(*) AS members, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags FROM e GROUP BY key""",
+)
+def _(spark, d):
+    """Richest copy of every key over several micro-batches; an event far ahead closes them all."""
+    events = table(spark, d, "events")
+    folder = scratch_path(spark, "stream-events")
+    events.repartition(3).write.parquet(folder)
+    end = events.agg(F.max("event_id") + 1, F.max("ts")).toDF("event_id", "ts")
+    ahead = end.select("event_id", (F.col("ts") + F.expr("INTERVAL 4000 DAYS")).alias("ts"), F.lit(None).cast("bigint").alias("user_id"),
+                       F.lit("end").alias("event_type"), F.lit(None).cast("double").alias("value"), F.lit("").alias("props"))
+    ahead.select(*events.columns).write.mode("append").parquet(folder)
+    stream = prepare(spark).readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    rows = stream.select(
+        F.concat(F.coalesce((F.col("user_id") % 40).cast("string"), F.lit("end")), F.lit(" "), "event_type").alias("key"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("ord"),
+        F.concat("props", F.repeat(F.lit("x"), (F.col("event_id") % 7).cast("int"))).alias("description"),
+        F.array(F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string"))).alias("tags"),
+    )
+    use_rocksdb(spark)
+    out = scratch_path(spark, "stream-survivors")
+    # Nothing expires before the event far ahead: files may arrive in any order.
+    kept = keep_richest(rows, "key", "ts", timedelta(days=3650), delay="100 days")
+    append_stream(kept, out, scratch_path(spark, "stream-state")).awaitTermination()
+    found = spark.read.schema(SURVIVOR_DDL).parquet(out)
+    return found.select("key", "ord", "first_ord", "members", F.array_join("tags", ",").alias("tags"))

@@ -8,19 +8,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefunnel.operators.boards import poll_counts
+from rolefunnel.operators.boards import due_sources, poll_counts, seed_boards
 from rolefunnel.operators.classify import classify
 from rolefunnel.operators.dedupe import dedupe
 from rolefunnel.operators.external import RESPONSE_DDL, select_score
-from rolefunnel.operators.report import bucket_counts, console_table, run_counters, top_n
+from rolefunnel.operators.report import bucket_counts, console_table, counters_of, top_n, write_counted
 from rolefunnel.operators.rules import Settings
 from rolefunnel.operators.scoring import score
-from rolefunnel.operators.store import SnapshotTable, merge_boards, merge_postings, record_polls
+from rolefunnel.operators.store import BucketTable, merge_boards, merge_postings, record_polls, record_scans
 from rolefunnel.schema import CONTENT_DDL, conform
-from rolefunnel.session import prepare, scratch_path
+from rolefunnel.session import cut_lineage, prepare, scratch_path
 from rolefunnel.sources.registry import (
     RANKS,
     SOURCES,
+    candidate_links,
     discovered_boards,
     enabled_sources,
     expand_boards,
@@ -92,6 +93,34 @@ def update_boards(boards: DataFrame, collected: Collected, now: Column, seeded:
     return updated
 
 
+@dataclass
+class Seeded:
+    """What scanning the link lists that were due has changed."""
+
+    due: DataFrame
+    boards: DataFrame
+    scans: DataFrame
+
+
+def seed_from_lists(
+    sources: DataFrame, lists: DataFrame, boards: DataFrame, scans: DataFrame, pages: DataFrame, settings: Settings, as_of: Column
+) -> Seeded:
+    """Scan the lists (source_name, text) whose source is due, merge the boards they lead to, record the scan.
+
+    ``sources`` (source_name) are the configured ones, so few: the names of those that
+    are due become a filter, which prunes the partitions of ``lists`` where those are
+    partitioned by source.  Lists that are not due are not opened.
+    """
+    due = cut_lineage(due_sources(sources.select("source_name").distinct(), scans, as_of, settings.scan_interval_days).select("source_name"))
+    scanned = lists.filter(F.col("source_name").isin([r["source_name"] for r in due.collect()]))
+    # Documents of one source follow each other by a number where they have one.
+    first = F.col("part") if "part" in lists.columns else F.lit(0)
+    links = candidate_links(scanned.withColumn("_list", F.struct("source_name", first.cast("bigint").alias("part"))), "_list")
+    rows = links.select(F.col("_list.source_name").alias("source_name"), "url", F.struct("_list.part", "ord", "_list.source_name", "url").alias("ord"))
+    found = seed_boards(rows, pages)
+    return Seeded(due, merge_boards(boards, found, as_of), record_scans(scans, due.withColumn("last_scanned_at", as_of)))
+
+
 def rank_postings(
     unique: DataFrame,
     settings: Settings,
@@ -111,33 +140,28 @@ def rank_postings(
 def run(
     spark: SparkSession,
     postings: DataFrame,
-    store: SnapshotTable,
+    store: BucketTable,
     settings: Settings,
     as_of: Column,
     responses: DataFrame | None = None,
-    label: str | None = None,
 ) -> RunResult:
     """One run over ``postings`` (content schema with a unique ``ord``).
 
     The content is written to the shared folder once, since parsing and
-    clustering both read it; the merged snapshot is written, then published.
+    clustering both read it; the merge rewrites the buckets its rows fall into.
     """
     prepare(spark)
-    landing = scratch_path(spark, "content")
-    conform(postings, CONTENT_DDL).write.parquet(landing)
-    content = spark.read.schema(CONTENT_DDL).parquet(landing)
+    content, fetched = write_counted(conform(postings, CONTENT_DDL), scratch_path(spark, "content"))
     stored = store.read()
     unique = dedupe(content)
     ranked = rank_postings(unique, settings, as_of, stored, responses)
-    # The outcome of clustering is read twice (merge and counters): write it once.
-    ranked_path = scratch_path(spark, "ranked")
-    ranked.write.parquet(ranked_path)
-    ranked = spark.read.parquet(ranked_path)
-    store.write(merge_postings(stored, ranked, as_of), label)
+    # The outcome of clustering is read twice by the merge: write it once, and count it.
+    ranked, unique_rows = write_counted(ranked, scratch_path(spark, "ranked"))
+    store.merge(ranked, lambda old, new: merge_postings(old, new, as_of))
     snapshot = store.read()
     return RunResult(
         snapshot=snapshot,
-        counters=run_counters(content, ranked),
+        counters=counters_of(spark, fetched["rows"], unique_rows["rows"]),
         buckets=bucket_counts(snapshot),
         top=console_table(top_n(snapshot, minimum=settings.min_score_threshold)),
     )

@@ -23,7 +23,7 @@ from rolefunnel.functions.text import blank_to_null, join_present, present, stri
 from rolefunnel.functions.urls import application_channel, extract_email
 from rolefunnel.operators.barrier import add_once
 from rolefunnel.schema import CONTENT_DDL, arrival_order, conform
-from rolefunnel.sources.landing import first_by, json_item_count, json_items, readable_pages, xml_items
+from rolefunnel.sources.landing import first_by, json_items, xml_items
 
 # The page users are sent to when an entry has no page of its own,
 # and the tag pair no single role can carry.
@@ -151,16 +151,9 @@ def remotive(landed: DataFrame, rank: int = 1) -> DataFrame:
     )
 
 
-def himalayas(
-    landed: DataFrame, rank: int = 4, page_size: int | None = None, max_pages: int | None = None
-) -> DataFrame:
-    """Offset-paged, first arrival per URL across all landed pages.
-
-    With ``page_size`` or ``max_pages`` only what a reader with that limit had read.
-    """
-    limited = page_size is not None or max_pages is not None
-    pages = readable_pages(landed, json_item_count("jobs"), page_size, 0, max_pages) if limited else landed
-    items = json_items(pages, HIMALAYAS_ITEM, "jobs")
+def himalayas(landed: DataFrame, rank: int = 4) -> DataFrame:
+    """Offset-paged, first arrival per URL across all landed pages."""
+    items = json_items(landed, HIMALAYAS_ITEM, "jobs")
     link = strip(_either(F.col("guid"), F.col("applicationLink")))
     rows = items.withColumns({"name": _text("title"), "link": link}).filter(
         (F.col("name") != "") & (F.col("link") != "")
@@ -245,10 +238,9 @@ def weworkremotely(landed: DataFrame, rank: int = 6) -> DataFrame:
     )
 
 
-def arbeitnow(landed: DataFrame, rank: int = 7, max_pages: int | None = None) -> DataFrame:
+def arbeitnow(landed: DataFrame, rank: int = 7) -> DataFrame:
     """Page-numbered from 1, first arrival per slug, remote flag put into words."""
-    pages = landed if max_pages is None else readable_pages(landed, json_item_count("data"), None, 1, max_pages)
-    items = json_items(pages, ARBEITNOW_ITEM, "data")
+    items = json_items(landed, ARBEITNOW_ITEM, "data")
     rows = items.withColumns({"name": _text("title"), "link": _text("url"), "key": _text("slug")}).filter(
         (F.col("name") != "") & (F.col("link") != "") & (F.col("key") != "")
     )

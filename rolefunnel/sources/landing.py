@@ -65,28 +65,19 @@ def json_item_count(member: str) -> Column:
     return F.json_array_length(F.get_json_object("payload", f"$.{member}"))
 
 
-def readable_pages(
-    pages: DataFrame, size: Column, page_size: int | None, first_page: int, max_pages: int | None
-) -> DataFrame:
-    """Drop what a page-by-page reader would not have read.
-
-    Reading starts at ``first_page``, stops after ``max_pages`` and after the
-    first page that is missing, empty or, where ``page_size`` is given, shorter
-    than it.  ``size`` counts the items of a row; a page may span several rows.
+def page_report(pages: DataFrame, size: Column, page_size: int | None = None, first_page: int = 0) -> DataFrame:
+    """(page, n, short, gap): what has landed of a paged source; every page is reported and stays readable.
+
+    ``size`` counts the items of a row, and a page may span several rows.  ``short`` is
+    a page with fewer items than ``page_size``, or with none; ``gap`` a page whose
+    predecessor has not landed.  A pager that stops early shows as one short page at the
+    end, a hole as a gap.
     """
-    in_window = F.col("page") >= first_page
-    if max_pages:
-        in_window = in_window & (F.col("page") < first_page + max_pages)
-    pages = pages.filter(in_window)
-    sizes = pages.groupBy("page").agg(F.sum(F.coalesce(size, F.lit(0))).alias("n"))
-    full = sizes.filter(F.col("n") >= (page_size or 1)).select("page")
-    # Reading ends at the first page that is not full: each full page reaches its
-    # follower, and the least page reached but not full is the last one read.
-    start = pages.sparkSession.range(first_page, first_page + 1).select(F.col("id").alias("page"))
-    reached = start.unionByName(full.select((F.col("page") + 1).alias("page")))
-    stop = reached.join(full, "page", "left_anti").agg(F.min("page").alias("_stop"))
-    # One row, hence the broadcast.
-    return pages.join(F.broadcast(stop), F.col("page") <= F.col("_stop")).drop("_stop")
+    sizes = pages.groupBy("page").agg(F.sum(F.coalesce(size, F.lit(0))).cast("bigint").alias("n"))
+    before = sizes.select((F.col("page") + 1).alias("page"), F.lit(True).alias("_before"))
+    return sizes.join(before, "page", "left").select(
+        "page", "n", (F.col("n") < (page_size or 1)).alias("short"), (F.col("_before").isNull() & (F.col("page") > first_page)).alias("gap")
+    )
 
 
 def first_by(df: DataFrame, key: str) -> DataFrame:

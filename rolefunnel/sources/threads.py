@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from rolefunnel.functions.dates import parse_iso
 from rolefunnel.functions.headers import (
+    ALL,
     MIN_ROLE_LINKS,
     ROLE_MARKER_PATTERN,
     ROLE_NOT_STATED,
     SELF_PROFILE_PATTERN,
+    Limits,
     bulleted_title,
     first_line,
     parse_header,
@@ -88,6 +90,18 @@ def threads_from_json(landed: DataFrame) -> DataFrame:
     return landed.select(F.from_json("payload", THREAD_DDL).alias("t")).select("t.*")
 
 
+def stories(threads: DataFrame) -> DataFrame:
+    """(id, title, created_at): what says which thread is wanted, without a comment."""
+    return threads.select("id", "title", "created_at")
+
+
+def comment_rows(threads: DataFrame) -> DataFrame:
+    """(id, parent, thread, pos, text, created_at, deleted, dead): threads taken apart; their comments have the thread as parent."""
+    children = F.filter("children", lambda c: c.isNotNull())
+    rows = threads.select(F.col("id").alias("thread"), F.posexplode(children).alias("pos", "c"))
+    return rows.select("c.id", F.col("thread").alias("parent"), "thread", "pos", "c.text", "c.created_at", "c.deleted", "c.dead")
+
+
 def latest_thread(threads: DataFrame, kind: ThreadKind) -> DataFrame:
     """The newest thread whose title passes the test: one row or none."""
     return (
@@ -99,10 +113,18 @@ def latest_thread(threads: DataFrame, kind: ThreadKind) -> DataFrame:
 
 def top_level_comments(threads: DataFrame) -> DataFrame:
     """(thread, pos, id, text, created_at, deleted, dead), replies left out."""
-    children = F.filter("children", lambda c: c.isNotNull())
-    return threads.select(F.col("id").alias("thread"), F.posexplode(children).alias("pos", "c")).select(
-        "thread", "pos", "c.*"
-    )
+    return comment_rows(threads).drop("parent")
+
+
+def comments_of(comments: DataFrame, thread: DataFrame) -> DataFrame:
+    """Top-level comments of the one thread (id) among ``comments`` (id, parent, pos, ...), replies left out.
+
+    A comment is a row, so the comments of one thread are spread over all tasks and no
+    text is read of any other thread.
+    """
+    # One row, hence the broadcast.
+    root = F.broadcast(thread.select(F.col("id").cast("string").alias("_root")))
+    return comments.join(root, F.col("parent").cast("string") == F.col("_root")).withColumnRenamed("_root", "thread_id")
 
 
 def live_comments(comments: DataFrame) -> DataFrame:
@@ -111,7 +133,7 @@ def live_comments(comments: DataFrame) -> DataFrame:
     return comments.filter(~gone & (F.coalesce("text", F.lit("")) != ""))
 
 
-def comment_postings(comments: DataFrame, kind: ThreadKind, rank: int) -> DataFrame:
+def comment_postings(comments: DataFrame, kind: ThreadKind, rank: int, limits: Limits = ALL) -> DataFrame:
     """Postings of top-level comments, with the fields expansion needs: hrefs."""
     rows = (
         add_once(live_comments(comments), {"plain": strip_html(F.col("text"))})
@@ -119,7 +141,7 @@ def comment_postings(comments: DataFrame, kind: ThreadKind, rank: int) -> DataFr
         .filter(kind.accept(F.col("plain")))
         .withColumns(
             {
-                "named": parse_header(kind.header(F.col("plain"))),
+                "named": parse_header(kind.header(F.col("plain")), limits=limits),
                 "hrefs": extract_hrefs(F.col("text")),
                 "email": extract_email(F.col("plain")),
             }
@@ -127,7 +149,7 @@ def comment_postings(comments: DataFrame, kind: ThreadKind, rank: int) -> DataFr
         .withColumn("apply_url", best_apply_url(F.col("plain"), F.col("hrefs")))
     )
     unnamed = F.col("named.title") == ROLE_NOT_STATED
-    title = F.when(unnamed, F.coalesce(bulleted_title(F.col("plain")), F.col("named.title")))
+    title = F.when(unnamed, F.coalesce(bulleted_title(F.col("plain"), limits=limits), F.col("named.title")))
     return rows.select(
         title.otherwise(F.col("named.title")).alias("title"),
         "named.company",
@@ -146,12 +168,12 @@ def comment_postings(comments: DataFrame, kind: ThreadKind, rank: int) -> DataFr
     )
 
 
-def expand_role_links(postings: DataFrame, where: Column | None = None) -> DataFrame:
+def expand_role_links(postings: DataFrame, where: Column | None = None, limits: Limits = ALL) -> DataFrame:
     """One row per bulleted role with its own link; rows without such bullets unchanged.
 
     ``where`` restricts the expansion to some rows.
     """
-    links = role_links(F.col("description"), F.col("hrefs"))
+    links = role_links(F.col("description"), F.col("hrefs"), limits=limits)
     if where is not None:
         links = F.when(where, links)
     several = F.when(F.size("_links") >= MIN_ROLE_LINKS, F.col("_links"))
@@ -172,13 +194,20 @@ def expand_role_links(postings: DataFrame, where: Column | None = None) -> DataF
     ).drop("_i", "_link")
 
 
-def newest_postings(threads: DataFrame, kind: ThreadKind = HIRING, rank: int = 2) -> DataFrame:
-    """Postings (with ``hrefs``) of the newest matching thread, nothing expanded yet."""
-    # One row, hence the broadcast.
-    newest = threads.join(F.broadcast(latest_thread(threads, kind)), "id", "left_semi")
-    return comment_postings(top_level_comments(newest), kind, rank)
+def newest_from_rows(stories: DataFrame, comments: DataFrame, kind: ThreadKind = HIRING, rank: int = 2, limits: Limits = ALL) -> DataFrame:
+    """Postings (with ``hrefs``) of the newest matching thread among ``stories`` (id, title, created_at), nothing expanded yet.
+
+    ``comments`` is (id, parent, pos, text, created_at, deleted, dead), replies included.
+    """
+    return comment_postings(comments_of(comments, latest_thread(stories, kind)), kind, rank, limits)
+
+
+def newest_postings(threads: DataFrame, kind: ThreadKind = HIRING, rank: int = 2, limits: Limits = ALL) -> DataFrame:
+    """``newest_from_rows`` for threads with nested comments; these are dealt out before their texts are parsed."""
+    newest = threads.join(F.broadcast(latest_thread(stories(threads), kind)), "id", "left_semi")
+    return comment_postings(comment_rows(newest).repartition("id"), kind, rank, limits)
 
 
-def thread_postings(threads: DataFrame, kind: ThreadKind = HIRING, rank: int = 2) -> DataFrame:
+def thread_postings(threads: DataFrame, kind: ThreadKind = HIRING, rank: int = 2, limits: Limits = ALL) -> DataFrame:
     """Content rows of the newest matching thread, bulleted role links expanded."""
-    return conform(expand_role_links(newest_postings(threads, kind, rank)), CONTENT_DDL)
+    return conform(expand_role_links(newest_postings(threads, kind, rank, limits), limits=limits), CONTENT_DDL)

@@ -2,34 +2,30 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from rolefunnel.operators.store import SnapshotTable
+from rolefunnel.operators.store import BucketTable
 
 
 def upsert_stream(
     stream: DataFrame,
-    table: SnapshotTable,
+    table: BucketTable,
     checkpoint: str,
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
 ) -> StreamingQuery:
-    """Merge every micro-batch into the snapshot table.
+    """Merge every micro-batch into the buckets it touches.
 
-    The snapshot of a batch carries the stream (its checkpoint folder) and the
-    batch number: a batch replayed after a failure is recognised and merged once,
-    and a stream with a new checkpoint starts its own count.
+    A batch that is replayed after a failure merges to the same rows again.
     """
-    stream_id = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        label = f"batch-{stream_id}-{batch_id:012d}"
-        if not table.published(label):
-            table.write(merge(table.read(), prepare(batch)), label)
+        rows = prepare(batch).persist()  # read for its buckets and for the merge
+        table.merge(rows, merge)
+        rows.unpersist()
 
     return (
         stream.writeStream.foreachBatch(apply)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from rolefunnel.functions.dates import utc_timestamp
 from rolefunnel.operators.rules import settings_from
-from rolefunnel.operators.store import SnapshotTable, set_status
+from rolefunnel.operators.store import BucketTable, set_status
 from rolefunnel.plans.funnel import collect_sources, run, update_boards
 from rolefunnel.schema import BOARD_DDL, arrival_order, conform
 from rolefunnel.sources import feeds, threads
 from rolefunnel.sources.board_payloads import board_postings
-from rolefunnel.sources.landing import read_landed
+from rolefunnel.sources.landing import json_item_count, page_report, read_landed
 from rolefunnel.sources.registry import SOURCES, enabled_sources, union_sources
 
 
@@ -23,7 +23,7 @@ def land(folder, **files):
     return str(folder)
 
 
-def test_paged_feed_stops_and_dedupes(spark, tmp_path):
+def test_paged_feed_is_read_whole_and_reported(spark, tmp_path):
     def page(items):
         return {"jobs": items}
 
@@ -32,10 +32,12 @@ def test_paged_feed_stops_and_dedupes(spark, tmp_path):
 
     path = land(tmp_path / "h", page_0=page([item(1), item(2)]), page_1=page([item(2, title="again"), item(3)]),
                 page_2=page([item(4)]), page_3=page([item(5), item(6)]))
-    rows = feeds.himalayas(read_landed(spark, path), page_size=2).orderBy("ord").collect()
-    assert [(r["title"], r["company"], r["description"]) for r in rows] == [
-        ("T1", "Unknown", "e"), ("T2", "Unknown", "e"), ("T3", "Unknown", "e"), ("T4", "Unknown", "e")]
-    assert rows[0]["ord"] < rows[1]["ord"] < rows[2]["ord"] < rows[3]["ord"]
+    landed = read_landed(spark, path)
+    rows = feeds.himalayas(landed).orderBy("ord").collect()
+    assert [(r["title"], r["company"], r["description"]) for r in rows] == [(f"T{n}", "Unknown", "e") for n in range(1, 7)]
+    assert sorted({r["ord"] for r in rows}) == [r["ord"] for r in rows]
+    report = page_report(landed.filter("page <> 1"), json_item_count("jobs"), page_size=2).orderBy("page").collect()
+    assert [tuple(r) for r in report] == [(0, 2, False, False), (2, 1, True, True), (3, 2, False, False)]
 
 
 def test_broken_payload_loses_nothing_else(spark, tmp_path):
@@ -100,7 +102,7 @@ def test_run_twice(spark, tmp_path):
 
     settings = settings_from({"filters": {"relevance_keywords": ["llm"], "exclude_phrases": ["us only"]},
                               "ranker": {"keyword_groups": {"g": {"weight": 1, "phrases": ["llm"]}}}, "min_score_threshold": 10})
-    table = SnapshotTable.postings(spark, str(tmp_path / "store"))
+    table = BucketTable.postings(spark, str(tmp_path / "store"))
     for n, body in enumerate(("short", "a much longer text about LLM work than the comment has, really a lot longer")):
         landed = {"remoteok": read_landed(spark, land(tmp_path / f"r{n}", f_0=feed(body))),
                   "hn_whoishiring": threads.threads_from_json(read_landed(spark, land(tmp_path / f"t{n}", t_1=thread_payload())))}
@@ -108,7 +110,8 @@ def test_run_twice(spark, tmp_path):
         # The comment and the feed entry share a URL and become one posting.
         assert tuple(out.counters.first()) == (5, 4)
         if n == 0:
-            table.write(set_status(table.read(), spark.createDataFrame([("https://acme.io/jobs", "applied", 1)], "dedup_key string, status string, ts int"))[0])
+            change = spark.createDataFrame([("https://acme.io/jobs", "applied", 1)], "dedup_key string, status string, ts int")
+            table.merge(change, lambda old, new: set_status(old, new)[0])
     stored = {r["dedup_key"]: r for r in out.snapshot.collect()}
     acme = stored["https://acme.io/jobs"]
     assert len(stored) == 4 and acme["status"] == "applied" and acme["first_seen_at"].day == 10 and acme["last_seen_at"].day == 11
