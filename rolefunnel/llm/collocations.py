@@ -34,12 +34,15 @@ from rolefunnel.llm.common import LOWER, SECOND_BASE, Filter, PrefixHash, flat,
 LEAST = 30
 LONGEST = 4
 TOP = 2000
-#: Bytes of text that are hashed at once, and counted fingerprints that a task holds before it hands them on.
-SLICE = 1 << 19
+#: Counted fingerprints that a task holds before it hands them on, and how many at a time.
 HELD = 1 << 19
+GIVEN = 1 << 16
 #: Bits of the second fingerprint; their sum fits 63 bits up to 2 ** 41 occurrences.
 CHECK_BITS = 22
 
+#: A word, for Spark's own functions.
+WORD_PATTERN = r"[^ \t.,;:!?\n\x0B\f\r]+"
+
 _WORD, _BLANK, _CUT = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = _BLANK
@@ -116,10 +119,7 @@ def _words(part: pa.RecordBatch, bits: int) -> Words:
 
 
 def counted(slim: DataFrame, n: int, open_runs: Filter | None, bits: int) -> DataFrame:
-    """(lang, h, n, check, doc) of runs of ``n`` words both of whose shorter runs are open.
-
-    Without a filter rows with a language are added, whose ``n`` is the number of its words.
-    """
+    """(h, n, check, doc) of runs of ``n`` words, with a filter of those both of whose shorter runs are open."""
     sent = slim.sparkSession.sparkContext.broadcast(open_runs) if open_runs else None
 
     def count(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -131,37 +131,25 @@ def counted(slim: DataFrame, n: int, open_runs: Filter | None, bits: int) -> Dat
         doc = part.column("doc").to_numpy(zero_copy_only=False)[words.row[at]]
         return _united([(words.fingerprints(at, n).view(np.int64), np.ones(len(at), np.int64), words.checks(at, n), doc)])
 
-    def totals(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = np.bincount(_words(part, bits).row, minlength=part.num_rows)
-        lang = pa.array(part.column("lang").to_pylist())
-        out = pa.table({"lang": lang, "n": pa.array(rows.astype(np.int64))}).group_by("lang").aggregate([("n", "sum")])
-        k = out.num_rows
-        zero = pa.array(np.zeros(k, np.int64))
-        return pa.RecordBatch.from_arrays([out.column("lang").combine_chunks(), zero, out.column("n_sum").combine_chunks(), zero, zero], _COUNTED)
-
-    def batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(found[0]), pa.string()), *(pa.array(x) for x in found)], _COUNTED)
+    def batches_of(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(found[0]), GIVEN):
+            yield pa.RecordBatch.from_arrays([pa.array(x[low : low + GIVEN]) for x in found], ["h", "n", "check", "doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for whole in batches:
-            for part in slices(whole, "text", SLICE):
-                if not sent:
-                    yield totals(part)
+            for part in slices(whole, "text"):
                 held.append(count(part))
                 size += len(held[-1][0])
                 if size > HELD:
                     held = [_united(held)]
                     if len(held[0][0]) > HELD // 2:
-                        yield batch(held.pop())
+                        yield from batches_of(held.pop())
                     size = sum(len(x[0]) for x in held)
         if held:
-            yield batch(_united(held))
-
-    return map_batches(slim, run, "lang string, h bigint, n bigint, check bigint, doc bigint")
-
+            yield from batches_of(_united(held))
 
-_COUNTED = ["lang", "h", "n", "check", "doc"]
+    return map_batches(slim, run, "h bigint, n bigint, check bigint, doc bigint")
 
 
 def spread(h: np.ndarray, bits: int) -> np.ndarray:
@@ -180,7 +168,7 @@ def _recounted(slim: DataFrame, wanted: DataFrame, longest: int, bits: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text", SLICE):
+            for part in slices(whole, "text"):
                 words, langs = _words(part, bits), part.column("lang").to_pylist()
                 for k in range(1, longest + 1):
                     at = words.runs(k)
@@ -198,15 +186,13 @@ def _recounted(slim: DataFrame, wanted: DataFrame, longest: int, bits: int) -> D
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, n) of every phrase of 1 to ``longest`` words that occurs ``least`` times in its language,
     and (lang, total), the number of words of each language.  ``bits`` is the length of a fingerprint."""
-    slim, frequent, totals = _slim(docs, text_col, lang_col), [], None
+    slim, frequent = _slim(docs, text_col, lang_col), []
     for k in range(1, longest + 1):
         open_runs = Filter.of(frequent[-1].select(_spread(F.col("h"), bits))) if frequent else None
-        sums = counted(slim, k, open_runs, bits).groupBy("lang", "h").agg(F.sum("n").alias("n"), F.sum("check").alias("check"), F.min("doc").alias("doc"))
-        sums = sums.where(F.col("lang").isNotNull() | (F.col("n") >= least))
-        sums = stored(sums, f"collocations-{k}")
-        if k == 1:
-            totals = sums.where("lang IS NOT NULL").select("lang", F.col("n").alias("total"))
-        frequent.append(sums.where("lang IS NULL").select(F.lit(k).cast("bigint").alias("words"), "h", "n", "check", "doc"))
+        sums = counted(slim, k, open_runs, bits).groupBy("h").agg(F.sum("n").alias("n"), F.sum("check").alias("check"), F.min("doc").alias("doc"))
+        sums = stored(sums.where(F.col("n") >= least), f"collocations-{k}")
+        frequent.append(sums.select(F.lit(k).cast("bigint").alias("words"), "h", "n", "check", "doc"))
+    totals = slim.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD_PATTERN)).cast("bigint")).alias("total"))
     wanted = frequent[0]
     for more in frequent[1:]:
         wanted = wanted.union(more)
@@ -236,7 +222,7 @@ def materialised(slim: DataFrame, wanted: DataFrame, longest: int, bits: int) ->
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text", SLICE):
+            for part in slices(whole, "text"):
                 words, langs, rows = _words(part, bits), part.column("lang").to_pylist(), []
                 asked = part.column("wanted").combine_chunks() if isinstance(part.column("wanted"), pa.ChunkedArray) else part.column("wanted")
                 asked = asked.flatten()
