@@ -53,12 +53,13 @@ _BUCKETS = 64
 
 
 def _in_buckets(entries: dict[str, str], key: Column) -> Column:
-    """Value of ``key``: a map literal is searched entry by entry, so there are many small ones."""
-    parts: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+    """Value of ``key``.  A map literal is searched entry by entry: one of a few dozen buckets holds the text of a small map."""
+    parts: dict[str, list[str]] = {}
     for name, value in entries.items():
-        parts[(ord(name[0]) + 7 * len(name)) % _BUCKETS][name] = value
-    bucket = (F.ascii(key) + 7 * F.length(key)) % _BUCKETS
-    return F.element_at(F.get(F.array(*[const_map(p or {"": ""}) for p in parts]), bucket), key)
+        parts.setdefault(str((ord(name[0]) + 7 * len(name)) % _BUCKETS), []).append(f"{name}\x04{value}")
+    bucket = ((F.ascii(key) + 7 * F.length(key)) % _BUCKETS).cast("string")
+    held = F.element_at(const_map({k: "\x03".join(v) for k, v in parts.items()}), bucket)
+    return F.element_at(F.str_to_map(held, F.lit("\x03"), F.lit("\x04")), key)
 
 
 def _named(ref: Column) -> Column:
