@@ -25,8 +25,9 @@ the Manhattan distance of the counts is a lower bound of the symmetric differenc
 Candidates come without loss: a pair at ``similarity`` shares one of the first
 n - ceil(similarity * n) + 1 shingles of both sets in any fixed order; common
 shingles come last in it.  Nodes that meet in such a shingle are compared with the
-smallest one there first, then all that are not yet in one component.  Pairs that
-the bound leaves are verified on whole sets.
+smallest one there, the lead: each with one of its leads, then with more and with
+all of those that it is not yet in one component with.  Then what is still apart
+where it meets is compared.  Pairs that the bound leaves are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -37,16 +38,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefunnel.llm.common import LOWER, VISIBLE, Filter, PrefixHash, Scratch, bounded_sample, flat, map_batches, map_slices, mix, row_of, spans, stored
+from rolefunnel.llm.common import LOWER, VISIBLE, Filter, PrefixHash, Scratch, flat, map_batches, map_slices, mix, row_of, spans, stored
 
 BITS = 64
 _CHUNK = 1 << 15
-#: Documents and shingles that settle which shingles count as common: only the order depends on them, no result.
-SAMPLE_DOCS = 10_000
+#: Of so many documents one, and so many shingles at most, settle which shingles count as common: only the order depends on them, no result.
+ORDER_SHARE = 4
 COMMON = 500_000
+#: Leads that a set is compared with in each round of stars; the last round has all.
+STAR_ROUNDS = (1, 8, None)
 #: Segments of the hash space in which the shingles of a set are counted.
 SEGMENTS = 256
 
@@ -200,13 +203,13 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _common(slim: DataFrame, words: int) -> np.ndarray:
-    """Shingles that recur in a sample of documents, the rarest first."""
+    """Shingles that recur in a fixed share of the documents, the rarest first: the bar is the same at every size."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         keys, n = np.unique(shingle_sets(part.column("text"), words)[0], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    sample = bounded_sample(slim, "id", SAMPLE_DOCS)
+    sample = slim.where(F.pmod(F.xxhash64(F.lit("order"), "id"), F.lit(ORDER_SHARE)) == 0)
     found = map_slices(sample, work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
     top = found.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
     return top.column("key").to_numpy().view(np.uint64)[::-1].copy()
@@ -323,8 +326,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         held = common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)
         return scratch.stored(near.join(left, "a").join(right, "b").where(held).select("a", "b"), f"similar-edges-{label}")
 
-    edges = verified(stars, "stars")
-    named = components(edges, scratch)
+    # A large group of copies is one component after the first round, so that later rounds have few pairs.
+    edges, named, tried = None, None, None
+    for most in STAR_ROUNDS:
+        pairs = stars
+        if named is not None:
+            for side in "ab":
+                pairs = pairs.join(named.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+            pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        if most == 1:
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        elif most:
+            pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("k") <= most).select("a", "b")
+        pairs = scratch.stored(pairs, f"similar-stars-{most}")
+        tried = pairs if tried is None else tried.union(pairs)
+        found_edges = verified(pairs, f"stars-{most}")
+        edges = found_edges if edges is None else edges.union(found_edges)
+        named = components(edges, scratch)
     # What is still apart where it meets, the larger set with the smaller ones of its own and the next lower band of sizes.
     apart = met.join(named, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = apart.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("key")
