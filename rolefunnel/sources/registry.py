@@ -12,6 +12,7 @@ from rolefunnel.functions.urls import URL_PATTERN
 from rolefunnel.operators.barrier import add_once
 from rolefunnel.operators.boards import resolve_boards
 from rolefunnel.schema import CONTENT_DDL, ORDER_BITS, arrival_order, child_order, conform
+from rolefunnel.session import cut_lineage
 from rolefunnel.sources import feeds
 from rolefunnel.sources.board_payloads import board_postings, roles_in_payload, with_original, with_snippets
 from rolefunnel.sources.threads import FREELANCE, HIRING, PERMALINK, expand_role_links, thread_postings
@@ -86,7 +87,8 @@ def discovered_boards(linked: DataFrame) -> DataFrame:
 def link_boards(postings: DataFrame, pages: DataFrame) -> DataFrame:
     """Add ``board`` to thread postings; a permalink is no link to resolve."""
     own = postings.withColumn("_lookup", F.when(~F.startswith("url", F.lit(PERMALINK)), F.col("url")))
-    return resolve_boards(own, pages, "_lookup").drop("_lookup")
+    # Written once: addresses are long expressions over the text, and every pattern of a board would hold them anew.
+    return resolve_boards(cut_lineage(own), pages, "_lookup").drop("_lookup")
 
 
 def expand_boards(linked: DataFrame, payloads: DataFrame, pages: DataFrame | None = None, cap: int | None = None) -> DataFrame:
@@ -98,6 +100,9 @@ def expand_boards(linked: DataFrame, payloads: DataFrame, pages: DataFrame | Non
     the first roles of each board; by default all stay.
     """
     boards = payloads.select("platform", "board_slug", "payload")
+    # Written once: below it is read by both sides of two unions and by the lookup of pages,
+    # and each of them would hold, plan and compile the whole parsing of comments anew.
+    linked = cut_lineage(linked)
     keyed = linked.withColumns({"platform": F.col("board.platform"), "board_slug": F.col("board.slug")})
     # Most postings link to no board: they have nothing to join, and would all meet on one null key.
     linked_to = F.col("platform").isNotNull() & F.col("board_slug").isNotNull()
