@@ -19,6 +19,7 @@ from rolefunnel.functions.text import (
     headed_section,
     join_present,
     join_sections,
+    let,
     present,
     strip,
     strip_html,
@@ -181,11 +182,9 @@ def workable(payload: Column, slug: Column, cap: int | None = None) -> Column:
     parsed = F.from_json(
         payload, f"struct<name: string, jobs: array<struct<{WORKABLE_ITEM}>>>", {"mode": "PERMISSIVE"}
     )
-    company = stripped_or_null(parsed["name"])
-    return _roles(
-        parsed["jobs"],
-        cap,
-        lambda j: _role(
+
+    def shape(j: Column, company: Column) -> Column:
+        return _role(
             j["title"],
             j["url"],
             F.concat(F.lit("Role: "), j["title"]),
@@ -195,8 +194,13 @@ def workable(payload: Column, slug: Column, cap: int | None = None) -> Column:
             j["shortcode"],
             company=company,
             contract=contract_from_label(j["employment_type"]),
-        ),
-    )
+        )
+
+    # The name is bound outside the lambda over the jobs, which would parse the payload again for each of them.
+    def roles(board: Column) -> Column:
+        return let(stripped_or_null(board["name"]), lambda company: _roles(board["jobs"], cap, lambda j: shape(j, company)))
+
+    return let(parsed, roles)
 
 
 def recruitee(payload: Column, slug: Column, cap: int | None = None) -> Column:
