@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rolefunnel.plans.catalog.base import query, table
 from rolefunnel.sources import feeds as fd
 from rolefunnel.sources import threads as th
-from rolefunnel.sources.landing import page_report
+from rolefunnel.sources.landing import page_report, reached_items
 from rolefunnel.sources.quarantine import JSON_FEEDS, outcome, split_feed
 from rolefunnel.sources.registry import expand_boards, link_boards, union_sources
 
@@ -235,13 +235,19 @@ def _(spark, d):
 
 @query(
     "page_window",
-    """WITH s AS (SELECT o_custkey AS page, count(*) AS n FROM orders GROUP BY 1)
-       SELECT s.page, s.n, s.n < 10 AS short, b.page IS NULL AND s.page > 0 AS gap FROM s LEFT JOIN s b ON b.page = s.page - 1""",
+    """WITH s AS (SELECT o_custkey AS page, count(*) AS n FROM orders GROUP BY 1),
+       r AS (SELECT 0 AS page UNION ALL SELECT page + 1 FROM s WHERE n >= 3 AND page >= 0),
+       g AS (SELECT min(page) AS stop FROM r WHERE page NOT IN (SELECT page FROM s WHERE n >= 3 AND page IS NOT NULL))
+       SELECT o_orderkey, o_custkey AS page, s.n, s.n < 10 AS short, b.page IS NULL AND s.page > 0 AS gap,
+              coalesce(o_custkey BETWEEN 0 AND stop, false) AS read
+       FROM orders JOIN s ON s.page IS NOT DISTINCT FROM o_custkey LEFT JOIN s b ON b.page = s.page - 1, g""",
 )
 def _(spark, d):
-    """Orders as items, customers as pages: which pages are short, and which follow a hole."""
-    items = table(spark, d, "orders").select(F.col("o_custkey").alias("page"))
-    return page_report(items, F.lit(1), page_size=10)
+    """Every order as an item, customers as pages: is its page short, does it follow a hole, and does a reader that ends at the first short page get there."""
+    items = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("page"))
+    report = page_report(items, F.lit(1), page_size=10).withColumnRenamed("page", "_page")
+    rows = reached_items(items, F.lit(1), page_size=3).join(report, F.col("page").eqNullSafe(F.col("_page")))
+    return rows.select("o_orderkey", "page", "n", "short", "gap", "read")
 
 
 @query(

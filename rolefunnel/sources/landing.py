@@ -80,6 +80,23 @@ def page_report(pages: DataFrame, size: Column, page_size: int | None = None, fi
     )
 
 
+def reached_items(items: DataFrame, size: Column, page_size: int | None = None, first_page: int = 0) -> DataFrame:
+    """All rows of ``items`` with ``read``: whether a reader going page by page gets there.
+
+    Reading starts at ``first_page`` and ends with the first page that is missing, empty
+    or, where ``page_size`` is given, shorter than it.  No row is dropped.
+    """
+    sizes = items.filter(F.col("page") >= first_page).groupBy("page").agg(F.sum(F.coalesce(size, F.lit(0))).alias("n"))
+    full = sizes.filter(F.col("n") >= (page_size or 1)).select("page")
+    # Each full page reaches its follower; the least page reached but not full is the last one read.
+    start = items.sparkSession.range(first_page, first_page + 1).select(F.col("id").alias("page"))
+    reached = start.unionByName(full.select((F.col("page") + 1).alias("page")))
+    stop = reached.join(full, "page", "left_anti").agg(F.min("page").alias("_stop"))
+    # One row, hence the broadcast.
+    read = F.coalesce(F.col("page").between(first_page, F.col("_stop")), F.lit(False))
+    return items.join(F.broadcast(stop)).withColumn("read", read).drop("_stop")
+
+
 def first_by(df: DataFrame, key: str) -> DataFrame:
     """First arrival per key, in (page, position) order."""
     return first_wins(df, [key], F.struct("page", "pos"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from rolefunnel.functions.dates import utc_timestamp
 from rolefunnel.operators.rules import settings_from
 from rolefunnel.operators.store import BucketTable, set_status
+from rolefunnel.plans.catalog import CATALOG
 from rolefunnel.plans.funnel import collect_sources, run, update_boards
 from rolefunnel.schema import BOARD_DDL, arrival_order, conform
 from rolefunnel.sources import feeds, threads
-from rolefunnel.sources.board_payloads import board_postings
-from rolefunnel.sources.landing import json_item_count, page_report, read_landed
-from rolefunnel.sources.registry import SOURCES, enabled_sources, union_sources
+from rolefunnel.sources.board_payloads import board_postings, workable
+from rolefunnel.sources.landing import json_item_count, page_report, reached_items, read_landed
+from rolefunnel.sources.registry import SOURCES, enabled_sources, expand_boards, link_boards, union_sources
 
 
 def land(folder, **files):
@@ -40,6 +41,46 @@ def test_paged_feed_is_read_whole_and_reported(spark, tmp_path):
     assert [tuple(r) for r in report] == [(0, 2, False, False), (2, 1, True, True), (3, 2, False, False)]
 
 
+def test_reached_items_keep_every_row(spark):
+    pages = [0, 0, 1, 1, 2, 3, 3, -1, None]
+    items = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "item bigint, page bigint")
+    got = {r["item"]: r["read"] for r in reached_items(items, F.lit(1), page_size=2).collect()}
+    assert got == {i: p in (0, 1, 2) for i, p in enumerate(pages)}
+    late = reached_items(items.filter("page > 0"), F.lit(1), page_size=2).collect()
+    assert len(late) == 5 and not any(r["read"] for r in late)
+
+
+def test_page_window_lists_every_order(spark, tmp_path):
+    orders = [(1, 0), (2, 0), (3, 0), (4, 2), (5, None)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = CATALOG["page_window"].run(spark, str(tmp_path)).orderBy("o_orderkey").collect()
+    assert [(r["o_orderkey"], r["page"], r["n"], r["short"], r["gap"], r["read"]) for r in rows] == [
+        (1, 0, 3, True, False, True), (2, 0, 3, True, False, True), (3, 0, 3, True, False, True), (4, 2, 1, True, True, False),
+        (5, None, 1, True, None, False)]
+
+
+def test_plan_of_expanded_boards_stays_small(spark):
+    stories = spark.createDataFrame([("0", "Ask HN: Who is hiring?", "1")], "id string, title string, created_at string")
+    texts = ["A | Dev<p>https://jobs.lever.co/a", "B | Dev<p>- R: https://x.example/jobs/1<p>- S: https://x.example/jobs/2"]
+    comments = spark.createDataFrame(
+        [(i, "0", i, t, "2024-01-01T00:00:00.000Z", False, None) for i, t in enumerate(texts)],
+        "id bigint, parent string, pos bigint, text string, created_at string, deleted boolean, dead boolean")
+    payloads = spark.createDataFrame([("lever", "a", '[{"id":"x","text":"Role","hostedUrl":"https://l/x"}]')], "platform string, board_slug string, payload string")
+    pages = spark.createDataFrame([], "url string, final_url string, html string")
+    rows = expand_boards(link_boards(threads.newest_from_rows(stories, comments), pages), payloads, pages)
+    # The parsing of comments was held a dozen times over: twenty million characters.
+    assert len(rows._jdf.queryExecution().optimizedPlan().treeString()) < 3_000_000
+    assert sorted(r["source_id"] for r in rows.collect()) == ["0:lever:x", "1:bullet:0", "1:bullet:1"]
+
+
+def test_workable_payload_is_parsed_once(spark):
+    body = json.dumps({"name": " ACME ", "jobs": [{"title": f"T{i}", "shortcode": f"s{i}", "url": f"https://w/{i}"} for i in range(3)]})
+    df = spark.createDataFrame([(body,), ("{broken",), (None,)], "payload string")
+    found = df.select(workable(F.col("payload"), F.lit("b")).alias("roles"))
+    assert found._jdf.queryExecution().optimizedPlan().treeString().count("from_json") == 1
+    assert [[(x["title"], x["company"]) for x in r["roles"] or []] for r in found.collect()] == [[("T0", "ACME"), ("T1", "ACME"), ("T2", "ACME")], [], []]
+
+
 def test_broken_payload_loses_nothing_else(spark, tmp_path):
     good = [{"legal": 1}, {"id": 1, "slug": "s", "position": "P", "company": "C", "url": "https://r/1", "tags": ["a"]},
             {"id": 2, "slug": "s", "company": "no position"}, None]
