@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +49,7 @@ def build_requests(postings: DataFrame, profile: dict, instructions: str, max_ch
 
 
 Scorer = Callable[[str], str]
+_SCORED_ROWS = 256
 
 
 def score_requests(requests: DataFrame, make_scorer: Callable[[], Scorer] | None = None) -> DataFrame:
@@ -62,20 +63,24 @@ def score_requests(requests: DataFrame, make_scorer: Callable[[], Scorer] | None
     if make_scorer is None:
         return requests.select("dedup_key", F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error")).limit(0)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = make_scorer()
-        for frame in frames:
-            responses, errors = [], []
-            for request in frame["request"]:
-                try:
-                    response, error = scorer(request), None
-                except Exception as failure:  # whatever a scorer raises belongs to this request
-                    response, error = None, f"{type(failure).__name__}: {failure}"
-                responses.append(response)
-                errors.append(error)
-            yield pd.DataFrame({"dedup_key": frame["dedup_key"], "response": responses, "error": errors}, dtype="object")
-
-    return requests.select("dedup_key", "request").mapInPandas(run, "dedup_key string, response string, error string")
+        for batch in batches:
+            # Few rows at a time: what a worker holds beside a batch does not follow its size.
+            for low in range(0, batch.num_rows, _SCORED_ROWS):
+                part = batch.slice(low, _SCORED_ROWS)
+                responses, errors = [], []
+                for request in part.column(1):
+                    try:
+                        response, error = scorer(request.as_py()), None
+                    except Exception as failure:  # whatever a scorer raises belongs to this request
+                        response, error = None, f"{type(failure).__name__}: {failure}"
+                    responses.append(response)
+                    errors.append(error)
+                columns = [part.column(0), pa.array(responses, pa.string()), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["dedup_key", "response", "error"])
+
+    return requests.select("dedup_key", "request").mapInArrow(run, "dedup_key string, response string, error string")
 
 
 def validate_responses(landed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -88,3 +88,11 @@ def test_scorer_is_set_up_once_per_partition_and_fails_by_row(spark, tmp_path):
     assert none.count() == 0 and none.columns == ["dedup_key", "response", "error"]
     valid, bad = ex.validate_responses(ex.score_requests(requests, make))
     assert valid.count() == 0 and {r.error for r in bad.collect()} == {"KeyError: 'three'", "response does not match the schema"}
+
+
+def test_scored_rows_stay_few_at_a_time(spark):
+    """A worker holds the answers to some hundred requests, not to a whole batch of ten thousand."""
+    requests = spark.range(3000).repartition(1).selectExpr("cast(id AS string) AS dedup_key", "repeat('x', cast(id AS int)) AS request")
+    found = ex.score_requests(requests, lambda: lambda request: str(len(request)))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert all(r.response == r.dedup_key and r.error is None for r in found.collect())
