@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -143,23 +144,22 @@ class Vocabulary:
 
     def _short(self, text: str) -> list[int]:
         """The same search over a text that fits a window or two: nothing needs to be committed early."""
-        n = len(text)
+        n, trie, unknown = len(text), self.trie, self.unknown
         best, start, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            here, node, single = best[i], self.trie, False
-            for end in range(i, n):
-                entry = node.get(text[end])
-                if entry is None:
-                    break
+            here, end = best[i], i + 1
+            entry = trie.get(text[i])
+            if (entry is None or entry[2] is None) and here + unknown > best[end]:
+                best[end], start[end], piece[end] = here + unknown, i, -1
+            while entry is not None:
                 node, found, worth = entry
-                if worth is not None:
-                    single |= end == i
-                    score = here + worth
-                    if score > best[end + 1]:
-                        best[end + 1], start[end + 1], piece[end + 1] = score, i, found
-            if not single and here + self.unknown > best[i + 1]:
-                best[i + 1], start[i + 1], piece[i + 1] = here + self.unknown, i, -1
+                if worth is not None and here + worth > best[end]:
+                    best[end], start[end], piece[end] = here + worth, i, found
+                if end == n or not node:
+                    break
+                entry = node.get(text[end])
+                end += 1
         out = []
         while n:
             if piece[n] >= 0:
@@ -179,12 +179,13 @@ class Vocabulary:
         if ids is None:
             if len(self.kept) >= KEPT_WORDS:
                 self.kept.clear()
-            joined = self.joined
-            cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined]
-            if cuts:
-                ids = [i for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True) for i in self._part(word[a:b])]
-            else:
+            # A word without a sure boundary is found without a step of Python for each character.
+            two, joined = [*map(add, word, word[1:])], self.joined
+            if joined.issuperset(two):
                 ids = self.search(word)
+            else:
+                cuts = [k for k, pair in enumerate(two, 1) if pair not in joined]
+                ids = [i for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True) for i in self._part(word[a:b])]
             if len(word) <= 64:
                 self.kept[word] = ids
         return ids
