@@ -4,20 +4,26 @@
                alpha * c(w) / N         otherwise
 
 Counts are taken over all documents, and the documents scored are those that were
-counted.  So a bigram that a document has and the table does not was seen once: with
-``min_count=1``, the default, the table need not hold bigrams of numbered words seen
-once, and a document's row brings the gain of such a bigram along.  The table holds
-the others, keyed by the numbers of their words and partitioned by a hash of that key;
-with each goes its gain, what the bigram adds to the score of the single word.
-Documents are exploded to bigrams, joined to the table on the key and summed.  Very frequent bigrams would be hot keys of that join, and there
-are few of them: the commonest ``hot`` ones are looked up where the documents are
-read, so only the others are shuffled.
+counted.  So with ``min_count=1``, the default, every bigram of a document was seen,
+and the score of a text is the sum of log c(v w) less the sum of log c(v).  The
+second sum is known where a document is read.  For the first, each document's bigrams
+are shuffled once, as (key, id, n): rows of one key are counted in a window where
+they arrive, and every row takes the log of that count home to its document.  No table
+of bigrams is written and nothing is joined; bigrams seen once add nothing and end there.
+Very frequent bigrams would be hot keys of the window.  A fixed share of the documents
+says which they are (at most ``hot``), all documents how often each was seen, and they
+are looked up where the documents are read.
+
+With a greater ``min_count`` bigrams seen less often back off to their word.  The table
+holds the others, keyed by the numbers of their words; with each goes its gain, what the
+bigram adds to the score of the single word.  Documents are exploded to bigrams, joined
+to the table on the key and summed, all but the commonest ``hot`` ones.
 
 Every word has its own count.  The ``common`` commonest words (all with a count at or
 above the least count that keeps them within that number) are numbered and sent to
 all tasks, like the hot bigrams: 16 bytes an entry, bounded by these two parameters.
-Other words, and bigrams with one, are keyed by hashes; their counts stay in tables
-and reach the documents by the same join.  With ``vocabulary`` set, and only then,
+Other words, and bigrams with one, are keyed by hashes and counted by the same
+window, or by tables and the same join.  With ``vocabulary`` set, and only then,
 words beyond the commonest count as one unknown word.
 
 Cases: a null text, or one without words, has 0 words and a score of 0.  Repeated
@@ -33,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolefunnel.llm.common import LOWER, WORD, PrefixHash, flat, map_batches, pair_hash, row_of, slices, spans, stored
@@ -43,6 +49,8 @@ _START = np.uint64(1)
 _BITS = 31
 #: The two upper bits of a key: 00 two numbered words, 01 a document's own row, 10 a bigram with another word, 11 such a word.
 _OWN, _PAIR, _WORD = np.int64(1 << 62), np.uint64(1 << 63), np.uint64(3 << 62)
+#: Of so many documents one shows which bigrams are frequent, and how often it must have been met there: they cost time, no result.
+HOT_SHARE, HOT_SEEN = 16, 64
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -113,13 +121,6 @@ class Lexicon:
             out[len(self.hashes)] = 0.0
         return out
 
-    def once(self, keys: np.ndarray, alpha: float) -> np.ndarray:
-        """The gain of bigrams seen once; 0 for those with a word that has no number, which the table holds in any case."""
-        numbered = keys >= 0
-        out = np.zeros(len(keys))
-        out[numbered] = self.gains(keys[numbered], np.ones(int(numbered.sum())), alpha)
-        return out
-
     def gains(self, keys: np.ndarray, counts: np.ndarray, alpha: float) -> np.ndarray:
         return np.log(counts / self.counts[keys >> _BITS]) - self.single(alpha)[keys & ((1 << _BITS) - 1)]
 
@@ -192,8 +193,8 @@ def bigram_table(docs: DataFrame, sent, min_count: int, alpha: float) -> DataFra
     return map_batches(counts, run, "key bigint, n bigint, gain double")
 
 
-def _hot(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Least count of a hot bigram, sorted keys, gains: about the ``most`` commonest, at most."""
+def _least_count(table: DataFrame, most: int) -> int:
+    """The least count ``n`` that about the ``most`` commonest keys, at most, have."""
     step = F.floor(F.log2("n") * 4).cast("int")
     sizes = table.groupBy(step.alias("k")).agg(F.count("*").alias("size"), F.min("n").alias("n")).orderBy(F.desc("k")).collect()
     least, size = 1 << 62, 0
@@ -201,12 +202,97 @@ def _hot(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
         if size + row["size"] > most:
             break
         least, size = row["n"], size + row["size"]
+    return least
+
+
+def _hot(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Least count of a hot bigram, sorted keys, gains: about the ``most`` commonest, at most."""
+    least = _least_count(table, most)
     found = table.where(F.col("n") >= least).select("key", "gain").toArrow()
     keys, gains = found.column("key").to_numpy(), found.column("gain").to_numpy()
     order = np.argsort(keys)
     return least, keys[order], gains[order]
 
 
+def _among(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is one of ``sorted_keys``, and its place there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    place = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return sorted_keys[place] == keys, place
+
+
+def hot_bigrams(slim: DataFrame, sent, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of bigrams of numbered words that a share of the documents shows to be frequent; their counts in all documents."""
+
+    def numbered(column: pa.Array) -> np.ndarray:
+        keys = sent.value.pairs(column)[0]
+        return keys[keys >= 0].view(np.uint64)
+
+    sample = slim.where(F.pmod(F.xxhash64(F.lit("hot"), "id"), F.lit(HOT_SHARE)) == 0)
+    met = stored(_counted(sample.select("text"), numbered).where(F.col("n") >= HOT_SEEN), "backoff-frequent")
+    keys = np.sort(met.where(F.col("n") >= _least_count(met, most)).toArrow().column("key").to_numpy())
+    if not len(keys):
+        return keys, np.zeros(0)
+    wanted = slim.sparkSession.sparkContext.broadcast(keys)
+
+    def chosen(column: pa.Array) -> np.ndarray:
+        found = sent.value.pairs(column)[0]
+        return found[_among(found, wanted.value)[0]].view(np.uint64)
+
+    counts = _counted(slim.select("text"), chosen).toArrow()
+    keys, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order].astype(np.float64)
+
+
+def _seen_scores(slim: DataFrame, sent, hot: int) -> DataFrame:
+    """(id, n_words, total) where every bigram that was seen counts."""
+    near = slim.sparkSession.sparkContext.broadcast(hot_bigrams(slim, sent, hot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, (keys_hot, counts_hot) = sent.value, near.value
+        logs, logs_hot = np.log(np.maximum(words.counts, 1)), np.log(counts_hot)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                keys, _, rows, n, before, name = words.pairs(part.column("text"))
+                count = np.bincount(rows, minlength=n)
+                base = -np.bincount(rows, weights=np.where(before >= 0, logs[np.maximum(before, 0)], 0.0), minlength=n)
+                is_hot, place = _among(keys, keys_hot)
+                base += np.bincount(rows[is_hot], weights=logs_hot[place[is_hot]], minlength=n)
+                # One row for each bigram of a document, and for each word without a number.
+                other = np.flatnonzero(name < 0)
+                cold = np.concatenate([keys[~is_hot], name[other]])
+                unique, at = np.unique(cold, return_inverse=True)
+                size = max(len(unique), 1)
+                both, many = np.unique(np.concatenate([rows[~is_hot], rows[other]]) * size + at, return_counts=True)
+                many *= 2
+                # The last word of a text stands before no other: the odd number says so.
+                last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) if len(rows) else rows
+                last = last[name[last] < 0]
+                many[np.searchsorted(both, rows[last] * size + np.searchsorted(unique, name[last]))] += 1
+                ids = part.column("id")
+                # A document's own row has a key that no bigram has.
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([_OWN + np.arange(n), unique[both % size]])), pa.concat_arrays([ids, ids.take(pa.array(both // size))]),
+                        pa.array(np.concatenate([count, many])), pa.array(np.concatenate([base, np.zeros(len(both))])),
+                    ],
+                    ["key", "id", "n", "base"],
+                )
+
+    rows = map_batches(slim, run, "key bigint, id bigint, n bigint, base double")
+    times = F.shiftright("n", 1)
+    counted = rows.withColumn("c", F.sum(times).over(Window.partitionBy("key")))
+    mine = F.col("key") >= F.lit(int(_OWN))
+    word = F.col("key").between(F.lit(-(1 << 62)), F.lit(-1))
+    log = F.when(word, F.col("n").bitwiseAND(F.lit(1)) - times).otherwise(times) * F.log("c")
+    return counted.where(F.col("id").isNotNull() & (mine | (F.col("c") > 1))).groupBy("id").agg(
+        F.sum(F.when(mine, F.col("n")).otherwise(F.lit(0))).alias("n_words"),
+        F.sum(F.when(mine, F.col("base")).otherwise(log)).alias("total"),
+    )
+
+
 def backoff_scores(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -225,7 +311,9 @@ def backoff_scores(
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     found, others = lexicon(slim.select("text"), common if vocabulary is None else vocabulary, vocabulary is None)
     sent = context.broadcast(found)
-    counts = bigram_table(slim.select("text"), sent, max(min_count, 2), alpha)
+    if min_count <= 1:
+        return _seen_scores(slim, sent, hot)
+    counts = bigram_table(slim.select("text"), sent, min_count, alpha)
     if found.open and not others.isEmpty():
         others = stored(others, "backoff-others")
         alone = others.select("key", "n", F.log(F.lit(alpha) * F.col("n") / F.lit(float(found.total))).alias("gain"))
@@ -255,13 +343,12 @@ def backoff_scores(
                 both, many = np.unique(rows[cold] * len(unique) + at[cold], return_counts=True)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 owner, which = both // max(len(unique), 1), both % max(len(unique), 1)
-                alone = words.once(unique, alpha)[which] if min_count <= 1 else np.zeros(len(which))
                 # A document's own row has a key that no bigram has.
                 own = _OWN + np.arange(n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([own, unique[which]])), pa.array(np.concatenate([ids, ids[owner]])),
-                        pa.array(np.concatenate([count, many])), pa.array(np.concatenate([base, alone])),
+                        pa.array(np.concatenate([count, many])), pa.array(np.concatenate([base, np.zeros(len(which))])),
                     ],
                     ["key", "id", "n", "base"],
                 )
@@ -271,5 +358,5 @@ def backoff_scores(
     mine = F.col("key") >= F.lit(int(_OWN))
     return joined.groupBy("id").agg(
         F.sum(F.when(mine, F.col("n")).otherwise(F.lit(0))).alias("n_words"),
-        F.sum(F.when(mine, F.col("base")).otherwise(F.col("n") * F.coalesce("gain", "base"))).alias("total"),
+        F.sum(F.when(mine, F.col("base")).otherwise(F.col("n") * F.coalesce("gain", F.lit(0.0)))).alias("total"),
     )

@@ -192,6 +192,33 @@ def test_backoff_keeps_all_words(docs, texts, common, hot):
             assert got[doc][1] == pytest.approx(times * sum(map(score, ps)), rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("common, hot", [(0, 10), (12, 0), (12, 5), (10**6, 10**6)])
+def test_backoff_shuffles_each_bigram_once(spark, monkeypatch, common, hot):
+    """Rows are counted where they are scored: no table of bigrams is joined.  Rows without an id count, frequent bigrams too."""
+    monkeypatch.setattr(backoff, "HOT_SHARE", 1, raising=False)
+    monkeypatch.setattr(backoff, "HOT_SEEN", 2, raising=False)
+    rng = random.Random(5)
+    rows = [(i % 50 if i % 9 else None, " ".join(rng.choice("abcdefghijklmnopqrst") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 30)))) for i in range(90)]
+    rows += [(50, None), (51, " .,"), (52, "only"), (None, "only a b")]
+    words = [(i, SQL_WORD.findall(t or "")) for i, t in rows]
+    uni, two, want = {}, {}, {}
+    for _, ws in words:
+        for v, w in zip(["", *ws], ws):
+            uni[w] = uni.get(w, 0) + 1
+            two[v, w] = two.get((v, w), 0) + 1
+    uni[""] = sum(bool(ws) for _, ws in words)
+    for i, ws in words:
+        if i is not None:
+            n, total = want.get(i, (0, 0.0))
+            want[i] = n + len(ws), total + sum(np.log(two[p] / uni[p[0]]) for p in zip(["", *ws], ws))
+    found = backoff.backoff_scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), common=common, hot=hot)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (r.n_words, r.total) for r in found.collect()}
+    assert got.keys() == want.keys()
+    for i, (n, total) in want.items():
+        assert got[i][0] == n and got[i][1] == pytest.approx(total, rel=1e-9, abs=1e-9)
+
+
 # --- 4 decontamination
 
 
