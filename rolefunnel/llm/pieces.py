@@ -27,7 +27,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +44,16 @@ KEPT_WORDS = 400_000
 #: Characters that are taken at a time from a long text.
 STRETCH = 1 << 20
 
+#: Bits of a character inside an edge, and texts that are searched side by side.
+_CHAR_BITS, _ABREAST = 21, 1 << 13
+
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class Vocabulary:
     """Pieces and scores, and the search over them."""
 
@@ -63,11 +69,13 @@ class Vocabulary:
                 entry = node.setdefault(c, [{}, -1, None])
                 node = entry[0]
             entry[1:] = [i, score]
+        self._spread()
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.words_split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         #: Neighbouring characters inside some piece; between two others every path has a boundary.
-        self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        self.kept: dict[str, list[int]] = {}
+        self.joined = np.unique([ord(p[k]) << _CHAR_BITS | ord(p[k + 1]) for p in self.pieces for k in range(len(p) - 1)]).astype(np.int64)
+        self.kept: dict[str, bytes] = {}  # ids side by side, 32 bits each
+        self.mark = _packed([byte_ids[b] for b in SPACE.encode()])  # of a literal U+2581
         table = [b""] * size
         for p, (i, _) in self.pieces.items():
             table[i] = p.replace(SPACE, " ").encode()
@@ -76,6 +84,20 @@ class Vocabulary:
         self.table = np.frombuffer(b"".join(table), np.uint8)
         self.ends = np.cumsum([len(t) for t in table])
 
+    def _spread(self) -> None:
+        """The trie as arrays: an edge is a node and a character; the root is 0, a piece is worth its score at its last node."""
+        nodes, edges = {"": 0}, []
+        for p in self.pieces:
+            for k, c in enumerate(p, 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(nodes)
+                    edges.append((nodes[p[: k - 1]] << _CHAR_BITS | ord(c), nodes[p[:k]]))
+        edges.sort()
+        self.edges, self.behind = np.array(edges, np.int64).reshape(-1, 2).T.copy()
+        self.worth, self.ident = np.full(len(nodes), -np.inf), np.full(len(nodes), -1, np.int32)
+        for p, (i, score) in self.pieces.items():
+            self.worth[nodes[p]], self.ident[nodes[p]] = score, i
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         import sentencepiece
@@ -174,29 +196,97 @@ class Vocabulary:
             return self._short(text)
         return [i for run in self.stream(text) for i in run]
 
-    def word(self, word: str) -> list[int]:
-        ids = self.kept.get(word)
-        if ids is None:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            # A word without a sure boundary is found without a step of Python for each character.
-            two, joined = [*map(add, word, word[1:])], self.joined
-            if joined.issuperset(two):
-                ids = self.search(word)
-            else:
-                cuts = [k for k, pair in enumerate(two, 1) if pair not in joined]
-                ids = [i for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True) for i in self._part(word[a:b])]
-            if len(word) <= 64:
-                self.kept[word] = ids
-        return ids
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.kept.get(part)
-        if ids is None:
-            ids = self.search(part)
-            if len(part) <= 64:
-                self.kept[part] = ids
-        return ids
+    def _abreast(self, texts: list[str]) -> list[bytes]:
+        """``_short`` for many texts at once: a column for each text, one step for all at each boundary."""
+        texts_by_size = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        size = np.array([len(texts[k]) for k in texts_by_size])
+        most, many = int(size[0]), len(texts)
+        chars = np.zeros((many, most), np.int64)
+        chars[np.arange(most) < size[:, None]] = np.frombuffer("".join([texts[k] for k in texts_by_size]).encode("utf-32-le"), np.uint32)
+        chars = chars.T.copy()
+        best = np.full((most + 1, many), -np.inf)
+        start, piece = np.zeros((most + 1, many), np.int32), np.full((most + 1, many), -1, np.int32)
+        best[0] = 0.0
+        top, strange = max(len(self.edges) - 1, 0), np.zeros(many, bool)
+        for i in range(most):
+            live = np.arange(np.searchsorted(-size, -i))  # those that go on, the longest first
+            node = np.zeros(len(live), np.int64)
+            for end in range(i + 1, most + 1):
+                edge = node << _CHAR_BITS | chars[end - 1, live]
+                at = np.minimum(np.searchsorted(self.edges, edge), top)
+                met = self.edges[at] == edge if len(self.edges) else np.zeros(len(edge), bool)
+                if end == i + 1:
+                    known = met & (self.ident[self.behind[at]] >= 0) if len(self.edges) else met
+                    strange[live[~known]] = True
+                live, node = live[met], self.behind[at[met]]
+                if not len(live):
+                    break
+                score = best[i, live] + self.worth[node]
+                more = score > best[end, live]
+                to = live[more]
+                best[end, to], start[end, to], piece[end, to] = score[more], i, self.ident[node[more]]
+        # Texts with a character that no piece holds are left to the search of one text.
+        at, steps = size.copy(), []
+        at[strange] = 0
+        column = np.arange(many)
+        while at.any():
+            steps.append(np.where(at > 0, piece[at, column], -1))
+            at = np.where(at > 0, start[at, column], 0)
+        found = [b""] * many
+        ids = np.array(steps[::-1], np.int32).reshape(len(steps), many).T
+        flat, ends = ids[ids >= 0].tobytes(), (4 * np.cumsum((ids >= 0).sum(1))).tolist()
+        for k, low, high, odd in zip(texts_by_size, [0, *ends], ends, strange.tolist(), strict=False):
+            found[k] = _packed(self._short(texts[k])) if odd else flat[low:high]
+        return found
+
+    def _cuts(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Sure boundaries inside the words: the place of each word that has one, and the characters before it there."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        ends = np.cumsum(size)
+        sure = np.ones(len(chars), bool)
+        if len(self.joined):
+            two = chars[:-1] << _CHAR_BITS | chars[1:]
+            sure[1:] = self.joined[np.minimum(np.searchsorted(self.joined, two), len(self.joined) - 1)] != two
+        sure[(ends - size)[size > 0]] = False
+        at = np.flatnonzero(sure)
+        owner = np.searchsorted(ends, at, "right")
+        return owner.tolist(), (at - (ends - size)[owner]).tolist()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of every word, packed; those that this worker has not met are searched together."""
+        found = [*map(self.kept.get, words)]
+        places = [k for k, ids in enumerate(found) if ids is None and words[k]]
+        new = [words[k] for k in places]
+        # Words with a sure boundary fall into parts, the others are searched as they are.
+        cuts: dict[int, list[int]] = {}
+        for owner, cut in zip(*self._cuts(new), strict=True):
+            cuts.setdefault(owner, [0]).append(cut)
+        parts = {}
+        for owner, at in cuts.items():
+            word = new[owner]
+            parts[word] = [word[a:b] for a, b in zip(at, [*at[1:], None], strict=True)]
+        wanted = dict.fromkeys(w for w in new if w not in parts) | dict.fromkeys(chain.from_iterable(parts.values()))
+        fresh = {p: ids for p, ids in zip(wanted, map(self.kept.get, wanted), strict=True) if ids is not None}
+        missed = [p for p in wanted if p not in fresh] if fresh else [*wanted]
+        short = [p for p in missed if len(p) <= 2 * self.longest]
+        for low in range(0, len(short), _ABREAST):
+            some = short[low : low + _ABREAST]
+            fresh.update(zip(some, self._abreast(some), strict=True))
+        if len(short) < len(missed):
+            fresh.update((p, _packed(self.search(p))) for p in missed if len(p) > 2 * self.longest)
+        for word, ps in parts.items():
+            fresh[word] = b"".join([fresh[p] for p in ps])
+        for k, word in zip(places, new, strict=True):
+            found[k] = fresh[word]
+        for long in [w for w in new if len(w) > 64]:
+            for w in {long, *parts.get(long, ())}:
+                if len(w) > 64:
+                    fresh.pop(w, None)
+        if len(self.kept) + len(fresh) > KEPT_WORDS:
+            self.kept.clear()
+        self.kept.update(fresh)
+        return [self.mark if ids is None else ids for ids in found]
 
     def units(self, text: str) -> Iterator[list[str]]:
         """Parts of a text that can be searched one by one: words, by the stretch; "" is a literal U+2581."""
@@ -215,11 +305,8 @@ class Vocabulary:
                 yield _WORD.findall(part[low:high])
                 low = high
 
-    def unit(self, word: str) -> list[int]:
-        return self.word(word) if word else [self.byte_ids[b] for b in SPACE.encode()]
-
     def encode(self, text: str | None) -> list[int]:
-        return [i for unit in self.units(text or "") for w in unit for i in self.unit(w)]
+        return np.frombuffer(b"".join([ids for unit in self.units(text or "") for ids in self.words(unit)]), np.int32).tolist()
 
     def decode(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of id sequences side by side, and the offsets of the texts; the leading space goes."""
@@ -249,9 +336,9 @@ def encode_column(column: pa.Array, model: str) -> tuple[np.ndarray, np.ndarray]
         nonlocal total
         place: dict[str, int] = {w: k for k, w in enumerate(dict.fromkeys(held))}
         at = np.fromiter(map(place.__getitem__, held), np.int64, len(held))
-        found = [voc.unit(w) for w in place]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        found = voc.words(list(place))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), np.int32)
         first, many = (np.cumsum(sizes) - sizes)[at], sizes[at]
         to = np.cumsum(many)
         values.append(ids[np.repeat(first - (to - many), many) + np.arange(to[-1])])

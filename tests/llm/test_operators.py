@@ -485,6 +485,25 @@ def test_streaming_equals_whole_search():
     assert sum(map(len, runs)) and max(map(len, runs)) < 100  # committed on the way
 
 
+def test_words_side_by_side(monkeypatch):
+    """Words of a slice are searched together, with the ids of one search each."""
+    monkeypatch.setattr(pieces, "_ABREAST", 7)
+    rng = random.Random(3)
+    real = pieces.Vocabulary.load(pieces.DEFAULT_MODEL)
+    toy = pieces.Vocabulary({p: (i, -float(rng.randint(1, 9))) for i, p in enumerate(["a", "b", "ab", "ba", "aab", "bab", "abba", "c", "bc", "cab"])}, list(range(20, 276)), 276)
+    bare = pieces.Vocabulary({}, list(range(256)), 256)
+    for voc, letters in ((real, "▁theraionué.,中文\x07"), (toy, "abcabcx"), (bare, "ab")):
+        words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 9, 20, 70, 150]))) for _ in range(150)]
+        words += words[:5]
+        want = [voc._short(w) for w in words]
+        monkeypatch.setattr(pieces, "KEPT_WORDS", 40)
+        for _ in range(2):
+            assert [np.frombuffer(ids, np.int32).tolist() for ids in voc.words(words)] == want
+        assert max(map(len, voc.kept), default=0) <= 64
+    assert np.frombuffer(real.words([""])[0], np.int32).tolist() == [real.byte_ids[b] for b in "▁".encode()]
+    assert real.words([]) == []
+
+
 def test_pieces_round_trip(docs, empty, texts):
     found = pieces.encode_and_decode(docs).collect()
     assert len(found) == len(texts) + 1
