@@ -19,7 +19,8 @@ Other columns of the input are not read.
 
 Bits reach only the closest copies: a pair whose sets of five-word shingles have
 Jaccard similarity 0.8 differs in ten bits of 64 on average, as far as popcounts of
-unrelated fingerprints may be apart.  ``similar`` therefore embeds the sets
+unrelated fingerprints may be apart.  ``similar`` links the closest copies by their
+fingerprints, each pair verified on whole sets, and for the others embeds the sets
 themselves: the shingles in each of 256 segments of the hash space are counted, and
 the Manhattan distance of the counts is a lower bound of the symmetric difference.
 Candidates come without loss: a pair at ``similarity`` shares one of the first
@@ -274,10 +275,22 @@ def _near_enough(pairs: DataFrame, sketches: DataFrame, similarity: float) -> Da
     return map_batches(pairs.select("a", "b", "na", "nb", "ca", "cb"), run, "a bigint, b bigint")
 
 
+def met_by_fingerprint(nodes: DataFrame, segments: int = 16) -> DataFrame:
+    """Distinct (a, b), a < b, of nodes (node, fp): those with one fingerprint and its smallest node, and the smallest of linked fingerprints."""
+    leads = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "simhash-leads")
+    same = nodes.join(leads, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    linked = links(leads.select("fp"), segments)
+    for side in "ab":
+        linked = linked.join(leads.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_lead")), side)
+    linked = linked.select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b"))
+    return same.union(linked).where("a < b").distinct()
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of every document; sets of shingles with at least this Jaccard similarity are linked.
 
-    Equal sets, also empty ones, are one node, named by a 64-bit hash.
+    Equal sets, also empty ones, are one node, named by a 64-bit hash.  Fingerprints
+    propose the first pairs; the prefixes, what they leave apart.
     """
     spark = docs.sparkSession
     scratch, send = Scratch(spark), spark.sparkContext.broadcast
@@ -286,10 +299,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     def name(part: pa.RecordBatch) -> pa.RecordBatch:
         hashes, owner, size, node = shingle_sets(part.column(1), words)
         counts = segment_counts(hashes, owner, part.num_rows)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary())], ["id", "node", "size", "counts"])
+        fp = fingerprints_of(part.column(1), words).view(np.int64)
+        cells = [part.column(0), pa.array(node), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(fp)]
+        return pa.RecordBatch.from_arrays(cells, ["id", "node", "size", "counts", "fp"])
 
-    found = scratch.stored(map_slices(slim, name, "id bigint, node bigint, size bigint, counts binary"), "similar-nodes")
-    groups = scratch.stored(found.groupBy("node").agg(F.min("id").alias("first")), "similar-groups")
+    found = scratch.stored(map_slices(slim, name, "id bigint, node bigint, size bigint, counts binary, fp bigint"), "similar-nodes")
+    # Equal sets whose shingles recur differently have several fingerprints, of which one is enough.
+    groups = scratch.stored(found.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp")), "similar-groups")
     # One document stands for all with its set, also where ids are null or repeated.
     ranked = _common(slim, words)
     by_hash = np.argsort(ranked)
@@ -326,22 +342,22 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         held = common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)
         return scratch.stored(near.join(left, "a").join(right, "b").where(held).select("a", "b"), f"similar-edges-{label}")
 
-    # A large group of copies is one component after the first round, so that later rounds have few pairs.
-    edges, named, tried = None, None, None
+    # The closest copies are one component after the round of fingerprints, large groups after the next, so that later rounds have few pairs.
+    tried = scratch.stored(met_by_fingerprint(groups.select("node", "fp")), "similar-fingerprints")
+    edges = verified(tried, "fingerprints")
+    named = components(edges, scratch)
     for most in STAR_ROUNDS:
         pairs = stars
-        if named is not None:
-            for side in "ab":
-                pairs = pairs.join(named.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-            pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        for side in "ab":
+            pairs = pairs.join(named.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+        pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
         if most == 1:
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         elif most:
             pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("k") <= most).select("a", "b")
         pairs = scratch.stored(pairs, f"similar-stars-{most}")
-        tried = pairs if tried is None else tried.union(pairs)
-        found_edges = verified(pairs, f"stars-{most}")
-        edges = found_edges if edges is None else edges.union(found_edges)
+        tried = tried.union(pairs)
+        edges = edges.union(verified(pairs, f"stars-{most}"))
         named = components(edges, scratch)
     # What is still apart where it meets, the larger set with the smaller ones of its own and the next lower band of sizes.
     apart = met.join(named, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
@@ -353,7 +369,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") > F.col("b")))
     pairs = left.join(right, ["key", "band"]).where((F.col("ra") != F.col("rb")) & larger & _fits(similarity))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = verified(pairs.join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = verified(pairs.join(stars, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti"), "rest")
     roots = components(edges.unionByName(rest), scratch).join(groups, "node")
     best = roots.groupBy("root").agg(F.min("first").alias("component"))
     linked = roots.join(best, "root").select("node", "component")

@@ -327,6 +327,24 @@ def test_similar_against_brute_force(spark, docs, empty, texts, monkeypatch, com
     assert kept == set(want.values())
 
 
+def test_fingerprints_propose_pairs_of_the_stage(spark, monkeypatch):
+    """Close copies reach the exact check as pairs of fingerprints; a pair that fails it is not linked."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    rows = {1: " ".join(base), 2: " ".join(base[:-1] + ["end"]), 3: " ".join(base + ["more"]), 4: "a b", 5: "c d e", 6: "", 7: None}
+    proposed = []
+    inner = simhash.met_by_fingerprint
+    monkeypatch.setattr(simhash, "met_by_fingerprint", lambda *a, **k: proposed.append(inner(*a, **k).count()) or inner(*a, **k))
+    monkeypatch.setattr(simhash, "STAR_ROUNDS", ())
+    table = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    assert {r.id: r.component for r in simhash.similar(table).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6}
+    assert proposed[0] >= 2
+    nodes = [(10, 0), (11, 0), (12, 0), (20, 3), (30, 1 << 40 | 1 << 41 | 1 << 42), (31, 1 << 40), (40, -1)]
+    found = inner(spark.createDataFrame(nodes, "node bigint, fp bigint"))
+    got = {r.node: r.root for r in simhash.components(found).collect()}
+    assert got == {10: 10, 11: 10, 12: 10, 20: 10, 30: 10, 31: 10}
+
+
 @pytest.mark.parametrize("segments", [8, 16])
 def test_links_of_clouds_and_chains(spark, segments):
     rng = random.Random(2)
