@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 from rolefunnel.operators import dedupe as d
+from rolefunnel.operators.rare_parts import part_entries
 
 DDL = (
     "ord bigint, title string, company string, description string, url string, source string, "
@@ -130,3 +131,28 @@ def test_a_merged_row_does_not_hand_its_url_on(spark):
             (3, "Gardener", "Zeta Parks", "", "https://x.io/b", "s", None, [])]
     got = {r["ord"]: r["title"] for r in d.dedupe(spark.createDataFrame(rows, DDL)).collect()}
     assert got == {0: "Senior Data Engineer", 2: "Warehouse Cook"}
+
+
+def test_similar_keys_share_an_entry_and_others_seldom_meet(spark):
+    rng = random.Random(11)
+    syllables = ["th", "he", "an", "er", "on", "re", "in", "ed", "nd", "ha", "at", "en", "es", "of", " ", " "]
+    keys = []
+    for _ in range(150):
+        key = ("en " + "".join(rng.choice(syllables) for _ in range(60)))[:80].strip()
+        keys.append(key)
+        # Characters put in and taken out, as many as the ratio allows or a few less.
+        loose = list(key)
+        for _ in range(rng.randrange(1, 9)):
+            del loose[rng.randrange(len(loose))]
+            loose.insert(rng.randrange(len(loose)), rng.choice("theano"))
+        keys.append("".join(loose))
+    keys = sorted(set(keys))
+    nodes = spark.createDataFrame([(None, "c", k, i) for i, k in enumerate(keys)],
+                                  "src string, company_key string, full_key string, node bigint")
+    longer, shorter = part_entries(nodes, 0.88)
+    met = longer.join(shorter.select("key", shorter["node"].alias("other")), "key").filter("node != other")
+    # All parts of four characters, looked up in all places that a part may have moved to, met more than once per pair.
+    assert met.count() < len(keys) ** 2 / 2 * 0.25
+    got = {(r.a, r.b) for r in d.fuzzy_pairs(nodes, 0.88, 0.0).collect()}
+    want = {(i, j) for i in range(len(keys)) for j in range(i) if SequenceMatcher(None, keys[i], keys[j]).ratio() >= 0.88}
+    assert got == want and len(want) > 50
