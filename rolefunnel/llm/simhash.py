@@ -28,7 +28,7 @@ n - ceil(similarity * n) + 1 shingles of both sets in any fixed order; common
 shingles come last in it.  Nodes that meet in such a shingle are compared with the
 smallest one there, the lead: each with one of its leads, then with more and with
 all of those that it is not yet in one component with.  Then what is still apart
-where it meets is compared.  Pairs that the bound leaves are verified on whole sets.
+where it meets first is compared.  Pairs that the bound leaves are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ ORDER_SHARE = 4
 COMMON = 500_000
 #: Leads that a set is compared with in each round of stars; the last round has all.
 STAR_ROUNDS = (1, 8, None)
+#: Shared shingles before one that are looked at for an earlier meeting.
+EARLIER = 8
 #: Segments of the hash space in which the shingles of a set are counted.
 SEGMENTS = 256
 
@@ -83,7 +85,8 @@ def fingerprints_of(column: pa.Array, words: int = 3, seed: int = 42) -> np.ndar
     body, starts, ends, owner, n = _shingles(column, words)
     text = body.tobytes()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    parts = ((starts[low : low + _CHUNK].tolist(), ends[low : low + _CHUNK].tolist()) for low in range(0, len(starts), _CHUNK))
+    hashes = np.fromiter((digest(text[a:b], seed) for part in parts for a, b in zip(*part, strict=True)), np.uint64, len(starts))
     total = np.zeros((n, BITS), np.int64)
     for low in range(0, len(hashes), _CHUNK):
         part, who = hashes[low : low + _CHUNK], owner[low : low + _CHUNK]
@@ -226,7 +229,7 @@ def segment_counts(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _prefix_rows(slim: DataFrame, ranked, words: int, similarity: float, shared=None) -> DataFrame:
-    """(key, node, size): each set by the first shingles of which two sets at ``similarity`` share one.
+    """(key, node, size, place): each set by the first shingles of which two sets at ``similarity`` share one; ``place`` counts those before.
 
     ``ranked`` is broadcast, the common shingles sorted and the rank of each; ``shared``
     the filter of the keys that are wanted, none for all.
@@ -246,15 +249,42 @@ def _prefix_rows(slim: DataFrame, ranked, words: int, similarity: float, shared=
         keep = within < length[owner]
         if shared is not None:
             keep[keep] = shared.value.has(hashes[keep])
-        rows = np.unique(np.stack([hashes[keep].view(np.int64), node[owner[keep]], size[owner[keep]]]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["key", "node", "size"])
+        rows = np.unique(np.stack([hashes[keep].view(np.int64), node[owner[keep]], size[owner[keep]], within[keep]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["key", "node", "size", "place"])
 
-    return map_slices(slim, work, "key bigint, node bigint, size bigint")
+    return map_slices(slim, work, "key bigint, node bigint, size bigint, place bigint")
 
 
 def _fits(similarity: float) -> Column:
-    """Whether sets of ``m`` and ``n`` shingles can be that similar."""
-    return F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - F.lit(1e-9)
+    """Whether sets of ``m`` and ``n`` shingles that meet with ``i`` and ``j`` shingles before can be that similar.
+
+    Where two sets meet first, all that they share comes no earlier, so that what is left of
+    either must hold it; a pair that fails this where it meets again has passed it before.
+    """
+    shared = F.ceil((F.col("m") + F.col("n")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    return (F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - F.lit(1e-9)) & (F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= shared)
+
+
+def _with_earlier(apart: DataFrame, similarity: float) -> DataFrame:
+    """``apart`` (key, node, size, place, root) with a band of sizes and the keys that come before each in its set."""
+    band = F.floor(F.log("size") / F.lit(-math.log(similarity)) + F.lit(1e-9)) if similarity < 1 else F.col("size")
+    earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1))
+    return apart.withColumns({"band": band.cast("bigint"), "earlier": earlier})
+
+
+def _first_meetings(apart: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: nodes of different roots at a shared key, the larger set with the smaller ones of its own and the next lower band of sizes.
+
+    Two sets that have one of the earlier keys in common have met there and are not brought together again.
+    """
+    left = apart.select("key", "band", *(F.col(c).alias(n) for c, n in zip(("node", "size", "place", "root", "earlier"), ("a", "m", "i", "ra", "ea"), strict=True)))
+    right = apart.select(
+        "key", F.explode(F.array("band", F.col("band") + 1)).alias("band"),
+        *(F.col(c).alias(n) for c, n in zip(("node", "size", "place", "root", "earlier"), ("b", "n", "j", "rb", "eb"), strict=True)),
+    )
+    larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") > F.col("b")))
+    pairs = left.join(right, ["key", "band"]).where((F.col("ra") != F.col("rb")) & larger & _fits(similarity) & ~F.arrays_overlap("ea", "eb"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _near_enough(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -318,8 +348,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     sketches = found.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sketches = scratch.stored(sketches.select("node", "size", "counts"), "similar-sketches")
 
-    leads = met.where("node = lead").select("key", F.col("size").alias("m"))
-    stars = met.join(leads, "key").where("lead < node").withColumnRenamed("size", "n").where(_fits(similarity))
+    leads = met.where("node = lead").select("key", F.col("size").alias("m"), F.col("place").alias("i"))
+    stars = met.join(leads, "key").where("lead < node").withColumnsRenamed({"size": "n", "place": "j"}).where(_fits(similarity))
     stars = scratch.stored(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
@@ -359,16 +389,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         tried = tried.union(pairs)
         edges = edges.union(verified(pairs, f"stars-{most}"))
         named = components(edges, scratch)
-    # What is still apart where it meets, the larger set with the smaller ones of its own and the next lower band of sizes.
-    apart = met.join(named, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    # What is still apart where it meets.
+    apart = met.join(named, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     mixed = apart.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("key")
-    band = F.floor(F.log("size") / F.lit(-math.log(similarity)) + F.lit(1e-9)) if similarity < 1 else F.col("size")
-    apart = scratch.stored(apart.join(mixed, "key").withColumn("band", band.cast("bigint")), "similar-apart")
-    left = apart.select("key", "band", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("ra"))
-    right = apart.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("rb"))
-    larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") > F.col("b")))
-    pairs = left.join(right, ["key", "band"]).where((F.col("ra") != F.col("rb")) & larger & _fits(similarity))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = scratch.stored(_with_earlier(apart.join(mixed, "key"), similarity), "similar-apart")
+    pairs = _first_meetings(apart, similarity).distinct()
     rest = verified(pairs.join(stars, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti"), "rest")
     roots = components(edges.unionByName(rest), scratch).join(groups, "node")
     best = roots.groupBy("root").agg(F.min("first").alias("component"))

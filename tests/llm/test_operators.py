@@ -327,6 +327,18 @@ def test_similar_against_brute_force(spark, docs, empty, texts, monkeypatch, com
     assert kept == set(want.values())
 
 
+def test_sets_are_brought_together_where_they_meet_first(spark):
+    """Forty sets with thirty shingles in common in one order are all pairs once, not thirty times; who meets first too late cannot be similar."""
+    rows = [(1000 + k, node, 300, k, node) for node in range(40) for k in range(30)]
+    rows += [(1, node, 300, 0, node) for node in (100, 101)] + [(2, node, 300, 40, node) for node in (200, 201)]
+    rows += [(3, node, size, 0, node) for node, size in ((300, 300), (301, 241), (302, 239))]
+    # A key of its own before each shared one does not hide the earlier meeting.
+    rows += [(key, node, 300, at, node) for node in (400, 401) for at, key in enumerate((node * 10, 7, node * 10 + 1, 8, 9))]
+    apart = spark.createDataFrame(rows, "key bigint, node bigint, size bigint, place bigint, root bigint")
+    got = sorted((r.a, r.b) for r in simhash._first_meetings(simhash._with_earlier(apart, 0.8), 0.8).collect())
+    assert got == [*itertools.combinations(range(40), 2), (100, 101), (300, 301), (301, 302), (400, 401)]
+
+
 def test_fingerprints_propose_pairs_of_the_stage(spark, monkeypatch):
     """Close copies reach the exact check as pairs of fingerprints; a pair that fails it is not linked."""
     rng = random.Random(4)
