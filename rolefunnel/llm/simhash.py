@@ -28,7 +28,14 @@ n - ceil(similarity * n) + 1 shingles of both sets in any fixed order; common
 shingles come last in it.  Nodes that meet in such a shingle are compared with the
 smallest one there, the lead: each with one of its leads, then with more and with
 all of those that it is not yet in one component with.  Then what is still apart
-where it meets first is compared.  Pairs that the bound leaves are verified on whole sets.
+where it meets first is compared.  Where a crowd meets, sets that have most of their
+shingles in common would all be compared with each other; there each set is described
+by its difference from a centre, the shingles that most sets of the crowd have.  Two sets
+with p and q shingles in theirs, x and y beyond what the similarity allows from the centre,
+are similar exactly when they have (x + y) / 2 of them in common: none is needed of those that
+the set next to the centre links, and the others meet in the rarest shingles of their
+differences, which copies edited in different places do not share.  Pairs that the bound
+leaves are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -53,6 +60,9 @@ COMMON = 500_000
 STAR_ROUNDS = (1, 8, None)
 #: Shared shingles before one that are looked at for an earlier meeting.
 EARLIER = 8
+#: Members up to which the sets at a shared shingle are compared as they are, and members that settle the centre of a larger crowd: no result depends on them.
+CROWD = 16
+CENTRE = 15
 #: Segments of the hash space in which the shingles of a set are counted.
 SEGMENTS = 256
 
@@ -287,6 +297,58 @@ def _first_meetings(apart: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _differences(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``members`` (g, node, size) with ``own``, what is only in the set or only in the centre of g, and ``x``, its size less what is allowed."""
+    few = members.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("node"), "node"))).where(F.col("k") <= CENTRE)
+    common = few.select("g", "node").join(sets, "node").select("g", F.explode("set").alias("key")).groupBy("g", "key").count().where(F.col("count") > CENTRE // 2)
+    centres = common.groupBy("g").agg(F.collect_list("key").alias("centre"))
+    held = members.join(sets, "node").join(centres, "g", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    held = held.select("g", "node", "size", F.array_union(F.array_except("set", "centre"), F.array_except("centre", "set")).alias("own"))
+    return held.withColumn("x", F.size("own") - F.lit((1 - similarity) / (1 + similarity)) * F.col("size"))
+
+
+def _nearest(held: DataFrame) -> DataFrame:
+    """(g, lead, least): the member with the smallest ``x`` of each crowd."""
+    return held.groupBy("g").agg(F.min(F.struct("x", "node")).alias("m")).select("g", F.col("m.node").alias("lead"), F.col("m.x").alias("least"))
+
+
+def _overlap(x: Column, y: Column) -> Column:
+    """How much of their differences two sets must have in common."""
+    return F.greatest(F.lit(1), F.ceil((x + y) / 2 - F.lit(1e-6)))
+
+
+def _around_centre(held: DataFrame) -> DataFrame:
+    """(a, b), a < b: each member of a crowd (g, node, x) that is similar to the one next to the centre, with that one; two members
+    that need nothing in common in their differences both are."""
+    close = held.join(_nearest(held), "g").where((F.col("x") + F.col("least") <= 1e-6) & (F.col("node") != F.col("lead")))
+    return close.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def _entries(held: DataFrame) -> DataFrame:
+    """(g, key, node, size, root, x, d, place, earlier): crowds (g, node, size, root, own, x) by the first shingles of their differences, the rarest
+    first, of which two similar members of different roots share one unless ``_around_centre`` has both."""
+    own = held.select("g", "node", "size", "root", "x", F.size("own").alias("d"), F.explode("own").alias("key"))
+    mixed = own.groupBy("g", "key").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("other")).where("one < other")
+    each = Window.partitionBy("g", "node")
+    ranked = own.join(mixed.select("g", "key", "n"), ["g", "key"]).withColumn("rank", F.row_number().over(each.orderBy("n", "key")))
+    # Shingles that nobody of another root has come before all others.
+    ranked = ranked.withColumn("place", F.col("d") - F.count("*").over(each) + F.col("rank") - 1)
+    ranked = ranked.withColumn("earlier", F.collect_list("key").over(each.orderBy("place").rowsBetween(-EARLIER, -1)))
+    kept = ranked.join(_nearest(held).select("g", "least"), "g").where(F.col("d") - F.col("place") >= _overlap(F.col("x"), F.col("least")))
+    return kept.select("g", "key", "node", "size", "root", "x", "d", "place", "earlier")
+
+
+def _met_in_crowds(entries: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: members of different roots where their differences meet first, if enough of both is left there."""
+    fields = ("node", "size", "root", "x", "d", "place", "earlier")
+    one, two = (entries.select("g", "key", *(F.col(c).alias(f"{side}_{c}") for c in fields)) for side in "ab")
+    left = F.least(F.col("a_d") - F.col("a_place"), F.col("b_d") - F.col("b_place"))
+    alike = F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size") - F.lit(1e-9)
+    held = alike & (left >= _overlap(F.col("a_x"), F.col("b_x"))) & ~F.arrays_overlap("a_earlier", "b_earlier")
+    pairs = one.join(two, ["g", "key"]).where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & held)
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def _near_enough(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose segment counts do not rule the similarity out."""
     for side in "ab":
@@ -352,11 +414,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     stars = met.join(leads, "key").where("lead < node").withColumnsRenamed({"size": "n", "place": "j"}).where(_fits(similarity))
     stars = scratch.stored(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        near = scratch.stored(_near_enough(pairs, sketches, similarity), f"similar-near-{label}")
-        both = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(nodes: DataFrame, label: str) -> DataFrame:
         # Sets are made again for one document of each of these nodes.
-        speakers = send(Filter.of(both.join(groups, "node").select(F.xxhash64("first"))))
+        speakers = send(Filter.of(nodes.join(groups, "node").select(F.xxhash64("first"))))
 
         def lists(part: pa.RecordBatch) -> pa.RecordBatch:
             part = part.filter(pa.array(speakers.value.has(part.column("speaker").to_numpy(zero_copy_only=False).view(np.uint64))))
@@ -365,7 +425,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             return pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["node", "set"])
 
         texts = slim.select(F.xxhash64("id").alias("speaker"), "text")
-        sets = scratch.stored(map_slices(texts, lists, "node bigint, set array<bigint>").dropDuplicates(["node"]), f"similar-sets-{label}")
+        return scratch.stored(map_slices(texts, lists, "node bigint, set array<bigint>").dropDuplicates(["node"]), f"similar-sets-{label}")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        near = scratch.stored(_near_enough(pairs, sketches, similarity), f"similar-near-{label}")
+        sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), label)
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
@@ -376,25 +440,42 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     tried = scratch.stored(met_by_fingerprint(groups.select("node", "fp")), "similar-fingerprints")
     edges = verified(tried, "fingerprints")
     named = components(edges, scratch)
-    for most in STAR_ROUNDS:
-        pairs = stars
+
+    def untried(pairs: DataFrame) -> DataFrame:
         for side in "ab":
             pairs = pairs.join(named.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-        pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+
+    for most in STAR_ROUNDS:
+        pairs = untried(stars)
         if most == 1:
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         elif most:
             pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("k") <= most).select("a", "b")
         pairs = scratch.stored(pairs, f"similar-stars-{most}")
+        if pairs.isEmpty():
+            continue
         tried = tried.union(pairs)
         edges = edges.union(verified(pairs, f"stars-{most}"))
         named = components(edges, scratch)
-    # What is still apart where it meets.
-    apart = met.join(named, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    mixed = apart.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("key")
-    apart = scratch.stored(_with_earlier(apart.join(mixed, "key"), similarity), "similar-apart")
-    pairs = _first_meetings(apart, similarity).distinct()
-    rest = verified(pairs.join(stars, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti"), "rest")
+    # What is still apart where it meets: a crowd by its differences from a centre, others as they are.
+    apart = met.join(named, "node", "left").select("key", "node", "size", "place", "lead", F.coalesce("root", "node").alias("root"))
+    mixed = apart.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("n")).where("one < other")
+    apart = scratch.stored(apart.join(mixed.select("key", "n"), "key"), "similar-apart")
+    few = scratch.stored(_with_earlier(apart.where(F.col("n") <= CROWD).drop("lead", "n"), similarity), "similar-few")
+    pairs = _first_meetings(few, similarity)
+    crowds = scratch.stored(apart.where(F.col("n") > CROWD).select(F.col("lead").alias("g"), "node", "size").distinct(), "similar-crowds")
+    if not crowds.isEmpty():
+        sets = sets_of(crowds.select("node").distinct(), "crowds")
+        held = scratch.stored(_differences(crowds, sets, similarity), "similar-held")
+        close = scratch.stored(untried(_around_centre(held)), "similar-close")
+        tried = tried.union(close)
+        edges = edges.union(verified(close, "close"))
+        named = components(edges, scratch)
+        rooted = held.join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        entries = scratch.stored(_entries(rooted), "similar-entries")
+        pairs = pairs.union(_met_in_crowds(entries, similarity))
+    rest = verified(scratch.stored(untried(pairs.distinct()), "similar-rest"), "rest")
     roots = components(edges.unionByName(rest), scratch).join(groups, "node")
     best = roots.groupBy("root").agg(F.min("first").alias("component"))
     linked = roots.join(best, "root").select("node", "component")

@@ -339,6 +339,37 @@ def test_sets_are_brought_together_where_they_meet_first(spark):
     assert got == [*itertools.combinations(range(40), 2), (100, 101), (300, 301), (301, 302), (400, 401)]
 
 
+@pytest.mark.parametrize(("crowd", "centre"), [(simhash.CROWD, simhash.CENTRE), (2, 1), (2, 15)])
+def test_a_crowd_of_near_copies_makes_few_pairs(spark, monkeypatch, crowd, centre):
+    """Copies of one text, edited in different places and mostly below Jaccard 0.8 of each other, and texts around one passage: linked as by brute force,
+    without comparing nearly all of them."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "CENTRE", centre)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = {}
+    for i in range(160):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), rng.randrange(8)):
+            copy[at] = f"new{rng.randrange(10**6)}"
+        rows[i] = " ".join(copy[: len(copy) - rng.randrange(4)])
+    # Edited in few places, of which two have some in common.
+    for i in range(200, 240):
+        rows[i] = " ".join(w if at not in (20 + i % 4 * 25, 30 + i % 3 * 25, 120, 130) else f"at{at}x{i % 2}" for at, w in enumerate(base))
+        rows[i] += f" end{i % 7}"
+    for i in range(300, 330):
+        rows[i] = " ".join(base[40:80] + [f"own{rng.randrange(10**6)}" for _ in range(rng.randrange(20))])
+    tried = []
+    inner = simhash._near_enough
+    monkeypatch.setattr(simhash, "_near_enough", lambda pairs, *a: tried.append(pairs.count()) or inner(pairs, *a))
+    table = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string").repartition(3)
+    sets = {i: brute_shingles(t) for i, t in rows.items()}
+    want = closure(list(rows), lambda a, b: len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]))
+    assert {r.id: r.component for r in simhash.similar(table).collect()} == want
+    assert len(set(want.values())) > 20 and sum(want[i] != i for i in rows) > 40
+    assert sum(tried) < 5 * len(rows)
+
+
 def test_fingerprints_propose_pairs_of_the_stage(spark, monkeypatch):
     """Close copies reach the exact check as pairs of fingerprints; a pair that fails it is not linked."""
     rng = random.Random(4)
