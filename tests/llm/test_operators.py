@@ -339,6 +339,22 @@ def test_sets_are_brought_together_where_they_meet_first(spark):
     assert got == [*itertools.combinations(range(40), 2), (100, 101), (300, 301), (301, 302), (400, 401)]
 
 
+def test_differences_from_a_centre_bring_few_together(spark):
+    """Sixty sets with 130 of 150 shingles of one text, each less than 0.8 like any other, make no pairs; two with the same edits meet."""
+    rng = random.Random(6)
+    base = set(range(1, 151))
+    sets = {n: base - set(rng.sample(sorted(base), 20)) | {1000 * (n + 1) + k for k in range(20)} for n in range(60)}
+    sets[100] = base - set(range(1, 21)) | set(range(500, 520))
+    sets[101] = base - set(range(1, 21)) | set(range(502, 522))
+    members = spark.createDataFrame([(7, n, len(v)) for n, v in sets.items()], "g bigint, node bigint, size bigint")
+    table = spark.createDataFrame([(n, sorted(v)) for n, v in sets.items()], "node bigint, set array<bigint>")
+    held = simhash._differences(members, table, 0.8).cache()
+    assert {r.node: set(r.own) for r in held.collect()} == {n: v ^ base for n, v in sets.items()}
+    assert simhash._around_centre(held).collect() == []
+    pairs = simhash._met_in_crowds(simhash._entries(held.withColumn("root", held["node"])), 0.8).collect()
+    assert [(r.a, r.b) for r in pairs] == [(100, 101)]
+
+
 @pytest.mark.parametrize(("crowd", "centre"), [(simhash.CROWD, simhash.CENTRE), (2, 1), (2, 15)])
 def test_a_crowd_of_near_copies_makes_few_pairs(spark, monkeypatch, crowd, centre):
     """Copies of one text, edited in different places and mostly below Jaccard 0.8 of each other, and texts around one passage: linked as by brute force,
