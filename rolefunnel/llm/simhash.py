@@ -158,8 +158,10 @@ def links(fps: DataFrame, segments: int = 16) -> DataFrame:
     pairs = shared.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
     candidates = stored(entered.join(shared.where("n > 2"), "cell", "left_semi").select("fp").distinct(), "simhash-candidates")
     met = candidates.select("fp", F.explode(_around(F.col("fp"))).alias("value"))
-    least = met.groupBy("value").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("value", "a")
-    return met.join(least, "value").where("a < fp").select("a", F.col("fp").alias("b")).union(pairs).distinct()
+    # At most 65 fingerprints have a value, so a window holds them; in a join the planner takes all values for as small as the candidates
+    # before they are exploded, and sends them through the driver.
+    least = met.withColumn("a", F.min("fp").over(Window.partitionBy("value"))).where("a < fp")
+    return least.select("a", F.col("fp").alias("b")).union(pairs).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -404,6 +404,15 @@ def test_fingerprints_propose_pairs_of_the_stage(spark, monkeypatch):
     assert got == {10: 10, 11: 10, 12: 10, 20: 10, 30: 10, 31: 10}
 
 
+def test_no_join_holds_the_values_around_fingerprints(spark):
+    # Many in one cell: the exploded values were the side of a join that the planner takes to be small, and went through the driver.
+    fps = spark.createDataFrame([(0,)] + [(1 << k,) for k in range(40)], "fp bigint")
+    found = simhash.links(fps)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate explode" in plan and "Join" not in plan
+    assert {r.root for r in simhash.components(found).collect()} == {0}
+
+
 @pytest.mark.parametrize("segments", [8, 16])
 def test_links_of_clouds_and_chains(spark, segments):
     rng = random.Random(2)
