@@ -15,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,10 +180,10 @@ def stored(df: DataFrame, label: str, **options: object) -> DataFrame:
 
 
 class Scratch:
-    """Written tables that are only needed until a result is written."""
+    """Written tables and broadcast values that are only needed until a result is written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.out = spark, [], []
 
     def stored(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(self.spark, label)
@@ -190,8 +191,19 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def sent(self, value: object) -> Broadcast:
+        """``value`` for the workers, until it is recalled."""
+        self.out.append(self.spark.sparkContext.broadcast(value))
+        return self.out[-1]
+
+    def recall(self) -> None:
+        """Free what was sent, which the driver holds as well; whatever needs it must have been written."""
+        while self.out:
+            self.out.pop().destroy()
+
     def release(self) -> None:
         """Remove the tables; whatever is read from them must have been written."""
+        self.recall()
         jvm = self.spark._jvm
         for path in self.paths:
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -207,13 +219,19 @@ class Filter:
 
     @staticmethod
     def of(values: DataFrame, bits: int = FILTER_BITS) -> Filter:
-        """``values`` has one column of well mixed bigints; bits are united in Spark, so at most 2 ** bits / 64 rows arrive."""
+        """``values`` has one column of well mixed bigints; bits are united in Spark, so at most 2 ** bits / 64 words arrive, a partition at a time."""
         v = F.col(values.columns[0])
         places = values.select(F.explode(F.array(F.shiftrightunsigned(v, 64 - bits), v.bitwiseAND(F.lit((1 << bits) - 1)))).alias("p"))
         bit = F.expr("shiftleft(1L, cast(p & 63 AS INT))")
-        rows = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        rows = places.groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], ["word", "bits"])
+
         words = np.zeros(1 << (bits - 6), np.uint64)
-        words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        for word, some in map_batches(rows, run, "word binary, bits binary").toLocalIterator():
+            words[np.frombuffer(word, np.int32)] = np.frombuffer(some, np.uint64)
         return Filter(words)
 
     def has(self, values: np.ndarray) -> np.ndarray:

@@ -387,7 +387,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     propose the first pairs; the prefixes, what they leave apart.
     """
     spark = docs.sparkSession
-    scratch, send = Scratch(spark), spark.sparkContext.broadcast
+    scratch = Scratch(spark)
+    send = scratch.sent
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def name(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -409,6 +410,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     shared = send(Filter.of(keys.select("key")))
     rows = _prefix_rows(slim, order, words, similarity, shared).distinct()
     met = scratch.stored(rows.join(keys, "key"), "similar-met")
+    scratch.recall()
     sketches = found.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sketches = scratch.stored(sketches.select("node", "size", "counts"), "similar-sketches")
 
@@ -427,7 +429,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             return pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["node", "set"])
 
         texts = slim.select(F.xxhash64("id").alias("speaker"), "text")
-        return scratch.stored(map_slices(texts, lists, "node bigint, set array<bigint>").dropDuplicates(["node"]), f"similar-sets-{label}")
+        sets = scratch.stored(map_slices(texts, lists, "node bigint, set array<bigint>").dropDuplicates(["node"]), f"similar-sets-{label}")
+        scratch.recall()
+        return sets
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         near = scratch.stored(_near_enough(pairs, sketches, similarity), f"similar-near-{label}")

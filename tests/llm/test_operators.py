@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -413,6 +414,25 @@ def test_no_join_holds_the_values_around_fingerprints(spark):
     assert {r.root for r in simhash.components(found).collect()} == {0}
 
 
+def test_filters_arrive_in_parts_and_are_recalled(spark, monkeypatch):
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: pytest.fail("a whole filter at once"))
+    values = [random.Random(5).getrandbits(64) - (1 << 63) for _ in range(500)]
+    found = common.Filter.of(spark.createDataFrame([(v,) for v in values], "v bigint"), 16)
+    want = np.zeros(1 << 10, np.uint64)
+    for v in values:
+        for p in ((v % (1 << 64)) >> 48, v & 0xFFFF):
+            want[p >> 6] |= np.uint64(1 << (p & 63))
+    assert (found.words == want).all()
+    monkeypatch.undo()
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    text = " ".join(f"w{i}" for i in range(60))
+    table = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words")], "doc_id bigint, text string")
+    assert {r.id: r.component for r in simhash.similar(table).collect()} == {1: 1, 2: 1, 3: 3}
+    assert len(sent) > 2 and not any(os.path.exists(b._path) for b in sent)
+
+
 @pytest.mark.parametrize("segments", [8, 16])
 def test_links_of_clouds_and_chains(spark, segments):
     rng = random.Random(2)
