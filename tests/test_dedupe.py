@@ -1,6 +1,7 @@
 """Fuzzy de-duplication against a sequential scan written in plain Python."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 from rolefunnel.operators import dedupe as d
@@ -156,3 +157,39 @@ def test_similar_keys_share_an_entry_and_others_seldom_meet(spark):
     got = {(r.a, r.b) for r in d.fuzzy_pairs(nodes, 0.88, 0.0).collect()}
     want = {(i, j) for i in range(len(keys)) for j in range(i) if SequenceMatcher(None, keys[i], keys[j]).ratio() >= 0.88}
     assert got == want and len(want) > 50
+
+
+def keyed(spark, keys):
+    return spark.createDataFrame([(None, "c", k, i) for i, k in enumerate(keys)], "src string, company_key string, full_key string, node bigint")
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_entries_in_turns_lose_no_pair_and_leave_no_shuffle(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["data", "dota", "engine", "engineer", "senior", "acme", "acne", "x", "go", "lead"]
+    keys = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(150)})
+    nodes = d.cut_lineage(keyed(spark, keys))
+    whole = sorted(map(tuple, d.candidate_pairs(nodes).collect()))
+    monkeypatch.setattr(d, "TURN_NODES", 50)
+    written, cut = [], d.cut_lineage
+    monkeypatch.setattr(d, "cut_lineage", lambda df: written.append((shuffle_files(spark), cut(df))) or written[-1][1])
+    found = d.candidate_pairs(nodes)
+    assert len(written) == 3
+    # Executors delete files when they are told to, a moment later.
+    until = time.monotonic() + 20
+    while shuffle_files(spark) - written[0][0] and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - written[0][0]
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) > 5
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_sides_tell_large_counts_apart(spark):
+    _, shorter = part_entries(keyed(spark, ["e" * 40]), 0.88)
+    # Capped at four, all places from the fourth on looked alike; now those that are up to four apart differ by as many bits.
+    codes = {(r.before_0, r.before_1) for r in shorter.select("before_0", "before_1").collect()}
+    assert len(codes) == 8
