@@ -86,6 +86,16 @@ def test_dedupe_equals_sequential_scan(spark):
         assert got == sequential(rows)
 
 
+def test_dedupe_in_turns_equals_sequential_scan(spark, monkeypatch):
+    monkeypatch.setattr(d, "TURN_NODES", 10)
+    written, cut = [], d.cut_lineage
+    monkeypatch.setattr(d, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    rows = rows_for(3, 60)
+    got = {r["ord"]: (r["title"], r["company"], r["description"], tuple(r["tags"])) for r in d.dedupe(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == sequential(rows)
+    assert sum("a_full_key" in columns for columns in written) > 2
+
+
 def test_candidates_lose_no_pair(spark):
     rng = random.Random(7)
     words = ["data", "dota", "engine", "engineer", "senior", "acme", "acne", "x", "go", "lead"]
